@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("changelist", "text")
+FAMILIES = ("changelist", "text", "spatial", "graphs")
 
 _QUERIES: dict[str, "Query"] = {}
 
