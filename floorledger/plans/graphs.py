@@ -256,7 +256,7 @@ def rooms_through(spark, base):
 @query(
     "TOP-3_4_walk_order",
     """with r as (select l_orderkey as unit, concat_ws('-', l_linenumber, l_partkey, l_suppkey, cast(round(l_extendedprice * 100) as bigint)) as id, list_extract(['foyer','living','dining','kitchen','bed','bath','study'], cast(l_partkey % 7 as int) + 1) as kind, concat('Room ', l_suppkey) as name, l_quantity as area from lineitem),
-    o as (select *, row_number() over (partition by unit order by case kind when 'foyer' then 0 when 'living' then 1 when 'dining' then 2 when 'kitchen' then 3 when 'bed' then 4 else 5 end, cast(substr(name, 6) as bigint), -area, id) as place from r)
+    o as (select *, row_number() over (partition by unit order by case kind when 'foyer' then 0 when 'living' then 1 when 'dining' then 2 when 'kitchen' then 3 when 'bed' then 4 when 'bath' then 5 else 6 end, case when kind = 'bath' then -area else 0 end, cast(substr(name, 6) as bigint), -area, id) as place from r)
     select unit as unit_id, id as room_id, place from o""",
 )
 def walk_order(spark, base):

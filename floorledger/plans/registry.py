@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("changelist", "text", "spatial", "graphs")
+FAMILIES = ("changelist", "text", "spatial", "graphs", "buildings")
 
 _QUERIES: dict[str, "Query"] = {}
 
