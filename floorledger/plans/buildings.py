@@ -296,7 +296,7 @@ def resolve(spark, base):
 )
 def weather(spark, base):
     o = table(spark, base, "orders")
-    g = o.groupBy(F.col("o_custkey").alias("site_id")).agg(F.collect_list(F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("t"), (1 + K % 7).cast("double").alias("s"), (K * 37 % 360).cast("double").alias("d"))).alias("r"))
+    g = o.groupBy(F.col("o_custkey").alias("site_id"), F.trunc("o_orderdate", "month").alias("answered")).agg(F.collect_list(F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("t"), (1 + K % 7).cast("double").alias("s"), (K * 37 % 360).cast("double").alias("d"))).alias("r"))
     col = lambda f: F.transform("r", lambda x: x[f])
     answer = F.to_json(F.struct(F.struct(col("t").alias("time"), col("s").alias("wind_speed_10m_mean"), col("d").alias("wind_direction_10m_dominant")).alias("daily")))
     return src.weather_daily(g.select("site_id", answer.alias("answer"))).select("site_id", "day", "speed", "direction")
@@ -377,7 +377,7 @@ def placements(spark, base):
 
 @query(
     "FN-29_wall_types",
-    f"""select p_partkey, case when h = 0 then 'zone' when h <= 0.2 then 'kerb' when h < 3.038 then 'low' else 'wall' end as type, round(case kind when 0 then 4 when 1 then 4 when 2 then 6 else case when p_size % 2 = 0 then 2.5 else 3 end end * {FT}, 6) as width, round(case kind when 0 then 4 * {FT} when 1 then 2.7 else 7 * {FT} end, 6) as height, round(case kind when 0 then 3 * {FT} else 0 end, 6) as sill
+    f"""select p_partkey, case when h = 0 then 'zone' when h <= 0.2 then 'kerb' when h < 3.038 then 'low' else 'wall' end as type, round(case kind when 0 then 4 when 1 then 4 when 2 then 6 else case when p_size % 2 = 0 then 2.5 else 3 end end * {FT}::double, 6) as width, round(case kind when 0 then 4 * {FT}::double when 1 then 2.7 else 7 * {FT}::double end, 6) as height, round(case kind when 0 then 3 * {FT}::double else 0 end, 6) as sill
     from (select *, (p_size % 34) / 10.0::double as h, p_partkey % 4 as kind from part)""",
 )
 def wall_types(spark, base):

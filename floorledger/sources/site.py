@@ -68,5 +68,6 @@ def resolve_nodes(w: DataFrame, nodes: DataFrame, keys: tuple[str, ...] = ("site
 def weather_daily(df: DataFrame, text: str = "answer") -> DataFrame:
     """Parallel arrays → one row per day: site_id, day, speed, direction, temp, rh."""
     d = df.select("site_id", F.from_json(text, DAILY)["daily"].alias("d"))
-    z = F.arrays_zip("d.time", "d.wind_speed_10m_mean", "d.wind_direction_10m_dominant", "d.temperature_2m_mean", "d.relative_humidity_2m_mean")
+    fields = ["wind_speed_10m_mean", "wind_direction_10m_dominant", "temperature_2m_mean", "relative_humidity_2m_mean"]
+    z = F.arrays_zip("d.time", *[F.coalesce(F.col(f"d.{f}"), F.array().cast("array<double>")) for f in fields])
     return d.select("site_id", F.inline(z)).toDF("site_id", "day", "speed", "direction", "temp", "rh")
