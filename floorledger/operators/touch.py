@@ -9,6 +9,7 @@ from floorledger.operators import geometry as geo
 from floorledger.operators.cells import box_join
 from floorledger.operators.faces import usable_walls
 from floorledger.operators.graph import components, degrees
+from floorledger.session import cut_lineage
 
 TOUCH_M = 0.0127
 SIN10 = 0.1736
@@ -30,16 +31,17 @@ def touch_join(vertices: DataFrame, walls: DataFrame, pillars: DataFrame, size:
     wall's body meets that wall's centre line. Plans without loose ends come back as their own usable walls.
     """
     first = vertices.groupBy("unit_id", "vertex_id").agg(F.max("x").alias("x"), F.max("y").alias("y"))
-    base = geo.frames(usable_walls(walls, vertices)).withColumn("w", F.col("wall_id").cast("string"))
-    loose = degrees(base, first).where("degree = 1").select("unit_id", "vertex_id").join(first, ["unit_id", "vertex_id"])
-    deg = degrees(base, first).where("degree > 0").join(first, ["unit_id", "vertex_id"])
+    base = cut_lineage(geo.frames(usable_walls(walls, vertices)).withColumn("w", F.col("wall_id").cast("string")))
+    deg = cut_lineage(degrees(base, first).where("degree > 0").join(first, ["unit_id", "vertex_id"]))
+    loose = deg.where("degree = 1").select("unit_id", "vertex_id", "x", "y")
 
     c = pillars.select("unit_id", "pillar_id", (F.col("x") - F.col("w") / 2).alias("cx0"), (F.col("y") - F.col("h") / 2).alias("cy0"), (F.col("x") + F.col("w") / 2).alias("cx1"), (F.col("y") + F.col("h") / 2).alias("cy1"))
     cb = c.withColumn("x0", F.col("cx0") - TOUCH_M).withColumn("x1", F.col("cx1") + TOUCH_M).withColumn("y0", F.col("cy0") - TOUCH_M).withColumn("y1", F.col("cy1") + TOUCH_M)
     pt = lambda d: d.withColumn("x0", F.col("x")).withColumn("x1", F.col("x")).withColumn("y0", F.col("y")).withColumn("y1", F.col("y"))
     on_col = box_join(pt(loose), cb, U, size).where(_inside(F.col("l.x"), F.col("l.y"), "r", TOUCH_M))
     held = on_col.groupBy(F.col("l.unit_id").alias("unit_id"), F.col("l.vertex_id").alias("vertex_id")).agg(F.min("r.pillar_id").alias("pillar_id"))
-    met = cb.join(held.select("unit_id", "pillar_id").distinct(), ["unit_id", "pillar_id"], "left_semi")
+    held = cut_lineage(held)
+    met = cut_lineage(cb.join(held.select("unit_id", "pillar_id").distinct(), ["unit_id", "pillar_id"], "left_semi"))
 
     # points on each met column's outline: corners of walls there, crossings of walls, the block's own corners
     at = box_join(pt(deg), met, U, size).where(_inside(F.col("l.x"), F.col("l.y"), "r", TOUCH_M))
@@ -53,6 +55,7 @@ def touch_join(vertices: DataFrame, walls: DataFrame, pillars: DataFrame, size:
         lo.append(F.when(F.abs(p) < 1e-12, F.when(q < 0, 2.0).otherwise(0.0)).when(p < 0, F.try_divide(q, p)).otherwise(0.0))
         hi.append(F.when((F.abs(p) >= 1e-12) & (p > 0), F.try_divide(q, p)).otherwise(1.0))
     cr = cr.withColumn("t0", F.greatest(*lo)).withColumn("t1", F.least(*hi)).where(F.col("t0") <= F.col("t1")).withColumn("t", F.explode(F.array_distinct(F.array("t0", "t1")))).where((F.col("t") > 0) & (F.col("t") < 1))
+    own = cut_lineage(own)
     rim_ends = own.select("unit_id", "pillar_id", "v")
     ra = rim_ends.withColumnRenamed("v", "_va").withColumn("_ra", F.lit(True))
     rb = rim_ends.withColumnRenamed("v", "_vb").withColumn("_rb", F.lit(True))
@@ -63,10 +66,11 @@ def touch_join(vertices: DataFrame, walls: DataFrame, pillars: DataFrame, size:
     close = (F.coalesce("_ra", F.lit(False)) & (F.col("t") * F.col("len") <= TOUCH_M)) | (F.coalesce("_rb", F.lit(False)) & ((1 - F.col("t")) * F.col("len") <= TOUCH_M))
     s = F.col("t") * F.col("len")
     cut_col = cr.where(~close).select("unit_id", "pillar_id", "w", s.alias("s"), F.concat(F.col("w"), F.lit("@"), F.format_string("%.4f", s)).alias("v"), "x", "y")
+    cut_col = cut_lineage(cut_col)
     ring = own.unionByName(cut_col.select("unit_id", "pillar_id", "v", "x", "y"))
     corners = met.select("unit_id", "pillar_id", F.posexplode(F.array(*[F.struct(F.col(a).alias("x"), F.col(b).alias("y")) for a, b in (("cx0", "cy0"), ("cx1", "cy0"), ("cx1", "cy1"), ("cx0", "cy1"))]))).select("unit_id", "pillar_id", F.concat(F.col("pillar_id").cast("string"), F.lit("#"), F.col("pos").cast("string")).alias("v"), "col.x", "col.y")
     dup = corners.alias("c").join(ring.alias("r"), ["unit_id", "pillar_id"]).where(F.hypot(F.col("c.x") - F.col("r.x"), F.col("c.y") - F.col("r.y")) <= TOUCH_M).select("unit_id", "pillar_id", F.col("c.v").alias("v")).distinct()
-    new_corners = corners.join(dup, ["unit_id", "pillar_id", "v"], "left_anti")
+    new_corners = cut_lineage(corners.join(dup, ["unit_id", "pillar_id", "v"], "left_anti"))
     ring = ring.unionByName(new_corners).join(met.select("unit_id", "pillar_id", "cx0", "cy0", "cx1", "cy1"), ["unit_id", "pillar_id"])
     W, H = F.col("cx1") - F.col("cx0"), F.col("cy1") - F.col("cy0")
     x, y = F.greatest("cx0", F.least("cx1", "x")), F.greatest("cy0", F.least("cy1", "y"))
@@ -77,6 +81,7 @@ def touch_join(vertices: DataFrame, walls: DataFrame, pillars: DataFrame, size:
     # two ends on one spot are one point: the first by perimeter carries the rest (a column's ring is a handful of points)
     spot = F.struct(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
     one = ring.groupBy("unit_id", "pillar_id", spot.alias("sp")).agg(F.min(F.struct("per", "v", "x", "y")).alias("m"), F.collect_set("v").alias("vs"))
+    one = cut_lineage(one)
     alias = one.select("unit_id", F.explode("vs").alias("v"), F.col("m.v").alias("to")).where("v <> to").distinct()
     order = Window.partitionBy("unit_id", "pillar_id").orderBy("per", "v")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -84,6 +89,7 @@ def touch_join(vertices: DataFrame, walls: DataFrame, pillars: DataFrame, size:
     nxt = F.coalesce(F.lead(F.struct("v", "x", "y")).over(order), F.first(F.struct("v", "x", "y")).over(whole))
     e = pts.withColumn("q", nxt).withColumn("k", (F.row_number().over(order) - 1).cast("string")).where((F.col("q.v") != F.col("v")) & (F.hypot(F.col("q.x") - F.col("x"), F.col("q.y") - F.col("y")) > 1e-9))
     e = e.select("unit_id", F.concat(F.col("pillar_id").cast("string"), F.lit("#e"), "k").alias("w"), F.col("v").alias("a"), F.col("q.v").alias("b"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("q.x").alias("bx"), F.col("q.y").alias("by"))
+    e = cut_lineage(e)
     run = box_join(_box(e, 1e-6), _box(base, 1e-6), U, size)
     on = lambda q: geo.point_to_segment(F.col(f"l.{q}x"), F.col(f"l.{q}y"), F.col("r.ax"), F.col("r.ay"), F.col("r.bx"), F.col("r.by"))["d"] <= 1e-6
     covered = run.where(on("a") & on("b")).select(F.col("l.unit_id").alias("unit_id"), F.col("l.w").alias("w")).distinct()
@@ -119,6 +125,7 @@ def touch_join(vertices: DataFrame, walls: DataFrame, pillars: DataFrame, size:
     on_line = F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y")) <= 1e-9
     target = F.when(F.col("s") <= TOUCH_M, F.col("wa")).when(F.col("s") >= F.col("len") - TOUCH_M, F.col("wb")).otherwise(F.concat(F.col("w"), F.lit("@"), F.format_string("%.4f", F.col("s"))))
     g = g.withColumn("on_line", on_line).withColumn("to", F.when(F.col("on_line"), F.col("v")).otherwise(target))
+    g = cut_lineage(g)
     inner = F.col("on_line") | ((F.col("s") > TOUCH_M) & (F.col("s") < F.col("len") - TOUCH_M))
     cut_body = g.where(inner).select("unit_id", "w", "s", F.col("to").alias("v"), F.when(F.col("on_line"), F.col("x")).otherwise(F.col("px")).alias("x"), F.when(F.col("on_line"), F.col("y")).otherwise(F.col("py")).alias("y"))
     past = ~F.col("on_line") & F.col("straight") & (F.col("r") < 0)
@@ -128,6 +135,7 @@ def touch_join(vertices: DataFrame, walls: DataFrame, pillars: DataFrame, size:
     # split walls at their cut points (within a micron: one), pieces in order
     cuts = cut_col.select("unit_id", "w", "s", "v", "x", "y").unionByName(cut_body).unionByName(cut_own)
     cuts = cuts.join(base.select("unit_id", "w", "len"), ["unit_id", "w"]).where((F.col("s") > 1e-6) & (F.col("s") < F.col("len") - 1e-6)).groupBy("unit_id", "w", F.round(F.col("s") / 1e-6).alias("_s")).agg(F.min(F.struct("s", "v", "x", "y")).alias("m")).select("unit_id", "w", "m.*")
+    cuts = cut_lineage(cuts)
     stops = base.select("unit_id", "w", F.lit(-1.0).alias("s"), F.col("a").cast("string").alias("v"), F.col("ax").alias("x"), F.col("ay").alias("y")).unionByName(cuts).unionByName(
         base.select("unit_id", "w", (F.col("len") + 1).alias("s"), F.col("b").cast("string").alias("v"), F.col("bx").alias("x"), F.col("by").alias("y"))
     )
@@ -158,7 +166,6 @@ def faces_outside_columns(rooms: DataFrame, columns: DataFrame, size: float = 4.
 def rooms_of_plans(vertices: DataFrame, walls: DataFrame, pillars: DataFrame, labels: DataFrame, size: float = 4.0) -> DataFrame:
     """Rooms of whole plans, touch join included; wall ids are the plan's own."""
     from floorledger.operators import faces as fc
-    from floorledger.session import cut_lineage
 
     t = touch_join(vertices, walls, pillars, size)
     w = cut_lineage(t["walls"])

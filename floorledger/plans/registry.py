@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("changelist", "text", "spatial", "graphs", "buildings", "evaluation")
+FAMILIES = ("changelist", "text", "spatial", "graphs", "buildings", "evaluation", "drawings")
 
 _QUERIES: dict[str, "Query"] = {}
 
