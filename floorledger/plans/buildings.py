@@ -14,7 +14,12 @@ from floorledger.sources import site as src
 from floorledger.sources.tables import table
 
 FT = 0.3048
-K = F.col("o_orderkey")
+
+
+def K():
+    return F.col("o_orderkey")
+
+
 R6 = lambda c: F.round(c, 6)
 SQL_RANGES = "rg as (select l_orderkey as project_id, l_suppkey % 4 as unit_id, l_linenumber as f, l_linenumber + l_partkey % 3 as t, l_returnflag from lineitem), pl as (select distinct project_id, unit_id, unnest(range(f, t + 1)) as floor from rg)"
 SQL_FLOORS = f"{SQL_RANGES}, fl as (select project_id, floor, string_agg(cast(unit_id as varchar), ',' order by unit_id) as units from pl group by all)"
@@ -67,7 +72,7 @@ def runs(spark, base):
     f"with {SQL_FLOORS}, ch as (select o_orderkey as project_id, 1 + o_custkey % 5 as floor, case when o_orderstatus = 'F' then null else '9' end as units from orders), nf as (select * from (select coalesce(fl.project_id, ch.project_id) as project_id, coalesce(fl.floor, ch.floor) as floor, case when ch.project_id is not null then ch.units else fl.units end as units from fl full join ch on ch.project_id = fl.project_id and ch.floor = fl.floor) where units is not null), {SQL_RUNS.format('nf')}",
 )
 def set_slot(spark, base):
-    ch = table(spark, base, "orders").select(K.alias("project_id"), (1 + F.col("o_custkey") % 5).alias("floor"), F.when(F.col("o_orderstatus") != "F", F.lit("9")).alias("units"))
+    ch = table(spark, base, "orders").select(K().alias("project_id"), (1 + F.col("o_custkey") % 5).alias("floor"), F.when(F.col("o_orderstatus") != "F", F.lit("9")).alias("units"))
     return bl.set_slot(bl.floors_of(bl.placements(ranges(spark, base))), ch)
 
 
@@ -76,7 +81,7 @@ def set_slot(spark, base):
     f"with {SQL_RANGES}, fk as (select o_orderkey as project_id, 1 + o_custkey % 5 as floor, o_custkey % 4 as unit_id from orders) select pl.project_id, pl.floor, case when fk.project_id is not null then pl.unit_id + 100 else pl.unit_id end as unit_id from pl left join fk on fk.project_id = pl.project_id and fk.floor = pl.floor and fk.unit_id = pl.unit_id",
 )
 def fork(spark, base):
-    fk = table(spark, base, "orders").select(K.alias("project_id"), (1 + F.col("o_custkey") % 5).alias("floor"), (F.col("o_custkey") % 4).alias("unit_id"), (F.col("o_custkey") % 4 + 100).alias("fork_id"))
+    fk = table(spark, base, "orders").select(K().alias("project_id"), (1 + F.col("o_custkey") % 5).alias("floor"), (F.col("o_custkey") % 4).alias("unit_id"), (F.col("o_custkey") % 4 + 100).alias("fork_id"))
     return bl.fork_floor(bl.placements(ranges(spark, base)), fk)
 
 
@@ -88,7 +93,7 @@ def fork(spark, base):
 def place_remove(spark, base):
     r = ranges(spark, base)
     placed = bl.place_units(r.where("l_returnflag <> 'R'").drop("l_returnflag"), r.where("l_returnflag = 'R'").drop("l_returnflag"))
-    gone = table(spark, base, "orders").select(K.alias("project_id"), (F.col("o_custkey") % 4).alias("unit_id"))
+    gone = table(spark, base, "orders").select(K().alias("project_id"), (F.col("o_custkey") % 4).alias("unit_id"))
     return bl.remove_units(placed, gone)
 
 
@@ -102,7 +107,7 @@ def place_remove(spark, base):
 )
 def tower(spark, base):
     k = F.col("o_custkey") % 4
-    lv = table(spark, base, "orders").select(K.alias("project_id"), F.col("o_custkey").alias("unit_id"), F.when(k == 0, "ground").when(k == 1, "basement").when(k == 2, "common").otherwise("rooftop").alias("kind"), (1 + F.col("o_custkey") % 3).alias("n"))
+    lv = table(spark, base, "orders").select(K().alias("project_id"), F.col("o_custkey").alias("unit_id"), F.when(k == 0, "ground").when(k == 1, "basement").when(k == 2, "common").otherwise("rooftop").alias("kind"), (1 + F.col("o_custkey") % 3).alias("n"))
     return bl.tower(bl.floors_of(bl.placements(ranges(spark, base))), lv)
 
 
@@ -125,8 +130,8 @@ def letters(spark, base):
 )
 def unit_floor(spark, base):
     o = table(spark, base, "orders")
-    asked = o.select(K.alias("project_id"), (F.col("o_custkey") % 5).alias("unit_id"), (F.col("o_custkey") % 7).alias("asked_floor"))
-    lv = o.where("o_orderstatus = 'P'").select(K.alias("project_id"), (K % 5).alias("unit_id"), F.lit(-1).cast("bigint").alias("floor"))
+    asked = o.select(K().alias("project_id"), (F.col("o_custkey") % 5).alias("unit_id"), (F.col("o_custkey") % 7).alias("asked_floor"))
+    lv = o.where("o_orderstatus = 'P'").select(K().alias("project_id"), (K() % 5).alias("unit_id"), F.lit(-1).cast("bigint").alias("floor"))
     return bl.unit_floor(asked, lv, bl.placements(ranges(spark, base)), lv.limit(0))
 
 
@@ -143,7 +148,7 @@ def sheet_offset(spark, base):
         d(F.col("l_partkey") % 100).alias("x0"), d(F.col("l_suppkey") % 100).alias("y0"), (F.col("l_linenumber") * 1.5).alias("cx"), (F.col("l_linenumber") * 2.5).alias("cy"),
     )
     c = F.col("o_custkey")
-    f = table(spark, base, "orders").select(K.alias("project_id"), F.when(c % 3 == 0, "A").when(c % 3 == 1, "N").otherwise("R").alias("src"), (90 + d(c % 10)).alias("px_per_m"), F.lit(10.0).alias("x0"), F.lit(20.0).alias("y0"), F.lit(3.0).alias("ox"), F.lit(4.0).alias("oy"))
+    f = table(spark, base, "orders").select(K().alias("project_id"), F.when(c % 3 == 0, "A").when(c % 3 == 1, "N").otherwise("R").alias("src"), (90 + d(c % 10)).alias("px_per_m"), F.lit(10.0).alias("x0"), F.lit(20.0).alias("y0"), F.lit(3.0).alias("ox"), F.lit(4.0).alias("oy"))
     return bl.sheet_offsets(u, f).select("project_id", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", R6("dx").alias("dx"), R6("dy").alias("dy"))
 
 
@@ -181,7 +186,7 @@ def cover(spark, base):
         F.col("l_orderkey").alias("building_id"), F.col("l_suppkey").alias("unit_id"), F.col("l_linenumber").cast("bigint").alias("floor"), row_id().alias("room_id"),
         F.when(F.col("l_partkey") % 9 == 0, "shaft").otherwise("bed").alias("kind"), F.when(F.col("l_partkey") % 5 == 0, -1.0).otherwise(0.0).alias("low"), F.lit(0.0).alias("base"),
     )
-    lv = table(spark, base, "orders").select(K.alias("building_id"), (1 + F.col("o_custkey") % 3).alias("floor"), (1 + F.col("o_custkey") % 3).alias("level_id"))
+    lv = table(spark, base, "orders").select(K().alias("building_id"), (1 + F.col("o_custkey") % 3).alias("floor"), (1 + F.col("o_custkey") % 3).alias("level_id"))
     top = f.groupBy("building_id").agg(F.max("floor").alias("top"))
     c = bl.cover_of(f, lv, top).select("building_id", F.lit("cover").alias("what"), F.col("level_id").alias("floor"), "room_id")
     return c.unionByName(bl.voids_over(f).select("building_id", F.lit("void").alias("what"), "floor", "room_id"))
@@ -193,7 +198,7 @@ SQL_MONTHS = f"{SQL_DAILY}, g as (select site, m, sum(s * sin(radians(d))) as u,
 
 
 def daily(spark, base):
-    return table(spark, base, "orders").select(F.col("o_orderpriority").alias("site_id"), F.col("o_orderdate").alias("day"), (1 + K % 7).cast("double").alias("speed"), (K * 37 % 360).cast("double").alias("direction"), F.when(K % 9 > 0, (15 + K % 17).cast("double")).alias("temp"), (50 + K % 45).cast("double").alias("rh"))
+    return table(spark, base, "orders").select(F.col("o_orderpriority").alias("site_id"), F.col("o_orderdate").alias("day"), (1 + K() % 7).cast("double").alias("speed"), (K() * 37 % 360).cast("double").alias("direction"), F.when(K() % 9 > 0, (15 + K() % 17).cast("double")).alias("temp"), (50 + K() % 45).cast("double").alias("rh"))
 
 
 @query("AGG-4_monthly_wind", f"with {SQL_MONTHS} select site as site_id, m as month, from_deg, speed, steady, temp, rh from mo")
@@ -226,9 +231,9 @@ def seasons(spark, base):
 )
 def sun(spark, base):
     o = table(spark, base, "orders")
-    lat = (60 * (F.col("o_custkey") % 3 - 1) + 5.5 + K % 7).cast("double")
-    epoch = F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + K % 86400
-    s = o.select("o_orderkey", st.sun_position(lat, (K % 360 - 180).cast("double"), epoch).alias("s"))
+    lat = (60 * (F.col("o_custkey") % 3 - 1) + 5.5 + K() % 7).cast("double")
+    epoch = F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + K() % 86400
+    s = o.select("o_orderkey", st.sun_position(lat, (K() % 360 - 180).cast("double"), epoch).alias("s"))
     return s.select("o_orderkey", F.round("s.alt", 4).alias("alt"), (F.round(F.cos(F.radians("s.az")), 4) + 0.0).alias("az_cos"))
 
 
@@ -239,11 +244,11 @@ def sun(spark, base):
       list_extract([{",".join(f"'{v}'" for v in st.WORDS16)}], cast(floor(w / 22.5 + 0.5) as int) % 16 + 1) as words, round(((degrees(atan2(dx, -dy)) - n) % 360 + 360) % 360, 6) as bearing, round(sin(radians(n + d)), 6) + 0.0 as px, round(-cos(radians(n + d)), 6) + 0.0 as py from u""",
 )
 def bearings(spark, base):
-    d = (K * 37 % 720 - 360 + 0.3).cast("double")
+    d = (K() * 37 % 720 - 360 + 0.3).cast("double")
     c = F.col("o_custkey").cast("double")
-    v = st.bearing_in_plan((K % 90).cast("double"), d)
+    v = st.bearing_in_plan((K() % 90).cast("double"), d)
     return table(spark, base, "orders").select(
-        "o_orderkey", st.compass_name(d).alias("compass"), st.point16(d).alias("point"), st.words16(d).alias("words"), R6(st.bearing_of(F.cos(c), F.sin(c), (K % 90).cast("double"))).alias("bearing"),
+        "o_orderkey", st.compass_name(d).alias("compass"), st.point16(d).alias("point"), st.words16(d).alias("words"), R6(st.bearing_of(F.cos(c), F.sin(c), (K() % 90).cast("double"))).alias("bearing"),
         (R6(v["x"]) + 0.0).alias("px"), (R6(v["y"]) + 0.0).alias("py"),
     )
 
@@ -259,7 +264,7 @@ def bearings(spark, base):
 def month_lines(spark, base):
     c = F.col("o_custkey") % 3
     lat, lon = F.when(c == 0, 23.8).when(c == 1, 51.5).otherwise(-33.9), F.when(c == 0, 90.4).when(c == 1, -0.1).otherwise(151.2)
-    line = st.month_line(F.month("o_orderdate") - 1, lat, lon, (K * 37 % 360).cast("double"), (K % 70) / 10.0, (F.col("o_custkey") % 100) / 100.0)
+    line = st.month_line(F.month("o_orderdate") - 1, lat, lon, (K() * 37 % 360).cast("double"), (K() % 70) / 10.0, (F.col("o_custkey") % 100) / 100.0)
     return table(spark, base, "orders").select("o_orderkey", line.alias("line"))
 
 
@@ -296,7 +301,7 @@ def resolve(spark, base):
 )
 def weather(spark, base):
     o = table(spark, base, "orders")
-    g = o.groupBy(F.col("o_custkey").alias("site_id"), F.trunc("o_orderdate", "month").alias("answered")).agg(F.collect_list(F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("t"), (1 + K % 7).cast("double").alias("s"), (K * 37 % 360).cast("double").alias("d"))).alias("r"))
+    g = o.groupBy(F.col("o_custkey").alias("site_id"), F.trunc("o_orderdate", "month").alias("answered")).agg(F.collect_list(F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("t"), (1 + K() % 7).cast("double").alias("s"), (K() * 37 % 360).cast("double").alias("d"))).alias("r"))
     col = lambda f: F.transform("r", lambda x: x[f])
     answer = F.to_json(F.struct(F.struct(col("t").alias("time"), col("s").alias("wind_speed_10m_mean"), col("d").alias("wind_direction_10m_dominant")).alias("daily")))
     return src.weather_daily(g.select("site_id", answer.alias("answer"))).select("site_id", "day", "speed", "direction")
@@ -312,7 +317,7 @@ def weather(spark, base):
 )
 def affine(spark, base):
     d = lambda c: c.cast("double")
-    t = table(spark, base, "orders").select("o_orderkey", d(K % 50).alias("x"), d(F.col("o_custkey") % 40).alias("y"), d(K % 360).alias("n"), d(50 + F.col("o_custkey") % 100).alias("s"))
+    t = table(spark, base, "orders").select("o_orderkey", d(K() % 50).alias("x"), d(F.col("o_custkey") % 40).alias("y"), d(K() % 360).alias("n"), d(50 + F.col("o_custkey") % 100).alias("s"))
     p = st.site_to_plan(F.col("x"), F.col("y"), F.col("n"), F.lit(7.0), F.lit(9.0))
     i = plan.metres_to_px(F.col("x"), F.col("y"), F.col("s"), F.lit(10.0), F.lit(20.0))
     m = plan.px_to_metres(F.col("x"), F.col("y"), F.col("s"), F.lit(10.0), F.lit(20.0))
@@ -391,7 +396,7 @@ def wall_types(spark, base):
     """select o_orderkey, list_reduce(list_transform(string_split(concat('u', o_custkey, '|', o_orderkey), ''), lambda c: cast(ord(c) as bigint)), lambda h, c: (xor(h, c) * 16777619) & 4294967295, cast(2166136261 as bigint)) % 100 < 45 as lit from orders""",
 )
 def lit(spark, base):
-    key = F.concat(F.lit("u"), F.col("o_custkey").cast("string"), F.lit("|"), K.cast("string"))
+    key = F.concat(F.lit("u"), F.col("o_custkey").cast("string"), F.lit("|"), K().cast("string"))
     return table(spark, base, "orders").select("o_orderkey", hashing.lit_window(key).alias("lit"))
 
 

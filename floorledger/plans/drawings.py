@@ -16,7 +16,12 @@ from floorledger.sources import answers, units
 from floorledger.sources.tables import table
 
 R6 = lambda c: F.round(c, 6)
-K = F.col("o_orderkey")
+
+
+def K():
+    return F.col("o_orderkey")
+
+
 
 SQL_LINES = """ln as (select l_orderkey as d, concat_ws('-', l_linenumber, l_partkey, l_suppkey, cast(round(l_extendedprice * 100) as bigint)) as id, l_linenumber % 2 = 1 as hz, (l_suppkey % 12) / 10.0::double as c, l_partkey % 10 + 0.0::double as t0, l_partkey % 10 + l_quantity / 10 as t1 from lineitem where l_quantity / 10 >= 0.15)"""
 
@@ -66,7 +71,7 @@ def wall_at(spark, base):
     w = dw.folded(segments(spark, base).withColumnRenamed("unit_id", "drawing"))
     t = lambda e: F.col(f"{e}x") * F.col("ux") + F.col(f"{e}y") * F.col("uy")
     w = w.withColumn("t0", F.least(t("a"), t("b"))).withColumn("t1", F.greatest(t("a"), t("b"))).withColumn("thick", F.lit(0.127))
-    p = table(spark, base, "orders").select(K.alias("drawing"), F.lit(0).alias("pt_id"), (F.col("o_custkey") % 20 + 0.03).alias("x"), (K % 20 + 0.04).alias("y"))
+    p = table(spark, base, "orders").select(K().alias("drawing"), F.lit(0).alias("pt_id"), (F.col("o_custkey") % 20 + 0.03).alias("x"), (K() % 20 + 0.04).alias("y"))
     return dw.wall_at(p, w, 0.05).select("drawing", "wall_id")
 
 
@@ -85,7 +90,7 @@ def drawing_labels(spark, base):
     t = li.select(F.col("l_orderkey").alias("drawing"), row_id().alias("text_id"), F.lit("TEXT").alias("layer"), ((F.col("l_partkey") % 40) / 10.0 + 0.05).alias("x"), ((F.col("l_suppkey") % 20) / 10.3 + 0.05).alias("y"), F.col("l_quantity").alias("height"), word.alias("text"))
     c = lambda a, b: F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y"))
     room = lambda i: F.struct(F.lit(i).alias("face_id"), F.lit(4.0).alias("area"), F.array(c(2 * i, 0), c(2 * i + 2, 0), c(2 * i + 2, 2), c(2 * i, 2)).alias("poly"))
-    rooms = table(spark, base, "orders").select(K.alias("drawing"), F.inline(F.array(room(0), room(1))))
+    rooms = table(spark, base, "orders").select(K().alias("drawing"), F.inline(F.array(room(0), room(1))))
     return dw.drawing_labels(t, rooms)["labels"].select("drawing", "face_id", "label_id", "name", "printed_size")
 
 
@@ -154,7 +159,7 @@ def documents(spark, base):
     x0 = F.when(c % 11 != 0, F.lit(0.0))
     opening = F.array(F.struct(F.lit("o").alias("id"), F.when(c % 3 == 0, "door").otherwise("passage").alias("kind"), F.lit(0.5).alias("offsetM"), F.lit(1.3).alias("widthM")))
     wall = F.array(F.struct(F.lit("w").alias("id"), F.lit("a").alias("a"), F.when(c % 13 == 0, "zz").otherwise("b").alias("b"), F.lit(1.1).alias("heightM"), opening.alias("openings")))
-    doc = F.to_json(F.struct(F.concat(F.lit("u"), K.cast("string")).alias("id"), F.lit("n").alias("name"), F.array(pt("a", x0), pt("b", F.lit(5.0))).alias("vertices"), wall.alias("walls")))
+    doc = F.to_json(F.struct(F.concat(F.lit("u"), K().cast("string")).alias("id"), F.lit("n").alias("name"), F.array(pt("a", x0), pt("b", F.lit(5.0))).alias("vertices"), wall.alias("walls")))
     d = table(spark, base, "orders").select(F.from_json(doc, units.UNIT_SCHEMA).alias("d")).select("d.*")
     checked = units.checked_units(d)
     good = units.normalized_units(checked.where(F.col("fault").isNull()))
@@ -259,7 +264,7 @@ def touch_join(spark, base):
 )
 def merge_corners(spark, base):
     d = lambda c: c.cast("double")
-    v = table(spark, base, "orders").select(F.col("o_custkey").alias("unit_id"), K.alias("vertex_id"), (d(K % 5) + (K % 2) * 0.006).alias("x"), d(K % 3).alias("y"))
+    v = table(spark, base, "orders").select(F.col("o_custkey").alias("unit_id"), K().alias("vertex_id"), (d(K() % 5) + (K() % 2) * 0.006).alias("x"), d(K() % 3).alias("y"))
     w = v.select("unit_id", F.col("vertex_id").alias("wall_id"), F.col("vertex_id").alias("a"), F.col("vertex_id").alias("b"))
     return touch.merge_corners(v, w)[0].select("unit_id", "vertex_id")
 
@@ -287,11 +292,11 @@ def wall_scores(spark, base):
 def open_review(spark, base):
     c = F.col("o_custkey")
     o = table(spark, base, "orders")
-    n = K % 4
-    room = F.when(n == 0, F.concat(F.lit("N"), K.cast("string")))
-    rows = o.select(F.lit(0).alias("unit_id"), K.alias("row_id"), F.when(n == 1, "unlabelled").when(n == 2, "size-mismatch").otherwise("unclosed").alias("kind"), K.alias("entity_id"), F.lit("s").alias("sig"), room.alias("room"))
-    now = o.select(F.lit(0).alias("unit_id"), K.alias("entity_id"), F.when(c % 7 == 0, "t").otherwise("s").alias("sig_now"), (c % 6 == 0).alias("stands_alone"), (c % 2 == 0).alias("unnamed"))
-    sz = o.where(n == 2).select(F.lit(0).alias("unit_id"), K.alias("entity_id"), (c % 5 == 0).alias("off"))
+    n = K() % 4
+    room = F.when(n == 0, F.concat(F.lit("N"), K().cast("string")))
+    rows = o.select(F.lit(0).alias("unit_id"), K().alias("row_id"), F.when(n == 1, "unlabelled").when(n == 2, "size-mismatch").otherwise("unclosed").alias("kind"), K().alias("entity_id"), F.lit("s").alias("sig"), room.alias("room"))
+    now = o.select(F.lit(0).alias("unit_id"), K().alias("entity_id"), F.when(c % 7 == 0, "t").otherwise("s").alias("sig_now"), (c % 6 == 0).alias("stands_alone"), (c % 2 == 0).alias("unnamed"))
+    sz = o.where(n == 2).select(F.lit(0).alias("unit_id"), K().alias("entity_id"), (c % 5 == 0).alias("off"))
     st = o.where(n == 0).select(F.lit(0).alias("unit_id"), room.alias("room"), F.when(c % 3 == 0, "done").otherwise("open").alias("state"))
     return review.open_review(rows, now, sz, st).select("row_id")
 

@@ -12,7 +12,12 @@ from floorledger.plans.spatial import row_id
 from floorledger.sources.tables import table
 
 R6 = lambda c: F.round(c, 6)
-K = F.col("o_orderkey")
+
+
+def K():
+    return F.col("o_orderkey")
+
+
 SQL_ROW = "concat_ws('-', l_linenumber, l_partkey, l_suppkey, cast(round(l_extendedprice * 100) as bigint))"
 
 
@@ -24,7 +29,7 @@ SQL_ROW = "concat_ws('-', l_linenumber, l_partkey, l_suppkey, cast(round(l_exten
       round(100.0::double * count(*) filter (where not core and state = 'right') / count(*) filter (where not core), 1) as right_pct from r group by rollup (sheet)""",
 )
 def scoreboard(spark, base):
-    st = F.get(F.array(*[F.lit(s) for s in ev.STATES]), (K % 5).cast("int"))
+    st = F.get(F.array(*[F.lit(s) for s in ev.STATES]), (K() % 5).cast("int"))
     return ev.scoreboard(table(spark, base, "orders").select(F.col("o_orderpriority").alias("sheet"), st.alias("state"), (F.col("o_custkey") % 7 == 0).alias("core"), (F.col("o_orderstatus") == "F").alias("read")))
 
 
@@ -82,7 +87,7 @@ def hint_groups(spark, base):
 def _hint_tables(spark, base):
     at = lambda v, c: F.get(F.array(*[F.lit(x) for x in v]), (c % 4).cast("int"))
     placed = table(spark, base, "lineitem").select(F.col("l_orderkey").alias("unit_id"), (F.col("l_suppkey") % 4).cast("int").alias("room_id"), at(["bed", "living", "dining", "bath"], F.col("l_partkey")).alias("kind"), F.col("l_returnflag").alias("what"))
-    rooms = table(spark, base, "orders").select(K.alias("unit_id"), "o_custkey", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("room_id")).select("unit_id", "room_id", at(["living", "bed", "dining", "kitchen"], F.col("o_custkey") + F.col("room_id")).alias("kind"))
+    rooms = table(spark, base, "orders").select(K().alias("unit_id"), "o_custkey", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("room_id")).select("unit_id", "room_id", at(["living", "bed", "dining", "kitchen"], F.col("o_custkey") + F.col("room_id")).alias("kind"))
     groups = rooms.select("kind", F.when(F.col("kind").isin("living", "dining"), "living/dining").otherwise(F.col("kind")).alias("grp")).distinct()
     return ev.hint_scores_at(placed, rooms, groups)
 
@@ -195,8 +200,8 @@ def moments(spark, base):
 )
 def propagate(spark, base):
     cl = F.col("o_custkey") % 300
-    kind = F.get(F.array(*[F.lit(k) for k in ("bed", "bath", "bed", "bed")]), ((cl + F.floor(K % 5 / 4)) % 4).cast("int"))
-    r = table(spark, base, "orders").select(K.alias("room_id"), cl.alias("cluster"), F.when(K % 3 > 0, kind).alias("kind"))
+    kind = F.get(F.array(*[F.lit(k) for k in ("bed", "bath", "bed", "bed")]), ((cl + F.floor(K() % 5 / 4)) % 4).cast("int"))
+    r = table(spark, base, "orders").select(K().alias("room_id"), cl.alias("cluster"), F.when(K() % 3 > 0, kind).alias("kind"))
     return ev.propagate_kinds(r).select("room_id", "cluster", "hint", R6("conf").alias("conf"))
 
 
@@ -218,8 +223,8 @@ def densest(spark, base):
 )
 def paired(spark, base):
     o = table(spark, base, "orders")
-    a = o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("sheet"), K.alias("left_id"), "o_totalprice")
-    b = o.where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("sheet"), K.alias("right_id"), "o_orderdate")
+    a = o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("sheet"), K().alias("left_id"), "o_totalprice")
+    b = o.where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("sheet"), K().alias("right_id"), "o_orderdate")
     return ev.paired_in_order(a, b, ["sheet"], [F.col("o_totalprice"), F.col("left_id")], [F.col("o_orderdate"), F.col("right_id")], F.floor(F.col("o_totalprice") / 50000), F.year("o_orderdate"))
 
 
@@ -259,7 +264,7 @@ def neighbours(spark, base):
     "with t as (select o_custkey as u, o_orderkey as id, o_totalprice as v, case when o_orderstatus = 'F' then concat('Room ', o_orderkey) end as name from orders) select u as unit_id, id as room_id, coalesce(name, concat('Space ', row_number() over (partition by u, name is null order by v, id))) as name from t",
 )
 def spaces(spark, base):
-    r = table(spark, base, "orders").select(F.col("o_custkey").alias("unit_id"), K.alias("room_id"), F.col("o_totalprice").alias("v"), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("Room "), K.cast("string"))).alias("name"))
+    r = table(spark, base, "orders").select(F.col("o_custkey").alias("unit_id"), K().alias("room_id"), F.col("o_totalprice").alias("v"), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("Room "), K().cast("string"))).alias("name"))
     return wn.named_in_order(r, ["unit_id"], [F.col("v"), F.col("room_id")], F.floor(F.col("v") / 50000), "Space").drop("v")
 
 
@@ -273,8 +278,8 @@ def spaces(spark, base):
 def row_numbers(spark, base):
     from floorledger.operators.ordered import rank_in_group
 
-    t = rank_in_group(table(spark, base, "orders").select(F.col("o_custkey").alias("sheet"), "o_orderdate", "o_orderkey"), ["sheet"], [F.col("o_orderdate"), K], F.year("o_orderdate"), "pos")
-    rows = t.select("sheet", "pos", F.when(K % 3 > 0, F.col("pos")).alias("num"))
+    t = rank_in_group(table(spark, base, "orders").select(F.col("o_custkey").alias("sheet"), "o_orderdate", "o_orderkey"), ["sheet"], [F.col("o_orderdate"), K()], F.year("o_orderdate"), "pos")
+    rows = t.select("sheet", "pos", F.when(K() % 3 > 0, F.col("pos")).alias("num"))
     return wn.numbered_rows(rows, ["sheet"])
 
 
