@@ -312,3 +312,45 @@ def room_wind(spark, base):
     t = F.radians(F.col("l_partkey") % 360)
     e = table(spark, base, "lineitem").select(F.col("l_orderkey").alias("unit_id"), (F.col("l_linenumber") % 2).alias("room_id"), F.lit("w").alias("wall_id"), row_id().alias("opening_id"), F.lit("window").alias("kind"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.sin(t).alias("ox"), (-F.cos(t)).alias("oy"), F.lit(False).alias("balcony"))
     return wind(e, (F.col("unit_id") % 90).cast("double"), (F.col("unit_id") % 360).cast("double")).select("unit_id", "room_id", "inlets", "outlets", "cross")
+
+
+def _read_words(spark, base):
+    """Printed labels of every plan and what a reader made of them: shifted a little, every fifth one lost, sizes beside."""
+    _, _, labels, _ = graphs.plan(spark, base)
+    name = F.get(F.array(*[F.lit(w) for w in ("BED", "TOILET", "KITCHEN", "LIVING", "STORE")]), (F.col("pos") % 5).cast("int"))
+    number = F.concat(F.lit(" "), (F.col("pos") % 3 + 1).cast("string"))
+    truth = labels.select(F.col("unit_id").alias("sheet"), "pos", F.concat(name, number).alias("name"), F.when(F.col("pos") % 5 == 0, "bed").otherwise("bath").alias("kind"), "x", "y", F.when(F.col("pos") % 2 == 0, 3.0).alias("ta"), F.when(F.col("pos") % 2 == 0, 4.0).alias("tb"))
+    read = truth.where(F.col("pos") % 5 != 1).select("sheet", F.col("pos").alias("item_id"), F.col("name").alias("text"), "kind", (F.col("x") + 0.3).alias("x"), "y", F.when(F.col("pos") % 4 == 0, 3.0).alias("a"), F.when(F.col("pos") % 4 == 0, F.when(F.col("pos") % 8 == 0, 4.0).otherwise(5.0)).alias("b"), (F.col("pos") % 3 == 0).alias("unsure"))
+    return truth, read
+
+
+@query("AGG-9_text_scores")
+def text_scores(spark, base):
+    truth, read = _read_words(spark, base)
+    return ev.text_scores(truth, read)
+
+
+@query("JOIN-13_names_read")
+def names_read(spark, base):
+    truth, read = _read_words(spark, base)
+    r = read.select("sheet", F.col("item_id").alias("name_id"), F.col("text").alias("name"), F.when(F.col("text").startswith("BED"), "bed").when(F.col("text").startswith("TOILET"), "bath").when(F.col("text").startswith("KITCHEN"), "kitchen").when(F.col("text").startswith("LIVING"), "living").otherwise("utility").alias("kind"), "x", "y")
+    return ev.names_read(truth, r)
+
+
+@query("JOIN-12_room_states")
+def printed_states(spark, base):
+    """Every printed name's state against the rooms of its plan: done, unnamed, merged, open."""
+    _, _, labels, _ = graphs.plan(spark, base)
+    p = labels.select("unit_id", F.col("pos").alias("name_id"), "name", (F.col("x") + 0.7).alias("x"), "y")
+    return review.room_states(p, graphs.rooms_of(spark, base)).select("unit_id", "name_id", "state")
+
+
+@query("DQ-9_repair")
+def repair(spark, base):
+    from floorledger.operators import quality
+
+    v, w, labels, o = graphs.plan(spark, base)
+    wide = o.withColumn("width", F.when(F.col("opening_id") % 5 == 0, 1.6).otherwise(F.col("width")))
+    r = quality.repair(wide, w, v, labels, graphs.rooms_of(spark, base))
+    n = lambda k: r[k].groupBy("unit_id").agg(F.count(F.lit(1)).alias(k))
+    return n("walls").join(n("openings"), "unit_id", "left").join(n("labels"), "unit_id", "left").join(n("vertices"), "unit_id", "left")

@@ -353,7 +353,7 @@ def bounds(spark, base):
     return i.select(F.get("ids", F.lit(0)).cast("bigint").alias("wall_id"), F.get("ids", F.lit(1)).alias("opening_id"), "message")
 
 
-SQL_CROSS = f"""{SQL_SEG}, pr as (select p.unit, p.id as w1, q.id as w2, p.a = q.a as shared, p.ax as x1, p.ay as y1, p.bx as x2, p.by as y2, q.ax as x3, q.ay as y3, q.bx as x4, q.by as y4,
+SQL_CROSS = f"""{SQL_SEG}, pr as (select p.unit, p.id as w1, q.id as w2, p.a = q.a as shared, p.ax as x1, p.ay as y1, p.bx as x2, p.byy as y2, q.ax as x3, q.ay as y3, q.bx as x4, q.byy as y4,
      p.ax = p.bx as v1, q.ax = q.bx as v2 from sg p join sg q on p.unit = q.unit and p.id < q.id),
   hits as (select *, case when not shared and v1 <> v2 then
        (case when v1 then x1 > least(x3,x4) and x1 < greatest(x3,x4) and y3 > least(y1,y2) and y3 < greatest(y1,y2) else x3 > least(x1,x2) and x3 < greatest(x1,x2) and y1 > least(y3,y4) and y1 < greatest(y3,y4) end) else false end as crosses,
