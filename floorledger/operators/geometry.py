@@ -165,44 +165,46 @@ def sheet_axis(walls: DataFrame, keys: Sequence[str]) -> DataFrame:
     return s.select(*keys, (F.atan2("_s", "_c") / 4).alias("axis"))
 
 
-def wall_pieces(walls: DataFrame, openings: DataFrame) -> DataFrame:
-    """Solid rectangles of each wall after its openings: (keys, u0, u1, v0, v1).
+def wall_pieces(walls: DataFrame, openings: DataFrame, metres: float = 4.0) -> DataFrame:
+    """Solid rectangles of each wall after its openings: (wall_id, u0, u1, v0, v1).
 
-    ``walls``: wall_id, len, height; ``openings``: wall_id, off, width, sill, head. Cut points make slabs; each slab's
-    holes are merged upwards; neighbouring slabs with the same gaps become one. Slabs and gaps of one wall are a small
-    array of that wall (bounded by its distinct cut points), folded in a column expression.
+    ``walls``: wall_id, len, height; ``openings``: wall_id, off, width, sill, head. Neighbouring cut points make slabs;
+    slabs meet the holes over them by buckets of ``metres``; a slab's distinct holes are merged upwards into its gaps, and
+    runs of slabs with the same gaps are one piece. All by (wall, stretch of the wall), so a long wall is split too.
     """
-    holes = openings.join(walls, "wall_id").select(
+    from floorledger.operators.cells import interval_join
+    from floorledger.operators.ordered import previous
+    from floorledger.operators.windows import runs
+    from floorledger.session import cut_lineage
+
+    w = walls.select("wall_id", "len", "height").where((F.col("len") > EPS) & (F.col("height") > EPS))
+    holes = openings.join(w, "wall_id").select(
         "wall_id", F.greatest(F.lit(0.0), "off").alias("u0"), F.least(F.col("len"), F.col("off") + F.col("width")).alias("u1"),
         F.greatest(F.lit(0.0), "sill").alias("v0"), F.least("height", "head").alias("v1"),
-    ).where((F.col("u1") - F.col("u0") > EPS) & (F.col("v1") - F.col("v0") > EPS))
-    cuts = walls.select("wall_id", F.explode(F.array(F.lit(0.0), "len")).alias("u")).unionByName(holes.select("wall_id", F.explode(F.array("u0", "u1")).alias("u"))).distinct()
-    cut_list = cuts.groupBy("wall_id").agg(F.array_sort(F.collect_list("u")).alias("us"))
-    slabs = cut_list.select("wall_id", F.inline(F.transform(F.sequence(F.lit(0), F.size("us") - 2), lambda i: F.struct(i.alias("pos"), F.get("us", i).alias("u0"), F.get("us", i + 1).alias("u1")))))
-    slabs = slabs.where(F.col("u1") - F.col("u0") > EPS).join(walls.select("wall_id", "height", "len"), "wall_id").where((F.col("height") > EPS) & (F.col("len") > EPS))
-    mid = (F.col("s.u0") + F.col("s.u1")) / 2
-    cover = (
-        slabs.alias("s").join(holes.alias("h"), (F.col("s.wall_id") == F.col("h.wall_id")) & (F.col("h.u0") <= mid) & (F.col("h.u1") >= mid), "left")
-        .groupBy("s.wall_id", "s.pos", "s.u0", "s.u1", "s.height")
-        .agg(F.array_sort(F.array_distinct(F.collect_list(F.when(F.col("h.v0").isNotNull(), F.struct(F.col("h.v0").alias("v0"), F.col("h.v1").alias("v1")))))).alias("hs"))
+    ).where((F.col("u1") - F.col("u0") > EPS) & (F.col("v1") - F.col("v0") > EPS)).distinct()
+    holes = cut_lineage(holes)
+    cuts = w.select("wall_id", F.explode(F.array(F.lit(0.0), "len")).alias("u")).unionByName(holes.select("wall_id", F.explode(F.array("u0", "u1")).alias("u"))).distinct()
+    stretch = lambda c: F.floor(F.col(c) / metres)
+    cuts = cut_lineage(cuts)
+    slabs = previous(cuts, ["wall_id"], [F.col("u")], stretch("u"), F.col("u"), "u0").where(F.col("u") - F.col("u0") > EPS).select("wall_id", "u0", F.col("u").alias("u1"))
+    over = interval_join(slabs, holes, ["wall_id"], metres, EPS).groupBy(F.col("l.wall_id").alias("wall_id"), F.col("l.u0").alias("u0")).agg(
+        F.array_sort(F.collect_set(F.struct(F.col("r.v0").alias("v0"), F.col("r.v1").alias("v1")))).alias("hs")
     )
-    top = F.struct(F.col("height").alias("v0"), F.col("height").alias("v1"))
-    step = F.aggregate(
-        F.concat("hs", F.array(top)),
-        F.struct(F.lit(0.0).alias("v"), F.array().cast("array<struct<v0:double,v1:double>>").alias("gaps")),
+    d = slabs.join(over, ["wall_id", "u0"], "left").join(w.select("wall_id", "height"), "wall_id")
+    none = F.array().cast("array<struct<v0:double,v1:double>>")
+    fold = F.aggregate(
+        F.concat(F.coalesce("hs", none), F.array(F.struct(F.col("height").alias("v0"), F.col("height").alias("v1")))),
+        F.struct(F.lit(0.0).alias("v"), none.alias("gaps")),
         lambda acc, h: F.struct(
             F.greatest(acc["v"], h["v1"]).alias("v"),
             F.when(h["v0"] - acc["v"] > EPS, F.concat(acc["gaps"], F.array(F.struct(acc["v"].alias("v0"), h["v0"].alias("v1"))))).otherwise(acc["gaps"]).alias("gaps"),
         ),
     )
-    gaps = cover.withColumn("gaps", step["gaps"])
-    prev = gaps.select("wall_id", (F.col("pos") + 1).alias("pos"), F.col("gaps").alias("_pg"), F.lit(1).alias("_has"))
-    flagged = gaps.join(prev, ["wall_id", "pos"], "left").withColumn("_new", (F.col("_has").isNull() | (F.col("gaps") != F.col("_pg"))).cast("int"))
-    run = F.aggregate("runs", F.array().cast("array<struct<u0:double,u1:double,gaps:array<struct<v0:double,v1:double>>>>"), lambda acc, r: F.when(
-        (r["new"] == 1) | (F.size(acc) == 0), F.concat(acc, F.array(F.struct(r["u0"].alias("u0"), r["u1"].alias("u1"), r["gaps"].alias("gaps"))))
-    ).otherwise(F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["u0"].alias("u0"), r["u1"].alias("u1"), r["gaps"].alias("gaps"))))))
-    runs = flagged.groupBy("wall_id").agg(F.array_sort(F.collect_list(F.struct("pos", "u0", "u1", "gaps", F.col("_new").alias("new")))).alias("runs"))
-    return runs.select("wall_id", F.inline(run)).select("wall_id", "u0", "u1", F.inline("gaps")).select("wall_id", "u0", "u1", "v0", "v1")
+    # read several times below: once per ordered step, so it is written once
+    d = cut_lineage(d.select("wall_id", "u0", "u1", fold["gaps"].alias("gaps")))
+    d = runs(d, ["wall_id"], [F.col("u0")], stretch("u0"), "gaps", "run")
+    g = d.groupBy("wall_id", "run").agg(F.min("u0").alias("u0"), F.max("u1").alias("u1"), F.first("gaps").alias("gaps"))
+    return g.select("wall_id", "u0", "u1", F.inline("gaps"))
 
 
 def main_rectangle(points: DataFrame, keys: Sequence[str], axis: float = 0.0) -> DataFrame:

@@ -130,16 +130,23 @@ def around(walls: DataFrame, vertices: DataFrame, spots: DataFrame, reach: float
     return w, vertices.join(used.unionByName(near).distinct(), ["unit_id", "vertex_id"], "left_semi")
 
 
-def unique_size_match(rooms: DataFrame, rows: DataFrame, keys: Sequence[str], share: float) -> DataFrame:
+def unique_size_match(rooms: DataFrame, rows: DataFrame, keys: Sequence[str], share: float, eps: float = 1e-9) -> DataFrame:
     """The one table row whose size is within ``share`` of the room's area; none where two fit.
 
-    Sizes are compared on a logarithmic scale so that "within a share" is an interval of fixed width and the join an equi
-    join on its buckets.
+    No pairs are made: rows are ranked by size, and how many lie up to each end of a room's band is read off the merged
+    order. A band that holds one row names it by its rank.
     """
-    step = 0.25
-    lo, hi = F.ln(F.col("sqm") * (1 - share)), F.ln(F.col("sqm") * (1 + share))
-    a = rooms.where(F.col("sqm") > 0).withColumn("_b", F.explode(F.sequence(F.floor((lo - 1e-9) / step), F.floor((hi + 1e-9) / step))))
-    b = rows.where(F.col("size") > 0).withColumn("_b", F.floor(F.ln("size") / step))
-    j = a.join(b, [*keys, "_b"]).where(F.abs(F.col("size") - F.col("sqm")) <= share * F.col("sqm"))
-    g = j.groupBy(*keys, "room_id").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("row_id"))
-    return g.where("n = 1").drop("n")
+    from floorledger.operators.ordered import last_known, rank_in_group
+
+    step = F.floor(F.ln(F.col("v")) / 0.05)
+    ranked = rank_in_group(rows.where(F.col("size") > 0).select(*keys, "row_id", F.col("size").alias("v")), keys, [F.col("v"), F.col("row_id")], step, "rk")
+    r = rooms.where(F.col("sqm") > 0)
+    none_room, none_rank = F.lit(None).cast(rooms.schema["room_id"].dataType), F.lit(None).cast("bigint")
+    # at equal sizes: a band's low end before the rows, its high end after them
+    ends = [r.select(*keys, (F.col("sqm") * f + e).alias("v"), F.lit(side).alias("side"), "room_id", none_rank.alias("rk")) for f, e, side in ((1 - share, -eps, 0), (1 + share, eps, 2))]
+    at = ranked.select(*keys, "v", F.lit(1).alias("side"), none_room.alias("room_id"), "rk")
+    merged = last_known(ends[0].unionByName(ends[1]).unionByName(at), keys, [F.col("v"), F.col("side"), F.coalesce("rk", F.lit(0).cast("bigint"))], step, F.col("rk"), "upto")
+    band = merged.where(F.col("side") != 1).groupBy(*keys, "room_id").agg(
+        F.max(F.when(F.col("side") == 0, F.coalesce("upto", F.lit(0)))).alias("lo"), F.max(F.when(F.col("side") == 2, F.coalesce("upto", F.lit(0)))).alias("hi")
+    ).where(F.col("hi") - F.col("lo") == 1)
+    return band.select(*keys, "room_id", F.col("hi").alias("rk")).join(ranked.select(*keys, "rk", "row_id"), [*keys, "rk"]).drop("rk")

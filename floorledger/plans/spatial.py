@@ -383,7 +383,7 @@ def in_box(spark, base):
     "JOIN-30_unique_table_row",
     """with r as (select l_orderkey as sheet, l_linenumber as room, l_quantity as sqm, l_extendedprice, l_partkey, l_suppkey from lineitem),
     t as (select l_orderkey as sheet, l_partkey as rk, l_suppkey as rs, l_quantity * 1.1 as size from lineitem),
-    m as (select r.*, t.rk from r join t on t.sheet = r.sheet and abs(t.size - sqm) <= 0.2 * sqm)
+    m as (select r.*, t.rk from r join t on t.sheet = r.sheet and abs(t.size - sqm) <= 0.2 * sqm + 1e-9)
     select sheet, room, l_partkey, l_suppkey, l_extendedprice, min(rk) as table_row from m group by all having count(*) = 1""",
 )
 def unique_row(spark, base):
