@@ -15,7 +15,6 @@ from floorledger.operators.ordered import rank_in_group
 
 SIZE_TOL_M = 2 * 0.0254
 NEAR_M = 1.0
-ORDER = ["foyer", "living", "dining", "kitchen", "bed", "bath", "study", "balcony"]
 # The walk's groups by kind.
 GROUPS = {"foyer": 0, "living": 1, "dining": 2, "kitchen": 3, "pantry": 4, "bed": 5, "bath": 6, "study": 7, "prayer": 8, "maid": 9, "utility": 10, "balcony": 11}
 
