@@ -6,17 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from floorledger.llm import mixing
+from floorledger.llm import bpe, mixing, token_counts
 from floorledger.llm.common import table
 
 
+def op1_byte_bpe(spark: SparkSession, base: str) -> DataFrame:
+    return bpe.digests(table(spark, base, "documents"), bpe.tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
 def op4_mix_sources(spark: SparkSession, base: str) -> DataFrame:
     return mixing.mix(table(spark, base, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_token_counts(spark: SparkSession, base: str) -> DataFrame:
+    return token_counts.count(table(spark, base, "documents"), bpe.tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_byte_bpe": op1_byte_bpe,
         "op4_mix_sources": op4_mix_sources,
+        "op5_token_counts": op5_token_counts,
     }
 
 
