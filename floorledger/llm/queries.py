@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from floorledger.llm import bpe, mixing, token_counts
+from floorledger.llm import bpe, line_dedup, mixing, token_counts
 from floorledger.llm.common import table
 
 
@@ -22,13 +22,18 @@ def op5_token_counts(spark: SparkSession, base: str) -> DataFrame:
     return token_counts.count(table(spark, base, "documents"), bpe.tokenizer_path("piece_bpe_32k.model"))
 
 
+def op10_line_dedup(spark: SparkSession, base: str) -> DataFrame:
+    return line_dedup.decisions(table(spark, base, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op4_mix_sources": op4_mix_sources,
         "op5_token_counts": op5_token_counts,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.MIX_SQL}
+    return {"op4_mix_sources": mixing.MIX_SQL, "op10_line_dedup": line_dedup.LINES_SQL}
