@@ -33,6 +33,7 @@ def staged(df: DataFrame, compression: str = "snappy") -> DataFrame:
     df.write.option("compression", compression).parquet(path)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of what is now on disk
     out = spark.read.parquet(path)
     out._staged_path = path
     return out
