@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from floorledger.llm import bpe, line_dedup, mixing, ngram_join, token_counts
+from floorledger.llm import bpe, line_dedup, mixing, ngram_join, substrings, token_counts
 from floorledger.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_ngram_join(spark: SparkSession, base: str) -> DataFrame:
     return ngram_join.link(table(spark, base, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, base: str) -> DataFrame:
+    return substrings.digests(table(spark, base, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, base: str) -> DataFrame:
     return mixing.mix(table(spark, base, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -34,6 +38,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op2_ngram_join": op2_ngram_join,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_mix_sources": op4_mix_sources,
         "op5_token_counts": op5_token_counts,
         "op10_line_dedup": op10_line_dedup,
