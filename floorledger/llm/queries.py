@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from floorledger.llm import bpe, line_dedup, mixing, ngram_join, substrings, suffix_array, token_counts
+from floorledger.llm import bpe, line_dedup, mixing, ngram_join, quality, substrings, suffix_array, token_counts
 from floorledger.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_token_counts(spark: SparkSession, base: str) -> DataFrame:
     return token_counts.count(table(spark, base, "documents"), bpe.tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_quality(spark: SparkSession, base: str) -> DataFrame:
+    return quality.classify(table(spark, base, "documents"), table(spark, base, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_suffix_array_dedup(spark: SparkSession, base: str) -> DataFrame:
     return suffix_array.digests(table(spark, base, "documents"))
 
@@ -45,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_substring_dedup": op3_substring_dedup,
         "op4_mix_sources": op4_mix_sources,
         "op5_token_counts": op5_token_counts,
+        "op6_quality": op6_quality,
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
         "op10_line_dedup": op10_line_dedup,
     }
