@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from floorledger.llm.common import discard, gram_hashes, mix, span_hashes, staged, text_blocks, word_spans
@@ -26,6 +26,8 @@ BITS = 1024
 TILE = 2048
 #: Classes of which a task remembers that it has sent their prefix already.
 REMEMBERED = 200_000
+#: Hash ranges in which shared shingles are sought one after the other: a bound on the disk a shuffle takes.
+PASSES = 4
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -54,7 +56,7 @@ def class_key(s: np.ndarray) -> int:
 def bounds(n: int, percent: int) -> tuple[int, int, int]:
     """Of a set of n: prefix in which similar sets share one, longer prefix, and how many they share in that."""
     need = -(-n * percent // 100)
-    more = -(-n // 20)
+    more = -(-n // 10)
     return n - need + 1, min(n, n - need + more), min(n, n - need + more) - (n - need)
 
 
@@ -124,23 +126,27 @@ def link(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_i
     """
     s = staged(sketches(docs, size, percent, id_col, text_col))
     rows = staged(s.select("doc_id", "n", "key"))
-    ex = s.select("key", "n", F.posexplode("low").alias("i", "h"))
-    shared = ex.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("h")
-    hits = staged(ex.join(shared, "h").select("h", "key", "n", "i").distinct())
-    discard(s)
     need = -F.floor(-F.col("n") * percent / 100)
-    more = -F.floor(-F.col("n") / 20)
+    more = -F.floor(-F.col("n") / 10)
     long = F.least(F.col("n"), F.col("n") - need + more)
+    hits = _shared(s.select("key", "n", F.col("low").alias("hs")))
     alive = hits.groupBy("key", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= long - (F.col("n") - need))
-    tiles = staged(hits.where(F.col("i") < F.col("n") - need + 1).join(alive.select("key"), "key").select("h", "key", "n"))
+    pick = staged(rows.groupBy("key").agg(F.min("doc_id").alias("_id")).join(alive.select("key"), "key"))
+    discard(s)
 
-    pick = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(alive.select("key"), "key")
-    sets = staged(full_sets(docs.select(F.col(id_col).cast("bigint").alias("_id"), text_col).join(pick.select(F.col("doc_id").alias("_id")), "_id", "left_semi"), size, text_col).join(alive.select("key"), "key", "left_semi").dropDuplicates(["key"]))
+    # Among the classes left, all shingles are counted: those of one class alone can't be common to any two.
+    texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), text_col).join(pick.select("_id"), "_id", "left_semi")
+    sets = staged(full_sets(texts, size, text_col).join(pick.select("key"), "key", "left_semi").dropDuplicates(["key"]))
+    common = _shared(sets.select("key", "n", F.col("members").alias("hs")))
+    rare = Window.partitionBy("key").orderBy("c", "h")  # the shingles of one class
+    tiles = common.withColumn("i", F.row_number().over(rare)).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    tiles = staged(tiles.where(F.col("i") <= F.col("m") - need + 1).select("h", "key", "n"))
+    sets = sets.join(tiles.select("key").distinct(), "key", "left_semi")
 
     links = staged(verified(_leader_pairs(tiles, percent), sets, percent))
-    nodes = sets.select(F.col("key").alias("id"))
+    nodes = tiles.select(F.col("key").alias("id"))
     label = staged(components(nodes, links))
-    across = _tile_pairs(tiles.join(label.withColumnRenamed("id", "key"), "key").join(sets.select("key", "bitmap"), "key"), percent)
+    across = _tile_pairs(tiles.join(label.withColumnRenamed("id", "key"), "key"), sets.select("key", "bitmap"), percent)
     more_links = staged(verified(across.distinct(), sets, percent))
     if more_links.limit(1).count():
         label = staged(components(nodes, links.unionByName(more_links)))
@@ -153,6 +159,21 @@ def link(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_i
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _shared(sets: DataFrame) -> DataFrame:
+    """(key, n, hs) → h, key, n, c: the members that more classes than one have, and in how many rows they occur.
+
+    Counted with a combining aggregate and joined back, in PASSES ranges of hashes one after the other, so that only one
+    range's shuffle is on disk at a time.
+    """
+    out = None
+    for i in range(PASSES):
+        ex = sets.select("key", "n", F.explode(F.filter("hs", lambda h: F.pmod(h, F.lit(PASSES)) == i)).alias("h"))
+        again = ex.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count(F.lit(1)).alias("c")).where("a <> b").select("h", "c")
+        part = staged(ex.join(again, "h").select("h", "key", "n", "c").distinct())
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _band(n: Column, percent: int) -> Column:
     """Sizes of similar sets lie in one band or in two that meet. The small addition only widens what meets."""
     return F.floor(F.log(n.cast("double")) / F.lit(math.log(100.0 / percent)) + 1e-9).cast("int")
@@ -165,10 +186,10 @@ def _leader_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     return t.join(lead, ["h", "band"]).where("key <> dst").select(F.col("key").alias("src"), "dst").distinct()
 
 
-def _tile_pairs(t: DataFrame, percent: int) -> DataFrame:
+def _tile_pairs(t: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes of one tile that lie in different components and pass the bit-count bound.
 
-    ``t``: h, key, n, component, bitmap. A row of band b goes to the tiles of bands b and b + 1. Tiles within one component are
+    ``t``: h, key, n, component. A row of band b goes to the tiles of bands b and b + 1. Tiles within one component are
     done. A tile over TILE rows is dealt out as pairs of blocks.
     """
     t = t.withColumn("own", _band(F.col("n"), percent)).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
@@ -176,7 +197,7 @@ def _tile_pairs(t: DataFrame, percent: int) -> DataFrame:
     t = t.join(size.select("h", "band", F.ceil(F.col("c") / TILE).alias("k")), ["h", "band"])
     t = t.withColumn("block", F.pmod(F.xxhash64("key"), F.col("k")))
     t = t.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
-    t = t.select("h", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "own", "key", "n", "component", "bitmap")
+    t = t.join(bitmaps, "key").select("h", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "own", "key", "n", "component", "bitmap")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, cols in _groups(batches, 4):
