@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from floorledger.llm import bpe, line_dedup, mixing, ngram_join, quality, substrings, suffix_array, token_counts
+from floorledger.llm import bpe, line_dedup, mixing, multi_index, ngram_join, quality, substrings, suffix_array, token_counts
 from floorledger.llm.common import table
 
 
@@ -34,6 +34,11 @@ def op6_quality(spark: SparkSession, base: str) -> DataFrame:
     return quality.classify(table(spark, base, "documents"), table(spark, base, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_multi_index(spark: SparkSession, base: str) -> DataFrame:
+    rows = table(spark, base, "embeddings")
+    return multi_index.search(rows, rows.where("vec_id % 100 = 0"))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, base: str) -> DataFrame:
     return suffix_array.digests(table(spark, base, "documents"))
 
@@ -50,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mix_sources": op4_mix_sources,
         "op5_token_counts": op5_token_counts,
         "op6_quality": op6_quality,
+        "op7_multi_index": op7_multi_index,
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
         "op10_line_dedup": op10_line_dedup,
     }
