@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from floorledger.llm import bpe, line_dedup, mixing, multi_index, ngram_join, quality, substrings, suffix_array, token_counts
+from floorledger.llm import bpe, graph_dedup, line_dedup, mixing, multi_index, ngram_join, quality, substrings, suffix_array, token_counts
 from floorledger.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op7_multi_index(spark: SparkSession, base: str) -> DataFrame:
     return multi_index.search(rows, rows.where("vec_id % 100 = 0"))
 
 
+def op8_embedding_dedup(spark: SparkSession, base: str) -> DataFrame:
+    return graph_dedup.dedup(table(spark, base, "embeddings"))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, base: str) -> DataFrame:
     return suffix_array.digests(table(spark, base, "documents"))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_counts": op5_token_counts,
         "op6_quality": op6_quality,
         "op7_multi_index": op7_multi_index,
+        "op8_embedding_dedup": op8_embedding_dedup,
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
         "op10_line_dedup": op10_line_dedup,
     }
