@@ -16,6 +16,8 @@ from floorledger.session import ensure_checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes handled by numpy at once; bounds a task's memory whatever the size of an Arrow batch.
 BLOCK_BYTES = 1 << 20
+#: Deletes a statement's shuffle files when it ends; a staged table needs them no more.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -30,10 +32,14 @@ def staged(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of what is now on disk
     out = spark.read.parquet(path)
     out._staged_path = path
     return out

@@ -21,7 +21,7 @@ from floorledger.llm.vectors import centroids, distances, matrix, sample, valid
 from floorledger.operators.graph import components
 
 DEGREE = 24
-BEAM = 32
+BEAM = 64
 ALPHA = 1.2
 #: Vectors in a shard, about; a cluster of more is split into several shards and searched in each.
 SHARD = 3000
@@ -99,26 +99,28 @@ def build(x: np.ndarray) -> tuple[np.ndarray, int]:
     medoid = int(np.argmin(((x - x.mean(0)) ** 2).sum(1)))
     order = np.random.default_rng(3).permutation(n)
     order = np.concatenate([[medoid], order[order != medoid]])
-    begin, size = 1, 1
+    begin, size, most = 1, 1, max(64, n // 20)  # nodes of one batch don't see each other: batches stay small against the graph
     while begin < n:
-        new = order[begin : begin + size]
-        for lo in range(0, len(new), 512):
-            own = new[lo : lo + 512]
-            ids, _, trail = beam_search(x, adj, x[own], np.full((len(own), 1), medoid), BEAM, keep_all=True)
-            deep = max((1, *np.bincount(np.concatenate([r for r, _ in trail]), minlength=1))) if trail else 1
-            met, fill = np.full((len(own), deep), -1), np.zeros(len(own), dtype=int)
-            for r, node in trail:
-                met[r, fill[r]] = node
-                fill[r] += 1
-            adj[own] = robust_prune(x, own, np.concatenate([ids, met], axis=1))
-        src, col = np.nonzero(adj[new] >= 0)
-        dst = adj[new][src, col]
-        _reverse(x, adj, dst, new[src])
+        _insert(x, adj, order[begin : begin + size], medoid)
         begin += size
-        size = min(2 * size, 2048)
+        size = min(2 * size, most)
+    for lo in range(0, n, 512):  # second pass: every node once more, in the whole graph
+        _insert(x, adj, order[lo : lo + 512], medoid)
     return adj, medoid
 
 
+def _insert(x: np.ndarray, adj: np.ndarray, own: np.ndarray, medoid: int) -> None:
+    """Search for each new node, prune what the search met to its out-edges, and add the reverse edges."""
+    ids, _, trail = beam_search(x, adj, x[own], np.full((len(own), 1), medoid), BEAM, keep_all=True)
+    met, fill = np.full((len(own), len(trail)), -1), np.zeros(len(own), dtype=int)
+    for r, node in trail:
+        met[r, fill[r]] = node
+        fill[r] += 1
+    adj[own] = robust_prune(x, own, np.concatenate([adj[own], ids, met[:, : int(fill.max(initial=0))]], axis=1))
+    src, col = np.nonzero(adj[own] >= 0)
+    _reverse(x, adj, adj[own][src, col], own[src])
+
+
 def _reverse(x: np.ndarray, adj: np.ndarray, node: np.ndarray, back: np.ndarray) -> None:
     """Add edges node → back and prune the lists that get too long."""
     o = np.argsort(node, kind="stable")

@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from floorledger.llm.anchors import anchors, grouped, places, repeated, runs
 from floorledger.llm.common import gram_hashes, minimizers, span_hashes, staged, text_blocks, word_spans
 
-GRAM = 5
+#: Words of an anchor; words of a group's prefix, and of the longer one.
+GRAM = 7
+PREFIX = 5
 LONGER = 9
 #: Suffixes of one prefix that a task may hold; beyond it the prefix grows, and beyond it again Spark's aggregate takes over.
 GROUP = 50_000
@@ -60,10 +62,10 @@ def suffixes(texts: DataFrame, window: int) -> DataFrame:
                 s = np.flatnonzero(runs(np.maximum(np.asarray(p.values) - (window - GRAM), 0), window - GRAM + 1, m)) if m > 0 else np.zeros(0, dtype=np.int64)
                 if not len(s):
                     continue
-                k5, k9, node = (gram_hashes(w, k)[s].view(np.int64) for k in (GRAM, LONGER, window))
+                k5, k9, node = (gram_hashes(w, k)[s].view(np.int64) for k in (PREFIX, LONGER, window))
                 for c, v in zip(cols, (np.full(len(s), d), np.full(len(s), t), s.astype(np.int32), k5, k9, node)):
                     c.append(v)
-                tail = np.lib.stride_tricks.sliding_window_view(w.astype(np.uint32), window)[s, GRAM:]
+                tail = np.lib.stride_tricks.sliding_window_view(w.astype(np.uint32), window)[s, PREFIX:]
                 rest.append(np.ascontiguousarray(tail))
             if rest:
                 flat = np.concatenate(rest)
@@ -105,15 +107,19 @@ def repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
     at = places(hits).join(texts, "t")
     around = base.join(at, ["t", "d"]).select("d", "t", "text", "ps")
     suf = staged(suffixes(around, window), compression="zstd")
-    big5 = suf.groupBy("k5").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > GROUP).select("k5", F.lit(True).alias("b5"))
-    s = suf.join(big5, "k5", "left")
-    big9 = s.where("b5").groupBy("k9").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > GROUP).select("k9", F.lit(True).alias("b9"))
-    s = s.join(big9, "k9", "left").withColumn("key", F.when(F.col("b5"), F.col("k9")).otherwise(F.col("k5")))
-    small = s.where("b9 is null").select("key", "node", "d", "t", "s", "rest").repartition("key").sortWithinPartitions("key")
-    marks = small.mapInArrow(_subtrees, "t bigint, s int")
-    hot = s.where("b9").select("node", "d", "t", "s")
-    least = hot.groupBy("node").agg(F.min("d").alias("low"))
-    marks = marks.unionByName(hot.join(least, "node").where("d > low").select("t", "s"))
+    s, hot = suf.withColumn("key", F.col("k5")), None
+    big5 = staged(suf.groupBy("k5").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > GROUP).select("k5", F.lit(True).alias("b5")))
+    if big5.limit(1).count():  # longer prefixes for these groups, and Spark's aggregate where they are still too large
+        s = suf.join(big5, "k5", "left")
+        big9 = staged(s.where("b5").groupBy("k9").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > GROUP).select("k9", F.lit(True).alias("b9")))
+        s = s.join(big9, "k9", "left").withColumn("key", F.when(F.col("b5"), F.col("k9")).otherwise(F.col("k5")))
+        hot = s.where("b5 and b9").select("node", "d", "t", "s")
+        s = s.where("b5 is null or b9 is null")
+    dealt = s.select("key", "node", "d", "t", "s", "rest").repartition("key").sortWithinPartitions("key")
+    marks = dealt.mapInArrow(_subtrees, "t bigint, s int")
+    if hot is not None:
+        least = hot.groupBy("node").agg(F.min("d").alias("low"))
+        marks = marks.unionByName(hot.join(least, "node").where("d > low").select("t", "s"))
     return texts, marks.groupBy("t").agg(F.collect_set("s").alias("ss"))
 
 

@@ -1,9 +1,9 @@
 """Suffix-array dedup over bytes by distributed prefix doubling.
 
 A place's rank at length 2k is the pair of its ranks at k and k places on; ranks are names (hashes of such pairs), so equal names
-mean equal strings. Doubling 8, 16, 32 bytes names the places of each text; a sparse choice of them, of which every window of
+mean equal strings. Doubling 8, 16, 32, 64 bytes names the places of each text; a sparse choice of them, of which every window of
 200 bytes holds one at the same offset, is sorted by Spark, and places whose name is unique drop out. The places left double
-on, to 116 bytes on either side, and drop out when both are unique: then no window around them can repeat. What is left is
+on, to 132 bytes on either side, and drop out when both are unique: then no window around them can repeat. What is left is
 sorted by Spark once more, and the windows around a place get their full-length names from pairs at offsets 64, 128 and 72.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from floorledger.llm.anchors import anchors, grouped, places, repeated
 from floorledger.llm.common import minimizers, mix, staged, text_blocks
 
-GRAM = 32
+GRAM = 64
 #: Places of one name that a task may hold; beyond it their windows are counted by Spark's aggregate.
 GROUP = 20_000
 #: Places that a task compares at once.
@@ -143,8 +143,8 @@ def _names(window: int):
 
 def spans(docs: DataFrame, window: int = 200, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(texts, marks): t, n (rows that have this text) and t, spans (array of [a, b) byte runs that repeated windows cover, of texts in one row only)."""
-    if window < 4 * GRAM:
-        raise ValueError(f"windows have at least {4 * GRAM} bytes")
+    if window < 2 * GRAM:
+        raise ValueError(f"windows have at least {2 * GRAM} bytes")
     base = docs.select(F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).where(F.octet_length(text_col) >= window)
     texts = base.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
     hits = repeated(anchors(base, _find(window)), inside=True)
@@ -155,13 +155,16 @@ def spans(docs: DataFrame, window: int = 200, text_col: str = "text") -> tuple[D
     twice = sides.groupBy("s", "r").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("s", "r")
     alive = sides.join(twice, ["s", "r"]).select("t", "p").distinct()
     c = staged(c.join(alive, ["t", "p"]).select("h", "t", "p", "lo", "around"), compression="zstd")
-    big = c.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > GROUP).select("h", F.lit(True).alias("big"))
-    c = c.join(big, "h", "left")
-    small = c.where("big is null").drop("big").repartition("h").sortWithinPartitions("h")
-    found = small.mapInArrow(_spans(window), "t bigint, a int, b int")
-    each = c.where("big").select("h", "t", "p", "lo", "around").mapInArrow(_names(window), "w bigint, t bigint, a int").distinct()
-    again = each.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
-    found = found.unionByName(each.join(again, "w").select("t", "a", (F.col("a") + window).alias("b")))
+    small, each = c, None
+    big = staged(c.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > GROUP).select("h", F.lit(True).alias("big")))
+    if big.limit(1).count():  # names shared by very many places: Spark counts their windows
+        c = c.join(big, "h", "left")
+        small = c.where("big is null").drop("big")
+        each = c.where("big").select("h", "t", "p", "lo", "around").mapInArrow(_names(window), "w bigint, t bigint, a int").distinct()
+    found = small.repartition("h").sortWithinPartitions("h").mapInArrow(_spans(window), "t bigint, a int, b int")
+    if each is not None:
+        again = each.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
+        found = found.unionByName(each.join(again, "w").select("t", "a", (F.col("a") + window).alias("b")))
     return texts, found.groupBy("t").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
