@@ -19,6 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from floorledger.llm.common import text_blocks
 
@@ -356,25 +357,27 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return tokens.select(id_col, ids_col).mapInArrow(run, f"{id_col} bigint, data binary")
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes, decodes the ids again and hashes both, in one pass over the texts."""
+def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids): encodes, decodes the ids again and hashes both, in one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for rows, texts in text_blocks(batches):
             packed = enc.encode_block(texts)
             decoded = [enc.ranks.decode(np.frombuffer(p, dtype="<u4").astype(np.int64)) for p in packed]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    rows.column(rows.schema.get_field_index("doc_id")).cast(pa.int64()),
-                    pa.array([len(p) // 4 for p in packed], pa.int64()),
-                    pa.array([hashlib.sha256(p).hexdigest() for p in packed]),
-                    pa.array([hashlib.sha256(d).hexdigest() for d in decoded]),
-                ],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+            cols = {
+                "doc_id": rows.column(0),
+                "n_tokens": pa.array([len(p) // 4 for p in packed], pa.int64()),
+                "ids_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in packed]),
+                "decoded_sha256": pa.array([hashlib.sha256(d).hexdigest() for d in decoded]),
+            }
+            if with_ids:
+                ends = np.cumsum([0, *[len(p) // 4 for p in packed]]).astype(np.int32)
+                cols["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def tokenizer_path(name: str) -> str:

@@ -53,39 +53,44 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, weights: Sequence[in
     hash: where the budget ends among rows of one hash, each gives the same share of its words (``part``, rounded down).
     Empty tables give no rows. Extra columns are ignored.
     """
-    if share < 0 or most < 1:
-        raise ValueError("share must be at least 0 and most at least 1")
     n = word_count(F.col("text")) if size is None else size
     rows = staged(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), "source", n.alias("size"), hash60(F.col(id_col)).alias("h")))
+    return _taken(rows, thresholds(rows, share, most, weights)).select("doc_id", "source", "size", "source_size", "target", "copies", "part", (F.col("copies") * F.col("size") + F.col("part")).alias("taken"))
+
+
+def thresholds(rows: DataFrame, share: float, most: int, weights: Sequence[int]) -> DataFrame:
+    """One row a source from (source, size, h): _s, source_size, target, base (whole copies of all), cut, left, tie."""
+    if share < 0 or most < 1:
+        raise ValueError("share must be at least 0 and most at least 1")
     t = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights)
     quota = F.floor("target")
     t = t.withColumn("base", F.when(F.col("source_size") > 0, F.floor(quota / F.col("source_size"))).otherwise(0).cast("bigint"))
     t = staged(t.withColumn("rest", F.when(F.col("source_size") > 0, quota - F.col("base") * F.col("source_size")).otherwise(0).cast("bigint")))
     bounds = _thresholds(rows, t.where("rest > 0").select("source", "rest"))
-    on = lambda a, b: a["source"].eqNullSafe(b["source"])
-    t = t.join(bounds, on(t, bounds), "left").select(t["source"].alias("_s"), "source_size", "target", "base", F.coalesce("cut", F.lit(-1)).alias("cut"), F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("tie", F.lit(1)).alias("tie"))
+    j = t.join(bounds, t["source"].eqNullSafe(bounds["source"]), "left")
+    return staged(j.select(t["source"].alias("_s"), "source_size", "target", "base", F.coalesce("cut", F.lit(-1)).alias("cut"), F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("tie", F.lit(1)).alias("tie")))
+
+
+def _taken(rows: DataFrame, t: DataFrame) -> DataFrame:
+    """``rows`` (source, size, h, …) with copies and part."""
     share_of_tie = F.floor(F.col("size").cast("decimal(19,0)") * F.col("left").cast("decimal(18,0)") / F.col("tie").cast("decimal(18,0)")).cast("bigint")
     out = rows.join(t, rows["source"].eqNullSafe(t["_s"]))
     out = out.withColumn("copies", F.col("base") + (F.col("h") < F.col("cut")).cast("bigint"))
-    out = out.withColumn("part", F.when(F.col("h") == F.col("cut"), share_of_tie).otherwise(0).cast("bigint"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", "part", (F.col("copies") * F.col("size") + F.col("part")).alias("taken"))
+    return out.withColumn("part", F.when(F.col("h") == F.col("cut"), share_of_tie).otherwise(0).cast("bigint"))
 
 
-def mix_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus itself: every row of ``docs`` as often as it is taken, all columns kept.
+def mix_rows(docs: DataFrame, share: float = 1.5, most: int = 2, weights: Sequence[int] = (5, 2, 1), id_col: str = "doc_id") -> DataFrame:
+    """The mixed corpus itself: every row of ``docs`` as often as it is taken, all columns kept, whole texts.
 
-    A last copy of which only a part is taken stays whole when the part is at least half of the document, else it goes.
-    The decision is a function of the row's id and size, so it is joined back on these.
+    A last copy of which only a part is taken stays whole when the part is at least half of the document, else it goes. The
+    rows themselves meet only the thresholds, one row a source, and are not shuffled for it.
     """
-    size = options.pop("size", None)
-    n = word_count(F.col("text")) if size is None else size
-    m = mix(docs, size=n, **options)
-    times = (F.col("copies") + ((F.col("part") > 0) & (F.col("part") * 2 >= F.col("size"))).cast("bigint")).alias("_times")
-    key = m.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), times).distinct()
-    d = docs.withColumn("_n", n)
-    j = d.join(key, F.col(options.get("id_col", "doc_id")).eqNullSafe(F.col("_id")) & d["source"].eqNullSafe(key["_source"]) & (d["_n"] == key["_size"]))
-    j = j.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times"))))
-    return j.select(*[d[c] for c in docs.columns])
+    sized = lambda d: d.select(F.struct(*docs.columns).alias("row"), F.col("source"), word_count(F.col("text")).alias("size"), hash60(F.col(id_col)).alias("h"))
+    narrow = staged(sized(docs).drop("row"))
+    out = _taken(sized(docs), thresholds(narrow, share, most, weights))
+    times = F.col("copies") + ((F.col("part") > 0) & (F.col("part") * 2 >= F.col("size"))).cast("bigint")
+    out = out.select("row", times.alias("times")).where("times > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))).alias("copy")).select("row.*")
 
 
 def _thresholds(rows: DataFrame, want: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from floorledger.llm.common import discard, gram_hashes, mix, span_hashes, staged, text_blocks, word_spans
+from floorledger.llm.common import WORD, discard, gram_hashes, mix, span_hashes, staged, text_blocks, word_spans
 from floorledger.operators.graph import components
 
 BITS = 1024
@@ -66,7 +66,7 @@ def parity(s: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, key, low (the longer prefix; empty where this task has sent the class before)."""
+    """doc_id, text_hash, n, key, low (the longer prefix; empty where this task has sent the class before)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: OrderedDict = OrderedDict()
@@ -80,10 +80,10 @@ def sketches(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
                     seen.popitem(last=False)
             ends = np.cumsum([0, *map(len, low)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(rows.schema.get_field_index(id_col)).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(low)))], names=["doc_id", "n", "key", "low"]
+                [rows.column(0), rows.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(low)))], names=["doc_id", "text_hash", "n", "key", "low"]
             )
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id bigint, n bigint, key bigint, low array<bigint>")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_col, F.xxhash64(text_col).alias("text_hash")).mapInArrow(run, "doc_id bigint, text_hash bigint, n bigint, key bigint, low array<bigint>")
 
 
 def full_sets(docs: DataFrame, size: int, text_col: str) -> DataFrame:
@@ -118,14 +118,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def link(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of ``docs``.
+    """doc_id, n_shingles, component_id and text_hash (xxhash64 of the text) for each row of ``docs``.
 
     Rows link when 100 · common ≥ percent · union of their shingle sets; ``component_id`` is the smallest id reachable by links,
     the row's own included. Null and empty texts have no shingles and link with nothing. Rows with a null id report their
     component, and serve as links, but are nobody's smallest id. Repeated ids are rows of their own. Extra columns are ignored.
     """
     s = staged(sketches(docs, size, percent, id_col, text_col))
-    rows = staged(s.select("doc_id", "n", "key"))
+    rows = staged(s.select("doc_id", "text_hash", "n", "key"))
     need = -F.floor(-F.col("n") * percent / 100)
     more = -F.floor(-F.col("n") / 10)
     long = F.least(F.col("n"), F.col("n") - need + more)
@@ -156,7 +156,18 @@ def link(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_i
     least = cls.groupBy("component").agg(F.min("low").alias("component_id"))
     cls = cls.join(least, "component").select("key", "component_id")
     out = rows.join(cls, "key")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash")
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the smallest id, of one id the smallest text hash, of equal rows one. Rows without words stay."""
+    last = F.lit(2**63 - 1)
+    linked = link(docs, size, percent, id_col, text_col).where("n_shingles > 0")
+    best = linked.groupBy(F.coalesce("component_id", last)).agg(F.min(F.struct(F.coalesce("doc_id", last).alias("_id"), F.col("text_hash").alias("_h"))).alias("b")).select("b.*")
+    d = docs.select(F.coalesce(F.col(id_col).cast("bigint"), last).alias("_id"), F.xxhash64(text_col).alias("_h"), F.struct(*docs.columns).alias("row"))
+    none = F.coalesce(~F.col(f"row.{text_col}").rlike(WORD), F.lit(True))
+    stay = d.where(~none).join(best, ["_id", "_h"]).withColumn("i", F.row_number().over(Window.partitionBy("_id", "_h").orderBy("_h"))).where("i = 1")
+    return stay.select("row.*").unionByName(d.where(none).select("row.*"))
 
 
 def _shared(sets: DataFrame) -> DataFrame:

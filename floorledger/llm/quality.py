@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floorledger.llm.common import mix, span_hashes, staged, text_blocks, word_spans
@@ -182,6 +182,16 @@ def isotonic(bins: list[tuple[float, float, float]]) -> tuple[np.ndarray, np.nda
     return s / n, np.clip(y / n, 0.0, 1.0)
 
 
+def train(stats: DataFrame, labels: DataFrame) -> Model:
+    """A model from staged statistics (id, x) and labels (doc_id, quality), without the held-out rows."""
+    y = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("_id")).agg(F.avg("quality").alias("y"))
+    return fit(staged(stats.where(~held_out(F.col("id"))).join(y, F.col("id") == F.col("_id")).select("x", "y")))
+
+
+def held_out(id_: Column) -> Column:
+    return F.pmod(F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+
+
 def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, held_out, score, predicted for each row of ``docs``.
 
@@ -190,11 +200,8 @@ def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.7, id_col: str =
     label every score is 0.5. Repeated rows each have a row. Extra columns are ignored. Statistics are computed in one pass
     and staged as 24 numbers a row.
     """
-    held = F.pmod(F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
-    rows = staged(with_statistics(docs, id_col, text_col)).withColumn("held_out", held)
-    y = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("_id")).agg(F.avg("quality").alias("y"))
-    train = staged(rows.where("not held_out").join(y, F.col("id") == F.col("_id")).select("x", "y"))
-    model = fit(train)
+    rows = staged(with_statistics(docs, id_col, text_col)).withColumn("held_out", held_out(F.col("id")))
+    model = train(rows, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -204,3 +211,14 @@ def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.7, id_col: str =
                 yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(s), pa.array((s >= cut).astype(np.int32))], names=["doc_id", "text_hash", "held_out", "score", "predicted"])
 
     return rows.select("id", "text_hash", "held_out", "x").mapInArrow(run, "doc_id bigint, text_hash bigint, held_out boolean, score double, predicted int")
+
+
+def keep(docs: DataFrame, labels: DataFrame, cut: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that the classifier rejects; rows pass through unshuffled, in one pass after the model is fitted."""
+    model = train(staged(with_statistics(docs, id_col, text_col)), labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in text_blocks(batches, text_col):
+            yield rows.filter(pa.array(model.score(statistics(texts)) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -15,7 +15,7 @@ def op1_byte_bpe(spark: SparkSession, base: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, base: str) -> DataFrame:
-    return ngram_join.link(table(spark, base, "documents"))
+    return ngram_join.link(table(spark, base, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_substring_dedup(spark: SparkSession, base: str) -> DataFrame:
