@@ -49,16 +49,17 @@ def anchors(docs: DataFrame, find: Callable[[list[bytes]], list[tuple[np.ndarray
 def repeated(found: DataFrame, inside: bool) -> DataFrame:
     """Anchors whose gram occurs in another text (``inside``: or at another place of the same text).
 
-    Grams are counted with a combining aggregate and joined back, so one gram in a third of all texts stays light.
+    Grams are counted with a combining aggregate and joined back, so one gram in a third of all texts stays light: nothing
+    above the join needs its rows together. Rows may repeat where tasks have sent one text twice.
     """
     o = F.xxhash64("t", "p") if inside else F.col("t")
     again = found.groupBy("h").agg(F.min(o).alias("a"), F.max(o).alias("b")).where("a <> b").select("h")
-    return staged(found.join(again, "h").distinct())
+    return staged(found.join(again, "h").select("t", "p"))
 
 
 def places(hits: DataFrame) -> DataFrame:
     """t, ps: the repeated anchors of each text, ascending (one text's own)."""
-    return hits.groupBy("t").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    return hits.groupBy("t").agg(F.sort_array(F.collect_set("p")).alias("ps"))
 
 
 def grouped(batches: Iterator[pa.RecordBatch], least: int, key: int = 0) -> Iterator[pa.Table]:

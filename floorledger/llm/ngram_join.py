@@ -129,7 +129,7 @@ def link(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_i
     need = -F.floor(-F.col("n") * percent / 100)
     more = -F.floor(-F.col("n") / 10)
     long = F.least(F.col("n"), F.col("n") - need + more)
-    hits = _shared(s.select("key", "n", F.col("low").alias("hs")))
+    hits = _shared(s.select("key", "n", F.col("low").alias("hs"))).distinct()  # tasks may have sent one class twice
     alive = hits.groupBy("key", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= long - (F.col("n") - need))
     pick = staged(rows.groupBy("key").agg(F.min("doc_id").alias("_id")).join(alive.select("key"), "key"))
     discard(s)
@@ -180,7 +180,7 @@ def _shared(sets: DataFrame) -> DataFrame:
     for i in range(PASSES):
         ex = sets.select("key", "n", F.explode(F.filter("hs", lambda h: F.pmod(h, F.lit(PASSES)) == i)).alias("h"))
         again = ex.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count(F.lit(1)).alias("c")).where("a <> b").select("h", "c")
-        part = staged(ex.join(again, "h").select("h", "key", "n", "c").distinct())
+        part = staged(ex.join(again, "h").select("h", "key", "n", "c"))
         out = part if out is None else out.unionByName(part)
     return out
 
