@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floorledger.llm.common import staged, text_blocks
+from floorledger.llm.common import discard, staged, text_blocks
 
 #: Texts of which a task remembers that it has sent their anchors already.
 REMEMBERED = 200_000
@@ -53,8 +53,11 @@ def repeated(found: DataFrame, inside: bool) -> DataFrame:
     above the join needs its rows together. Rows may repeat where tasks have sent one text twice.
     """
     o = F.xxhash64("t", "p") if inside else F.col("t")
+    found = staged(found)
     again = found.groupBy("h").agg(F.min(o).alias("a"), F.max(o).alias("b")).where("a <> b").select("h")
-    return staged(found.join(again, "h").select("t", "p"))
+    out = staged(found.join(again, "h").select("t", "p"))
+    discard(found)
+    return out
 
 
 def places(hits: DataFrame) -> DataFrame:

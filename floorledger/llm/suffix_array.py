@@ -3,7 +3,7 @@
 A place's rank at length 2k is the pair of its ranks at k and k places on; ranks are names (hashes of such pairs), so equal names
 mean equal strings. Doubling 8, 16, 32, 64 bytes names the places of each text; a sparse choice of them, of which every window of
 200 bytes holds one at the same offset, is sorted by Spark, and places whose name is unique drop out. The places left double
-on, to 132 bytes on either side, and drop out when both are unique: then no window around them can repeat. What is left is
+on, past 200 bytes to either side; places of one rank there are settled, and one stands for all of them. What is left is
 sorted by Spark once more, and the windows around a place get their full-length names from pairs at offsets 64, 128 and 72.
 """
 
@@ -29,7 +29,12 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The rank of a pair of ranks."""
-    return mix((mix(a) + np.uint64(1)) * _M ^ b)
+    r = a * _M
+    r ^= r >> np.uint64(32)
+    r += b
+    r *= np.uint64(0xD6E8FEB86659FD93)
+    r ^= r >> np.uint64(29)
+    return r
 
 
 def doubled(data: np.ndarray, length: int) -> np.ndarray:
@@ -61,26 +66,56 @@ def _find(window: int):
     return find
 
 
+def _once(rows, seen: set[int]):
+    """Rows whose text this task has not handled yet (it forgets them when there are many: later steps take repeats)."""
+    for r in rows:
+        if r[0] not in seen:
+            if len(seen) >= 200_000:
+                seen.clear()
+            seen.add(r[0])
+            yield r
+
+
+def ranked(texts: DataFrame, window: int) -> DataFrame:
+    """t, p, f: rank of the whole surroundings of each place (all windows over its gram; null where a text's end cuts them)."""
+    reach = window - GRAM
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for rows, data in text_blocks(batches):
+            ts, ps, fs = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)], [pa.array([], pa.int64())]
+            for t, at, x in _once(zip(rows.column(0).to_pylist(), rows.column(2), data), seen):
+                p = np.asarray(at.values).astype(np.int64)
+                names = doubled(np.frombuffer(x, dtype=np.uint8), window)
+                f = np.zeros(len(p), dtype=np.uint64)
+                whole = (p >= reach) & (p < len(names))
+                f[whole] = pair(names[p[whole] - reach], names[p[whole]])
+                ts.append(np.full(len(p), t)), ps.append(p.astype(np.int32)), fs.append(pa.array(f.view(np.int64), mask=~whole))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ts)), pa.array(np.concatenate(ps)), pa.concat_arrays(fs)], names=["t", "p", "f"])
+
+    return texts.select("t", "text", "ps").mapInArrow(run, "t bigint, p int, f bigint")
+
+
 def contexts(texts: DataFrame, window: int) -> DataFrame:
-    """t, p, h (name of the gram), left, right (names of the place's longer strings to either side, null at a text's end), lo, around (the bytes in which all windows over the gram lie)."""
+    """h (name of the gram), t, p, lo, around: the bytes in which all windows over the place's gram lie, and where in them the place is."""
     reach = window - GRAM
-    half = -(-reach // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for rows, data in text_blocks(batches):
-            out = []
-            for t, ps, x in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), data):
+            h, ts, ps, lo, around = [], [], [], [], []
+            for t, at, x in _once(zip(rows.column(0).to_pylist(), rows.column(2), data), seen):
+                p = np.asarray(at.values).astype(np.int64)
                 a = np.frombuffer(x, dtype=np.uint8)
-                names = doubled(a, GRAM + half).view(np.int64)
-                grams = doubled(a, GRAM).view(np.int64)
-                for p in ps:
-                    lo = max(0, p - reach)
-                    out.append((t, p, int(grams[p]), int(names[p - half]) if p >= half else None, int(names[p]) if p < len(names) else None, p - lo, x[lo : p + window]))
-            if out:
-                t, p, h, le, ri, lo, ar = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(p, pa.int32()), pa.array(h, pa.int64()), pa.array(le, pa.int64()), pa.array(ri, pa.int64()), pa.array(lo, pa.int32()), pa.array(ar, pa.binary())], names=["t", "p", "h", "left", "right", "lo", "around"])
+                h.append(doubled(np.stack([a[q : q + GRAM] for q in p.tolist()]), GRAM)[:, 0])
+                low = np.maximum(p - reach, 0)
+                ts.append(np.full(len(p), t)), ps.append(p.astype(np.int32)), lo.append((p - low).astype(np.int32))
+                around += [x[u : q + window] for u, q in zip(low.tolist(), p.tolist())]
+            if not ts:
+                continue
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(ts)), pa.array(np.concatenate(ps)), pa.array(np.concatenate(lo)), pa.array(around, pa.binary())], names=["h", "t", "p", "lo", "around"])
 
-    return texts.select("t", "text", "ps").mapInArrow(run, "t bigint, p int, h bigint, left bigint, right bigint, lo int, around binary")
+    return texts.select("t", "text", "ps").mapInArrow(run, "h bigint, t bigint, p int, lo int, around binary")
 
 
 def _windows(p: np.ndarray, lo: np.ndarray, around: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,26 +183,31 @@ def spans(docs: DataFrame, window: int = 200, text_col: str = "text") -> tuple[D
     base = docs.select(F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).where(F.octet_length(text_col) >= window)
     texts = base.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
     hits = repeated(anchors(base, _find(window)), inside=True)
-    around = base.join(places(hits), "t").select("t", "text", "ps")
-    c = staged(contexts(around, window), compression="zstd").dropDuplicates(["t", "p"])
-    # Rank at the longer length to either side; a place goes when both are unique.
-    sides = c.select("t", "p", F.explode(F.array(F.struct(F.lit(0).alias("s"), F.col("left").alias("r")), F.struct(F.lit(1).alias("s"), F.col("right").alias("r")))).alias("x")).select("t", "p", "x.*").where("r is not null")
-    twice = sides.groupBy("s", "r").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("s", "r")
-    alive = sides.join(twice, ["s", "r"]).select("t", "p").distinct()
-    c = staged(c.join(alive, ["t", "p"]).select("h", "t", "p", "lo", "around"), compression="zstd")
+    # Rank of the whole surroundings: places that share it are settled, and one of them stands for all against the others.
+    f = staged(ranked(_texts(base, hits), window).distinct())
+    o = F.xxhash64("t", "p")
+    twice = f.where("f is not null").groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.min(o).alias("one")).where("n > 1")
+    f = staged(f.join(twice, "f", "left").select("t", "p", F.col("one").isNotNull().alias("settled"), (o == F.coalesce("one", o)).alias("stands")))
+    settled = f.where("settled").select("t", (F.col("p") - (window - GRAM)).alias("a"), (F.col("p") + window).alias("b"))
+    c = staged(contexts(_texts(base, f.where("stands")), window), compression="zstd").dropDuplicates(["t", "p"])
     small, each = c, None
     big = staged(c.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > GROUP).select("h", F.lit(True).alias("big")))
     if big.limit(1).count():  # names shared by very many places: Spark counts their windows
         c = c.join(big, "h", "left")
         small = c.where("big is null").drop("big")
         each = c.where("big").select("h", "t", "p", "lo", "around").mapInArrow(_names(window), "w bigint, t bigint, a int").distinct()
-    found = small.repartition("h").sortWithinPartitions("h").mapInArrow(_spans(window), "t bigint, a int, b int")
+    found = settled.unionByName(small.repartition("h").sortWithinPartitions("h").mapInArrow(_spans(window), "t bigint, a int, b int"))
     if each is not None:
         again = each.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
         found = found.unionByName(each.join(again, "w").select("t", "a", (F.col("a") + window).alias("b")))
     return texts, found.groupBy("t").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
+def _texts(base: DataFrame, at: DataFrame) -> DataFrame:
+    """t, text, ps: the texts with places ``at`` (t, p), in each task that holds one of their rows."""
+    return base.join(places(at), "t").select("t", "text", "ps")
+
+
 def dedup(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary), spans (removed byte runs): one row for each row of ``docs``.
 
