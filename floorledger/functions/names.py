@@ -77,7 +77,7 @@ def _snap_short(tok: Column) -> Column:
         return one & (~swaps[0] | pairs[0]) & (~swaps[1] | pairs[1]) & (~swaps[2] | pairs[2])
 
     hit = F.get(F.filter(_words(SHORT), like), F.lit(0))
-    snapped = F.when((F.length(core) == 3) & ~core.isin(*SHORT), F.concat(hit, F.substring(tok, 4, 1000)))
+    snapped = F.when((F.length(core) == 3) & ~core.isin(*SHORT), F.concat(hit, F.substr(tok, F.lit(4))))
     return F.coalesce(snapped, tok)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -58,9 +59,12 @@ def nearest_segment(points: DataFrame, walls: DataFrame, keys: Sequence[str], po
 
     Round r looks at the walls in the 3 × 3 cells of side size · 2^r around the point: whatever lies within one cell side
     is seen, so a best hit within it is final; the rest go to the next round with cells twice as wide. Rounds end when no
-    point with a wall in its unit is left (at most log2 of the extent).
+    point with a wall in its unit is left (at most log2 of the extent). Points and walls without finite coordinates are set
+    aside first: they have no nearest wall.
     """
-    w = walls.select(*keys, "wall_id", "ax", "ay", "bx", "by")
+    known = lambda *cs: functools.reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in cs])
+    w = walls.select(*keys, "wall_id", "ax", "ay", "bx", "by").where(known("ax", "ay", "bx", "by"))
+    points = points.where(known("x", "y"))
     todo = points.select(*keys, *point_id, "x", "y").join(w.select(*keys).distinct(), list(keys), "left_semi") if keys else points.select(*point_id, "x", "y")
     found = None
     r = size

@@ -7,7 +7,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAYLOAD = (
@@ -29,8 +29,8 @@ def _newest(events: DataFrame, *kept: str) -> DataFrame:
     An aggregate, not a ranked window: a link holding a third of all rows is combined before the shuffle.
     """
     order = F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("t"), F.col("id"))
-    best = events.groupBy(*KEY).agg(F.min(F.struct(order.alias("o"), *[F.col(c) for c in kept])).alias("m"))
-    return best.select(*KEY, F.col("m.o.id").alias("newest_id"), *[F.col(f"m.{c}").alias(c) for c in kept])
+    best = events.groupBy(*KEY).agg(F.min(F.struct(order.alias("o"), *[F.col(c) for c in kept])).alias("m"), F.count(F.lit(1)).alias("n_rows"))
+    return best.select(*KEY, F.col("m.o.id").alias("newest_id"), *[F.col(f"m.{c}").alias(c) for c in kept], "n_rows")
 
 
 def superseded(events: DataFrame) -> DataFrame:
@@ -83,19 +83,17 @@ def by_link(links: DataFrame, events: DataFrame, catalog: DataFrame) -> DataFram
         ((F.col("kind") == "selection") & live).alias("choice"),
         ((F.col("kind") == "comment") & live).alias("note"),
         F.when(F.col("kind") == "selection", F.col("p.optionId")).alias("option_id"),
-        F.col("p.priceDeltaBdt").alias("sent"),
+        F.col("p.priceDeltaBdt").alias("sent"), "n_rows",
     )
     priced = with_price(flat, catalog)
     totals = priced.groupBy("token").agg(
         F.sum(F.when(F.col("choice"), F.col("delta")).otherwise(F.lit(0))).alias("total"),
         F.count_if(F.col("choice")).alias("choices"),
-        F.count_if(F.col("note")).alias("notes"),
+        F.count_if(F.col("note")).alias("notes"), F.sum("n_rows").alias("rows"),
     )
-    rows = events.groupBy("token").agg(F.count(F.lit(1)).alias("rows"))
     zero = F.lit(0).cast("bigint")
     return (
         links.join(totals, "token", "left")
-        .join(rows, "token", "left")
         .select(
             "token", "unit_name",
             F.coalesce("rows", zero).alias("rows"), F.coalesce("choices", zero).alias("choices"),
@@ -150,9 +148,11 @@ def change_rows(events: DataFrame, links: DataFrame, catalog: DataFrame, origin:
 
 
 def write_change_list_csv(rows: DataFrame, path: str) -> None:
-    """Newest first over range-partitioned files (part order is row order); CRLF, quotes only where needed, doubled inside."""
+    """A header line, then newest first over range-partitioned files (part order is row order); CRLF, quotes only where needed, doubled inside."""
     text = F.concat_ws("", *[F.concat(csv_cell(F.col(f"`{c}`").cast("string")), F.lit("," if c != CSV_COLUMNS[-1] else "")) for c in CSV_COLUMNS])
-    rows.orderBy(F.col("created_at").desc(), F.col("id")).select(text.alias("value")).write.mode("errorifexists").option("lineSep", "\r\n").text(path)
+    lines = rows.select(F.lit(1).alias("_part"), F.col("created_at").cast("timestamp").alias("_t"), F.col("id").alias("_id"), text.alias("value"))
+    head = rows.sparkSession.range(1).select(F.lit(0).alias("_part"), F.lit(None).cast("timestamp").alias("_t"), F.lit(None).cast(rows.schema["id"].dataType).alias("_id"), F.lit(csv_header()).alias("value"))
+    head.unionByName(lines).orderBy("_part", F.col("_t").desc(), "_id").select("value").write.mode("errorifexists").option("lineSep", "\r\n").text(path)
 
 
 def csv_header() -> str:
@@ -168,7 +168,9 @@ def csv_cell(c: Column) -> Column:
 def ingest(events: DataFrame, links: DataFrame, kinds: tuple[str, ...] = ("comment", "selection")) -> DataFrame:
     """Every request with ``verdict``: accepted, repeat (its id is in already) or the first rule it breaks.
 
-    Once per id: the earliest valid arrival wins, found by an aggregate so retries of one id combine before the shuffle.
+    The rules come first; of the rows that keep them one is accepted for each id, the first in the total order (time, hash of
+    the whole row), found by an aggregate so retries of one id combine before the shuffle. Rows equal in every column take
+    turns: the first stands for all.
     """
     on = links.where(F.col("revoked_at").isNull()).select(F.col("token").alias("_t")).distinct()
     e = events.withColumn("name", F.nullif(F.trim("name"), F.lit("")))
@@ -182,12 +184,15 @@ def ingest(events: DataFrame, links: DataFrame, kinds: tuple[str, ...] = ("comme
         .when(size("name") > 80, "name")
         .when(F.coalesce(F.octet_length("payload"), F.lit(0)) > 8000, "payload"),
     ).drop("_t")
-    first = e.where(F.col("rule").isNull()).groupBy("id").agg(F.min("created_at").alias("_first"))
-    f = first.withColumnRenamed("id", "_id")
-    return e.join(f, F.col("id") == F.col("_id"), "left").select(
-        *events.columns,
-        F.when(F.col("rule").isNotNull(), F.col("rule")).when(F.col("created_at") == F.col("_first"), "accepted").otherwise("repeat").alias("verdict"),
-    )
+    e = e.withColumn("_order", F.struct(F.col("created_at").alias("t"), F.xxhash64(*events.columns).alias("h")))
+    first = e.where(F.col("rule").isNull()).groupBy(F.col("id").alias("_id")).agg(F.min("_order").alias("_first"))
+    j = e.join(first, F.col("id") == F.col("_id"), "left")
+    best = F.col("rule").isNull() & (F.col("_order") == F.col("_first"))
+    out = [*[F.col(c) for c in events.columns]]
+    rest = j.where(~F.coalesce(best, F.lit(False))).select(*out, F.coalesce("rule", F.lit("repeat")).alias("verdict"))
+    turn = F.row_number().over(Window.partitionBy("id", "_order").orderBy("id"))  # only rows equal in every column share a window
+    won = j.where(best).withColumn("_turn", turn).select(*out, F.when(F.col("_turn") == 1, "accepted").otherwise("repeat").alias("verdict"))
+    return rest.unionByName(won)
 
 
 def selection_payload(choices: DataFrame, options: DataFrame) -> DataFrame:

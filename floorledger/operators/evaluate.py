@@ -52,7 +52,7 @@ def class_scores(report: DataFrame, strict: bool = False, with_band: bool = Fals
     return p.join(tot, "cls", "full").select("cls", F.try_divide(z("hit"), F.col("on_truth")).alias("precision"), F.try_divide(z("got"), F.col("all")).alias("recall"))
 
 
-def room_state_scores(expected: DataFrame, rooms: DataFrame, size: float = 4.0, max_sqm: float = 400.0) -> DataFrame:
+def room_state_scores(expected: DataFrame, rooms: DataFrame, size: float = 4.0, max_sqm: float = 90.0) -> DataFrame:
     """Each printed room's state in the draft. ``expected``: sheet, pos, name, x, y (draft metres), core; ``rooms``: sheet, room_id, name, kind, named, area, poly.
 
     open = in no room; one room holding several printed ones is right only for the first whose name it carries.
@@ -71,7 +71,7 @@ def room_state_scores(expected: DataFrame, rooms: DataFrame, size: float = 4.0,
     return e.select(*expected.columns, "room_id", state.alias("state"))
 
 
-def false_rooms(scored: DataFrame, rooms: DataFrame, max_sqm: float = 400.0) -> DataFrame:
+def false_rooms(scored: DataFrame, rooms: DataFrame, max_sqm: float = 90.0) -> DataFrame:
     """Draft rooms of a square metre or more that hold no printed room."""
     held = scored.where(F.col("room_id").isNotNull()).select("sheet", "room_id").distinct()
     return rooms.where(F.col("area").between(1.0, max_sqm)).join(held, ["sheet", "room_id"], "left_anti").select("sheet", "room_id", "area")

@@ -22,9 +22,14 @@ AREA_EPS = 1e-6
 LOW_WALL_M = 1.2
 
 
+def corner_order(vertices: DataFrame) -> Column:
+    """Of a corner id given twice the last one counts: by its place in the plan, or where a table has none by its coordinates."""
+    return F.struct(*(["pos"] if "pos" in vertices.columns else []), "x", "y")
+
+
 def usable_walls(walls: DataFrame, vertices: DataFrame) -> DataFrame:
     """Walls that can be walked, with their ends: both corners exist, some length, the first of duplicates."""
-    first = vertices.groupBy("unit_id", "vertex_id").agg(F.max("x").alias("x"), F.max("y").alias("y"))
+    first = vertices.groupBy("unit_id", "vertex_id").agg(F.max_by(F.struct("x", "y"), corner_order(vertices)).alias("_c")).select("unit_id", "vertex_id", "_c.x", "_c.y")
     w = geo.with_ends(walls, first).where(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) > 1e-9)
     key = w.withColumn("_lo", F.least("a", "b")).withColumn("_hi", F.greatest("a", "b"))
     keep = key.groupBy("unit_id", "_lo", "_hi").agg(F.min(F.struct("pos", "wall_id")).alias("_k")).select("unit_id", F.col("_k.wall_id").alias("wall_id"), F.col("_k.pos").alias("pos"))

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from floorledger.session import cut_lineage
 
-MAX_ROUNDS = 100
-
 
 def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Connected components: (keys, id) → component = the smallest id in it.
@@ -23,7 +21,7 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) ->
     e = e.select(*k, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = cut_lineage(e)
     seen = _signature(e)
-    for _ in range(MAX_ROUNDS):
+    while True:  # every round but the last changes the edges, and they only fall
         both = e.unionByName(e.select(*k, F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy(*k, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.where(F.col("v") > F.col("u")).join(m, [*k, "u"]).select(*k, F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
@@ -36,7 +34,6 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) ->
             lab = e.groupBy(*k, F.col("u").alias("id")).agg(F.min("v").alias("component"))
             return nodes.select(*k, "id").distinct().join(lab, [*k, "id"], "left").withColumn("component", F.coalesce("component", "id"))
         seen = now
-    raise RuntimeError("components did not settle; raise MAX_ROUNDS")
 
 
 def _signature(df: DataFrame) -> tuple:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from floorledger.operators import geometry as geo
 from floorledger.operators.cells import box_join
-from floorledger.operators.faces import usable_walls
+from floorledger.operators.faces import corner_order, usable_walls
 from floorledger.operators.graph import components, degrees
 from floorledger.session import cut_lineage
 
@@ -30,7 +30,7 @@ def touch_join(vertices: DataFrame, walls: DataFrame, pillars: DataFrame, size:
     A loose end on or in a column joins everything at that column through its outline; any other loose end inside another
     wall's body meets that wall's centre line. Plans without loose ends come back as their own usable walls.
     """
-    first = vertices.groupBy("unit_id", "vertex_id").agg(F.max("x").alias("x"), F.max("y").alias("y"))
+    first = vertices.groupBy("unit_id", "vertex_id").agg(F.max_by(F.struct("x", "y"), corner_order(vertices)).alias("_c")).select("unit_id", "vertex_id", "_c.x", "_c.y")
     base = cut_lineage(geo.frames(usable_walls(walls, vertices)).withColumn("w", F.col("wall_id").cast("string")))
     deg = cut_lineage(degrees(base, first).where("degree > 0").join(first, ["unit_id", "vertex_id"]))
     loose = deg.where("degree = 1").select("unit_id", "vertex_id", "x", "y")

@@ -125,14 +125,15 @@ def letters(spark, base):
     "AGG-23_unit_floor",
     f"""with {SQL_RANGES}, asked as (select o_orderkey as project_id, o_custkey % 5 as unit_id, o_custkey % 7 as asked_floor from orders), lv as (select o_orderkey as project_id, o_orderkey % 5 as unit_id, -1 as floor from orders where o_orderstatus = 'P')
     select a.project_id, a.unit_id, a.asked_floor, coalesce((select min(floor) from lv where lv.project_id = a.project_id and lv.unit_id = a.unit_id), (select min(floor) from pl where pl.project_id = a.project_id and pl.unit_id = a.unit_id and pl.floor = a.asked_floor),
-      (select min(floor) from pl where pl.project_id = a.project_id and pl.unit_id = a.unit_id), a.asked_floor) as floor,
+      (select min(floor) from pl where pl.project_id = a.project_id and pl.unit_id = a.unit_id), (select 100 + min(o_orderkey % 9) from orders where o_orderstatus = 'O' and o_orderkey = a.project_id and o_custkey % 5 = a.unit_id), a.asked_floor) as floor,
       case when exists (select 1 from lv where lv.project_id = a.project_id and lv.unit_id = a.unit_id) then 'level' when exists (select 1 from pl where pl.project_id = a.project_id and pl.unit_id = a.unit_id) then 'flat' else 'massing' end as role from asked a""",
 )
 def unit_floor(spark, base):
     o = table(spark, base, "orders")
     asked = o.select(K().alias("project_id"), (F.col("o_custkey") % 5).alias("unit_id"), (F.col("o_custkey") % 7).alias("asked_floor"))
     lv = o.where("o_orderstatus = 'P'").select(K().alias("project_id"), (K() % 5).alias("unit_id"), F.lit(-1).cast("bigint").alias("floor"))
-    return bl.unit_floor(asked, lv, bl.placements(ranges(spark, base)), lv.limit(0))
+    stand = o.where("o_orderstatus = 'O'").select(K().alias("project_id"), (F.col("o_custkey") % 5).alias("unit_id"), (100 + K() % 9).alias("floor"))
+    return bl.unit_floor(asked, lv, bl.placements(ranges(spark, base)), stand)
 
 
 @query(

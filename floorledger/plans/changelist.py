@@ -104,18 +104,22 @@ def change_rows(spark, base):
     "SRC-14_ingest",
     f"""with {r.SQL_EVENTS}, {r.SQL_LINKS}, req as (
       select id, token, kind, k, name, removed, created_at from ev
-      union all select id, token, kind, k, name, removed, created_at + interval 1 minute from ev where removed),
+      union all select id, token, kind, k, name, removed, created_at + interval 1 minute from ev where removed
+      union all select id, token, kind, k, concat(name, '!'), removed, created_at from ev where removed
+      union all select id, token, 'nonsense', k, name, removed, created_at - interval 1 minute from ev where removed),
     ruled as (select req.*, case
         when not exists (select 1 from lk where lk.token = req.token and revoked is null) then 'no such link, or it was turned off'
         when kind not in ('selection') then 'kind' end as rule from req),
-    f as (select id, min(created_at) as first from ruled where rule is null group by id)
-    select ruled.id, ruled.created_at, coalesce(rule, case when created_at = first then 'accepted' else 'repeat' end) as verdict
-    from ruled left join f using (id)""",
+    f as (select *, row_number() over (partition by id, rule is null order by created_at, name) as turn from ruled)
+    select id, created_at, coalesce(rule, case when turn = 1 then 'accepted' else 'repeat' end) as verdict from f""",
 )
 def ingest(spark, base):
     ev = r.buyer_events(spark, base)
     again = ev.where(F.get_json_object("payload", "$.removed") == "true").withColumn("created_at", F.col("created_at") + F.expr("interval 1 minute"))
-    out = cl.ingest(ev.unionByName(again), r.share_links(spark, base), kinds=("selection",))
+    gone = ev.where(F.get_json_object("payload", "$.removed") == "true")
+    tied = gone.withColumn("name", F.concat("name", F.lit("!")))
+    early = gone.withColumn("kind", F.lit("nonsense")).withColumn("created_at", F.col("created_at") - F.expr("interval 1 minute"))
+    out = cl.ingest(ev.unionByName(again).unionByName(tied).unionByName(early), r.share_links(spark, base), kinds=("selection",))
     return out.select("id", "created_at", "verdict")
 
 
@@ -348,10 +352,10 @@ def _versions(spark, base):
 
 @query(
     "WIN-13_newest_versions",
-    f"with {SQL_VERS}, t as (select *, max(version) over (partition by project_id) - version as age from vs) select project_id, version, o_orderkey from t where age < 5",
+    f"with {SQL_VERS}, t as (select *, max(version) over (partition by project_id) - version as age from vs) select project_id, version, o_orderkey from t where age < 50",
 )
 def newest_versions(spark, base):
-    return ver.newest_versions(_versions(spark, base), limit=5).select("project_id", "version", "o_orderkey")
+    return ver.newest_versions(_versions(spark, base), limit=50).select("project_id", "version", "o_orderkey")
 
 
 @query(

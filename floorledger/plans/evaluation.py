@@ -344,10 +344,10 @@ def merge(spark, base):
 
 @query(
     "WIN-14_recent",
-    "with l as (select user_id, event_type, max(ts) as t from events group by all), r as (select *, row_number() over (partition by user_id order by t desc, event_type) as place from l) select user_id, event_type, place from r where place <= 3",
+    "with l as (select user_id, event_type, max(ts) as t from events group by all), r as (select *, row_number() over (partition by user_id order by t desc, event_type) as place from l) select user_id, event_type, place from r where place <= 6",
 )
 def recent(spark, base):
-    return wn.recent(table(spark, base, "events"), ["user_id"], "event_type", F.col("ts"), 3).select("user_id", "event_type", F.col("place").cast("bigint").alias("place"))
+    return wn.recent(table(spark, base, "events"), ["user_id"], "event_type", F.col("ts"), 6).select("user_id", "event_type", F.col("place").cast("bigint").alias("place"))
 
 
 @query(
@@ -361,11 +361,11 @@ def listing(spark, base):
 
 @query(
     "STR-5_slow_frames",
-    """with f as (select event_type as screen, ts, value as ms from events), w as (select screen, time_bucket(interval 6 hours, ts) as start, count(*) as n, count(*) filter (where ms <= 35) as fast from f group by all) select screen, start, n from w where n >= 10 and fast <= n // 2""",
+    """with f as (select event_type as screen, ts, value as ms from events), w as (select screen, time_bucket(interval 1 day, ts) as start, count(*) as n, count(*) filter (where ms <= 35) as fast from f group by all) select screen, start, n from w where n >= 45 and fast <= n // 2""",
 )
 def slow(spark, base):
     f = table(spark, base, "events").select(F.col("event_type").alias("screen"), "ts", F.col("value").alias("ms"))
-    return wn.slow_frames(f, ["screen"], width="6 hours", least=10)
+    return wn.slow_frames(f, ["screen"], width="1 day", least=45)
 
 
 @query(

@@ -158,16 +158,10 @@ def sides(spark, base):
     return s.select("unit_id", "wall_id", R6(F.least("a1", "a2")).alias("small"), R6(F.greatest("a1", "a2")).alias("large"))
 
 
-_ROOMS: dict = {}
-
-
 def rooms_of(spark, base):
-    """Rooms of the rendered plans, made once per session and folder: the checkpoint is what later queries read."""
-    key = (spark.sparkContext.applicationId, base)
-    if key not in _ROOMS:
-        v, w, lb, _ = plan(spark, base)
-        _ROOMS[key] = cut_lineage(fc.derive_rooms(v, w, lb))
-    return _ROOMS[key]
+    """Rooms of the rendered plans; a checkpoint of this query alone."""
+    v, w, lb, _ = plan(spark, base)
+    return cut_lineage(fc.derive_rooms(v, w, lb))
 
 
 @query("GRF-2_rooms")

@@ -11,7 +11,10 @@ from pyspark.sql.streaming.query import StreamingQuery
 from floorledger.operators import changelist as cl
 from floorledger.operators.windows import sessions
 
+#: How late an edit or a frame may come; intake of buyer events knows no such limit.
 LATE = "10 minutes"
+#: Hash partitions of the accepted tables.
+BUCKETS = 64
 
 
 def event_stream(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
@@ -23,26 +26,48 @@ def event_stream(spark: SparkSession, path: str, schema, max_files: int | None =
     return s.withColumn("created_at", F.col("created_at").cast("timestamp"))
 
 
-def deduplicated(events: DataFrame, late: str = LATE) -> DataFrame:
-    """Retries dropped by id; state is bounded by the watermark, later copies are caught by the batch rule on the table."""
-    return events.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["id"])
+def _buckets(df: DataFrame, key: str) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(BUCKETS)).cast("int"))
+
+
+def _stored(batch: DataFrame, path: str, batch_id: int) -> DataFrame | None:
+    """Rows that earlier batches stored in the buckets this batch touches (None before the first); the rest is pruned by partition."""
+    spark = batch.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return None
+    touched = [r["bucket"] for r in batch.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+    return spark.read.parquet(path).where(F.col("bucket").isin(touched) & (F.col("batch") != batch_id))
+
+
+def _new_rows(batch: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """``batch`` (with bucket) without the ids that earlier batches stored."""
+    old = _stored(batch, path, batch_id)
+    return batch if old is None else batch.join(old.select("bucket", "id"), ["bucket", "id"], "left_anti")
+
+
+def _store(rows: DataFrame, path: str, batch_id: int) -> None:
+    """One folder a batch, so that a replayed batch writes the same folder again."""
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_id}")
 
 
 def intake(events: DataFrame, links: DataFrame, accepted_path: str, quarantine_path: str, checkpoint: str, kinds: tuple[str, ...] = ("comment", "selection")) -> StreamingQuery:
-    """Accepted rows to one table, refused ones to another, each micro-batch once.
+    """Accepted rows to one table, refused ones to another, each id accepted once, however late a row or a retry comes.
 
-    The links table is read per batch, so a link turned off stops taking rows. A batch that is replayed after a failure
-    writes the same ``batch`` partition again: at-least-once in, one copy out.
+    The rules come first: an id refused once may be sent again validly. What keeps them is accepted if no earlier batch has
+    accepted its id, which is looked up in the accepted table, partitioned by a hash of the id. The links table is read per
+    batch, so a link turned off stops taking rows. A batch that is replayed after a failure leaves its own earlier writes out
+    of the look-up and writes the same ``batch`` partition again: at-least-once in, one copy out.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         ruled = cl.ingest(batch, links, kinds).persist()
-        ok = ruled.where(F.col("verdict") == "accepted").drop("verdict")
-        ok.write.mode("overwrite").parquet(f"{accepted_path}/batch={batch_id}")
+        ok = _buckets(ruled.where(F.col("verdict") == "accepted").drop("verdict"), "id")
+        _store(_new_rows(ok, accepted_path, batch_id), accepted_path, batch_id)
         ruled.where(~F.col("verdict").isin("accepted", "repeat")).write.mode("overwrite").parquet(f"{quarantine_path}/batch={batch_id}")
         ruled.unpersist()
 
-    return deduplicated(events).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def newest_choices(events: DataFrame) -> DataFrame:
@@ -92,15 +117,24 @@ def debounced_saves(edits: DataFrame, key: str, ts: str, ident: str, snapshot: s
 
 
 def live_totals(events: DataFrame, table_path: str, links: DataFrame, catalog: DataFrame, publish: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Totals of the links a micro-batch touches, rebuilt from the accepted table: exact whatever the order of arrival."""
+    """Totals of the links a micro-batch touches, rebuilt from their partitions of the accepted table: exact whatever the order of arrival.
 
-    def rebuild(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
-        touched = batch.select("token").distinct()
-        whole = batch.sparkSession.read.parquet(table_path).join(touched, "token", "left_semi")
-        publish(cl.by_link(links.join(touched, "token", "left_semi"), whole, catalog), batch_id)
+    The table is partitioned by a hash of the token, so a batch reads the partitions of its own links and no others. An id
+    counts once; a retry carries its token.
+    """
 
-    return deduplicated(events).writeStream.foreachBatch(rebuild).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def rebuild(batch: DataFrame, batch_id: int) -> None:
+        one = _buckets(batch.dropDuplicates(["id"]), "token").persist()
+        new = _new_rows(one, table_path, batch_id)
+        _store(new, table_path, batch_id)
+        touched = one.select("bucket", "token").distinct()
+        buckets = [r["bucket"] for r in touched.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+        stored = batch.sparkSession.read.schema(one.schema).parquet(table_path).where(F.col("bucket").isin(buckets))
+        whole = stored.join(touched, ["bucket", "token"], "left_semi").drop("bucket")
+        publish(cl.by_link(links.join(touched.select("token"), "token", "left_semi"), whole, catalog), batch_id)
+        one.unpersist()
+
+    return events.writeStream.foreachBatch(rebuild).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def slow_frame_stream(frames: DataFrame, ts: str = "ts", ms: str = "ms", late: str = LATE) -> DataFrame:

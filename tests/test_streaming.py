@@ -45,6 +45,24 @@ def test_intake_equals_batch_and_survives_a_restart(spark, tmp_path):
     assert refused == {"kind", "no such link, or it was turned off"}
 
 
+def test_intake_loses_no_late_row_and_doubles_none(spark, tmp_path):
+    p = {k: str(tmp_path / k) for k in ("in", "ok", "aside", "ck")}
+    links, _ = fixtures(spark)
+    row = lambda i, minutes, kind="selection": (i, "t0", kind, "s", "b", None, "{}", T0 + timedelta(minutes=minutes))
+    rounds = [
+        [row(1, 0), row(1, 0), row(2, 0, "bad")],  # two arrivals of one time; a refused id
+        [row(3, -180), row(2, 1), row(1, 30)],  # three hours late; the refused id valid; a retry with a new time
+        [row(4, -5000), row(3, 60), row(5, 2, "bad")],
+    ]
+    for data in rounds:  # a restart after each
+        spark.createDataFrame(data, SCHEMA).coalesce(1).write.mode("append").parquet(p["in"])
+        schema = spark.read.parquet(p["in"]).schema
+        intake.intake(intake.event_stream(spark, p["in"], schema, 1), links, p["ok"], p["aside"], p["ck"]).awaitTermination()
+    got = sorted((r.id, r.created_at) for r in spark.read.parquet(p["ok"]).collect())
+    assert [i for i, _ in got] == [1, 2, 3, 4] and got[0][1] == T0 and got[2][1] == T0 - timedelta(minutes=180)
+    assert sorted(r.id for r in spark.read.option("mergeSchema", "true").parquet(p["aside"]).collect()) == [2, 5]
+
+
 def test_newest_choice_forms_agree(spark, tmp_path):
     path = str(tmp_path / "in")
     land(spark, path)
