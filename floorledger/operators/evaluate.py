@@ -138,16 +138,22 @@ def hint_scores_at(placed: DataFrame, rooms: DataFrame, groups: DataFrame) -> di
 def raster_iou(truth: DataFrame, draft: DataFrame, step: float = 0.05, size: float = 2.0) -> DataFrame:
     """Truth and draft outlines (sheet, id, poly) sampled on one grid of ``step``: pairs with inter, truth_n, draft_n, iou.
 
+    Outlines may overlap: a point belongs to one truth, the first by id, and to the smallest draft around it (ties: the first
+    by id), and counts for these two alone.
+
     Sample points are made per outline from its own box and kept where inside; equal points meet by an equi join on the
     grid, so the work is the areas', spread over rows of cells.
     """
-    def samples(d: DataFrame, name: str) -> DataFrame:
+    def samples(d: DataFrame, name: str, first: Column) -> DataFrame:
         xs, ys = F.transform("poly", lambda p: p["x"]), F.transform("poly", lambda p: p["y"])
         lo, hi = lambda a: F.ceil(F.array_min(a) / step - 0.5), lambda a: F.floor(F.array_max(a) / step - 0.5)
         g = d.withColumn("gy", F.explode(F.sequence(lo(ys), hi(ys)))).repartition("sheet", "gy").withColumn("gx", F.explode(F.sequence(lo(xs), hi(xs))))
-        return g.where(inside(F.col("poly"), (F.col("gx") + 0.5) * step, (F.col("gy") + 0.5) * step)).select("sheet", F.col("id").alias(name), "gx", "gy")
+        g = g.where(inside(F.col("poly"), (F.col("gx") + 0.5) * step, (F.col("gy") + 0.5) * step))
+        return g.groupBy("sheet", "gx", "gy").agg(F.min_by("id", F.struct(first, "id")).alias(name))
 
-    t, d = samples(truth, "truth_id"), samples(draft, "draft_id")
+    corner = lambda i: F.get("poly", F.pmod(i, F.size("poly")))
+    area = F.abs(F.aggregate(F.sequence(F.lit(0), F.size("poly") - 1), F.lit(0.0), lambda a, i: a + corner(i)["x"] * corner(i + 1)["y"] - corner(i + 1)["x"] * corner(i)["y"])) / 2
+    t, d = samples(truth, "truth_id", F.lit(0)), samples(draft.withColumn("_area", area), "draft_id", F.col("_area"))
     inter = t.join(d, ["sheet", "gx", "gy"]).groupBy("sheet", "truth_id", "draft_id").agg(F.count(F.lit(1)).alias("inter"))
     nt = t.groupBy("sheet", "truth_id").agg(F.count(F.lit(1)).alias("truth_n"))
     nd = d.groupBy("sheet", "draft_id").agg(F.count(F.lit(1)).alias("draft_n"))

@@ -94,9 +94,11 @@ def _hint_tables(spark, base):
 
 @query(
     "AGG-11_raster_iou",
-    """with r as (select p_partkey as id, p_partkey // 10 as sheet, p_partkey % 10 as x, p_size % 3 + 1 as w, p_size % 2 + 1 as h from part), d as (select id, sheet, x + 0.5 as x, w, h from r),
-    j as (select r.sheet, r.id as t, d.id as d, least(r.x + r.w, d.x + d.w) - greatest(r.x, d.x) as ix, least(r.h, d.h) as iy, r.w * r.h as ta, d.w * d.h as da from r join d on r.sheet = d.sheet where r.x < d.x + d.w and d.x < r.x + r.w)
-    select sheet, t as truth_id, d as draft_id, cast(round(ix * iy * 100) as bigint) as inter, round(cast(ix * iy as double) / (ta + da - ix * iy), 6) as iou from j""",
+    """with r as (select p_partkey as id, p_partkey // 10 as sheet, p_partkey % 10 as x, p_size % 3 + 1 as w, p_size % 2 + 1 as h from part),
+    g as (select *, unnest(range(10 * w)) as i from r), c as (select *, unnest(range(10 * h)) as gy from g),
+    t as (select sheet, 10 * x + i as gx, gy, min(id) as t from c group by all), d as (select sheet, 10 * x + 5 + i as gx, gy, arg_min(id, (w * h, id)) as d from c group by all),
+    tn as (select sheet, t, count(*) as n from t group by all), dn as (select sheet, d, count(*) as n from d group by all), j as (select sheet, t, d, count(*) as inter from t join d using (sheet, gx, gy) group by all)
+    select j.sheet, j.t as truth_id, j.d as draft_id, j.inter, round(j.inter / (tn.n + dn.n - j.inter), 6) as iou from j join tn using (sheet, t) join dn using (sheet, d)""",
 )
 def raster(spark, base):
     """Rectangles on tenths of a metre, so a 10 cm grid counts them exactly."""
