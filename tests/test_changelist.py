@@ -51,6 +51,7 @@ def test_csv_bytes(spark, tmp_path):
     cl.write_change_list_csv(rows.coalesce(1), path)
     text = "".join(p.read_bytes().decode() for p in sorted((tmp_path / "csv").glob("part-*")))
     assert text.split("\r\n") == [
+        cl.csv_header(),
         "2026-10-04T12:03:00.000Z,Flat A,https://x.test/s/t1,Buyer zzzz,zzzz99,Note,Note,Removed this note,,,,no",
         '2026-10-04T12:02:00.000Z,Flat A,https://x.test/s/t1,Rahim,abcdef,Note,Door handle · Bed 1,"Say ""hi"", please",,,,no',
         "2026-10-04T12:01:00.000Z,Flat A,https://x.test/s/t1,Rahim,abcdef,Finish choice,Bedroom floors,Dark walnut wood,RAK Ceramics,RAK-WOOD-WALNUT,45000,no",
