@@ -46,17 +46,21 @@ def anchors(docs: DataFrame, find: Callable[[list[bytes]], list[tuple[np.ndarray
     return docs.select("t", "text").mapInArrow(run, "h bigint, t bigint, p int")
 
 
-def repeated(found: DataFrame, inside: bool) -> DataFrame:
-    """Anchors whose gram occurs in another text (``inside``: or at another place of the same text).
+def repeated(found: DataFrame, inside: bool, store: bool) -> DataFrame:
+    """Anchors (t, p) whose gram occurs in another text (``inside``: or at another place of the same text).
+
+    ``store`` writes the anchors down between their two uses, which saves finding them twice and takes their size on disk.
 
     Grams are counted with a combining aggregate and joined back, so one gram in a third of all texts stays light: nothing
     above the join needs its rows together. Rows may repeat where tasks have sent one text twice.
     """
     o = F.xxhash64("t", "p") if inside else F.col("t")
-    found = staged(found)
+    if store:
+        found = staged(found)
     again = found.groupBy("h").agg(F.min(o).alias("a"), F.max(o).alias("b")).where("a <> b").select("h")
     out = staged(found.join(again, "h").select("t", "p"))
-    discard(found)
+    if store:
+        discard(found)
     return out
 
 

@@ -103,7 +103,7 @@ def repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
         raise ValueError(f"windows have at least {LONGER} words")
     base = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("d"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).where(F.col(text_col) != "")
     texts = base.groupBy("t").agg(F.min("d").alias("d"))
-    hits = repeated(anchors(base, _find(window)), inside=False)
+    hits = repeated(anchors(base, _find(window)), inside=False, store=False)
     at = places(hits).join(texts, "t")
     around = base.join(at, ["t", "d"]).select("d", "t", "text", "ps")
     suf = staged(suffixes(around, window), compression="zstd")

@@ -182,7 +182,7 @@ def spans(docs: DataFrame, window: int = 200, text_col: str = "text") -> tuple[D
         raise ValueError(f"windows have at least {2 * GRAM} bytes")
     base = docs.select(F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).where(F.octet_length(text_col) >= window)
     texts = base.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    hits = repeated(anchors(base, _find(window)), inside=True)
+    hits = repeated(anchors(base, _find(window)), inside=True, store=True)
     # Rank of the whole surroundings: places that share it are settled, and one of them stands for all against the others.
     f = staged(ranked(_texts(base, hits), window).distinct())
     o = F.xxhash64("t", "p")
