@@ -43,6 +43,7 @@ NAME_RULES = [
     (r"\b(AOD|DUCT|SHAFT|VOID|CHUTE|OPEN TO SKY)\b", "shaft"),
     (r"\b(STORE|UTILITY|LAUNDRY|SERVICE|CLOTH|DRYING|IRON|SHOE|DISH ?WASH)\b", "utility"),
 ]
+# What printed text must be read as, equal to what users' sheets are read as today.
 LIVING_DINING = r"\b(DRAWING|LIVING|FAMILY|LOUNGE|DINING)\b"
 NOT_A_ROOM = r"\b(MACHINE(?! ROOM)|FRIDGE|FREEZER|D\.?W|F\.?H\.?B|UP|DN|BEAM|SLAB|PIT)\b"
 A_ROOM_ALL_THE_SAME = r"\b(BED|TOILET|BATH|KITCHEN|LIVING|DINING|GREEN)\b"
@@ -191,6 +192,7 @@ def guess_kind(name: Column) -> Column:
 
 def flat_type_of(name: Column, kind: Column) -> Column:
     """TYPE-A ±2736 SFT → "Type A", UNIT A & B → "Unit A & B"; null for any other label."""
+    # Fixed value: the printed form of a flat type.
     pattern = r"(?i)\b(type|unit)[\s:-]*([a-z0-9]{1,2}(?:\s*(?:&|\+|and\b)\s*[a-z0-9]{1,2})*)\b"
     word = F.lower(F.regexp_extract(name, pattern, 1))
     letters = F.regexp_replace(F.upper(F.regexp_extract(name, pattern, 2)), r"\s*(?:&|\+|AND)\s*", " & ")
@@ -198,10 +200,12 @@ def flat_type_of(name: Column, kind: Column) -> Column:
 
 
 def says_parking(text: Column) -> Column:
+    # Fixed value.
     return text.rlike(r"\b(PARKING|DRIVE ?WAY|RAMP)\b")
 
 
 def says_lobby(text: Column) -> Column:
+    # Fixed value: with the misreadings of its letters.
     return text.rlike(r"\bL[O0][B8]{2}Y\b")
 
 

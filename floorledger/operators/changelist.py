@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The field names of the logged payload.
 PAYLOAD = (
     "slotId string, slotLabel string, optionId string, label string, brand string, sku string, "
     "priceDeltaBdt double, key string, scope string, removed boolean, text string, object string"

@@ -157,6 +157,7 @@ def derive_flats(rooms_: DataFrame, walls: DataFrame, openings: DataFrame, label
 
     typed = labels.withColumn("type_name", flat_type_of(F.col("name"), F.col("kind"))).where(F.col("type_name").isNotNull())
     text = F.concat_ws(" ", "name", "printed_size") if "printed_size" in labels.columns else F.col("name")
+    # Fixed value: how a printed area is written.
     sqft = F.regexp_replace(F.regexp_extract(text, r"(?i)(\d[\d,]{2,6})\s*(?:sft|sq\.?\s*ft|s\.f\.t)", 1), ",", "").try_cast("double")
     typed = typed.withColumn("sqft", sqft)
     at = smallest_containing(typed.select("unit_id", "label_id", "x", "y"), r.select("unit_id", F.col("room_id").alias("face_id"), "area", "poly"), U, ["label_id"], size)

@@ -14,6 +14,7 @@ from floorledger.operators.graph import components, roots
 from floorledger.operators.matching import greedy_match
 
 S = ["sheet"]
+# What printed text must be read as, equal to what users' sheets are read as today.
 LOOKS_LIKE_DIMS = r"\d.*['\"].*[x×X*%]|[x×X*%].*\d.*['\"]|\d\s*['\"]\s*-?\s*\d"
 FLOOR_NO = r"(?i)^(B ?\d{1,2}|\d{1,2}|G|GF|LG|UG)$"
 ROW_NAME = r"^\W{0,2}([1-9]|\d[1-9]|[1-9]\d)\s*(?:[.)]\s*|\s+)(.*)$"
