@@ -194,6 +194,7 @@ def near_pairs(entries: DataFrame, threshold: float) -> DataFrame:
 
     routed = staged(entries.select("cid", "v", "raw").mapInArrow(route, "cluster bigint, cid bigint, v array<double>, raw array<double>"))
     sizes = {r["cluster"]: r["count"] for r in routed.groupBy("cluster").count().collect()}  # at most CENTROIDS rows
+    spread = sum(max(1, -(-sizes.get(i, 0) // (2 * SHARD))) for i in range(len(c)))  # a shard is long work on few bytes: one task each
     pieces = F.split(F.lit(",".join(str(max(1, -(-sizes.get(i, 0) // (2 * SHARD)))) for i in range(len(c)))), ",").cast("array<bigint>")
     routed = routed.withColumn("pieces", F.element_at(pieces, (F.col("cluster") + 1).cast("int")))
     shard = lambda piece: (F.col("cluster") * 1_000_000 + piece).alias("shard")
@@ -206,7 +207,7 @@ def near_pairs(entries: DataFrame, threshold: float) -> DataFrame:
             ends = np.cumsum([0, *(adj >= 0).sum(1)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(cid), pa.ListArray.from_arrays(pa.array(ends), pa.array(cid[adj[adj >= 0]]))], names=["cid", "out"])
 
-    members = routed.select(shard(home), "cid", "v").repartition("shard").sortWithinPartitions("shard", "cid")
+    members = routed.select(shard(home), "cid", "v").repartition(spread, "shard").sortWithinPartitions("shard", "cid")
     lists = staged(members.mapInArrow(grow, "cid bigint, out array<bigint>"))
     united = lists.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("out"))).alias("out"))  # at most OVERLAP lists of DEGREE
 
@@ -242,7 +243,7 @@ def near_pairs(entries: DataFrame, threshold: float) -> DataFrame:
                 a, b = cid[r[ok]], cid[node[ok]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["src", "dst"])
 
-    dealt = nodes.unionByName(asks).repartition("shard").sortWithinPartitions("shard", "kind", "cid")
+    dealt = nodes.unionByName(asks).repartition(spread, "shard").sortWithinPartitions("shard", "kind", "cid")
     return dealt.mapInArrow(search, "src bigint, dst bigint").distinct()
 
 
