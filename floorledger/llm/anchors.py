@@ -51,16 +51,15 @@ def repeated(found: DataFrame, inside: bool, store: bool) -> DataFrame:
 
     ``store`` writes the anchors down between their two uses, which saves finding them twice and takes their size on disk.
 
-    Grams are counted with a combining aggregate and joined back, so one gram in a third of all texts stays light: nothing
-    above the join needs its rows together. Rows may repeat where tasks have sent one text twice.
+    Grams are counted with a combining aggregate and joined back, so one gram in a third of all texts stays light: the counts
+    are a table of their own, so adaptive execution can split the join, and nothing above it needs a gram's rows together. Rows may repeat where tasks have sent one text twice.
     """
     o = F.xxhash64("t", "p") if inside else F.col("t")
     if store:
         found = staged(found)
-    again = found.groupBy("h").agg(F.min(o).alias("a"), F.max(o).alias("b")).where("a <> b").select("h")
+    again = staged(found.groupBy("h").agg(F.min(o).alias("a"), F.max(o).alias("b")).where("a <> b").select("h"))
     out = staged(found.join(again, "h").select("t", "p"))
-    if store:
-        discard(found)
+    discard(*([found] if store else []), again)
     return out
 
 
