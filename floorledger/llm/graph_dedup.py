@@ -5,6 +5,10 @@ doubling size: a greedy search finds each new node's surroundings, robust prunin
 added and pruned. Adjacency lists of all shards are united by node. Then every vector is searched in its shards over the
 united lists: from the shard's medoid (and from itself, where it lies there) to its surroundings, and on from every hit as
 long as hits turn up. Hits are verified by the exact cosine.
+
+A search ends at its shard's border, so pairs of two nearest centroids are found by another path (``across``): a vector asks at
+every centroid that a partner of the threshold's cosine can have as its nearest, and is compared there with all whose nearest it
+is. The bound is exact: of such pairs none is lost, whatever the number of centroids.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floorledger.llm.common import staged
+from floorledger.llm.common import mix, staged
 from floorledger.llm.vectors import centroids, distances, matrix, sample, valid
 from floorledger.operators.graph import components
 
@@ -29,6 +33,8 @@ SHARD = 3000
 OVERLAP = 2
 #: Most centroids: with vectors of a few hundred numbers they stay within a few MB. Larger clusters are split.
 CENTROIDS = 1024
+#: Vectors that a task of ``across`` holds, and vectors that ask there, about.
+HELD, ASKING = 8 * SHARD, 20_000
 
 
 def beam_search(x: np.ndarray, adj: np.ndarray, q: np.ndarray, starts: np.ndarray, width: int, keep_all: bool = False):
@@ -188,12 +194,18 @@ def near_pairs(entries: DataFrame, threshold: float) -> DataFrame:
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                near = np.argsort(distances(matrix(b.column(1)), c), axis=1, kind="stable")[:, :OVERLAP]
+                d = distances(matrix(b.column(1)), c)
+                near = np.argsort(d, axis=1, kind="stable")[:, :OVERLAP]
+                gap, first = np.sqrt(np.take_along_axis(d, near, 1)), np.arange(near.shape[1]) == 0
                 t = b.take(pa.array(np.repeat(np.arange(b.num_rows), near.shape[1])))
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int64)), *t.columns], names=["cluster", "cid", "v", "raw"])
-
-    routed = staged(entries.select("cid", "v", "raw").mapInArrow(route, "cluster bigint, cid bigint, v array<double>, raw array<double>"))
-    sizes = {r["cluster"]: r["count"] for r in routed.groupBy("cluster").count().collect()}  # at most CENTROIDS rows
+                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int64)), pa.array(np.where(first, gap, np.nan).ravel(), from_pandas=True), *t.columns], names=["cluster", "gap", "cid", "v", "raw"])
+
+    routed = staged(entries.select("cid", "v", "raw").mapInArrow(route, "cluster bigint, gap double, cid bigint, v array<double>, raw array<double>"))
+    told = routed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.count("gap").alias("home"), F.max("gap").alias("reach")).collect()  # at most CENTROIDS rows
+    sizes = {r["cluster"]: r["n"] for r in told}
+    homes, reach = np.zeros(len(c), dtype=np.int64), np.full(len(c), -np.inf)
+    for r in told:
+        homes[r["cluster"]], reach[r["cluster"]] = r["home"], -np.inf if r["reach"] is None else r["reach"]
     spread = sum(max(1, -(-sizes.get(i, 0) // (2 * SHARD))) for i in range(len(c)))  # a shard is long work on few bytes: one task each
     pieces = F.split(F.lit(",".join(str(max(1, -(-sizes.get(i, 0) // (2 * SHARD)))) for i in range(len(c)))), ",").cast("array<bigint>")
     routed = routed.withColumn("pieces", F.element_at(pieces, (F.col("cluster") + 1).cast("int")))
@@ -244,7 +256,104 @@ def near_pairs(entries: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["src", "dst"])
 
     dealt = nodes.unionByName(asks).repartition(spread, "shard").sortWithinPartitions("shard", "kind", "cid")
-    return dealt.mapInArrow(search, "src bigint, dst bigint").distinct()
+    within = dealt.mapInArrow(search, "src bigint, dst bigint")
+    return within.unionByName(across(routed.where("gap is not null"), c, homes, reach, threshold)).distinct()
+
+
+def asked(x: np.ndarray, home: np.ndarray, c: np.ndarray, reach: np.ndarray, threshold: float) -> np.ndarray:
+    """Rows by centroids: where a vector of cosine ≥ ``threshold`` with the unit vector can have its nearest centroid, of those before ``home``.
+
+    A partner lies within the threshold's angle of x. One that is nearer to c[j] than to c[home] lies beyond the plane halfway
+    between them, and none lies further from c[j] than ``reach``. Each pair asks on one side, so those before home do.
+    """
+    d, n2 = distances(x, c), (c * c).sum(1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gap = np.sqrt(distances(c, c))[home]
+        at = (x @ c.T - (x * c[home]).sum(1)[:, None]) / gap
+        plane = (n2[None, :] - n2[home][:, None]) / 2 / gap
+    most = np.cos(np.maximum(np.arccos(np.clip(at, -1, 1)) - np.arccos(np.clip(threshold, -1, 1)), 0))
+    can = (gap < 1e-6) | (most >= plane - 1e-6)  # rounding only adds
+    can &= np.sqrt(d) <= reach[None, :] + np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
+    return can & (np.arange(len(c))[None, :] < home[:, None])
+
+
+def across(rows: DataFrame, c: np.ndarray, homes: np.ndarray, reach: np.ndarray, threshold: float) -> DataFrame:
+    """(src, dst), src < dst: all pairs of two nearest centroids with cosine ≥ ``threshold``; ``rows``: cluster (the nearest), cid, v, raw.
+
+    Centroids go in groups of HELD vectors, so that a vector travels once to a group and not to each centroid it asks at.
+    A centroid of more vectors is a group of several pieces, and who asks goes to each. ``homes``: vectors of each centroid.
+    """
+    group, bit, pieces, full = np.zeros(len(c), dtype=np.int64), np.zeros(len(c), dtype=np.int64), [], 0
+    for j, n in enumerate(homes.tolist()):
+        if not pieces or full + n > HELD or bit[j - 1] == 61:
+            pieces, full = [*pieces, max(1, -(-n // HELD))], 0
+        else:
+            bit[j] = bit[j - 1] + 1
+        group[j], full = len(pieces) - 1, full + n
+    pieces, total = np.array(pieces), int(homes.sum())
+    chunks = max(1, -(-total // ASKING))
+    first = np.cumsum(pieces) - pieces
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                b = whole.slice(lo, 1024)
+                home, cid = np.asarray(b.column(0)), np.asarray(b.column(1))
+                spread = mix(cid.view(np.uint64))
+                piece, chunk = (spread % pieces[group[home]].astype(np.uint64)).astype(np.int64), ((spread >> np.uint64(32)) % np.uint64(chunks)).astype(np.int64)
+                # Those who are asked, in every chunk of those who ask; and who asks, once for each piece of a group.
+                held = np.repeat(np.arange(len(home)), chunks)
+                task = [(first[group[home]] + piece)[held] * chunks + np.tile(np.arange(chunks), len(home))]
+                kind, what, row = [np.zeros(len(held), dtype=np.int32)], [home[held]], [held]
+                ok = asked(matrix(b.column(2)), home, c, reach, threshold)
+                for g in np.unique(group[ok.any(0)]).tolist():
+                    mask = (ok[:, group == g] * (np.int64(1) << bit[group == g])).sum(1)
+                    asks = np.repeat(np.flatnonzero(mask), pieces[g])
+                    task.append((first[g] + np.tile(np.arange(pieces[g]), len(asks) // pieces[g])) * chunks + chunk[asks])
+                    kind, what, row = [*kind, np.ones(len(asks), dtype=np.int32)], [*what, mask[asks]], [*row, asks]
+                t = b.select([1, 3]).take(pa.array(np.concatenate(row)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(task)), pa.array(np.concatenate(kind)), pa.array(np.concatenate(what)), *t.columns], names=["task", "kind", "what", "cid", "raw"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, cells = None, [], None
+        for whole in batches:
+            tasks = np.asarray(whole.column(0))
+            edges = [0, *(np.flatnonzero(tasks[1:] != tasks[:-1]) + 1).tolist(), len(tasks)]
+            for lo, hi in zip(edges, edges[1:]):
+                if lo == hi:
+                    continue
+                if tasks[lo] != last:
+                    last, held, cells = tasks[lo], [], None
+                b = whole.slice(lo, hi - lo)
+                n = int((np.asarray(b.column(1)) == 0).sum())
+                if n:
+                    held.append(b.slice(0, n))
+                if n == len(b) or not held:
+                    continue
+                if cells is None:
+                    t = pa.Table.from_batches(held).combine_chunks()
+                    of, ids, raw = t.column(2).to_numpy(), t.column(3).to_numpy(), matrix(t.column(4))
+                    norm = np.sqrt((raw * raw).sum(1))
+                    cells = [(bit[j], ids[of == j], raw[of == j], norm[of == j], (raw[of == j] / norm[of == j][:, None]).astype(np.float32)) for j in np.unique(of).tolist()]
+                b = b.slice(n)
+                mask, cid, raw = np.asarray(b.column(2)), np.asarray(b.column(3)), matrix(b.column(4))
+                norm = np.sqrt((raw * raw).sum(1))
+                unit = (raw / norm[:, None]).astype(np.float32)
+                for k, ids, other, length, v in cells:
+                    who = np.flatnonzero(mask >> k & 1)
+                    step = max(1, 4_000_000 // len(ids))
+                    for at in range(0, len(who), step):
+                        part = who[at : at + step]
+                        i, j = np.nonzero(unit[part] @ v.T >= threshold - 1e-4)  # single precision; then the exact cosine
+                        for begin in range(0, len(i), 50_000):
+                            p, q = part[i[begin : begin + 50_000]], j[begin : begin + 50_000]
+                            ok = (raw[p] * other[q]).sum(1) / (norm[p] * length[q]) >= threshold
+                            x, y = cid[p[ok]], ids[q[ok]]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["src", "dst"])
+
+    dealt = rows.select("cluster", "cid", "v", "raw").mapInArrow(deal, "task bigint, kind int, what bigint, cid bigint, raw array<double>")
+    dealt = dealt.repartition(max(1, int(pieces.sum()) * chunks), "task").sortWithinPartitions("task", "kind")
+    return dealt.mapInArrow(compare, "src bigint, dst bigint")
 
 
 def dedup(rows: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

@@ -87,3 +87,42 @@ def test_graph_of_a_shard_reaches_near_copies():
     found = {(min(a, b), max(a, b)) for a, b in zip(q.tolist(), node.tolist()) if a != b}
     want = {(a, b) for a, b in zip(*map(lambda v: v.tolist(), np.nonzero(np.triu(c, 1))))}
     assert found <= want and len(found) >= 0.97 * len(want)
+
+
+def planted(n, m, d, seed=1):
+    """n unit vectors without structure, and m partners of some at a cosine of 0.9 to 0.93."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, d))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    a, w = x[:m], rng.normal(size=(m, d))
+    w -= (w * a).sum(1)[:, None] * a
+    w /= np.sqrt((w * w).sum(1))[:, None]
+    cos = rng.uniform(0.9001, 0.93, size=(m, 1))
+    return np.concatenate([x, cos * a + np.sqrt(1 - cos * cos) * w])
+
+
+def test_asked_covers_every_pair():
+    from floorledger.llm.vectors import centroids, distances
+
+    x = planted(1500, 800, 32)
+    c = centroids(x, 60)
+    d = distances(x, c)
+    home = np.argmin(d, axis=1)
+    reach = np.array([np.sqrt(d[home == j, j].max(initial=0)) for j in range(len(c))])
+    ok = graph_dedup.asked(x, home, c, reach, 0.9)
+    i, j = np.nonzero(x @ x.T >= 0.9)
+    cross = home[i] > home[j]
+    assert cross.sum() > 100 and ok[i[cross], home[j[cross]]].all()
+
+
+def test_graph_dedup_finds_the_links_of_many_shards(spark, monkeypatch):
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(planted(1200, 600, 32))]
+    c = exact(rows)
+    monkeypatch.setattr(graph_dedup, "SHARD", 40)  # 90 centroids
+    df = spark.createDataFrame([(i, v, 1, 2, 3, "s", 4) for i, v in rows], SCHEMA).repartition(3).cache()
+    for sizes in ({}, {"HELD": 15, "ASKING": 500}):  # one task; many, of centroids in several pieces
+        for name, size in sizes.items():
+            monkeypatch.setattr(graph_dedup, name, size)
+        got = {r.vec_id: r.n_links for r in graph_dedup.dedup(df).collect()}
+        n = np.array([got[i] for i, _ in rows])
+        assert (n <= c.sum(1)).all() and n.sum() >= 0.995 * c.sum()
