@@ -124,6 +124,11 @@ def link(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_i
     the row's own included. Null and empty texts have no shingles and link with nothing. Rows with a null id report their
     component, and serve as links, but are nobody's smallest id. Repeated ids are rows of their own. Extra columns are ignored.
     """
+    return _linked(docs, size, percent, id_col, text_col).drop("component")
+
+
+def _linked(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``link`` and ``component``, a key that differs between components where their smallest ids are null or equal."""
     s = staged(sketches(docs, size, percent, id_col, text_col))
     rows = staged(s.select("doc_id", "text_hash", "n", "key"))
     need = -F.floor(-F.col("n") * percent / 100)
@@ -154,16 +159,16 @@ def link(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_i
     cls = rows.groupBy("key").agg(F.min("doc_id").alias("low")).join(label.withColumnRenamed("id", "key"), "key", "left")
     cls = cls.withColumn("component", F.coalesce("component", "key"))
     least = cls.groupBy("component").agg(F.min("low").alias("component_id"))
-    cls = cls.join(least, "component").select("key", "component_id")
+    cls = cls.join(least, "component").select("key", "component_id", "component")
     out = rows.join(cls, "key")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash", "component")
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: the smallest id, of one id the smallest text hash, of equal rows one. Rows without words stay."""
     last = F.lit(2**63 - 1)
-    linked = link(docs, size, percent, id_col, text_col).where("n_shingles > 0")
-    best = linked.groupBy(F.coalesce("component_id", last)).agg(F.min(F.struct(F.coalesce("doc_id", last).alias("_id"), F.col("text_hash").alias("_h"))).alias("b")).select("b.*")
+    linked = _linked(docs, size, percent, id_col, text_col).where("n_shingles > 0")
+    best = linked.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("_id"), F.col("text_hash").alias("_h"))).alias("b")).select("b.*")
     d = docs.select(F.coalesce(F.col(id_col).cast("bigint"), last).alias("_id"), F.xxhash64(text_col).alias("_h"), F.struct(*docs.columns).alias("row"))
     none = F.coalesce(~F.col(f"row.{text_col}").rlike(WORD), F.lit(True))
     stay = d.where(~none).join(best, ["_id", "_h"]).withColumn("i", F.row_number().over(Window.partitionBy("_id", "_h").orderBy("_h"))).where("i = 1")

@@ -71,6 +71,14 @@ def test_ngram_join(docs, empty, monkeypatch):
     assert sorted(kept, key=str) == sorted([*firsts, *none], key=str)
 
 
+def test_keep_one_takes_a_row_of_each_component(spark):
+    """Unrelated texts without an id, and unrelated texts of one id, are components of their own."""
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcd"}
+    rows = [(None, text["a"], "s"), (None, text["b"], "s"), (None, text["a"], "s"), (7, text["c"], "s"), (7, text["d"], "s"), (8, text["d"], "s"), (None, None, "s"), (7, "", "s")]
+    kept = [(r.doc_id, r.text) for r in ngram_join.keep_one(corpus.frame(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(None, text["a"]), (None, text["b"]), (7, text["c"]), (7, text["d"]), (None, None), (7, "")], key=str)
+
+
 def test_ngram_bitmap_bound_and_large_tiles(spark, monkeypatch):
     """A chain of near copies that no leader holds together, in tiles dealt out as blocks."""
     monkeypatch.setattr(ngram_join, "TILE", 3)
