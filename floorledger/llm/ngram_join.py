@@ -136,11 +136,14 @@ def _linked(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str
     long = F.least(F.col("n"), F.col("n") - need + more)
     hits = _shared(s.select("key", "n", F.col("low").alias("hs"))).distinct()  # tasks may have sent one class twice
     alive = hits.groupBy("key", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= long - (F.col("n") - need))
-    pick = staged(rows.groupBy("key").agg(F.min("doc_id").alias("_id")).join(alive.select("key"), "key"))
+    # One text of each class: by id and text hash, for an id may be null or repeated.
+    last = F.lit(2**63 - 1)
+    one = F.min(F.struct(F.coalesce("doc_id", last).alias("_id"), F.col("text_hash").alias("_h"))).alias("one")
+    pick = staged(rows.groupBy("key").agg(one).select("key", "one.*").join(alive.select("key"), "key"))
     discard(s)
 
     # Among the classes left, all shingles are counted: those of one class alone can't be common to any two.
-    texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), text_col).join(pick.select("_id"), "_id", "left_semi")
+    texts = docs.select(F.coalesce(F.col(id_col).cast("bigint"), last).alias("_id"), F.xxhash64(text_col).alias("_h"), text_col).join(pick.select("_id", "_h"), ["_id", "_h"], "left_semi")
     sets = staged(full_sets(texts, size, text_col).join(pick.select("key"), "key", "left_semi").dropDuplicates(["key"]))
     common = _shared(sets.select("key", "n", F.col("members").alias("hs")))
     rare = Window.partitionBy("key").orderBy("c", "h")  # the shingles of one class

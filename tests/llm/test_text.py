@@ -71,6 +71,18 @@ def test_ngram_join(docs, empty, monkeypatch):
     assert sorted(kept, key=str) == sorted([*firsts, *none], key=str)
 
 
+def test_ngram_join_of_texts_without_an_id(spark):
+    """A near copy without an id, one through which two documents meet, and two that meet each other."""
+    w = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(f"a{i}" for i in range(40)), "s"), (None, " ".join(f"a{i}" for i in range(39)), "s")]
+    rows += [(2, " ".join(w), "s"), (None, " ".join(w[5:]), "s"), (3, " ".join([*w[10:], "x1", "x2"]), "s"), (None, " ".join(f"b{i}" for i in range(40)), "s"), (None, " ".join(f"b{i}" for i in range(41)), "s")]
+    want = corpus.components(rows)
+    assert [(i, c) for i, _, c in want if i] == [(1, 1), (2, 2), (3, 2)]
+    d = corpus.frame(spark, rows)
+    assert sorted((tuple(r) for r in ngram_join.link(d).select("doc_id", "n_shingles", "component_id").collect()), key=str) == want
+    assert sorted((r.doc_id or 0) for r in ngram_join.keep_one(d).collect()) == [0, 1, 2]
+
+
 def test_keep_one_takes_a_row_of_each_component(spark):
     """Unrelated texts without an id, and unrelated texts of one id, are components of their own."""
     text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcd"}
