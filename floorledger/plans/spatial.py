@@ -172,8 +172,17 @@ def main_rect(spark, base):
     select id, cast(p0 as double) as p0, cast(p1 as double) as p1, case when abs(w-p0) <= 1 and abs(h-p1) <= 1 then 'main' end as by, not (abs(w-p0) <= 1 and abs(h-p1) <= 1) as off from g""",
 )
 def printed(spark, base):
-    """Plain rectangles: the main rectangle is the outline, so only the main measure can decide."""
-    p = polygons(spark, base).where(~F.col("cut"))
+    """Plain rectangles: the main rectangle is the outline, so only the main measure can decide. The cut rings: ``printed_cut``."""
+    return _printed(polygons(spark, base).where(~F.col("cut")))
+
+
+@query("GEO-9_printed_size_cut_rings")
+def printed_cut(spark, base):
+    """The rings that GEO-9_printed_size and its SQL leave out: L shapes, where the outline box decides what the main rectangle does not fit."""
+    return _printed(polygons(spark, base).where("cut"))
+
+
+def _printed(p):
     rows = ring_rows(p)
     rooms = p.select("id", (1 + F.col("p_size") % 4).cast("double").alias("a"), (1 + F.col("p_size") % 6).cast("double").alias("b"))
     out = geo.printed_size_check(rooms, geo.main_rectangle(rows, ["id"]), geo.outline_box(rows, ["id"]), ["id"], 1.0)

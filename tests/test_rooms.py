@@ -180,6 +180,29 @@ def test_printed_size_and_inner_ring(spark):
     assert r.by == "main" and not r.off and r.message.startswith("Hall: drawn 9'-10\" × 16'-5\", printed 9'-11\" × 16'-5\"")
 
 
+def test_printed_size_of_cut_rings(spark, tmp_path):
+    """Both halves of an L are equally large, so sizes are taken on which either gives the same verdict."""
+    from floorledger.plans import registry
+
+    def fit(w, h, a, b):
+        p = (a, b) if abs(w - a) + abs(h - b) <= abs(w - b) + abs(h - a) else (b, a)
+        return abs(w - p[0]) <= 1 and abs(h - p[1]) <= 1
+
+    want = {}
+    for n in range(1, 51):
+        w, h, a, b = 1 + n % 5, 1 + n % 3, 1 + n % 4, 1 + n % 6
+        by = {"main" if fit(*m, a, b) else "outline" if fit(w, h, a, b) else None for m in ((w, h / 2), (w / 2, h))}
+        if len(by) == 1:
+            want[n] = by.pop()
+    assert set(want.values()) == {"main", "outline", None}
+    parts = [(n, n, "PROMO", 1.0, "x") for n in want] + [(100, 5, "SMALL", 1.0, "x")]
+    spark.createDataFrame(parts, "p_partkey long, p_size int, p_type string, p_retailprice double, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    queries = registry.load()
+    got = queries["GEO-9_printed_size_cut_rings"].run(spark, str(tmp_path)).collect()
+    assert {r.id: r.by for r in got} == want and all(r.off == (r.by is None) for r in got)
+    assert [r.id for r in queries["GEO-9_printed_size"].run(spark, str(tmp_path)).collect()] == [100]
+
+
 def test_repair(spark):
     p = Plan()
     p.rect("u", 0, 0, 4, 3)
