@@ -1,10 +1,12 @@
-"""Suffix-array dedup over bytes by distributed prefix doubling.
-
-A place's rank at length 2k is the pair of its ranks at k and k places on; ranks are names (hashes of such pairs), so equal names
-mean equal strings. Doubling 8, 16, 32, 64 bytes names the places of each text; a sparse choice of them, of which every window of
-200 bytes holds one at the same offset, is sorted by Spark, and places whose name is unique drop out. The places left double
-on, past 200 bytes to either side; places of one rank there are settled, and one stands for all of them. What is left is
-sorted by Spark once more, and the windows around a place get their full-length names from pairs at offsets 64, 128 and 72.
+"""Windows of repeated bytes by hash names of anchors: what a suffix array by prefix doubling would find, without its Spark rounds.
+
+There are no Spark sorts of rank pairs at growing offsets and no reranking rounds. A place's name at length 2k is the hash of
+its names at k and k places on; names are unordered, and equal names mean equal strings. The doubling (8, 16, 32, 64 bytes)
+runs in numpy inside each text. A sparse choice of places (anchors), of which every window of 200 bytes holds one at the same
+offset, goes to Spark: one hash aggregate drops places whose name is unique. The places left double on, again inside
+their text, past 200 bytes to either side; a second aggregate settles places of one name there, and one stands for all of
+them. What is left is repartitioned once, and the windows around a place get their full-length names from pairs at offsets
+64, 128 and 72.
 """
 
 from __future__ import annotations
