@@ -232,13 +232,29 @@ def paired(spark, base):
 
 @query("JOIN-12_greedy_match")
 def greedy(spark, base):
-    """Names (suppliers) to rooms (customers) of one nation, nearest balances first: no SQL, brute force in the tests."""
-    from floorledger.operators.cells import interval_join
+    """Names (suppliers) to rooms (customers) of one nation, nearest balances first: no SQL, brute force in the tests.
 
-    s = table(spark, base, "supplier").select(F.col("s_nationkey").alias("n"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("v"), (F.col("s_acctbal") - 60).alias("u0"), (F.col("s_acctbal") + 60).alias("u1"))
-    c = table(spark, base, "customer").select(F.col("c_nationkey").alias("n"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"), F.col("c_acctbal").alias("u0"), (F.col("c_acctbal") + 0.001).alias("u1"))
-    p = interval_join(s, c, ["n"], 120.0).select(F.col("l.id").alias("name_id"), F.col("r.id").alias("room_id"), F.round(F.abs(F.col("l.v") - F.col("r.v")), 4).alias("cost"))
-    return matching.greedy_match(p, ["name_id"], ["room_id"])
+    The reach only orders the work: a greedy walk takes all pairs within it before any other, and what is left over goes on with
+    four times the reach, until no nation has a name and a room left.
+    """
+    from floorledger.operators.cells import interval_join
+    from floorledger.session import cut_lineage
+
+    s = table(spark, base, "supplier").select(F.col("s_nationkey").alias("n"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("v"))
+    c = table(spark, base, "customer").select(F.col("c_nationkey").alias("n"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"))
+    s, c = (t.where("n is not null and id is not null").where(F.abs("v") < float("inf")) for t in (s, c))
+    taken, reach = None, 60.0
+    while True:
+        a = s.withColumn("u0", F.col("v") - reach - 0.001).withColumn("u1", F.col("v") + reach + 0.001)
+        b = c.withColumn("u0", F.col("v")).withColumn("u1", F.col("v") + 0.001)
+        p = interval_join(a, b, ["n"], 2 * reach).select(F.col("l.id").alias("name_id"), F.col("r.id").alias("room_id"), F.round(F.abs(F.col("l.v") - F.col("r.v")), 4).alias("cost"))
+        hit = matching.greedy_match(p.where(F.col("cost") <= reach), ["name_id"], ["room_id"])
+        taken = hit if taken is None else taken.unionByName(hit)
+        s = cut_lineage(s.join(hit.select(F.col("name_id").alias("id")), "id", "left_anti"))
+        c = cut_lineage(c.join(hit.select(F.col("room_id").alias("id")), "id", "left_anti"))
+        if s.join(c, "n", "left_semi").isEmpty():
+            return taken
+        reach *= 4
 
 
 # ---- windows ----------------------------------------------------------------------------------------------------------

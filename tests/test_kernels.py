@@ -105,3 +105,19 @@ def test_thickness_classes_and_slow_frames(spark):
     assert len(c) == 3 and abs(c[0] - 10.17) < 0.01 and c[1:] == [20.0, 40.0]
     f = spark.range(60).select(F.lit("v").alias("s"), F.lit("2026-01-01 00:00:10").cast("timestamp").alias("ts"), F.when(F.col("id") < 30, 30.0).otherwise(40.0).alias("ms"))
     assert wn.slow_frames(f, ["s"]).count() == 1 and wn.slow_frames(f.where("id < 50"), ["s"]).count() == 0
+
+
+def test_greedy_query_matches_names_at_any_distance(spark, tmp_path):
+    from floorledger.plans import registry
+
+    names = [(1, 1, 0.0), (2, 1, 50.0), (3, 1, 5000.0), (4, 2, 10.0), (5, 3, 1.0)]
+    rooms = [(11, 1, 40.0), (12, 1, 300.0), (13, 1, 9000.0), (14, 1, 9100.0), (15, 2, 900.0), (16, 4, 1.0)]
+    spark.createDataFrame(names, "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame(rooms, "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    want, used = set(), set()
+    for cost, i, j in sorted((abs(u - v), i, j) for i, n, u in names for j, m, v in rooms if n == m):
+        if not {("s", i), ("c", j)} & used:
+            used |= {("s", i), ("c", j)}
+            want.add((i, j, cost))
+    got = registry.load()["JOIN-12_greedy_match"].run(spark, str(tmp_path))
+    assert {tuple(r) for r in got.select("name_id", "room_id", "cost").collect()} == want and len(want) == 4
