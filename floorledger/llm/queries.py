@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from floorledger.llm import bpe, graph_dedup, line_dedup, mixing, multi_index, ngram_join, quality, substrings, suffix_array, token_counts
+from floorledger.llm import bpe, graph_dedup, line_dedup, mixing, multi_index, ngram_join, pieces, quality, substrings, suffix_array, token_counts
 from floorledger.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_line_dedup(spark: SparkSession, base: str) -> DataFrame:
     return line_dedup.decisions(table(spark, base, "documents"))
 
 
+def op11_sentence_pieces(spark: SparkSession, base: str) -> DataFrame:
+    return pieces.digests(table(spark, base, "documents"), bpe.tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
         "op10_line_dedup": op10_line_dedup,
+        "op11_sentence_pieces": op11_sentence_pieces,
     }
 
 
