@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from floorledger.llm import bpe, graph_dedup, line_dedup, merkle, mixing, multi_index, ngram_join, pieces, quality, substrings, suffix_array, token_counts
+from floorledger.llm import bpe, graph_dedup, lexical, line_dedup, merkle, mixing, multi_index, ngram_join, pieces, quality, substrings, suffix_array, token_counts
 from floorledger.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op11_sentence_pieces(spark: SparkSession, base: str) -> DataFrame:
     return pieces.digests(table(spark, base, "documents"), bpe.tokenizer_path("piece_bpe_32k.model"))
 
 
+def op12_lexical_search(spark: SparkSession, base: str) -> DataFrame:
+    return lexical.search(table(spark, base, "documents"), table(spark, base, "benchmark"))
+
+
 def op13_merkle_manifest(spark: SparkSession, base: str) -> DataFrame:
     return merkle.document_manifest(table(spark, base, "documents"))
 
@@ -72,9 +76,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
         "op10_line_dedup": op10_line_dedup,
         "op11_sentence_pieces": op11_sentence_pieces,
+        "op12_lexical_search": op12_lexical_search,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.MIX_SQL, "op10_line_dedup": line_dedup.LINES_SQL, "op13_merkle_manifest": merkle.MANIFEST_SQL}
+    return {"op4_mix_sources": mixing.MIX_SQL, "op10_line_dedup": line_dedup.LINES_SQL, "op12_lexical_search": lexical.SEARCH_SQL, "op13_merkle_manifest": merkle.MANIFEST_SQL}
