@@ -44,6 +44,11 @@ def frame(spark, rows):
 
 def components(rows, size=5, percent=75):
     """One (doc_id, shingles, component) for each row."""
+    return sorted(((i, n, low) for (i, _, _), (_, n, low) in zip(rows, groups(rows, size, percent))), key=str)
+
+
+def groups(rows, size=5, percent=75):
+    """(component key, shingles, smallest id in the component) of each row, in order; a row without shingles is alone."""
     sets = []
     for _, t, _ in rows:
         w = [a.translate(LOWER) for a in words(t)]
@@ -63,7 +68,7 @@ def components(rows, size=5, percent=75):
     for a, (i, _, _) in enumerate(rows):
         if i is not None:
             low[find(a)] = min(low.get(find(a), i), i)
-    return sorted(((i, len(sets[a]), low.get(find(a)) if sets[a] else i) for a, (i, _, _) in enumerate(rows)), key=str)
+    return [(find(a), len(sets[a]), low.get(find(a)) if sets[a] else i) for a, (i, _, _) in enumerate(rows)]
 
 
 def sha(b):

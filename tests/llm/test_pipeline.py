@@ -80,7 +80,7 @@ def test_queries_read_whole_tables():
     import __spark_entry__ as entry
 
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert len(names) == 10 and "pipeline" in entry.queries()
+    assert len(names) == 13 and "pipeline" in entry.queries()
     source = "".join(p.read_text() for p in (ROOT / "floorledger/llm").glob("*.py"))
     assert "localCheckpoint" not in source and "crossJoin" not in source and not re.search(r"\bsample\(0|tempfile", source)
 

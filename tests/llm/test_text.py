@@ -65,10 +65,12 @@ def test_ngram_join(docs, empty, monkeypatch):
     cols = ("doc_id", "n_shingles", "component_id")
     assert sorted((tuple(r) for r in ngram_join.link(docs).select(*cols).collect()), key=str) == want
     assert ngram_join.link(empty).count() == 0
-    kept = [r.doc_id for r in ngram_join.keep_one(docs).collect()]
-    firsts = {c for _, n, c in want if n}
-    none = [i for i, n, _ in want if not n]
-    assert sorted(kept, key=str) == sorted([*firsts, *none], key=str)
+    group = dict(zip([(i, t) for i, t, _ in ROWS], corpus.groups(ROWS)))  # rows that agree in id and text are of one group
+    kept = [(r.doc_id, r.text) for r in ngram_join.keep_one(docs).collect()]
+    of = [group[k][0] for k in kept if group[k][1]]
+    assert len(of) == len(set(of)) and set(of) == {key for key, n, _ in group.values() if n}
+    assert all(i == group[i, t][2] for i, t in kept)
+    assert sorted((k for k in kept if not group[k][1]), key=str) == sorted(((i, t) for i, t, _ in ROWS if not group[i, t][1]), key=str)
 
 
 def test_ngram_join_of_texts_without_an_id(spark):
