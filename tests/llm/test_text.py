@@ -157,6 +157,38 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.decisions(docs).count() == len(ROWS)
 
 
+def test_line_dedup_of_null_and_repeated_ids(spark):
+    """Rows that agree in id and text are one document; null ids come last; extra columns have the names the job uses itself."""
+    line = "alpha beta gamma delta epsilon zeta eta theta"
+    rows = [(None, f"{line}\nonly here"), (5, f"{line} iota\nunrelated words stand here"), (5, f"{line} iota\nunrelated words stand here"), (5, "alpha beta"), (None, None), (9, ""), (None, f"\t{line.replace(' ', chr(9))}\x0b\nmore\nmore"), (2, "\n")]
+    names = ["_hash", "_left", "_same", "_gone", "gone", "left", "same", "row", "text_hash", "d", "t", "p", "id", "line"]
+    d = spark.createDataFrame([(*r, 7, *range(len(names))) for r in rows], "doc_id long, text string, n_chars long, " + ", ".join(f"{n} int" for n in names)).repartition(3)
+    got = line_dedup.dedup(d)
+    assert got.columns == d.columns
+    want = [(None, "only here"), *[(5, rows[1][1])] * 2, (5, "alpha beta"), (None, None), (9, ""), (2, "\n")]
+    # Of the two documents without an id the one of smaller text hash keeps the first "more"; both lose the near copy of 5's line.
+    want.append((None, "more"))
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert all([r[n] for n in names] == list(range(len(names))) for r in got.collect())
+    removed = sorted(((r.doc_id, r.n_lines, r.removed) for r in line_dedup.decisions(d).collect()), key=str)
+    assert removed == sorted([(None, 2, "0"), (5, 2, ""), (5, 2, ""), (5, 1, ""), (None, 0, ""), (9, 1, ""), (None, 3, "0,2"), (2, 2, "")], key=str)
+    assert sorted(r.doc_id or 0 for r in line_dedup.dedup(d, drop_emptied=True).collect()) == [0, 0, 0, 2, 5, 5, 5, 9]
+
+
+def test_line_dedup_of_many_near_copies(spark):
+    """A chain of near copies that no single line stands for, beside copies of one line in hundreds."""
+    rng = random.Random(6)
+    base, rows = [f"w{i}" for i in range(40)], []
+    for i in range(60):
+        base = list(base)
+        base[rng.randrange(40)] = f"z{i}"
+        rows.append((i, " ".join(base), "s"))
+    rows += [(100 + i, " ".join([*(f"h{k}" for k in range(30) if k != i % 31), f"own{i}"]), "s") for i in range(200)]
+    rng.shuffle(rows)
+    got = sorted((r.doc_id, r.n_lines, r.removed) for r in line_dedup.decisions(corpus.frame(spark, rows)).collect())
+    assert got == corpus.near_lines(rows)
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(ROWS)
