@@ -1,16 +1,17 @@
 """Floors of buildings: which drawing stands where.
 
-``ranges``: project_id, unit_id, from_floor, to_floor. Floors of one project are few (a building's height), so per-project
-windows run on distinct (project, floor) rows, which an aggregate has made before the shuffle.
+``ranges``: project_id, unit_id, from_floor, to_floor. What runs floor by floor goes through the ordered kernel, so a project
+that has very many floors listed is cut too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floorledger.operators import geometry as geo
 from floorledger.operators.cells import box_join, smallest_containing
+from floorledger.operators.ordered import Ordered, Previous, Running, last_known
 
 P = ["project_id"]
 
@@ -50,16 +51,15 @@ def filled_floors(listed: DataFrame) -> DataFrame:
     """Floors 1..top: a floor without a drawing stands in with the nearest listed floor below it, else the lowest one."""
     top = listed.groupBy("project_id").agg(F.max("floor").alias("top"), F.min(F.struct("floor", "units")).alias("base"))
     every = top.select("project_id", F.explode(F.sequence(F.lit(1), F.col("top"))).alias("floor"), F.col("base.units").alias("base"))
-    w = Window.partitionBy("project_id").orderBy("floor").rowsBetween(Window.unboundedPreceding, 0)
-    j = every.join(listed, ["project_id", "floor"], "left").withColumn("below", F.last("units", ignorenulls=True).over(w))
+    j = last_known(every.join(listed, ["project_id", "floor"], "left"), P, [F.col("floor")], F.col("units"), "below")
     return j.select("project_id", "floor", F.coalesce("below", "base").alias("units"), F.col("units").isNull().alias("stand_in"))
 
 
 def floor_runs(listed: DataFrame) -> DataFrame:
     """Consecutive floors alike become one run: project, from_floor, to_floor, units."""
-    w = Window.partitionBy("project_id").orderBy("floor")
-    new = ~((F.lag("floor").over(w) == F.col("floor") - 1) & (F.lag("units").over(w) == F.col("units")))
-    r = listed.withColumn("_n", F.coalesce(new, F.lit(True)).cast("int")).withColumn("_run", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    r = Ordered(listed, P, [F.col("floor")]).add(_was=Previous(F.struct("floor", "units")))
+    same = (F.col("_was.floor") == F.col("floor") - 1) & (F.col("_was.units") == F.col("units"))
+    r = r.add(_run=Running(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))).result()
     return r.groupBy("project_id", "_run", "units").agg(F.min("floor").alias("from_floor"), F.max("floor").alias("to_floor")).select("project_id", "from_floor", "to_floor", "units")
 
 

@@ -258,15 +258,15 @@ def thickness_classes(bands: DataFrame, key: str = "sheet") -> DataFrame:
 def ratio_consensus(ratios: DataFrame, key: str = "sheet", least: int = 4) -> DataFrame:
     """Fitted ÷ printed ratios (sheet, axis, ratio) → upper-middle median, inter-quartile spread, and a median per axis.
 
-    Exact order statistics without gathering a sheet: ranks by buckets of the ratio.
+    Exact order statistics without gathering a sheet: ranks in chunks of the ratio.
     """
     from floorledger.operators.ordered import rank_in_group
 
     n = ratios.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    r = rank_in_group(ratios, [key], [F.col("ratio"), F.col("axis")], F.floor(F.col("ratio") / 0.05), "rk").join(n, key)
+    r = rank_in_group(ratios, [key], [F.col("ratio"), F.col("axis")], "rk").join(n, key)
     pick = lambda at: F.max(F.when(F.col("rk") == at + 1, F.col("ratio")))
     all_ = r.groupBy(key, "n").agg(pick(F.floor(F.col("n") / 2)).alias("px_per_m"), pick(F.floor(F.col("n") * 0.75)).alias("hi"), pick(F.floor(F.col("n") * 0.25)).alias("lo"))
-    ax = rank_in_group(ratios.join(n.select(key), key, "left_semi"), [key, "axis"], [F.col("ratio")], F.floor(F.col("ratio") / 0.05), "rk")
+    ax = rank_in_group(ratios.join(n.select(key), key, "left_semi"), [key, "axis"], [F.col("ratio")], "rk")
     na = ratios.groupBy(key, "axis").agg(F.count(F.lit(1)).alias("na"))
     ax = ax.join(na, [key, "axis"]).where(F.col("rk") == F.floor(F.col("na") / 2) + 1).groupBy(key).agg(F.max(F.when(F.col("axis") == "x", F.col("ratio"))).alias("px_x"), F.max(F.when(F.col("axis") == "y", F.col("ratio"))).alias("px_y"))
     return all_.join(ax, key, "left").select(key, "n", "px_per_m", ((F.col("hi") - F.col("lo")) / F.col("px_per_m")).alias("spread"), "px_x", "px_y")
@@ -320,12 +320,12 @@ def densest_band(ratios: DataFrame, keys: Sequence[str], share: float = 0.02, le
     from floorledger.operators.ordered import last_known, running
 
     c = ratios.groupBy(*keys, "ratio").agg(F.count(F.lit(1)).alias("c"))
-    total = running(c, keys, [F.col("ratio")], F.floor(F.ln("ratio") / 0.1), F.col("c"), "sum", "acc")
+    total = running(c, keys, [F.col("ratio")], F.col("c"), "sum", "acc")
     # total of ratios ≤ v: the last running total at or before v, found by merging the ends into the order
     lo = total.select(*keys, (F.col("ratio") * (1 - share)).alias("ratio"), F.lit(None).cast("bigint").alias("acc"), F.lit(0).alias("side"), F.col("ratio").alias("own"))
     hi = total.select(*keys, (F.col("ratio") * (1 + share)).alias("ratio"), F.lit(None).cast("bigint").alias("acc"), F.lit(2).alias("side"), F.col("ratio").alias("own"))
     at = total.select(*keys, "ratio", "acc", F.lit(1).alias("side"), F.lit(None).cast("double").alias("own"))
-    merged = last_known(lo.unionByName(hi).unionByName(at), keys, [F.col("ratio"), F.col("side"), F.coalesce("own", F.lit(0.0))], F.floor(F.ln("ratio") / 0.1), F.col("acc"), "upto")
+    merged = last_known(lo.unionByName(hi).unionByName(at), keys, [F.col("ratio"), F.col("side"), F.coalesce("own", F.lit(0.0))], F.col("acc"), "upto")
     n = merged.where(F.col("side") != 1).groupBy(*keys, "own").agg(F.sum(F.when(F.col("side") == 2, F.coalesce("upto", F.lit(0))).otherwise(-F.coalesce("upto", F.lit(0)))).alias("n"), F.max(F.when(F.col("side") == 0, F.coalesce("upto", F.lit(0)))).alias("before"))
     best = n.groupBy(*keys).agg(F.max(F.struct("n", (-F.col("own")).alias("o"), "before")).alias("m")).where(F.col("m.n") >= least)
     want = best.select(*keys, F.col("m.n").alias("agreed"), (F.col("m.before") + F.floor(F.col("m.n") / 2) + 1).alias("_k"))
@@ -333,12 +333,12 @@ def densest_band(ratios: DataFrame, keys: Sequence[str], share: float = 0.02, le
     return j.select(*keys, F.col("ratio").alias("px_per_m"), "agreed")
 
 
-def paired_in_order(left: DataFrame, right: DataFrame, keys: Sequence[str], left_pos: Sequence[Column], right_pos: Sequence[Column], bucket: Column, right_bucket: Column) -> DataFrame:
+def paired_in_order(left: DataFrame, right: DataFrame, keys: Sequence[str], left_pos: Sequence[Column], right_pos: Sequence[Column]) -> DataFrame:
     """Rows of two sides paired by their place in reading order, only where both sides count the same: (keys, left_id, right_id)."""
     from floorledger.operators.ordered import rank_in_group
 
-    a = rank_in_group(left, keys, left_pos, bucket, "_k")
-    b = rank_in_group(right, keys, right_pos, right_bucket, "_k")
+    a = rank_in_group(left, keys, left_pos, "_k")
+    b = rank_in_group(right, keys, right_pos, "_k")
     na, nb = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("na")), right.groupBy(*keys).agg(F.count(F.lit(1)).alias("nb"))
     same = na.join(nb, list(keys)).where("na = nb").select(*keys)
     return a.join(same, list(keys), "left_semi").join(b.select(*keys, "_k", "right_id"), [*keys, "_k"]).select(*keys, "left_id", "right_id")

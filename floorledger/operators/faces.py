@@ -69,7 +69,7 @@ def faces(walls: DataFrame) -> DataFrame:
     ).where((F.col("size") >= 3) & (F.col("area") > AREA_EPS))
     s = solid.drop("n").join(size, ["unit_id", "cycle"]).withColumn("_at", F.pmod(F.col("pos") - F.col("_s.pos"), F.lit(1 << 62)))
     s = s.withColumn("_at", F.when(F.col("pos") >= F.col("_s.pos"), F.col("pos") - F.col("_s.pos")).otherwise(F.col("pos") - F.col("_s.pos") + F.lit(1 << 40)))
-    s = rank_in_group(s, ["unit_id", "cycle"], [F.col("_at")], F.floor(F.col("_at") / 4096), "_r")
+    s = rank_in_group(s, ["unit_id", "cycle"], [F.col("_at")], "_r")
     return s.select("unit_id", "cycle", (F.col("_r") - 1).alias("pos"), F.col("size").alias("n"), F.col("src").alias("vertex_id"), F.col("sx").alias("x"), F.col("sy").alias("y"), "wall_id", "area")
 
 
@@ -100,7 +100,7 @@ def rooms(face_rows: DataFrame, labels: DataFrame, size: float = 4.0) -> DataFra
     cols = [c for c in labels.columns if c not in ("unit_id", "x", "y")]
     first = own.groupBy(*k).agg(F.min(F.struct("pos", *[c for c in cols if c != "pos"])).alias("lb"))
     out = f.join(first, k, "left").withColumn("named", F.col("lb").isNotNull())
-    spaces = rank_in_group(out.where(~F.col("named")).select(*k, "loop"), U, [F.col("loop")], F.substring("loop", 1, 3), "_n").select(*k, F.col("_n").alias("space"))
+    spaces = rank_in_group(out.where(~F.col("named")).select(*k, "loop"), U, [F.col("loop")], "_n").select(*k, F.col("_n").alias("space"))
     out = out.join(spaces, k, "left")
     extra = [F.col(f"lb.{c}").alias(c) for c in cols if c not in ("pos", "label_id", "name", "kind")]
     return out.select(
@@ -173,7 +173,7 @@ def derive_flats(rooms_: DataFrame, walls: DataFrame, openings: DataFrame, label
     ).join(named, ["unit_id", "grp"], "left")
     stat = cut_lineage(stat.withColumn("is_flat", F.col("type_name").isNotNull() | ((F.col("n") > 1) & F.col("bed"))))
     unnamed = stat.where(F.col("is_flat") & F.col("type_name").isNull())
-    numbered = rank_in_group(unnamed.select("unit_id", "grp", "gx", "gy"), U, [F.col("gx"), F.col("gy"), F.col("grp")], F.floor(F.col("gx") / 64), "_n")
+    numbered = rank_in_group(unnamed.select("unit_id", "grp", "gx", "gy"), U, [F.col("gx"), F.col("gy"), F.col("grp")], "_n")
     flat_of = stat.where("is_flat").join(numbered.select("unit_id", "grp", "_n"), ["unit_id", "grp"], "left").select(
         "unit_id", "grp", F.coalesce("type_name", F.concat(F.lit("Flat "), F.col("_n").cast("string"))).alias("flat"), "sqft"
     )

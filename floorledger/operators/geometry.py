@@ -184,9 +184,8 @@ def wall_pieces(walls: DataFrame, openings: DataFrame, metres: float = 4.0) -> D
     ).where((F.col("u1") - F.col("u0") > EPS) & (F.col("v1") - F.col("v0") > EPS)).distinct()
     holes = cut_lineage(holes)
     cuts = w.select("wall_id", F.explode(F.array(F.lit(0.0), "len")).alias("u")).unionByName(holes.select("wall_id", F.explode(F.array("u0", "u1")).alias("u"))).distinct()
-    stretch = lambda c: F.floor(F.col(c) / metres)
     cuts = cut_lineage(cuts)
-    slabs = previous(cuts, ["wall_id"], [F.col("u")], stretch("u"), F.col("u"), "u0").where(F.col("u") - F.col("u0") > EPS).select("wall_id", "u0", F.col("u").alias("u1"))
+    slabs = previous(cuts, ["wall_id"], [F.col("u")], F.col("u"), "u0").where(F.col("u") - F.col("u0") > EPS).select("wall_id", "u0", F.col("u").alias("u1"))
     over = interval_join(slabs, holes, ["wall_id"], metres, EPS).groupBy(F.col("l.wall_id").alias("wall_id"), F.col("l.u0").alias("u0")).agg(
         F.array_sort(F.collect_set(F.struct(F.col("r.v0").alias("v0"), F.col("r.v1").alias("v1")))).alias("hs")
     )
@@ -202,7 +201,7 @@ def wall_pieces(walls: DataFrame, openings: DataFrame, metres: float = 4.0) -> D
     )
     # read several times below: once per ordered step, so it is written once
     d = cut_lineage(d.select("wall_id", "u0", "u1", fold["gaps"].alias("gaps")))
-    d = runs(d, ["wall_id"], [F.col("u0")], stretch("u0"), "gaps", "run")
+    d = runs(d, ["wall_id"], [F.col("u0")], "gaps", "run")
     g = d.groupBy("wall_id", "run").agg(F.min("u0").alias("u0"), F.max("u1").alias("u1"), F.first("gaps").alias("gaps"))
     return g.select("wall_id", "u0", "u1", F.inline("gaps"))
 

@@ -45,13 +45,13 @@ def _signature(df: DataFrame) -> tuple:
 def ring_next(half_edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The next half-edge of each: at its end, the neighbour of its twin one step back by angle, circular.
 
-    ``half_edges``: keys, h (id), twin, src, dst, angle. Rings are ordered with angle buckets, so a corner where very many
-    walls meet is split too.
+    ``half_edges``: keys, h (id), twin, src, dst, angle. A corner where very many walls meet is cut into chunks
+    of its angles.
     """
     from floorledger.operators.ordered import previous
 
     order = [F.col("angle"), F.col("h")]
-    p = previous(half_edges, [*keys, "src"], order, F.floor(F.col("angle") * 4), F.col("h"), name="before")
+    p = previous(half_edges, [*keys, "src"], order, F.col("h"), name="before")
     last = half_edges.groupBy(*keys, "src").agg(F.max(F.struct("angle", "h")).alias("_l"))
     p = p.join(last, [*keys, "src"]).withColumn("before", F.coalesce("before", "_l.h"))
     succ = p.select(*keys, F.col("twin").alias("h"), F.col("before").alias("next"))
@@ -132,7 +132,7 @@ def pendant(t: DataFrame) -> DataFrame:
 
     tw = t.select("unit_id", F.col("h").alias("twin"), F.col("cycle").alias("tc"), F.col("pos").alias("tpos"))
     j = t.join(tw, ["unit_id", "twin"]).withColumn("solid", (F.col("cycle") != F.col("tc")).cast("bigint"))
-    j = running(j, ["unit_id", "cycle"], [F.col("pos")], F.floor(F.col("pos") / 4096), F.col("solid"), "sum", "acc")
+    j = running(j, ["unit_id", "cycle"], [F.col("pos")], F.col("solid"), "sum", "acc")
     total = j.groupBy("unit_id", "cycle").agg(F.sum("solid").alias("solid_all"))
     j = j.join(total, ["unit_id", "cycle"])
     acc = j.select("unit_id", F.col("h").alias("twin"), F.col("acc").alias("tacc"))

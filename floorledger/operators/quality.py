@@ -184,14 +184,12 @@ def severity(code: Column, area: Column) -> Column:
 def numbered_marks(marks: DataFrame) -> DataFrame:
     """Marks (unit_id, key, severity, has_spot) numbered per unit by severity; whole-plan rows have no number.
 
-    Severity is the bucket of the ordered rank: one unit with very many rows is split by it and by a hash of the key is not
-    needed, as the order inside a severity is the key's own text, whose first letters split further.
+    A unit with very many rows is cut at quantiles of (severity, key).
     """
     from floorledger.operators.ordered import rank_in_group
 
     rank = F.when(F.col("severity") == "red", 0).when(F.col("severity") == "amber", 1).otherwise(2)
-    bucket = F.concat(rank.cast("string"), F.substring("key", 1, 24))
-    n = rank_in_group(marks.where("has_spot"), ["unit_id"], [rank, F.col("key")], bucket, "n").select("unit_id", "key", "n")
+    n = rank_in_group(marks.where("has_spot"), ["unit_id"], [rank, F.col("key")], "n").select("unit_id", "key", "n")
     return marks.join(n, ["unit_id", "key"], "left")
 
 

@@ -46,8 +46,7 @@ def walk_order(rooms: DataFrame, opens: DataFrame | None = None) -> DataFrame:
         behind = pair.where((F.col("kind") == "bath") & (F.col("_hk") == "closet")).join(closet, ["unit_id", "_h"]).groupBy("unit_id", "room_id").agg(F.min("_hc").alias("_h2"))
         placed = base.join(first, ["unit_id", "room_id"], "left").join(behind, ["unit_id", "room_id"], "left")
         placed = placed.withColumn("_host", F.coalesce("_h1", "_h2", "_key")).withColumn("_depth", F.when(F.col("_h1").isNotNull(), 1).when(F.col("_h2").isNotNull(), 2).otherwise(0))
-    bucket = F.concat(F.lpad(F.col("_host._g").cast("string"), 3, "0"), F.substring(F.col("_host.s"), 1, 8))
-    out = rank_in_group(placed, ["unit_id"], [F.col("_host._g"), F.col("_host.a0"), F.col("_host"), F.col("_depth"), F.col("_key")], F.when(F.col("_host._g") == 6, "006").otherwise(bucket), "place")
+    out = rank_in_group(placed, ["unit_id"], [F.col("_host._g"), F.col("_host.a0"), F.col("_host"), F.col("_depth"), F.col("_key")], "place")
     return out.select(*rooms.columns, "place")
 
 

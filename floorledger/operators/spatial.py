@@ -138,14 +138,13 @@ def unique_size_match(rooms: DataFrame, rows: DataFrame, keys: Sequence[str], sh
     """
     from floorledger.operators.ordered import last_known, rank_in_group
 
-    step = F.floor(F.ln(F.col("v")) / 0.05)
-    ranked = rank_in_group(rows.where(F.col("size") > 0).select(*keys, "row_id", F.col("size").alias("v")), keys, [F.col("v"), F.col("row_id")], step, "rk")
+    ranked = rank_in_group(rows.where(F.col("size") > 0).select(*keys, "row_id", F.col("size").alias("v")), keys, [F.col("v"), F.col("row_id")], "rk")
     r = rooms.where(F.col("sqm") > 0)
     none_room, none_rank = F.lit(None).cast(rooms.schema["room_id"].dataType), F.lit(None).cast("bigint")
     # at equal sizes: a band's low end before the rows, its high end after them
     ends = [r.select(*keys, (F.col("sqm") * f + e).alias("v"), F.lit(side).alias("side"), "room_id", none_rank.alias("rk")) for f, e, side in ((1 - share, -eps, 0), (1 + share, eps, 2))]
     at = ranked.select(*keys, "v", F.lit(1).alias("side"), none_room.alias("room_id"), "rk")
-    merged = last_known(ends[0].unionByName(ends[1]).unionByName(at), keys, [F.col("v"), F.col("side"), F.coalesce("rk", F.lit(0).cast("bigint"))], step, F.col("rk"), "upto")
+    merged = last_known(ends[0].unionByName(ends[1]).unionByName(at), keys, [F.col("v"), F.col("side"), F.coalesce("rk", F.lit(0).cast("bigint"))], F.col("rk"), "upto")
     band = merged.where(F.col("side") != 1).groupBy(*keys, "room_id").agg(
         F.max(F.when(F.col("side") == 0, F.coalesce("upto", F.lit(0)))).alias("lo"), F.max(F.when(F.col("side") == 2, F.coalesce("upto", F.lit(0)))).alias("hi")
     ).where(F.col("hi") - F.col("lo") == 1)

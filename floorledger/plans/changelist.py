@@ -317,11 +317,11 @@ SQL_REPLAY = """with recursive """ + SQL_SAVES + """, st(project_id, seq, verdic
 
 
 def _saves(spark, base):
-    """Requests with their place in the project's order; places are ranks, kept skew-safe by day buckets."""
+    """Requests with their place in the project's order; places are ranks."""
     from floorledger.operators.ordered import rank_in_group
 
     o = table(spark, base, "orders").select(F.col("o_custkey").alias("project_id"), "o_orderkey", "o_orderdate", "o_totalprice")
-    o = rank_in_group(o, ["project_id"], [F.col("o_orderdate"), F.col("o_orderkey")], bucket=F.year("o_orderdate"), name="seq")
+    o = rank_in_group(o, ["project_id"], [F.col("o_orderdate"), F.col("o_orderkey")], name="seq")
     back = F.when(F.col("o_orderkey") % 5 == 0, 2).otherwise(1)
     return o.withColumn("op", F.when(F.col("seq") == 1, "create").otherwise("save")).withColumn("base_version", F.col("seq") - back)
 
@@ -347,7 +347,7 @@ def _versions(spark, base):
     from floorledger.operators.ordered import rank_in_group
 
     o = table(spark, base, "orders").select(F.col("o_custkey").alias("project_id"), "o_orderkey", "o_orderdate", (F.col("o_orderstatus") == "F").alias("deleted"))
-    return rank_in_group(o, ["project_id"], [F.col("o_orderdate"), F.col("o_orderkey")], bucket=F.year("o_orderdate"), name="version").drop("o_orderdate")
+    return rank_in_group(o, ["project_id"], [F.col("o_orderdate"), F.col("o_orderkey")], name="version").drop("o_orderdate")
 
 
 @query(

@@ -227,7 +227,7 @@ def paired(spark, base):
     o = table(spark, base, "orders")
     a = o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("sheet"), K().alias("left_id"), "o_totalprice")
     b = o.where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("sheet"), K().alias("right_id"), "o_orderdate")
-    return ev.paired_in_order(a, b, ["sheet"], [F.col("o_totalprice"), F.col("left_id")], [F.col("o_orderdate"), F.col("right_id")], F.floor(F.col("o_totalprice") / 50000), F.year("o_orderdate"))
+    return ev.paired_in_order(a, b, ["sheet"], [F.col("o_totalprice"), F.col("left_id")], [F.col("o_orderdate"), F.col("right_id")])
 
 
 @query("JOIN-12_greedy_match")
@@ -269,7 +269,7 @@ def neighbours(spark, base):
     from floorledger.operators.geometry import ring_edges
     from floorledger.operators.ordered import rank_in_group
 
-    t = rank_in_group(table(spark, base, "lineitem"), ["l_orderkey"], [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_extendedprice")], F.col("l_linenumber"), "_r")
+    t = rank_in_group(table(spark, base, "lineitem"), ["l_orderkey"], [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_extendedprice")], "_r")
     t = t.select(F.col("l_orderkey").alias("unit_id"), (F.col("_r") - 1).alias("pos"), F.col("l_quantity").alias("x"), F.lit(0.0).alias("y"))
     e = ring_edges(t, ["unit_id"])
     last = t.groupBy("unit_id").agg(F.max("pos").alias("last"))
@@ -283,7 +283,7 @@ def neighbours(spark, base):
 )
 def spaces(spark, base):
     r = table(spark, base, "orders").select(F.col("o_custkey").alias("unit_id"), K().alias("room_id"), F.col("o_totalprice").alias("v"), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("Room "), K().cast("string"))).alias("name"))
-    return wn.named_in_order(r, ["unit_id"], [F.col("v"), F.col("room_id")], F.floor(F.col("v") / 50000), "Space").drop("v")
+    return wn.named_in_order(r, ["unit_id"], [F.col("v"), F.col("room_id")], "Space").drop("v")
 
 
 @query(
@@ -296,7 +296,7 @@ def spaces(spark, base):
 def row_numbers(spark, base):
     from floorledger.operators.ordered import rank_in_group
 
-    t = rank_in_group(table(spark, base, "orders").select(F.col("o_custkey").alias("sheet"), "o_orderdate", "o_orderkey"), ["sheet"], [F.col("o_orderdate"), K()], F.year("o_orderdate"), "pos")
+    t = rank_in_group(table(spark, base, "orders").select(F.col("o_custkey").alias("sheet"), "o_orderdate", "o_orderkey"), ["sheet"], [F.col("o_orderdate"), K()], "pos")
     rows = t.select("sheet", "pos", F.when(K() % 3 > 0, F.col("pos")).alias("num"))
     return wn.numbered_rows(rows, ["sheet"])
 
@@ -309,7 +309,7 @@ def row_numbers(spark, base):
 def sessions(spark, base):
     e = table(spark, base, "events").select("user_id", "event_id", "ts")
     gap = F.col("ts") > F.col("_prev.ts") + F.expr("interval 6 hours")
-    s = wn.sessions(e, ["user_id"], [F.col("ts"), F.col("event_id")], F.to_date("ts"), gap)
+    s = wn.sessions(e, ["user_id"], [F.col("ts"), F.col("event_id")], gap)
     return s.select("user_id", "event_id", F.col("session").cast("bigint").alias("session"))
 
 
@@ -321,7 +321,7 @@ def sessions(spark, base):
 def band(spark, base):
     from floorledger.operators.ordered import rank_in_group
 
-    e = rank_in_group(table(spark, base, "events").select("user_id", "event_id", "event_type", "ts"), ["user_id"], [F.col("ts"), F.col("event_id")], F.to_date("ts"), "_r")
+    e = rank_in_group(table(spark, base, "events").select("user_id", "event_id", "event_type", "ts"), ["user_id"], [F.col("ts"), F.col("event_id")], "_r")
     e = e.select(F.col("user_id").alias("edge"), (F.col("_r") - 1).alias("pos"), F.col("event_type").alias("cls"))
     return wn.near_change(e, ["edge"], "pos", "cls", 2)
 
@@ -336,7 +336,7 @@ def band(spark, base):
 def face_ids(spark, base):
     from floorledger.operators.ordered import rank_in_group
 
-    t = rank_in_group(table(spark, base, "lineitem"), ["l_orderkey"], [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_extendedprice")], F.col("l_linenumber"), "_r")
+    t = rank_in_group(table(spark, base, "lineitem"), ["l_orderkey"], [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_extendedprice")], "_r")
     s = lambda c: F.col(c).cast("string")
     w = F.concat(F.lit("w"), F.concat_ws("-", s("l_partkey"), s("l_suppkey"), s("l_linenumber"), F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string")))
     d = (F.col("l_linenumber") % 2).cast("double")

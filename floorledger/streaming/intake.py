@@ -110,9 +110,9 @@ def debounced_saves(edits: DataFrame, key: str, ts: str, ident: str, snapshot: s
     from floorledger.operators.ordered import previous
 
     gap = F.col(ts) > F.col(f"_prev.{ts}") + F.expr(f"interval {quiet}")
-    s = sessions(edits, [key], [F.col(ts), F.col(ident)], F.to_date(ts), gap, "burst")
+    s = sessions(edits, [key], [F.col(ts), F.col(ident)], gap, "burst")
     b = s.groupBy(key, "burst").agg(F.max(ts).alias("saved_at"), F.max_by(snapshot, F.struct(ts, ident)).alias("snap"))
-    p = previous(b, [key], [F.col("saved_at")], F.trunc("saved_at", "month"), F.struct("snap"), "_was")
+    p = previous(b, [key], [F.col("saved_at")], F.struct("snap"), "_was")
     return p.where(F.col("_was").isNull() | ~F.col("_was.snap").eqNullSafe(F.col("snap"))).select(key, "saved_at", "snap")
 
 

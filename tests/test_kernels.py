@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -15,20 +16,34 @@ def busy(spark, n=3000):
     return spark.createDataFrame(rows, "k int, t double, id int, v int")
 
 
-def test_ordered_equals_plain_windows(spark):
-    df = busy(spark).cache()
+@pytest.mark.parametrize("rows", [ordered.CHUNK, 40])
+def test_ordered_equals_plain_windows(spark, monkeypatch, rows):
+    """The same with keys left whole and with the busy ones cut into chunks."""
+    monkeypatch.setattr(ordered, "CHUNK", rows)
+    monkeypatch.setattr(ordered, "DRAWS", 4)
+    monkeypatch.setattr(ordered, "FAN", 3)
+    df = busy(spark).withColumn("k", F.when(F.col("k") != 7, F.col("k"))).cache()  # one key is null
     w = Window.partitionBy("k").orderBy("t", "id")
-    order, b = [F.col("t"), F.col("id")], F.floor(F.col("t") / 5)
-
-    def same(got, want):
-        assert sorted(map(tuple, got.select("id", "x").collect())) == sorted(map(tuple, df.select("id", want.alias("x")).collect()))
-
-    same(ordered.rank_in_group(df, ["k"], order, b, "x"), F.row_number().over(w).cast("bigint"))
-    same(ordered.previous(df, ["k"], order, b, F.col("id"), "x"), F.lag("id").over(w))
-    same(ordered.running(df, ["k"], order, b, F.col("id"), "sum", "x"), F.sum("id").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    same(ordered.running(df, ["k"], order, b, F.col("id"), "max", "x", inclusive=False), F.max("id").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    same(ordered.last_known(df, ["k"], order, b, F.col("v"), "x"), F.last("v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    same(ordered.global_rank(df, [F.col("t").desc(), F.col("id").asc()], "x"), F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("t").desc(), "id")).cast("bigint"))
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    plain = df.select("id", F.row_number().over(w).cast("bigint").alias("r"), F.lag("v").over(w).alias("p"), F.sum("v").over(upto).alias("s"), F.max("v").over(before).alias("m"), F.sum("id").over(before).alias("x"), F.last("v", ignorenulls=True).over(upto).alias("l"))
+    o = ordered.Ordered(df, ["k"], [F.col("t"), F.col("id")])
+    assert o.cut == (rows == 40) and (not o.cut or o.df.where(F.col(ordered.C) > 8).count() > 100)
+    V = F.col("v")
+    got = o.add(r=ordered.Rank(), p=ordered.Previous(V), s=ordered.Running(V), m=ordered.Running(V, "max", inclusive=False), x=ordered.Running(F.col("id"), inclusive=False), l=ordered.Known(V)).result()
+    assert got.columns == [*df.columns, "r", "p", "s", "m", "x", "l"]
+    assert sorted(map(str, got.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+    back = ordered.rank_in_group(df, ["k"], [ordered.down(F.col("t")), F.col("id")], "x")
+    assert sorted(map(str, back.select("id", "x").collect())) == sorted(map(str, df.select("id", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("t"), "id")).cast("bigint").alias("x")).collect()))
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("t").desc(), "id")).cast("bigint")
+    assert sorted(map(str, ordered.global_rank(df, [F.col("t").desc(), F.col("id").asc()], "x").select("id", "x").collect())) == sorted(map(str, df.select("id", place.alias("x")).collect()))
+
+
+def test_steps_over_cut_keys_equal_steps_over_whole_ones(spark, monkeypatch):
+    df = busy(spark).cache()
+    gap = F.col("t") - F.col("_prev.t") > 0.2
+    first = [sorted(map(str, x.collect())) for x in (wn.sessions(df, ["k"], [F.col("t"), F.col("id")], gap), wn.runs(df, ["k"], [F.col("t"), F.col("id")], "v"))]
+    monkeypatch.setattr(ordered, "CHUNK", 40)
+    assert first == [sorted(map(str, x.collect())) for x in (wn.sessions(df, ["k"], [F.col("t"), F.col("id")], gap), wn.runs(df, ["k"], [F.col("t"), F.col("id")], "v"))]
 
 
 def test_greedy_match_equals_the_walk(spark):
