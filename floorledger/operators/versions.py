@@ -4,58 +4,60 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from floorledger.functions.hashing import fingerprint
+from floorledger.operators.ordered import Known, Ordered, Running, down
+from floorledger.session import cut_lineage
 
 HISTORY_LIMIT = 50
 
 
-class _SaveFold:
-    """The store's rule applied in order: one small state per project, carried across Arrow batches."""
-
-    SCHEMA = T.StructType(
-        [
-            T.StructField("project_id", T.LongType()),
-            T.StructField("seq", T.LongType()),
-            T.StructField("verdict", T.StringType()),
-            T.StructField("version", T.LongType()),
-        ]
-    )
-
-    @staticmethod
-    def run(batches):
-        import pandas as pd
-
-        project, version, deleted = None, 0, False
-        for pdf in batches:
-            verdicts, versions = [], []
-            for pid, op, base in zip(pdf.project_id, pdf.op, pdf.base_version):
-                if pid != project:
-                    project, version, deleted = pid, 0, False
-                if op == "create":
-                    ok, why = version == 0, "exists"
-                elif version == 0 or deleted:
-                    ok, why = False, "gone"
-                else:
-                    ok, why = op == "delete" or base == version, "stale"
-                if ok:
-                    version += 1
-                    deleted = op == "delete"
-                verdicts.append("accepted" if ok else why)
-                versions.append(version)
-            yield pd.DataFrame({"project_id": pdf.project_id, "seq": pdf.seq, "verdict": verdicts, "version": versions})
-
-
 def replay_saves(requests: DataFrame) -> DataFrame:
     """Replay save requests in order: accepted only when the base version is the current one and it is not deleted.
 
     ``requests``: project_id, seq (total order within a project), op (create / save / delete), base_version.
-    A version chain is a fold, so one project stays in one task; only four narrow columns travel there, sorted by the
-    shuffle's own external sort, and the fold streams Arrow batches with three values of state, never a whole group.
+    Returns project_id, seq, verdict (accepted / exists / gone / stale) and the version the project has after the request.
+
+    Nothing is folded row by row. The first create and the first delete after it are always accepted, and rows outside the
+    two are settled by running counts. In between, the save that follows version v is the first later save of base v: one ordered look-up per
+    (project, version). That makes a graph in which every request has one successor; the accepted saves are the path from
+    the create, marked by pointer doubling in rounds that grow with the log of the longest path. No step keys on the project alone
+    without cutting it, so a project with a third of all rows is spread. A null base is stale.
+    """
+    k = ["project_id", "seq"]
+    op = F.col("op")
+    life = Ordered(requests.select(*k, "op", "base_version"), ["project_id"], [F.col("seq")]).add(_made=Running(F.when(op == "create", 1).otherwise(0)))
+    life = life.add(_ended=Running(F.when((op == "delete") & (F.col("_made") >= 1), 1).otherwise(0)))
+    rows = cut_lineage(life.result())
+    made, ended = F.col("_made"), F.col("_ended")
+    root, last = (op == "create") & (made == 1), (op == "delete") & (made >= 1) & (ended == 1)
+    # requests between create and delete are nodes; one that yields version v looks for the first later save of base v
+    saves = rows.where((op == "save") & (made >= 1) & (ended == 0) & F.col("base_version").isNotNull())
+    roots = rows.where(root & (ended == 0)).select(*k, F.lit(1).cast("bigint").alias("v"), F.lit(True).alias("holds"), F.lit(True).alias("mark"))
+    holders = roots.unionByName(saves.select(*k, (F.col("base_version") + 1).cast("bigint").alias("v"), F.lit(True).alias("holds"), F.lit(False).alias("mark")))
+    askers = saves.select(*k, F.col("base_version").cast("bigint").alias("v"), F.lit(False).alias("holds"), F.lit(False).alias("mark"))
+    ahead = Ordered(holders.unionByName(askers), ["project_id", "v"], [down(F.col("seq"))]).add(to=Known(F.when(~F.col("holds"), F.col("seq"))))
+    path = _marked(ahead.result().where("holds").select(*k, "to", "mark"), k)
+    hit = path.where("mark").select(*k, F.lit(True).alias("_on"))
+    rows = rows.join(hit, k, "left").withColumn("_on", F.coalesce("_on", root | last))
+    why = F.when(op == "create", "exists").when((made == 0) | (ended >= 1), "gone").otherwise("stale")
+    verdict = F.when(F.col("_on"), "accepted").otherwise(why)
+    counted = Ordered(rows, ["project_id"], [F.col("seq")]).add(version=Running(F.col("_on").cast("bigint")))
+    return counted.result().select(*k, verdict.alias("verdict"), "version")
+
+
+def _marked(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """Nodes (project_id, seq, to, mark) with every node marked that a path over ``to`` leads to from a marked one.
+
+    Round by round a marked node marks the node 2ⁱ steps on and every pointer doubles, until no marked node has one.
     """
-    ordered = requests.select("project_id", "seq", "op", "base_version").repartition("project_id").sortWithinPartitions("project_id", "seq")
-    return ordered.mapInPandas(_SaveFold.run, _SaveFold.SCHEMA)
+    s = cut_lineage(nodes)
+    while s.where("mark and to is not null").limit(1).count():
+        found = s.where("mark and to is not null").select("project_id", F.col("to").alias("seq")).distinct().withColumn("_hit", F.lit(True))
+        far = s.select("project_id", F.col("seq").alias("to"), F.col("to").alias("_far"))
+        j = s.join(far, ["project_id", "to"], "left").join(found, keys, "left")
+        s = cut_lineage(j.select(*keys, F.col("_far").alias("to"), (F.col("mark") | F.col("_hit").isNotNull()).alias("mark")))
+    return s
 
 
 def history(requests: DataFrame, replayed: DataFrame) -> DataFrame:

@@ -308,11 +308,11 @@ def live_projects(spark, base):
 # ---- versions: orders of one customer are the saves of one project --------------------------------------------------
 
 SQL_SAVES = """rq as (select o_custkey as project_id, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as seq,
-    o_orderkey, o_orderdate, o_totalprice, case when o_orderkey % 5 = 0 then 2 else 1 end as back from orders)"""
-SQL_REPLAY = """with recursive """ + SQL_SAVES + """, st(project_id, seq, verdict, version) as (
-   select project_id, seq, 'accepted', 1 from rq where seq = 1
-   union all select rq.project_id, rq.seq, case when rq.seq - rq.back = st.version then 'accepted' else 'stale' end,
-     st.version + case when rq.seq - rq.back = st.version then 1 else 0 end
+    o_orderkey, o_orderdate, o_totalprice, case when o_orderkey % 5 = 0 then 2 else 1 end as back, case when o_orderkey % 31 = 0 then 'delete' else 'save' end as op from orders)"""
+SQL_REPLAY = """with recursive """ + SQL_SAVES + """, st(project_id, seq, verdict, version, dead) as (
+   select project_id, seq, 'accepted', 1, false from rq where seq = 1
+   union all select rq.project_id, rq.seq, case when dead then 'gone' when rq.op = 'delete' or rq.seq - rq.back = st.version then 'accepted' else 'stale' end,
+     st.version + case when not dead and (rq.op = 'delete' or rq.seq - rq.back = st.version) then 1 else 0 end, dead or rq.op = 'delete'
    from st join rq on rq.project_id = st.project_id and rq.seq = st.seq + 1)"""
 
 
@@ -323,7 +323,7 @@ def _saves(spark, base):
     o = table(spark, base, "orders").select(F.col("o_custkey").alias("project_id"), "o_orderkey", "o_orderdate", "o_totalprice")
     o = rank_in_group(o, ["project_id"], [F.col("o_orderdate"), F.col("o_orderkey")], name="seq")
     back = F.when(F.col("o_orderkey") % 5 == 0, 2).otherwise(1)
-    return o.withColumn("op", F.when(F.col("seq") == 1, "create").otherwise("save")).withColumn("base_version", F.col("seq") - back)
+    return o.withColumn("op", F.when(F.col("seq") == 1, "create").when(F.col("o_orderkey") % 31 == 0, "delete").otherwise("save")).withColumn("base_version", F.col("seq") - back)
 
 
 @query("VER-1_replay_saves", SQL_REPLAY + " select project_id, seq, verdict, cast(version as bigint) as version from st")
@@ -333,7 +333,7 @@ def replay(spark, base):
 
 @query(
     "VER-2_history",
-    SQL_REPLAY + " select st.project_id, cast(st.version as bigint) as version, rq.o_orderkey, false as deleted from st join rq on rq.project_id = st.project_id and rq.seq = st.seq where verdict = 'accepted'",
+    SQL_REPLAY + " select st.project_id, cast(st.version as bigint) as version, rq.o_orderkey, rq.op = 'delete' and rq.seq > 1 as deleted from st join rq on rq.project_id = st.project_id and rq.seq = st.seq where verdict = 'accepted'",
 )
 def history(spark, base):
     rq = _saves(spark, base)

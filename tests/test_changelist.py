@@ -1,11 +1,14 @@
 import json
+import re
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from floorledger.functions import hashing, share
 from floorledger.operators import changelist as cl
 from floorledger.operators import finishes as fin
+from floorledger.operators import ordered
 from floorledger.operators import versions as ver
 
 EV = "id string, token string, kind string, ref string, buyer string, name string, payload string, created_at timestamp"
@@ -113,6 +116,38 @@ def test_replay_matches_a_plain_walk(spark):
     assert sorted(tuple(r) for r in ver.replay_saves(df.repartition(7)).collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("chunk", [ordered.CHUNK, 30])
+def test_replay_of_wild_logs(spark, monkeypatch, chunk):
+    """Saves before a create, bases of the future and of nowhere, creates and deletes again, and one project with half the rows."""
+    import random
+
+    monkeypatch.setattr(ordered, "CHUNK", chunk)
+    monkeypatch.setattr(ordered, "DRAWS", 4)
+    rnd = random.Random(9)
+    reqs, want = [], []
+    for p in range(14):
+        version, deleted, n = 0, False, 400 if p == 3 else rnd.randint(0, 60)
+        for s in range(n):
+            op = rnd.choice(["save"] * 30 + ["create"] * 3 + ["delete"] * (0 if p == 3 else 1))
+            base = rnd.choice([version, version, version, version + 1, version - 1, rnd.randint(0, 9), None])
+            if op == "create":
+                ok, why = version == 0, "exists"
+            elif version == 0 or deleted:
+                ok, why = False, "gone"
+            else:
+                ok, why = op == "delete" or base == version, "stale"
+            if ok:
+                version, deleted = version + 1, op == "delete"
+            reqs.append((p, 10 * s, op, base))
+            want.append((p, 10 * s, "accepted" if ok else why, version))
+    assert max(v for *_, v in want) > 100 and {w[2] for w in want} == {"accepted", "exists", "gone", "stale"}
+    df = spark.createDataFrame(reqs, "project_id bigint, seq bigint, op string, base_version bigint").repartition(5)
+    got = ver.replay_saves(df)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert not re.search("Python|Pandas|Arrow", got._jdf.queryExecution().toString())
+    assert ver.replay_saves(df.limit(0)).count() == 0
+
+
 def test_links_and_tenants(spark):
     cmd = spark.createDataFrame([("a", "make", 1, at(1)), ("a", "revoke", 2, at(2)), ("a", "revoke", 1, at(3)), ("a", "revoke", 1, at(4)), ("b", "make", None, at(1)), ("b", "adopt", 2, at(2))], "token string, op string, org_id int, ts timestamp")
     got = {r.token: (r.org_id, r.revoked_at) for r in ver.link_states(cmd).collect()}
