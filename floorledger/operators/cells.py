@@ -16,26 +16,26 @@ def cell(c: Column, size: float | Column) -> Column:
     return F.floor(c / size).cast("bigint")
 
 
-def explode_cells(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> DataFrame:
-    """One row per grid cell the box covers (columns _cx, _cy)."""
+def explode_cells(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, size: float, high: float | None = None) -> DataFrame:
+    """One row per grid cell (``size`` wide and ``high``, else as high as wide) the box covers (columns _cx, _cy)."""
     d = df.withColumn("_cx", F.explode(F.sequence(cell(x0, size), cell(x1, size))))
-    return d.withColumn("_cy", F.explode(F.sequence(cell(y0, size), cell(y1, size))))
+    return d.withColumn("_cy", F.explode(F.sequence(cell(y0, high or size), cell(y1, high or size))))
 
 
-def box_join(left: DataFrame, right: DataFrame, keys: Sequence[str], size: float) -> DataFrame:
+def box_join(left: DataFrame, right: DataFrame, keys: Sequence[str], size: float, high: float | None = None) -> DataFrame:
     """Pairs whose boxes overlap or touch, each once, as structs ``l`` and ``r``; both sides carry x0, y0, x1, y1.
 
     A pair meets in every cell both cover; it is kept in the one cell that holds the corner of the common box, so no
     distinct is needed. A crowded unit is spread over its cells; a crowded cell is left to the planner's skew join.
     """
     def side(df, name):
-        c = explode_cells(df, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size)
+        c = explode_cells(df, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size, high)
         return c.select(*[F.col(k).alias(f"{name}_{k}") for k in keys], F.col("_cx").alias(f"{name}_cx"), F.col("_cy").alias(f"{name}_cy"), F.struct(*df.columns).alias(name))
 
     a, b = side(left, "l"), side(right, "r")
     on = [F.col("l_cx") == F.col("r_cx"), F.col("l_cy") == F.col("r_cy"), *[F.col(f"l_{k}") == F.col(f"r_{k}") for k in keys]]
     meet = (F.col("l.x0") <= F.col("r.x1")) & (F.col("r.x0") <= F.col("l.x1")) & (F.col("l.y0") <= F.col("r.y1")) & (F.col("r.y0") <= F.col("l.y1"))
-    first = (F.col("l_cx") == cell(F.greatest("l.x0", "r.x0"), size)) & (F.col("l_cy") == cell(F.greatest("l.y0", "r.y0"), size))
+    first = (F.col("l_cx") == cell(F.greatest("l.x0", "r.x0"), size)) & (F.col("l_cy") == cell(F.greatest("l.y0", "r.y0"), high or size))
     return a.join(b, on).where(meet & first).select("l", "r")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from floorledger.functions import sql as fsql
@@ -47,18 +49,83 @@ def pair_walls(spark, base):
     return p.select("drawing", "s1", "s2", R6("thick").alias("thick"), R6(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))).alias("len"))
 
 
-@query("JOIN-9_10_import")
+#: The scenes of a drawing, one an order 40 m from the next: plain wall, bare gap, glazed gap, door swing in a gap, door or sliding
+#: block, line without a partner, gap between offset walls, corner with short ends, column, lines inside a wall's band.
+SCENES = 10
+
+
+def scenes(spark, base):
+    """Each order as one scene of its customer's drawing: (segments, arcs, loops)."""
+    n, thick = K() % SCENES, F.element_at(F.array(F.lit(0.13), F.lit(0.25), F.lit(0.3)), (K() % 3 + 1).cast("int"))
+    o = table(spark, base, "orders").select(F.col("o_custkey").alias("drawing"), K().alias("k"), n.alias("n"), thick.alias("t"), (K() * 40).cast("double").alias("x"), (K() * 40).cast("double").alias("y"), (F.floor(K() / SCENES) % 2).alias("odd"))
+
+    def seg(i, x0, y0, x1, y1, layer="WALL", block=None):
+        at = lambda c, v: F.col(c) + (F.col("t") * v[0] + v[1] if isinstance(v, tuple) else float(v))
+        inst = F.lit(None).cast("bigint") if block is None else F.col("k")
+        b = F.lit(None).cast("string") if block is None else block
+        return F.struct(F.lit(i).alias("i"), F.lit(layer).alias("layer"), b.alias("block"), inst.alias("inst"), at("x", x0).alias("ax"), at("y", y0).alias("ay"), at("x", x1).alias("bx"), at("y", y1).alias("by"))
+
+    T, M = (1, 0), (0.5, 0)  # the far face, the middle
+    run = lambda i, x0, x1: [seg(i, x0, 0, x1, 0), seg(i + 1, x0, T, x1, T)]
+    gap = [*run(0, 0, 2), *run(2, 3, 5)]
+    named = F.when(F.col("odd") == 1, "SLIDING DOOR").otherwise("DOOR 900")
+    by_scene = [
+        run(0, 0, 5), gap, [*gap, seg(4, 2, M, 3, M, "A-GLAZ")], gap,
+        [*run(0, 0, 5), seg(2, 1, M, 1.9, M, "0", named), seg(3, 1, M, 1, (0.5, 0.5), "0", named)],
+        [seg(0, 0, 0, 3, 0)],
+        [seg(0, 0, 0, 2, 0), seg(1, 0, 0.25, 2, 0.25), seg(2, 3, 0.16, 5, 0.16), seg(3, 3, 0.29, 5, 0.29)],
+        [seg(0, 0, 0, 4, 0), seg(1, 0, 0.13, 4, 0.13), seg(2, 4.035, 0.165, 4.035, 3.065), seg(3, 4.165, 0.165, 4.165, 3.065)],
+        [seg(0, 0, 0, 0.5, 0), seg(1, 0.5, 0, 0.5, 0.5), seg(2, 0.5, 0.5, 0, 0.5), seg(3, 0, 0.5, 0, 0)],
+        [seg(0, 0, 0, 5, 0), seg(1, 0, 0.3, 5, 0.3), seg(2, 1, 0.12, 3, 0.12), seg(3, 1, 0.18, 3, 0.18)],
+    ]
+    pick = F.array(*by_scene[0])
+    for i, parts in enumerate(by_scene):
+        pick = F.when(F.col("n") == i, F.array(*parts)).otherwise(pick) if i else pick
+    s = o.select("drawing", "k", F.inline(pick)).select("drawing", F.concat_ws("/", "k", "i").alias("seg_id"), "layer", "block", "inst", "ax", "ay", "bx", "by")
+    left = F.col("odd") == 0  # hinge on the left of the gap, swinging in; else on the right, swinging out
+    a = o.where("n = 3").select(
+        "drawing", F.col("k").alias("arc_id"), F.lit("DOOR").alias("layer"), F.lit(None).cast("string").alias("block"), (F.col("x") + F.when(left, 2.0).otherwise(3.0)).alias("cx"), (F.col("y") + F.col("t") / 2).alias("cy"), F.lit(0.9).alias("r"),
+        F.when(left, 0.0).otherwise(math.pi).alias("a0"), F.when(left, math.pi / 2).otherwise(1.5 * math.pi).alias("a1"),
+    )
+    corner = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
+    c = o.where("n = 8").select("drawing", F.col("k").alias("loop_id"), F.lit("COLUMN").alias("layer"), F.lit(None).cast("string").alias("block"), F.array(corner(0, 0), corner(0.5, 0), corner(0.5, 0.5), corner(0, 0.5)).alias("pts"))
+    return s, a, c
+
+
+SQL_SCENES = """o as (select o_custkey as drawing, o_orderkey as k, o_orderkey % 10 as n, [0.13, 0.25, 0.3][o_orderkey % 3 + 1]::double as t, (o_orderkey * 40)::double as x, (o_orderkey * 40)::double as y, o_orderkey // 10 % 2 = 1 as odd from orders),
+    th as (select *, case when abs(t - 0.127) <= 0.02 then 127 when abs(t - 0.254) <= 0.02 then 254 else 300 end as mm from o),
+    w as (select drawing, x as ax, y + t / 2 as ay, x + 5 as bx, y + t / 2 as byy, mm, case n when 0 then '' when 1 then 'passage 2000 1000' when 2 then 'window 2000 1000' when 3 then 'door 2000 1000 ' || case when odd then 'b out' else 'a in' end
+            else case when odd then 'slider' else 'door' end || ' 1000 900' end as openings from th where n < 5
+      union all select drawing, x, y, x + 3, y, 127, '' from th where n = 5
+      union all select drawing, x, y + 0.125, x + 2, y + 0.125, 254, '' from th where n = 6
+      union all select drawing, x + 3, y + 0.225, x + 5, y + 0.225, 127, '' from th where n = 6
+      union all select drawing, x + 2, y + 0.125, x + 3, y + 0.225, 127, 'passage 0 1005' from th where n = 6
+      union all select drawing, x, y + 0.065, x + 4.1, y + 0.065, 127, '' from th where n = 7
+      union all select drawing, x + 4.1, y + 0.065, x + 4.1, y + 3.065, 127, '' from th where n = 7
+      union all select drawing, x, y + 0.15, x + 5, y + 0.15, 300, '' from th where n = 9)"""
+
+
+@query(
+    "JOIN-9_10_import",
+    f"""with {SQL_SCENES} select drawing, floor(ax * 1000 + 0.5)::bigint as ax, floor(ay * 1000 + 0.5)::bigint as ay, floor(bx * 1000 + 0.5)::bigint as bx, floor(byy * 1000 + 0.5)::bigint as by, mm::bigint as thick, openings from w""",
+)
 def import_walls(spark, base):
-    """Pairs → collinear walls with passages → bridges → ends met → openings resolved, over every drawing."""
-    ln = lines(spark, base)
-    pieces = dw.pair_walls(ln).select("drawing", "ax", "ay", "bx", "by", "thick")
-    walls, gaps = dw.merge_collinear(pieces)
-    bridges = dw.bridge_gaps(walls)
-    met = dw.meet_ends(walls)
-    found = dw.glazed(gaps, ln, walls).withColumn("rank", F.when(F.col("kind") == "window", 2).otherwise(3))
-    o = dw.resolved_openings(found, walls)
-    n = lambda d, c: d.groupBy("drawing").agg(F.count(F.lit(1)).alias(c))
-    return n(met, "walls").join(n(o, "openings"), "drawing", "left").join(n(bridges, "bridges"), "drawing", "left").na.fill(0)
+    """The whole drawing job: walls in millimetres, each with its openings."""
+    made = dw.import_drawing(*scenes(spark, base))
+    mm = lambda c: F.floor(F.col(c) * 1000 + 0.5).cast("bigint")
+    text_ = F.concat_ws(" ", "kind", mm("off").cast("string"), mm("width").cast("string"), "hinge", "swing")
+    o = made["openings"].groupBy("drawing", "wall_id").agg(F.array_join(F.array_sort(F.collect_list(text_)), ";").alias("openings"))
+    w = made["walls"].join(o, ["drawing", "wall_id"], "left")
+    return w.select("drawing", *[mm(c).alias(c) for c in ("ax", "ay", "bx", "by", "thick")], F.coalesce("openings", F.lit("")).alias("openings"))
+
+
+@query(
+    "AGG-18_import_counts",
+    """with o as (select o_custkey as drawing, o_orderkey % 10 as n from orders)
+    select drawing, sum([2, 4, 5, 4, 4, 1, 4, 4, 4, 4][n + 1])::bigint as lines, sum([1, 1, 1, 1, 1, 1, 3, 2, 0, 1][n + 1])::bigint as walls, count(*) filter (where n in (1, 2, 3, 4, 6)) as openings, count(*) filter (where n = 8) as columns, count(*) filter (where n = 6) as bridges, count(*) filter (where n = 5) as singles from o group by drawing""",
+)
+def import_counts(spark, base):
+    return dw.import_counts(dw.import_drawing(*scenes(spark, base)))
 
 
 @query(

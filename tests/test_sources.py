@@ -1,4 +1,6 @@
 import json
+import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -109,15 +111,64 @@ def test_two_room_drawing(spark):
     assert walls.count() == 5
     g = gaps.collect()
     assert len(g) == 1 and abs(g[0].t1 - g[0].t0 - 0.9) < 1e-6
-    arc = spark.createDataFrame([("d", "a1", 3.06, 1.5, 0.9, 1.5708, 3.06, 2.4, 3.96, 1.5)], "drawing string, arc_id string, cx double, cy double, r double, sweep double, e0x double, e0y double, e1x double, e1y double")
-    doors = drawing.door_arcs(arc, walls).withColumn("rank", F.lit(0)).drop("hinge", "swing")
-    o = drawing.resolved_openings(doors.unionByName(gaps.withColumn("kind", F.lit("passage")).withColumn("rank", F.lit(3))), walls).collect()
+    arc = spark.createDataFrame([("d", "a1", "DOOR", None, 3.06, 1.5, 0.9, 1.5 * math.pi, 2 * math.pi)], "drawing string, arc_id string, layer string, block string, cx double, cy double, r double, a0 double, a1 double")
+    none = F.lit(None).cast("string")
+    doors = drawing.door_arcs(arc, walls).withColumn("rank", F.lit(0))
+    o = drawing.resolved_openings(doors.unionByName(gaps.withColumns({"kind": F.lit("passage"), "rank": F.lit(3), "hinge": none, "swing": none})), walls).collect()
     assert [(r.kind, round(r.width, 2)) for r in o] == [("door", 0.9)]
     met = drawing.meet_ends(walls).collect()
     ends = {(round(x, 2), round(y, 2)) for r in met for x, y in ((r.ax, r.ay), (r.bx, r.by))}
     assert (round(e / 2, 2), round(e / 2, 2)) in ends
 
 
+def test_line_pairs_in_any_direction(spark):
+    """Pairs in dual space equal all pairs looked at one by one, directions at the frames' borders and round 0° included."""
+    rnd = random.Random(8)
+    lines = []
+    for i in range(260):
+        deg = rnd.choice([0, 0.9, 1.4, 1.5, 1.6, 2.9, 3.1, 44, 45.2, 89.5, 90, 90.6, 135, 178.4, 178.5, 179.3, 181, 270.4]) + rnd.choice([0, 0, 0.3, -0.4])
+        x, y, n, t = rnd.uniform(0, 6), rnd.uniform(0, 6), rnd.choice([0.1, 0.5, 2, 5, 30]), math.radians(deg)
+        off = rnd.choice([0, 0.05, 0.13, 0.25, 0.58, 0.61])
+        for k, d in enumerate((0, off) if off else (0,)):
+            ax, ay = x - math.sin(t) * d, y + math.cos(t) * d
+            lines.append((i % 3, f"s{i:03d}{k}", ax, ay, ax + n * math.cos(t), ay + n * math.sin(t)))
+    par = math.sin(math.radians(1.5))
+
+    def fold(s):
+        dx, dy = s[4] - s[2], s[5] - s[3]
+        n = math.hypot(dx, dy) * (-1 if dy < 0 or (dy == 0 and dx < 0) else 1)
+        return dx / n, dy / n
+
+    want = set()
+    ls = [(s, *fold(s)) for s in lines if math.hypot(s[4] - s[2], s[5] - s[3]) >= 0.15]
+    for p, ux, uy in ls:
+        off = lambda x, y: (y - p[3]) * ux - (x - p[2]) * uy
+        at = lambda s: sorted((s[2] * ux + s[3] * uy, s[4] * ux + s[5] * uy))
+        near = [q for q, vx, vy in ls if q[0] == p[0] and q is not p and abs(ux * vy - uy * vx) <= par]
+        for q in near:
+            d0, d1 = off(q[2], q[3]), off(q[4], q[5])
+            d, o0, o1 = (d0 + d1) / 2, max(at(p)[0], at(q)[0]), min(at(p)[1], at(q)[1])
+            if p[1] < q[1] and abs(d0 - d1) <= 0.02 and 0.04 <= abs(d) <= 0.6 and o1 - o0 >= max(0.15, 1.2 * abs(d)):
+                if not any(m is not q and min(0, d) + 0.02 < off(m[2], m[3]) < max(0, d) - 0.02 and min(o1, at(m)[1]) - max(o0, at(m)[0]) > 0.5 * (o1 - o0) for m in near):
+                    want.add((p[0], p[1], q[1]))
+    df = spark.createDataFrame(lines, "drawing int, seg_id string, ax double, ay double, bx double, by double")
+    got = [(r.drawing, r.s1, r.s2) for r in drawing.pair_walls(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 60
+
+
+def test_a_drawing_without_wall_layers(spark):
+    """Only the main and the standard thicknesses stay; a thin hatch at an odd gap does not. No arcs and no loops."""
+    rows = [("d", f"w{i}{k}", "0", 0.0, 10.0 * i + 0.3 * k, 6.0, 10.0 * i + 0.3 * k) for i in range(4) for k in range(2)] + [("d", f"h{k}", "0", 50.0, 0.09 * k, 50.5, 0.09 * k) for k in range(2)]
+    rows += [("d", f"p{k}", "0", 80.0, 0.13 * k, 80.6, 0.13 * k) for k in range(2)] + [("e", "lone", "0", 0.0, 0.0, 3.0, 0.0)]
+    s = spark.createDataFrame([(d, i, layer, None, None, *xy) for d, i, layer, *xy in rows], "drawing string, seg_id string, layer string, block string, inst long, ax double, ay double, bx double, by double")
+    arcs = spark.createDataFrame([], "drawing string, arc_id long, layer string, block string, cx double, cy double, r double, a0 double, a1 double")
+    loops = spark.createDataFrame([], "drawing string, loop_id long, layer string, block string, pts array<struct<x:double,y:double>>")
+    made = drawing.import_drawing(s, arcs, loops)
+    assert sorted(round(r.thick, 3) for r in made["walls"].collect()) == [0.127, 0.3, 0.3, 0.3, 0.3] and made["openings"].count() == made["singles"].count() == 0
+    counts = {r.drawing: r.asDict() for r in drawing.import_counts(made).collect()}
+    assert counts["d"]["walls"] == 5 and counts["e"] == {"drawing": "e", "lines": 1, "walls": 0, "openings": 0, "columns": 0, "bridges": 0, "singles": 0}
+
+
 def test_sql_functions(spark):
     fsql.register(spark)
     r = spark.sql("SELECT fl_feet_inches(4.394D), fl_compass(-46D), fl_slot_label('-2'), fl_polygon_area(array(named_struct('x',0D,'y',0D), named_struct('x',2D,'y',0D), named_struct('x',2D,'y',3D))), fl_lcs_matches('12-6', '126')").collect()[0]
