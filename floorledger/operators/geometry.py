@@ -209,44 +209,63 @@ def wall_pieces(walls: DataFrame, openings: DataFrame, metres: float = 4.0) -> D
 def main_rectangle(points: DataFrame, keys: Sequence[str], axis: float = 0.0) -> DataFrame:
     """The largest rectangle along the axes at ``axis`` that fits inside each ring (sides on vertex coordinates): w, h.
 
-    Cells between neighbouring cuts are rows with an inside flag; the sides x pair off within a ring; rows of full cells
-    are runs found by their position minus their rank. Every step is an equi join on the ring's key and cut positions.
+    Rings are cut at the heights of their corners. The edges that cross a row, sorted along it, enclose what is inside over the whole
+    height of the row; columns between neighbouring corner abscissae that lie in there are full. A full column's run of rows
+    up to a row is its height there, and the largest rectangle under a row's heights comes from one sweep with a monotone
+    stack. Of equal areas the one with the smallest left side, then the narrowest. A ring without a whole cell: 0 × 0.
+
+    Rows, crossings and cells are rows of tables keyed by ring and row; only one row's heights come together for the sweep.
     """
+    from floorledger.operators.ordered import Known, Ordered, Previous, Rank
+    from floorledger.session import cut_lineage
+
+    k = list(keys)
     u = F.col("x") * F.cos(F.lit(axis)) + F.col("y") * F.sin(F.lit(axis))
     v = F.col("y") * F.cos(F.lit(axis)) - F.col("x") * F.sin(F.lit(axis))
-    p = points.select(*keys, "pos", F.round(u, 7).alias("x"), F.round(v, 7).alias("y"))
-    poly = ring_array(p, keys)
-    cuts = p.groupBy(*keys).agg(F.array_sort(F.collect_set("x")).alias("xs"), F.array_sort(F.collect_set("y")).alias("ys"))
-    strip = lambda a: F.transform(F.sequence(F.lit(0), F.size(a) - 2), lambda i: F.struct(i.alias("i"), F.get(a, i).alias("lo"), F.get(a, i + 1).alias("hi")))
-    cells = (
-        cuts.where((F.size("xs") > 1) & (F.size("ys") > 1)).join(poly, list(keys))
-        .select(*keys, "xs", "poly", F.explode(strip("ys")).alias("r")).select(*keys, "xs", "poly", "r", F.explode(strip("xs")).alias("c"))
-    )
-
-    def slanted(a: Column, i: Column) -> Column:
-        """An edge passes over the whole cell width with a part strictly between its rows."""
-        b = F.get(F.col("poly"), F.pmod(i + 1, F.size("poly")))
-        x0, x1, y0, y1 = F.col("c.lo"), F.col("c.hi"), F.col("r.lo"), F.col("r.hi")
-        spans = (F.abs(b["x"] - a["x"]) >= 1e-7) & (F.least(a["x"], b["x"]) <= x0 + 1e-7) & (F.greatest(a["x"], b["x"]) >= x1 - 1e-7)
-        at = lambda x: a["y"] + F.try_divide((x - a["x"]) * (b["y"] - a["y"]), b["x"] - a["x"])
-        return spans & (F.greatest(at(x0), at(x1)) > y0 + 1e-7) & (F.least(at(x0), at(x1)) < y1 - 1e-7)
-
-    full = inside(F.col("poly"), (F.col("c.lo") + F.col("c.hi")) / 2, (F.col("r.lo") + F.col("r.hi")) / 2) & ~F.exists(F.transform(F.col("poly"), slanted), lambda s: F.coalesce(s, F.lit(False)))
-    full = cells.where(full).select(*keys, F.col("r.i").alias("row"), F.col("r.lo").alias("y0"), F.col("r.hi").alias("y1"), F.col("c.i").alias("col"), F.col("c.lo").alias("x0"), F.col("c.hi").alias("x1"))
-    rows = full.groupBy(*keys, "row", "y0", "y1").agg(F.array_sort(F.collect_list(F.struct("col", "x0", "x1"))).alias("cs"))
-    spans = rows.select(*keys, "row", "y0", "y1", F.explode("cs").alias("s"), "cs").select(
-        *keys, "row", "y0", "y1", "s", F.explode(F.filter("cs", lambda e: (e["col"] >= F.col("s.col")))).alias("e"), "cs"
-    ).where(F.size(F.filter("cs", lambda m: m["col"].between(F.col("s.col"), F.col("e.col")))) == F.col("e.col") - F.col("s.col") + 1)
-    spans = spans.select(*keys, "row", "y0", "y1", F.col("s.x0").alias("x0"), F.col("e.x1").alias("x1"))
-    # rows of one span: islands over a bounded array of the ring's own row cuts
-    stack = spans.groupBy(*keys, "x0", "x1").agg(F.array_sort(F.collect_list(F.struct("row", "y0", "y1"))).alias("rs"))
-    best = F.aggregate(
-        "rs", F.struct(F.lit(-2).alias("row"), F.lit(0.0).alias("run"), F.lit(0.0).alias("best")),
-        lambda acc, r: let(F.when(r["row"] == acc["row"] + 1, acc["run"]).otherwise(0.0) + r["y1"] - r["y0"], lambda run: F.struct(r["row"].alias("row"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))),
-    )["best"]
-    sized = stack.select(*keys, (F.col("x1") - F.col("x0")).alias("w"), best.alias("h"))
-    top = sized.groupBy(*keys).agg(F.max(F.struct((F.col("w") * F.col("h")).alias("a"), F.col("w"), F.col("h"))).alias("m"))
-    return top.select(*keys, F.col("m.w").alias("w"), F.col("m.h").alias("h"))
+    p = points.select(*k, "pos", F.round(u, 7).alias("x"), F.round(v, 7).alias("y"))
+
+    def strips(c: str, at: str, lo: str, hi: str) -> DataFrame:
+        """The gaps between neighbouring corner coordinates, numbered."""
+        cuts = Ordered(p.select(*k, F.col(c).alias(hi)).distinct(), k, [F.col(hi)]).add(**{at: Rank(), lo: Previous(F.col(hi))}).result()
+        return cuts.where(F.col(lo).isNotNull())
+
+    rows, columns = strips("y", "row", "y0", "y1"), strips("x", "col", "x0", "x1")
+    cross = rows.join(ring_edges(p, k), k).where((F.least("ay", "by") <= F.col("y0")) & (F.greatest("ay", "by") >= F.col("y1")))
+    at = lambda y: F.col("ax") + (y - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))
+    cross = cut_lineage(cross.select(*k, "row", "y0", "y1", "pos", at((F.col("y0") + F.col("y1")) / 2).alias("mid"), F.least(at(F.col("y0")), at(F.col("y1"))).alias("lo"), F.greatest(at(F.col("y0")), at(F.col("y1"))).alias("hi")))
+    sides = Ordered(cross, [*k, "row"], [F.col("mid"), F.col("pos")]).add(nth=Rank(), left=Previous(F.col("hi"))).result()
+    inside_ = sides.where(F.col("nth") % 2 == 0).select(*k, "row", "y0", "y1", "left", F.col("lo").alias("right"))
+    cells = cut_lineage(inside_.join(columns, k).where((F.col("x0") >= F.col("left") - 1e-7) & (F.col("x1") <= F.col("right") + 1e-7)).select(*k, "row", "y0", "y1", "col", "x0", "x1"))
+    tall = Ordered(cells, [*k, "col"], [F.col("row")]).add(_was=Previous(F.col("row")))
+    first = F.col("_was").isNull() | (F.col("_was") != F.col("row") - 1)
+    tall = tall.add(base=Known(F.when(first, F.col("y0")))).result().select(*k, "row", F.struct("col", "x0", "x1", (F.col("y1") - F.col("base")).alias("h")).alias("c"))
+    swept = tall.groupBy(*k, "row").agg(_widest(F.array_sort(F.collect_list("c"))).alias("m"))
+    top = swept.groupBy(*k).agg(F.max("m").alias("m"))
+    none = F.lit(0.0)
+    return p.select(*k).distinct().join(top, k, "left").select(*k, F.coalesce("m.w", none).alias("w"), F.coalesce("m.h", none).alias("h"))
+
+
+def _widest(columns: Column) -> Column:
+    """The largest rectangle under columns (col, x0, x1, h) by col: struct(area, left, width negated for the order, w, h).
+
+    The stack holds the open left sides with rising heights; a lower column, a gap and the end close those above it.
+    """
+    side = "struct<x:double,h:double>"
+    found = "struct<a:double,l:double,n:double,w:double,h:double>"
+    closed = lambda open_, x: F.transform(open_, lambda s: let(x - s["x"], lambda w: F.struct(F.round(w * s["h"], 9).alias("a"), (-s["x"]).alias("l"), (-w).alias("n"), w.alias("w"), s["h"].alias("h"))))
+    best = lambda so_far, more: F.array_max(F.concat(F.array(so_far), more))
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("a", "l", "n", "w", "h")]).cast(found)
+    start = F.struct(F.array().cast(f"array<{side}>").alias("open"), zero.alias("best"), F.lit(-1).cast("bigint").alias("col"), F.lit(0.0).alias("x"))
+
+    def step(s: Column, c: Column) -> Column:
+        apart = c["col"] != s["col"] + 1
+        ends = F.when(apart, s["x"]).otherwise(c["x0"])
+        over = F.filter(s["open"], lambda o: apart | (o["h"] >= c["h"]))
+        kept = F.filter(s["open"], lambda o: ~(apart | (o["h"] >= c["h"])))
+        left = F.when(~apart & (F.size(over) > 0), F.get(over, F.lit(0))["x"]).otherwise(c["x0"])
+        return F.struct(F.concat(kept, F.array(F.struct(left.alias("x"), c["h"].alias("h")))).alias("open"), best(s["best"], closed(over, ends)).alias("best"), c["col"].alias("col"), c["x1"].alias("x"))
+
+    return F.aggregate(columns, start, step, lambda s: best(s["best"], closed(s["open"], s["x"])))
 
 
 def inner_ring(points: DataFrame, keys: Sequence[str], half: Column) -> DataFrame:

@@ -167,26 +167,18 @@ def main_rect(spark, base):
 
 @query(
     "GEO-9_printed_size",
-    f"""with {SQL_POLY}, t as (select id, w, h, cut, 1 + p_size % 4 as a, 1 + p_size % 6 as b from pg where not cut),
-    f as (select *, abs(w-a) + abs(h-b) <= abs(w-b) + abs(h-a) as straight from t), g as (select *, case when straight then a else b end as p0, case when straight then b else a end as p1 from f)
-    select id, cast(p0 as double) as p0, cast(p1 as double) as p1, case when abs(w-p0) <= 1 and abs(h-p1) <= 1 then 'main' end as by, not (abs(w-p0) <= 1 and abs(h-p1) <= 1) as off from g""",
+    f"""with {SQL_POLY}, t as (select id, w as ow, h as oh, case when cut then w / 2 else w end as w, h, 1 + p_size % 4 as a, 1 + p_size % 6 as b from pg),
+    f as (select *, abs(w-a) + abs(h-b) <= abs(w-b) + abs(h-a) as straight, abs(ow-a) + abs(oh-b) <= abs(ow-b) + abs(oh-a) as ost from t), g as (select *, case when straight then a else b end as p0, case when straight then b else a end as p1, case when ost then a else b end as o0, case when ost then b else a end as o1 from f),
+    r as (select *, case when abs(w-p0) <= 1 and abs(h-p1) <= 1 then 'main' when abs(ow-o0) <= 1 and abs(oh-o1) <= 1 then 'outline' end as "by" from g)
+    select id, round(w, 6)::double as mw, round(h, 6)::double as mh, p0::double as p0, p1::double as p1, "by", "by" is null as off from r""",
 )
 def printed(spark, base):
-    """Plain rectangles: the main rectangle is the outline, so only the main measure can decide. The cut rings: ``printed_cut``."""
-    return _printed(polygons(spark, base).where(~F.col("cut")))
-
-
-@query("GEO-9_printed_size_cut_rings")
-def printed_cut(spark, base):
-    """The rings that GEO-9_printed_size and its SQL leave out: L shapes, where the outline box decides what the main rectangle does not fit."""
-    return _printed(polygons(spark, base).where("cut"))
-
-
-def _printed(p):
+    """Plain rectangles and L shapes; of an L's two equal halves the upright one is the main rectangle, as its right side comes first."""
+    p = polygons(spark, base)
     rows = ring_rows(p)
     rooms = p.select("id", (1 + F.col("p_size") % 4).cast("double").alias("a"), (1 + F.col("p_size") % 6).cast("double").alias("b"))
     out = geo.printed_size_check(rooms, geo.main_rectangle(rows, ["id"]), geo.outline_box(rows, ["id"]), ["id"], 1.0)
-    return out.select("id", "p0", "p1", "by", "off")
+    return out.select("id", R6("mw").alias("mw"), R6("mh").alias("mh"), "p0", "p1", "by", "off")
 
 
 @query(

@@ -171,7 +171,7 @@ def test_printed_size_and_inner_ring(spark):
     rows = [("L", k, float(x), float(y)) for k, (x, y) in enumerate([(0, 0), (6, 0), (6, 2), (3, 2), (3, 5), (0, 5)])] + [("T", k, float(x), float(y)) for k, (x, y) in enumerate([(0, 0), (4, 0), (0, 3)])]
     pts = spark.createDataFrame(rows, "id string, pos int, x double, y double")
     m = {r.id: (r.w, r.h) for r in geo.main_rectangle(pts, ["id"]).collect()}
-    assert m["L"] == (3.0, 5.0) and "T" not in m  # a slanted edge leaves no cell whole
+    assert m == {"L": (3.0, 5.0), "T": (0.0, 0.0)}  # a slanted edge leaves no cell whole
     inner = geo.area_and_centroid(geo.inner_ring(pts.where("id = 'L'"), ["id"], F.lit(0.1)), ["id"]).collect()[0]
     assert math.isclose(inner.area, (6 - 0.2) * (2 - 0.2) + (3 - 0.2) * 3, abs_tol=1e-9)
     rooms = spark.createDataFrame([("L", "Hall", 5.0, 3.02), ], "id string, name string, a double, b double")
@@ -180,27 +180,55 @@ def test_printed_size_and_inner_ring(spark):
     assert r.by == "main" and not r.off and r.message.startswith("Hall: drawn 9'-10\" × 16'-5\", printed 9'-11\" × 16'-5\"")
 
 
-def test_printed_size_of_cut_rings(spark, tmp_path):
-    """Both halves of an L are equally large, so sizes are taken on which either gives the same verdict."""
-    from floorledger.plans import registry
-
-    def fit(w, h, a, b):
-        p = (a, b) if abs(w - a) + abs(h - b) <= abs(w - b) + abs(h - a) else (b, a)
-        return abs(w - p[0]) <= 1 and abs(h - p[1]) <= 1
-
-    want = {}
-    for n in range(1, 51):
-        w, h, a, b = 1 + n % 5, 1 + n % 3, 1 + n % 4, 1 + n % 6
-        by = {"main" if fit(*m, a, b) else "outline" if fit(w, h, a, b) else None for m in ((w, h / 2), (w / 2, h))}
-        if len(by) == 1:
-            want[n] = by.pop()
-    assert set(want.values()) == {"main", "outline", None}
-    parts = [(n, n, "PROMO", 1.0, "x") for n in want] + [(100, 5, "SMALL", 1.0, "x")]
-    spark.createDataFrame(parts, "p_partkey long, p_size int, p_type string, p_retailprice double, p_name string").write.parquet(f"{tmp_path}/part.parquet")
-    queries = registry.load()
-    got = queries["GEO-9_printed_size_cut_rings"].run(spark, str(tmp_path)).collect()
-    assert {r.id: r.by for r in got} == want and all(r.off == (r.by is None) for r in got)
-    assert [r.id for r in queries["GEO-9_printed_size"].run(spark, str(tmp_path)).collect()] == [100]
+def test_main_rectangle_equals_all_pairs_of_cuts(spark):
+    """Random rings with right angles and slants against every pair of x cuts over cells tested one by one."""
+    import random
+
+    rnd = random.Random(3)
+    rings = {}
+    for i in range(40):
+        n = rnd.randint(2, 7)
+        tops = [rnd.randint(1, 6) for _ in range(n)]
+        lows = [rnd.randint(-4, 0) for _ in range(n)]
+        up = [(x + e, tops[x]) for x in range(n) for e in (0, 1)]
+        down = [(x + e, lows[x]) for x in reversed(range(n)) for e in (1, 0)]
+        ring = [*up, *down]
+        if i % 3 == 0:  # a slanted top
+            ring = [(x, y + x * 0.5) if y > 0 else (x, y) for x, y in ring]
+        rings[i] = [p for j, p in enumerate(ring) if p != ring[j - 1]]
+
+    def plain(ring):
+        xs, ys = sorted({x for x, _ in ring}), sorted({y for _, y in ring})
+        edges = list(zip(ring, ring[1:] + ring[:1]))
+
+        def full(x0, x1, y0, y1):
+            px, py, inside = (x0 + x1) / 2, (y0 + y1) / 2, False
+            for (ax, ay), (bx, by) in edges:
+                if (ay > py) != (by > py) and px < ax + (py - ay) * (bx - ax) / (by - ay):
+                    inside = not inside
+                if ax != bx and min(ax, bx) <= x0 and max(ax, bx) >= x1:
+                    ya, yb = (ay + (x - ax) * (by - ay) / (bx - ax) for x in (x0, x1))
+                    if max(ya, yb) > y0 + 1e-7 and min(ya, yb) < y1 - 1e-7:
+                        return False
+            return inside
+
+        cell = {(i, k): full(xs[i], xs[i + 1], ys[k], ys[k + 1]) for i in range(len(xs) - 1) for k in range(len(ys) - 1)}
+        best = (0.0, 0.0)
+        for i in range(len(xs) - 1):
+            for j in range(i + 1, len(xs)):
+                run = h = 0.0
+                for k in range(len(ys) - 1):
+                    run = run + ys[k + 1] - ys[k] if all(cell[c, k] for c in range(i, j)) else 0.0
+                    h = max(h, run)
+                if (xs[j] - xs[i]) * h > best[0] * best[1] + 1e-9:
+                    best = (xs[j] - xs[i], h)
+        return tuple(round(float(v), 6) for v in best)
+
+    pts = spark.createDataFrame([(i, k, float(x), float(y)) for i, ring in rings.items() for k, (x, y) in enumerate(ring)], "id int, pos int, x double, y double").repartition(5)
+    got = {r.id: (round(r.w, 6), round(r.h, 6)) for r in geo.main_rectangle(pts, ["id"]).collect()}
+    assert got == {i: plain(ring) for i, ring in rings.items()}
+    turned = pts.select("id", "pos", (F.col("x") * math.cos(0.3) - F.col("y") * math.sin(0.3)).alias("x"), (F.col("x") * math.sin(0.3) + F.col("y") * math.cos(0.3)).alias("y"))
+    assert {r.id: (round(r.w, 5), round(r.h, 5)) for r in geo.main_rectangle(turned, ["id"], 0.3).collect()} == {i: (round(w, 5), round(h, 5)) for i, (w, h) in got.items()}
 
 
 def test_repair(spark):
