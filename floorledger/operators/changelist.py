@@ -166,25 +166,34 @@ def csv_cell(c: Column) -> Column:
     return F.when(s.rlike("[\",\n\r]"), F.concat(F.lit('"'), F.regexp_replace(s, '"', '""'), F.lit('"'))).otherwise(s)
 
 
-def ingest(events: DataFrame, links: DataFrame, kinds: tuple[str, ...] = ("comment", "selection")) -> DataFrame:
-    """Every request with ``verdict``: accepted, repeat (its id is in already) or the first rule it breaks.
+def ruled(events: DataFrame, links: DataFrame, kinds: tuple[str, ...] = ("comment", "selection")) -> DataFrame:
+    """``events``, blank names null, with ``rule``: the first rule a request breaks, null where it keeps them all.
 
-    The rules come first; of the rows that keep them one is accepted for each id, the first in the total order (time, hash of
-    the whole row), found by an aggregate so retries of one id combine before the shuffle. Rows equal in every column take
-    turns: the first stands for all.
+    A request without an id breaks the id rule: it could never be told from its own repeats.
     """
     on = links.where(F.col("revoked_at").isNull()).select(F.col("token").alias("_t")).distinct()
     e = events.withColumn("name", F.nullif(F.trim("name"), F.lit("")))
     size = lambda c: F.coalesce(F.length(c), F.lit(0))
-    e = e.join(on, F.col("token") == F.col("_t"), "left").withColumn(
+    return e.join(on, F.col("token") == F.col("_t"), "left").withColumn(
         "rule",
         F.when(F.col("_t").isNull(), "no such link, or it was turned off")
+        .when(F.col("id").isNull(), "id")
         .when(F.col("kind").isNull() | ~F.col("kind").isin(*kinds), "kind")
         .when(~size("ref").between(1, 200), "ref")
         .when(~size("buyer").between(1, 64), "buyer")
         .when(size("name") > 80, "name")
         .when(F.coalesce(F.octet_length("payload"), F.lit(0)) > 8000, "payload"),
     ).drop("_t")
+
+
+def ingest(events: DataFrame, links: DataFrame, kinds: tuple[str, ...] = ("comment", "selection")) -> DataFrame:
+    """Every request with ``verdict``: accepted, repeat (its id is in already) or the first rule it breaks.
+
+    The rules come first; of the rows that keep them one is accepted for each id, the first in the total order (time, hash of
+    the whole row), found by an aggregate so retries of one id combine before the shuffle. Rows equal in every column take
+    turns: the first stands for all.
+    """
+    e = ruled(events, links, kinds)
     e = e.withColumn("_order", F.struct(F.col("created_at").alias("t"), F.xxhash64(*events.columns).alias("h")))
     first = e.where(F.col("rule").isNull()).groupBy(F.col("id").alias("_id")).agg(F.min("_order").alias("_first"))
     j = e.join(first, F.col("id") == F.col("_id"), "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from floorledger.functions import hashing, share
@@ -10,22 +12,14 @@ from floorledger.operators import finishes as fin
 from floorledger.operators import versions as ver
 from floorledger.plans import renderings as r
 from floorledger.plans.registry import query
+from floorledger.session import cut_lineage, ensure_checkpoint_dir
 from floorledger.sources.tables import table
+from floorledger.streaming import intake
 
 NEWEST = """nw as (select *, row_number() over (partition by token, kind, k order by created_at desc, id) as rn from ev)"""
 
 
-@query(
-    "WIN-1_superseded",
-    f"with {r.SQL_EVENTS}, {NEWEST} select id, token, kind, cast(k as varchar) as ref, rn > 1 as superseded from nw",
-)
-def superseded(spark, base):
-    return cl.superseded(r.buyer_events(spark, base)).select("id", "token", "kind", "ref", "superseded")
-
-
-@query(
-    "AGG-1_by_link",
-    f"""with {r.SQL_EVENTS}, {r.SQL_CATALOG}, {r.SQL_LINKS}, {NEWEST},
+BY_LINK_SQL = f"""with {r.SQL_EVENTS}, {r.SQL_CATALOG}, {r.SQL_LINKS}, {NEWEST},
     priced as (select token, kind, removed,
         coalesce(c.delta, case when sent = floor(sent) then cast(sent as bigint) else 0 end) as delta
       from nw left join cat c on c.option_id = nw.k where rn = 1),
@@ -36,7 +30,20 @@ def superseded(spark, base):
     n as (select token, count(*) as n from ev group by token)
     select lk.token, unit_name, coalesce(n.n, 0) as rows, coalesce(choices, 0) as choices,
            cast(coalesce(total, 0) as bigint) as total_bdt, coalesce(notes, 0) as open_notes
-    from lk left join t using (token) left join n using (token)""",
+    from lk left join t using (token) left join n using (token)"""
+
+
+@query(
+    "WIN-1_superseded",
+    f"with {r.SQL_EVENTS}, {NEWEST} select id, token, kind, cast(k as varchar) as ref, rn > 1 as superseded from nw",
+)
+def superseded(spark, base):
+    return cl.superseded(r.buyer_events(spark, base)).select("id", "token", "kind", "ref", "superseded")
+
+
+@query(
+    "AGG-1_by_link",
+    BY_LINK_SQL,
 )
 def by_link(spark, base):
     return cl.by_link(r.share_links(spark, base), r.buyer_events(spark, base), r.option_catalog(spark, base))
@@ -123,6 +130,71 @@ def ingest(spark, base):
     return out.select("id", "created_at", "verdict")
 
 
+# ---- streams run to the end of what has landed --------------------------------------------------------------------------
+
+BATCHES = 4
+
+
+def _landed(requests, batch):
+    """The rows as files of a stream's folder, one a batch number, landed one after the other."""
+    path = f"{ensure_checkpoint_dir(requests.sparkSession)}/landed-{uuid.uuid4().hex}"
+    rows = cut_lineage(requests.withColumn("_b", batch))
+    for n in range(BATCHES):
+        rows.where(F.col("_b") == n).drop("_b").coalesce(1).write.mode("append").parquet(path)
+    spark = requests.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path, intake.event_stream(spark, f"{path}", spark.read.parquet(path).schema, 1)
+
+
+def _resent(spark, base):
+    """Each event in a batch of its own third; taken-back ones are first sent with a kind that is refused, and again two times after."""
+    ev = r.buyer_events(spark, base)
+    gone = ev.where(F.get_json_object("payload", "$.removed") == "true")
+    third = F.col("id") % 3
+    sends = [
+        (ev, third + 1), (gone.withColumn("kind", F.lit("nonsense")), third), (gone.withColumn("created_at", F.col("created_at") + F.expr("interval 1 minute")), F.lit(3)),
+        (gone.withColumn("name", F.lit("!")), third + 1), (ev.where("id % 50 = 0").withColumn("id", F.lit(None).cast("bigint")), F.lit(0)),
+    ]
+    parts = [d.withColumn("_b", b.cast("int")) for d, b in sends]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return _landed(out.withColumnRenamed("_b", "_n"), F.col("_n"))
+
+
+@query(
+    "STR-1_4_intake",
+    f"""with {r.SQL_EVENTS}, {r.SQL_LINKS}, req as (
+      select id, token, kind, created_at, true as first from ev
+      union all select id, token, 'nonsense', created_at, false from ev where removed
+      union all select id, token, kind, created_at + interval 1 minute, false from ev where removed
+      union all select id, token, kind, created_at, false from ev where removed
+      union all select null, token, kind, created_at, false from ev where id % 50 = 0),
+    ruled as (select req.*, case when not exists (select 1 from lk where lk.token = req.token and revoked is null) then 'no such link, or it was turned off' when id is null then 'id' when kind not in ('selection') then 'kind' end as rule from req)
+    select id, created_at, coalesce(rule, 'accepted') as verdict from ruled where rule is not null or first""",
+)
+def stream_intake(spark, base):
+    """Resends and refusals over four micro-batches: what the stream accepts and what it sets aside."""
+    path, events = _resent(spark, base)
+    out = {k: f"{path}-{k}" for k in ("in", "aside", "state")}
+    intake.intake(events.drop("_n"), r.share_links(spark, base), out["in"], out["aside"], out["state"], kinds=("selection",)).awaitTermination()
+    ok = spark.read.parquet(out["in"]).select("id", "created_at", F.lit("accepted").alias("verdict"))
+    return ok.unionByName(spark.read.parquet(out["aside"]).select("id", "created_at", "verdict")).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+
+
+@query("STR-6_live_totals", BY_LINK_SQL)
+def stream_totals(spark, base):
+    """The change list's totals as a stream leaves them after four micro-batches with repeats, beside the links it never touched."""
+    ev = r.buyer_events(spark, base)
+    path, events = _landed(ev.unionByName(ev.where("id % 7 = 0")), F.col("id") % BATCHES)
+    view = f"{path}-view"
+    intake.live_totals(events, r.share_links(spark, base), r.option_catalog(spark, base), lambda df, i: df.withColumn("at", F.lit(i)).write.mode("overwrite").parquet(f"{view}/batch={i}"), f"{path}-state").awaitTermination()
+    last = spark.read.parquet(view).groupBy("token").agg(F.max(F.struct("at", "rows", "choices", "total_bdt", "open_notes")).alias("m")).select("token", "m.*").drop("at")
+    zero = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("rows", "choices", "total_bdt", "open_notes")]
+    return r.share_links(spark, base).join(last, "token", "left").select("token", "unit_name", *zero)
+
+
 @query(
     "JOIN-24_tombstones",
     f"""with {r.SQL_EVENTS} select id, token, cast(k as varchar) as ref from ev e

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from floorledger.operators import changelist as cl
+from floorledger.operators.ordered import previous
 from floorledger.operators.windows import sessions
 
 #: How late an edit or a frame may come; intake of buyer events knows no such limit.
 LATE = "10 minutes"
-#: Hash partitions of the accepted tables.
-BUCKETS = 64
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Keyed state on the executors' disks, snapshots in the checkpoint: a batch looks up its own keys and reads nothing else.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def event_stream(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
@@ -26,48 +29,62 @@ def event_stream(spark: SparkSession, path: str, schema, max_files: int | None =
     return s.withColumn("created_at", F.col("created_at").cast("timestamp"))
 
 
-def _buckets(df: DataFrame, key: str) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(BUCKETS)).cast("int"))
+def _run(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update") -> StreamingQuery:
+    """Start ``stream`` with keyed state on disk; the session's own setting is put back."""
+    conf = stream.sparkSession.conf
+    before = conf.get(PROVIDER, None)
+    conf.set(PROVIDER, ROCKS)
+    try:
+        return stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.unset(PROVIDER) if before is None else conf.set(PROVIDER, before)
 
 
-def _stored(batch: DataFrame, path: str, batch_id: int) -> DataFrame | None:
-    """Rows that earlier batches stored in the buckets this batch touches (None before the first); the rest is pruned by partition."""
-    spark = batch.sparkSession
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        return None
-    touched = [r["bucket"] for r in batch.select("bucket").distinct().collect()]  # at most BUCKETS numbers
-    return spark.read.parquet(path).where(F.col("bucket").isin(touched) & (F.col("batch") != batch_id))
+class _AcceptOnce(StatefulProcessor):
+    """State per id: that it is in. Of a batch's rows the first in the total order is accepted, if none was before."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "yes boolean")
 
-def _new_rows(batch: DataFrame, path: str, batch_id: int) -> DataFrame:
-    """``batch`` (with bucket) without the ids that earlier batches stored."""
-    old = _stored(batch, path, batch_id)
-    return batch if old is None else batch.join(old.select("bucket", "id"), ["bucket", "id"], "left_anti")
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if self.seen.exists():
+            return
+        first = None
+        for r in rows:
+            if first is None or (r["_t"], r["_h"]) < (first["_t"], first["_h"]):
+                first = r
+        self.seen.update((True,))
+        yield Row(**{c: first[c] for c in first.__fields__ if c not in ("_t", "_h")})
 
+    def close(self) -> None:
+        pass
 
-def _store(rows: DataFrame, path: str, batch_id: int) -> None:
-    """One folder a batch, so that a replayed batch writes the same folder again."""
-    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_id}")
+
+def accepted_once(good: DataFrame) -> DataFrame:
+    """The first row of each id over the whole life of a stream, rows of a batch in the order (time, hash of the row)."""
+    order = {"_t": F.coalesce(F.unix_micros("created_at"), F.lit(-(2**63))), "_h": F.xxhash64(*good.columns)}
+    return good.withColumns(order).groupBy("id").transformWithState(_AcceptOnce(), good.schema, "Update", "None")
 
 
 def intake(events: DataFrame, links: DataFrame, accepted_path: str, quarantine_path: str, checkpoint: str, kinds: tuple[str, ...] = ("comment", "selection")) -> StreamingQuery:
     """Accepted rows to one table, refused ones to another, each id accepted once, however late a row or a retry comes.
 
-    The rules come first: an id refused once may be sent again validly. What keeps them is accepted if no earlier batch has
-    accepted its id, which is looked up in the accepted table, partitioned by a hash of the id. The links table is read per
-    batch, so a link turned off stops taking rows. A batch that is replayed after a failure leaves its own earlier writes out
-    of the look-up and writes the same ``batch`` partition again: at-least-once in, one copy out.
+    The rules come first: an id refused once may be sent again validly, and a row without an id is refused. Which ids are
+    in is keyed state without a watermark; a batch looks up its own ids, whatever the length of the history. Spark commits state
+    and offsets together, and a batch that is replayed after a failure meets the state it met before and overwrites its own
+    ``batch`` folder: at-least-once in, one copy out.
     """
+    e = cl.ruled(events, links, kinds)
+    good = accepted_once(e.where(F.col("rule").isNull()).drop("rule")).withColumn("verdict", F.lit("accepted"))
+    bad = e.where(F.col("rule").isNotNull()).withColumnRenamed("rule", "verdict")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        ruled = cl.ingest(batch, links, kinds).persist()
-        ok = _buckets(ruled.where(F.col("verdict") == "accepted").drop("verdict"), "id")
-        _store(_new_rows(ok, accepted_path, batch_id), accepted_path, batch_id)
-        ruled.where(~F.col("verdict").isin("accepted", "repeat")).write.mode("overwrite").parquet(f"{quarantine_path}/batch={batch_id}")
-        ruled.unpersist()
+        kept = batch.persist()
+        kept.where("verdict = 'accepted'").drop("verdict").write.mode("overwrite").parquet(f"{accepted_path}/batch={batch_id}")
+        kept.where("verdict <> 'accepted'").write.mode("overwrite").parquet(f"{quarantine_path}/batch={batch_id}")
+        kept.unpersist()
 
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _run(good.unionByName(bad), write, checkpoint)
 
 
 def newest_choices(events: DataFrame) -> DataFrame:
@@ -99,16 +116,36 @@ def current_choice_updates(events: DataFrame) -> DataFrame:
     return e.groupBy(*cl.KEY).applyInPandasWithState(step, out, "t bigint, id bigint, payload string", "update", GroupStateTimeout.NoTimeout)
 
 
+class _Changed(StatefulProcessor):
+    """State per key: the snapshot sent last. A burst that ends with the same one is not sent."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sent = handle.getValueState("sent", "snap string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        last = self.sent.get() if self.sent.exists() else None
+        for r in sorted(rows, key=lambda r: r["saved_at"]):
+            if last is None or last[0] != r["_snap"]:
+                last = (r["_snap"],)
+                yield Row(**{c: r[c] for c in r.__fields__ if c != "_snap"})
+        self.sent.update(last)
+
+    def close(self) -> None:
+        pass
+
+
 def debounce_stream(edits: DataFrame, key: str, ts: str, snapshot: str, quiet: str = "2 seconds", late: str = LATE) -> DataFrame:
-    """The last snapshot of each burst of changes, once it has been quiet."""
+    """The last snapshot of each burst of changes once it has been quiet, unless it equals the one sent before it.
+
+    Bursts close in order behind the watermark; what was sent last is keyed state, one snapshot a key.
+    """
     s = edits.withWatermark(ts, late).groupBy(key, F.session_window(ts, quiet).alias("w")).agg(F.max_by(snapshot, ts).alias("snap"), F.max(ts).alias("saved_at"))
-    return s.select(key, "saved_at", "snap")
+    s = s.select(key, "saved_at", "snap")
+    return s.withColumn("_snap", F.col("snap").cast("string")).groupBy(key).transformWithState(_Changed(), s.schema, "Append", "None")
 
 
 def debounced_saves(edits: DataFrame, key: str, ts: str, ident: str, snapshot: str, quiet: str) -> DataFrame:
     """Batch form: bursts end after ``quiet``, and a snapshot equal to the save before it is not sent."""
-    from floorledger.operators.ordered import previous
-
     gap = F.col(ts) > F.col(f"_prev.{ts}") + F.expr(f"interval {quiet}")
     s = sessions(edits, [key], [F.col(ts), F.col(ident)], gap, "burst")
     b = s.groupBy(key, "burst").agg(F.max(ts).alias("saved_at"), F.max_by(snapshot, F.struct(ts, ident)).alias("snap"))
@@ -116,25 +153,54 @@ def debounced_saves(edits: DataFrame, key: str, ts: str, ident: str, snapshot: s
     return p.where(F.col("_was").isNull() | ~F.col("_was.snap").eqNullSafe(F.col("snap"))).select(key, "saved_at", "snap")
 
 
-def live_totals(events: DataFrame, table_path: str, links: DataFrame, catalog: DataFrame, publish: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Totals of the links a micro-batch touches, rebuilt from their partitions of the accepted table: exact whatever the order of arrival.
-
-    The table is partitioned by a hash of the token, so a batch reads the partitions of its own links and no others. An id
-    counts once; a retry carries its token.
+class _Totals(StatefulProcessor):
+    """State per link: its ids, the newest row about each thing and the running totals; a row moves them by what it changes."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ids = handle.getMapState("ids", "id string", "yes boolean")
+        self.newest = handle.getMapState("newest", "about string", "t bigint, id string, num bigint, choice int, note int, delta bigint")
+        self.sums = handle.getValueState("sums", "rows bigint, choices bigint, total bigint, notes bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        n, choices, total, notes = self.sums.get() if self.sums.exists() else (0, 0, 0, 0)
+        for r in rows:
+            if self.ids.containsKey((r["id"],)):
+                continue
+            self.ids.updateValue((r["id"],), (True,))
+            n += 1
+            was = self.newest.getValue((r["about"],)) if self.newest.containsKey((r["about"],)) else None
+            if was is not None and (-was[0], was[2], was[1]) < (-r["t"], r["num"], r["id"]):
+                continue
+            choices += r["choice"] - (was[3] if was else 0)
+            notes += r["note"] - (was[4] if was else 0)
+            total += r["choice"] * r["delta"] - (was[3] * was[5] if was else 0)
+            self.newest.updateValue((r["about"],), (r["t"], r["id"], r["num"], r["choice"], r["note"], r["delta"]))
+        self.sums.update((n, choices, total, notes))
+        yield Row(token=key[0], rows=n, choices=choices, total_bdt=total, open_notes=notes)
+
+    def close(self) -> None:
+        pass
+
+
+def live_totals(events: DataFrame, links: DataFrame, catalog: DataFrame, publish: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Totals of the links a micro-batch touches, exact whatever the order of arrival: newest per thing, ties to the smaller id.
+
+    A link's ids, newest rows and sums are keyed state, so a batch reads its own rows and their keys' state and no history. An
+    id counts once; a retry carries its token. A price is the catalog's when the row arrives. Rows without an id or a token are left out.
     """
-
-    def rebuild(batch: DataFrame, batch_id: int) -> None:
-        one = _buckets(batch.dropDuplicates(["id"]), "token").persist()
-        new = _new_rows(one, table_path, batch_id)
-        _store(new, table_path, batch_id)
-        touched = one.select("bucket", "token").distinct()
-        buckets = [r["bucket"] for r in touched.select("bucket").distinct().collect()]  # at most BUCKETS numbers
-        stored = batch.sparkSession.read.schema(one.schema).parquet(table_path).where(F.col("bucket").isin(buckets))
-        whole = stored.join(touched, ["bucket", "token"], "left_semi").drop("bucket")
-        publish(cl.by_link(links.join(touched.select("token"), "token", "left_semi"), whole, catalog), batch_id)
-        one.unpersist()
-
-    return events.writeStream.foreachBatch(rebuild).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    p = F.from_json("payload", cl.PAYLOAD)
+    live = ~F.coalesce(p["removed"], F.lit(False))
+    chosen = F.col("kind") == "selection"
+    numeric = dict(events.dtypes)["id"] in ("int", "bigint", "smallint")
+    flat = events.where(F.col("id").isNotNull() & F.col("token").isNotNull()).select(
+        "token", F.col("id").cast("string").alias("id"), (F.col("id") if numeric else F.lit(0)).cast("bigint").alias("num"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("t"),
+        F.to_json(F.struct("kind", "ref")).alias("about"), (chosen & live).cast("int").alias("choice"), ((F.col("kind") == "comment") & live).cast("int").alias("note"), F.when(chosen, p["optionId"]).alias("option_id"), p["priceDeltaBdt"].alias("sent"),
+    )
+    rows = cl.with_price(flat.na.fill(0, ["choice", "note", "t"]), catalog).select("token", "id", "num", "t", "about", "choice", "note", "delta")
+    types = dict(rows.dtypes)
+    state = rows.groupBy("token").transformWithState(_Totals(), f"token {types['token']}, rows bigint, choices bigint, total_bdt bigint, open_notes bigint", "Update", "None")
+    named = links.select("token", "unit_name")
+    return _run(state, lambda batch, i: publish(named.join(batch, "token").select("token", "unit_name", "rows", "choices", "total_bdt", "open_notes"), i), checkpoint)
 
 
 def slow_frame_stream(frames: DataFrame, ts: str = "ts", ms: str = "ms", late: str = LATE) -> DataFrame:

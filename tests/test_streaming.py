@@ -15,7 +15,7 @@ def rows():
     for i in range(60):
         p = json.dumps({"optionId": f"o{i % 3}", "priceDeltaBdt": i % 5})
         out.append((i, f"t{i % 4}", "selection" if i % 7 else "other", f"s{i % 6}", "b", None, p, T0 + timedelta(seconds=i)))
-    return out + [(*r[:7], r[7] + timedelta(seconds=5)) for r in out[::5]]  # resends
+    return out + [(*r[:7], r[7] + timedelta(seconds=5)) for r in out[::5]] + [(None, *out[1][1:])]  # resends, and a row without an id
 
 
 def land(spark, path, n=3):
@@ -42,7 +42,7 @@ def test_intake_equals_batch_and_survives_a_restart(spark, tmp_path):
     want = sorted(r.id for r in batch.where("verdict = 'accepted'").collect())
     assert sorted(r.id for r in spark.read.parquet(p["ok"]).collect()) == want
     refused = {r.rule for r in spark.read.option("mergeSchema", "true").parquet(p["aside"]).withColumn("rule", F.col("verdict")).collect()}
-    assert refused == {"kind", "no such link, or it was turned off"}
+    assert refused == {"kind", "id", "no such link, or it was turned off"}
 
 
 def test_intake_loses_no_late_row_and_doubles_none(spark, tmp_path):
@@ -87,9 +87,9 @@ def test_live_totals(spark, tmp_path):
     land(spark, path)
     links, catalog = fixtures(spark)
     last = {}
-    q = intake.live_totals(intake.event_stream(spark, path, spark.read.parquet(path).schema, 1), str(tmp_path / "all"), links, catalog, lambda df, i: last.update({r.token: r.total_bdt for r in df.collect()}), str(tmp_path / "ck"))
+    q = intake.live_totals(intake.event_stream(spark, path, spark.read.parquet(path).schema, 1), links, catalog, lambda df, i: last.update({r.token: r for r in df.collect()}), str(tmp_path / "ck"))
     q.awaitTermination()
-    want = {r.token: r.total_bdt for r in cl.by_link(links, spark.read.parquet(str(tmp_path / "all")), catalog).collect()}
+    want = {r.token: r for r in cl.by_link(links, spark.read.parquet(path).where("id is not null").withColumn("created_at", F.col("created_at").cast("timestamp")).orderBy("created_at").dropDuplicates(["id"]), catalog).collect()}
     assert last == want
 
 
@@ -100,6 +100,23 @@ def test_debounce_forms_agree(spark, tmp_path):
     edits = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
     q = intake.debounce_stream(edits, "project", "ts", "snap").writeStream.format("memory").queryName("saves").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert [r.snap for r in spark.table("saves").orderBy("saved_at").collect()] == ["b", "b", "d"]
+    assert [r.snap for r in spark.table("saves").orderBy("saved_at").collect()] == ["b", "d"]
     batch = intake.debounced_saves(spark.read.parquet(path).withColumn("i", F.lit(0)), "project", "ts", "i", "snap", "2 seconds")
     assert [r.snap for r in batch.orderBy("saved_at").collect()] == ["b", "d", "z"]  # an unchanged snapshot is not sent again
+
+
+def test_a_batch_reads_its_own_rows_however_long_the_history(spark, tmp_path):
+    """Fourteen batches of new ids, each with repeats of the very first ones: rows read a batch stay level, and state grows by new ids only."""
+    p = {k: str(tmp_path / k) for k in ("in", "ok", "aside", "ck")}
+    links, _ = fixtures(spark)
+    for n in range(14):
+        data = [(100 * n + i, "t0", "selection", "s", "b", None, "{}", T0 + timedelta(seconds=i)) for i in range(40)] + [(i, "t0", "selection", "s", "b", "again", "{}", T0) for i in range(5)]
+        spark.createDataFrame(data, SCHEMA).coalesce(1).write.mode("append").parquet(p["in"])
+    schema = spark.read.parquet(p["in"]).schema
+    q = intake.intake(intake.event_stream(spark, p["in"], schema, 1), links, p["ok"], p["aside"], p["ck"])
+    q.awaitTermination()
+    got = [r.id for r in spark.read.parquet(p["ok"]).collect()]
+    assert sorted(got) == [100 * n + i for n in range(14) for i in range(40)]
+    steps = [x for x in q.recentProgress if x.numInputRows]
+    assert len(steps) == 14 and len({x.numInputRows for x in steps}) == 1
+    assert [x.stateOperators[0].numRowsUpdated for x in steps] == [40] * 14
