@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from floorledger.operators import geometry as geo
 from floorledger.operators.cells import box_join
 from floorledger.operators.faces import corner_order, usable_walls
-from floorledger.operators.graph import components, degrees
+from floorledger.operators.graph import degrees
 from floorledger.session import cut_lineage
 
 TOUCH_M = 0.0127
@@ -172,18 +172,3 @@ def rooms_of_plans(vertices: DataFrame, walls: DataFrame, pillars: DataFrame, la
     f = fc.faces(w).withColumn("wall_id", F.substring_index("wall_id", "~", 1))
     named = fc.rooms(f, labels, size)
     return faces_outside_columns(named, t["columns"], size)
-
-
-def merge_corners(vertices: DataFrame, walls: DataFrame, near: float = 0.01, size: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """Corners within ``near`` of each other become one (the smallest id's place); walls are rewired, zero-length ones dropped."""
-    p = vertices.select("unit_id", "vertex_id", "x", "y")
-    b = p.withColumn("x0", F.col("x") - near / 2).withColumn("x1", F.col("x") + near / 2).withColumn("y0", F.col("y") - near / 2).withColumn("y1", F.col("y") + near / 2)
-    j = box_join(b, b, U, size).where((F.col("l.vertex_id") < F.col("r.vertex_id")) & (F.hypot(F.col("l.x") - F.col("r.x"), F.col("l.y") - F.col("r.y")) <= near))
-    e = j.select(F.col("l.unit_id").alias("unit_id"), F.col("l.vertex_id").alias("src"), F.col("r.vertex_id").alias("dst"))
-    c = components(p.select("unit_id", F.col("vertex_id").alias("id")), e, U)
-    keep = vertices.join(c.where("id = component").select("unit_id", F.col("id").alias("vertex_id")), ["unit_id", "vertex_id"], "left_semi")
-    w = walls
-    for end in "ab":
-        to = c.select("unit_id", F.col("id").alias(end), F.col("component").alias("_to"))
-        w = w.join(to, ["unit_id", end], "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
-    return keep, w.where("a <> b").select(walls.columns)

@@ -10,7 +10,7 @@ from floorledger.functions import sql as fsql
 from floorledger.operators import drawing as dw
 from floorledger.operators import evaluate as ev
 from floorledger.operators import labels as lb
-from floorledger.operators import review, touch
+from floorledger.operators import noding, review, touch
 from floorledger.plans import graphs, text
 from floorledger.plans.registry import query
 from floorledger.plans.spatial import SQL_SEG, row_id, segments
@@ -327,13 +327,66 @@ def touch_join(spark, base):
 
 @query(
     "JOIN-33_merge_corners",
-    """with v as (select o_custkey as u, o_orderkey as id, o_orderkey % 5 + (o_orderkey % 2) * 0.006 as x, cast(o_orderkey % 3 as double) as y from orders) select u as unit_id, min(id) as vertex_id from v group by u, floor(x + 0.1), y""",
+    """with v as (select o_custkey as u, lpad(o_orderkey::varchar, 12, '0') as id, o_orderkey % 5 + (o_orderkey % 2) * 0.006 as x, cast(o_orderkey % 3 as double) as y from orders) select u as unit_id, min(id) as vertex_id from v group by u, floor(x + 0.1), y""",
 )
 def merge_corners(spark, base):
     d = lambda c: c.cast("double")
-    v = table(spark, base, "orders").select(F.col("o_custkey").alias("unit_id"), K().alias("vertex_id"), (d(K() % 5) + (K() % 2) * 0.006).alias("x"), d(K() % 3).alias("y"))
-    w = v.select("unit_id", F.col("vertex_id").alias("wall_id"), F.col("vertex_id").alias("a"), F.col("vertex_id").alias("b"))
-    return touch.merge_corners(v, w)[0].select("unit_id", "vertex_id")
+    ident = F.lpad(K().cast("string"), 12, "0")
+    v = table(spark, base, "orders").select(F.col("o_custkey").alias("unit_id"), ident.alias("vertex_id"), (d(K() % 5) + (K() % 2) * 0.006).alias("x"), d(K() % 3).alias("y"))
+    w = v.select("unit_id", F.col("vertex_id").alias("wall_id"), F.col("vertex_id").alias("of_wall"), F.col("vertex_id").alias("a"), F.col("vertex_id").alias("b"), F.lit(0.127).alias("thick"), F.lit(3.0).alias("height"))
+    return noding.merged_corners(v, w)[0].select("unit_id", "vertex_id")
+
+
+#: Meetings of walls, one an order 40 m from the next: a crossing, a wall that ends in a body, ends 6 mm apart, a hair-long wall, two widths end
+#: to end, a short corner, three walls through one point, two that do not meet. (x0, y0, x1, y1, thickness) a wall.
+MEETINGS = [
+    [(0, 0, 4, 0, 0.127), (2, -1, 2, 1, 0.254)], [(0, 0, 4, 0, 0.127), (1, 0.05, 1, 3, 0.127)], [(0, 0, 2, 0, 0.127), (2.006, 0, 2.006, 3, 0.127)],
+    [(0, 0, 2, 0, 0.127), (2, 0, 2, 0.005, 0.127), (2, 0.005, 2, 3, 0.127)], [(0, 0, 2, 0, 0.254), (2, 0.08, 4, 0.08, 0.127)], [(0, 0, 4, 0, 0.127), (4.03, 0.02, 4.03, 3, 0.127)],
+    [(0, 2, 4, 2, 0.127), (2, 0, 2, 4, 0.127), (0, 0, 4, 4, 0.127)], [(0, 0, 2, 0, 0.127), (0, 1, 2, 1, 0.127)],
+]
+#: What they become, with the number of walls at either end.
+MET = [
+    [(0, 0, 2, 0, 0.127, 1, 4), (2, 0, 4, 0, 0.127, 4, 1), (2, -1, 2, 0, 0.254, 1, 4), (2, 0, 2, 1, 0.254, 4, 1)], [(0, 0, 1, 0, 0.127, 1, 3), (1, 0, 4, 0, 0.127, 3, 1), (1, 0, 1, 3, 0.127, 3, 1)],
+    [(0, 0, 2, 0, 0.127, 1, 2), (2, 0, 2.006, 3, 0.127, 2, 1)], [(0, 0, 2, 0, 0.127, 1, 2), (2, 0, 2, 0.005, 0.127, 2, 2), (2, 0.005, 2, 3, 0.127, 2, 1)],
+    [(0, 0, 2, 0, 0.254, 1, 2), (2, 0, 2, 0.08, 0.254, 2, 2), (2, 0.08, 4, 0.08, 0.127, 2, 1)], [(0, 0, 4.03, 0, 0.127, 1, 2), (4.03, 0, 4.03, 3, 0.127, 2, 1)],
+    [*[(x, y, 2, 2, 0.127, 1, 6) for x, y in ((0, 2), (2, 0), (0, 0))], *[(2, 2, x, y, 0.127, 6, 1) for x, y in ((4, 2), (2, 4), (4, 4))]], [(0, 0, 2, 0, 0.127, 1, 1), (0, 1, 2, 1, 0.127, 1, 1)],
+]
+
+
+def meetings(spark, base):
+    """Each order as one meeting of walls in its customer's plan: (vertices, walls)."""
+    at = lambda c, v: (K() * 40 + F.lit(float(v))).alias(c)
+    pick = None
+    for n, ws in enumerate(MEETINGS):
+        rows = F.array(*[F.struct(F.lit(i).alias("i"), at("ax", a), at("ay", b), at("bx", c), at("by", d), F.lit(t).alias("thick")) for i, (a, b, c, d, t) in enumerate(ws)])
+        pick = F.when(K() % len(MEETINGS) == n, rows) if pick is None else pick.when(K() % len(MEETINGS) == n, rows)
+    w = table(spark, base, "orders").select(F.col("o_custkey").alias("unit_id"), F.lpad(K().cast("string"), 12, "0").alias("k"), F.inline(pick)).withColumn("wall_id", F.concat_ws("/", "k", "i"))
+    ends = [F.struct(F.concat_ws("/", "wall_id", F.lit(e)).alias("vertex_id"), F.col(f"{e}x").alias("x"), F.col(f"{e}y").alias("y")) for e in "ab"]
+    v = w.select("unit_id", F.inline(F.array(*ends)))
+    # the hair-long wall shares its corners with its neighbours
+    hair = F.substring_index("vertex_id", "/", 1).cast("bigint") % len(MEETINGS) == 3
+    v = v.groupBy("unit_id", F.when(hair, F.concat_ws("/", F.substring_index("vertex_id", "/", 1), F.round("x", 4).cast("string"), F.round("y", 4).cast("string"))).otherwise(F.col("vertex_id")).alias("vertex_id")).agg(F.min("x").alias("x"), F.min("y").alias("y"))
+    shared = F.col("k").cast("bigint") % len(MEETINGS) == 3
+    ident = lambda e: F.when(shared, F.concat_ws("/", "k", F.round(f"{e}x", 4).cast("string"), F.round(f"{e}y", 4).cast("string"))).otherwise(F.concat_ws("/", "wall_id", F.lit(e))).alias(e)
+    return v, w.select("unit_id", "wall_id", ident("a"), ident("b"), "thick", F.lit(3.0).alias("height"))
+
+
+def _met_sql() -> str:
+    lists = ", ".join("[" + ", ".join("{" + ", ".join(f"'{n}': {v}::double" for n, v in zip(("ax", "ay", "bx", "byy", "t", "da", "db"), w)) + "}" for w in ws) + "]" for ws in MET)
+    return f"""with o as (select o_custkey as unit_id, o_orderkey * 40 as z, unnest([{lists}][o_orderkey % {len(MET)} + 1]) as m from orders)
+    select unit_id, floor((z + m.ax) * 1000 + 0.5)::bigint as ax, floor((z + m.ay) * 1000 + 0.5)::bigint as ay, floor((z + m.bx) * 1000 + 0.5)::bigint as bx, floor((z + m.byy) * 1000 + 0.5)::bigint as "by", floor(m.t * 1000 + 0.5)::bigint as thick, m.da::bigint as da, m.db::bigint as db from o"""
+
+
+@query("JOIN-33_join_overlaps", _met_sql())
+def join_overlaps(spark, base):
+    """Every wall after all meetings are shared corners, in millimetres, the lower end first, with how many walls meet at either end."""
+    v, w = noding.join_overlaps(*meetings(spark, base))
+    deg = w.select("unit_id", F.explode(F.array("a", "b")).alias("c")).groupBy("unit_id", "c").agg(F.count(F.lit(1)).alias("n"))
+    end = lambda e: v.select("unit_id", F.col("vertex_id").alias(e), F.floor(F.col("x") * 1000 + 0.5).cast("bigint").alias(f"{e}x"), F.floor(F.col("y") * 1000 + 0.5).cast("bigint").alias(f"{e}y")).join(deg.select("unit_id", F.col("c").alias(e), F.col("n").alias(f"d{e}")), ["unit_id", e])
+    j = w.join(end("a"), ["unit_id", "a"]).join(end("b"), ["unit_id", "b"])
+    p, q = [F.struct(F.col(f"{e}x").alias("x"), F.col(f"{e}y").alias("y"), F.col(f"d{e}").alias("n")) for e in "ab"]
+    lo, hi = F.least(p, q), F.greatest(p, q)
+    return j.select("unit_id", lo["x"].alias("ax"), lo["y"].alias("ay"), hi["x"].alias("bx"), hi["y"].alias("by"), F.floor(F.col("thick") * 1000 + 0.5).cast("bigint").alias("thick"), lo["n"].alias("da"), hi["n"].alias("db"))
 
 
 @query("AGG-8_room_states")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from floorledger.operators import faces as fc
 from floorledger.operators import geometry as geo
-from floorledger.operators import graph, quality, review, touch
+from floorledger.operators import graph, quality, review, touch, noding
 
 
 def by_unit(df):
@@ -162,9 +162,60 @@ def test_corner_merge(spark):
     p.wall("m", "w1", "b", "c")
     p.wall("m", "w2", "a", "b")
     v, w, _, _, _ = p.tables(spark)
-    keep, walls = touch.merge_corners(v, w)
-    assert sorted(r.vertex_id for r in keep.collect()) == ["a", "c"]
-    assert sorted((r.wall_id, r.a, r.b) for r in walls.collect()) == [("w0", "a", "c"), ("w1", "a", "c")]
+    w = w.select("unit_id", "wall_id", F.col("wall_id").alias("of_wall"), "a", "b", F.lit(0.1).alias("thick"), F.lit(3.0).alias("height"))
+    keep, walls, gone = noding.merged_corners(v, w.where("wall_id <> 'w2'"))
+    assert gone == 1 and sorted(r.vertex_id for r in keep.collect()) == ["a", "c"]
+    assert sorted((r.wall_id, r.a, r.b) for r in walls.collect()) == [("w0", "a", "c")]  # of two walls between the same corners the first stays
+    keep, walls, gone = noding.merged_corners(v, w)
+    assert gone == 0 and keep.count() == 3 and walls.count() == 3  # a hair-long wall is geometry
+
+
+def test_crossings_equal_pairs_looked_at_one_by_one(spark):
+    rnd = random.Random(12)
+    walls, on, spots = [], {}, []
+    while len(walls) < 45:  # walls that come nowhere near a doubtful meeting
+        u, i, ax, ay, bx, by = new = (len(walls) % 3, f"w{len(walls):02d}", *(rnd.uniform(0, 9) for _ in range(4)))
+        hits, clear = [], True
+        for u2, q, cx, cy, ex, ey in walls:
+            den = (bx - ax) * (ey - cy) - (by - ay) * (ex - cx)
+            t, s = ((cx - ax) * (ey - cy) - (cy - ay) * (ex - cx)) / den, ((cx - ax) * (by - ay) - (cy - ay) * (bx - ax)) / den
+            lp, lq = math.hypot(bx - ax, by - ay), math.hypot(ex - cx, ey - cy)
+            if u == u2 and -0.1 < t * lp < lp + 0.1 and -0.1 < s * lq < lq + 0.1:
+                clear &= min(t * lp, (1 - t) * lp, s * lq, (1 - s) * lq) > 0.1
+                hits.append((q, t * lp, s * lq, (u, round(ax + t * (bx - ax), 6), round(ay + t * (by - ay), 6))))
+        near = [h[3] for h in hits] + spots
+        if clear and all(math.dist(p[1:], q[1:]) > 0.05 for k, p in enumerate(near) for q in near[:k] if p[0] == q[0]):
+            walls.append(new)
+            on[u, i] = [h[1] for h in hits]
+            for q, _, s, p in hits:
+                on[u, q].append(s), spots.append(p)
+    v = spark.createDataFrame([(u, f"{i}{e}", x, y) for u, i, ax, ay, bx, by in walls for e, x, y in (("a", ax, ay), ("b", bx, by))], "unit_id int, vertex_id string, x double, y double").repartition(3)
+    w = spark.createDataFrame([(u, i, f"{i}a", f"{i}b", 0.0, 3.0) for u, i, *_ in walls], "unit_id int, wall_id string, a string, b string, thick double, height double").repartition(3)
+    got_v, got_w = noding.join_overlaps(v, w)
+    corners = {(r.unit_id, r.vertex_id): (r.x, r.y) for r in got_v.collect()}
+    assert len(spots) > 60 and sorted((u, round(x, 6), round(y, 6)) for (u, k), (x, y) in corners.items() if "*" in k) == sorted(spots)
+    lengths = {}
+    for r in got_w.collect():
+        (x0, y0), (x1, y1) = corners[r.unit_id, r.a], corners[r.unit_id, r.b]
+        lengths.setdefault((r.unit_id, r.of_wall), []).append(math.hypot(x1 - x0, y1 - y0))
+    for (u, i), cuts in on.items():
+        full = next(math.hypot(bx - ax, by - ay) for uu, k, ax, ay, bx, by in walls if (uu, k) == (u, i))
+        stops = [0.0, *sorted(cuts), full]
+        assert sorted(round(x, 6) for x in lengths[u, i]) == sorted(round(b - a, 6) for a, b in zip(stops, stops[1:]))
+
+
+def test_endings_that_depend_on_one_another(spark):
+    """Two short corners in each other's end blocks become one corner, whichever comes first; a ladder's rungs end in both rails at once."""
+    ends = [("L", "h", 0, 0, 3.96, 0.01), ("L", "v", 4.0, 0.03, 4.0, 3), *[("R", f"rail{k}", x, 0, x, 10) for k, x in enumerate((0, 2))], *[("R", f"rung{k}", 0.05, k, 1.96, k) for k in range(1, 10)]]
+    v = spark.createDataFrame([(u, f"{i}{e}", float(x), float(y)) for u, i, ax, ay, bx, by in ends for e, x, y in (("a", ax, ay), ("b", bx, by))], "unit_id string, vertex_id string, x double, y double")
+    w = spark.createDataFrame([(u, i, f"{i}a", f"{i}b", 0.2, 3.0) for u, i, *_ in ends], "unit_id string, wall_id string, a string, b string, thick double, height double")
+    got_v, got_w = noding.join_overlaps(v, w)
+    n = {r.unit_id: r.n for r in got_v.groupBy("unit_id").agg(F.count("*").alias("n")).collect()}
+    walls = got_w.collect()
+    assert n["L"] == 3 and sum(r.unit_id == "L" for r in walls) == 2
+    assert n["R"] == 4 + 18 and sum(r.of_wall.startswith("rail") for r in walls) == 20 and sum(r.of_wall.startswith("rung") for r in walls) == 9
+    xs = {round(r.x, 9) for r in got_v.where("unit_id = 'R'").collect()}
+    assert xs == {0.0, 2.0}
 
 
 def test_printed_size_and_inner_ring(spark):
