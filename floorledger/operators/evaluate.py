@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,8 @@ from floorledger.functions.names import name_right, same_label
 from floorledger.operators.cells import box_join, cell, explode_cells, smallest_containing
 from floorledger.operators.geometry import inside, point_to_segment
 from floorledger.operators.matching import greedy_match
+from floorledger.operators.ordered import Ordered, Running
+from floorledger.session import cut_lineage
 
 STATES = ("right", "wrong", "unnamed", "merged", "open")
 PARTITION_M = 0.127
@@ -77,6 +80,37 @@ def false_rooms(scored: DataFrame, rooms: DataFrame, max_sqm: float = 90.0) -> D
     return rooms.where(F.col("area").between(1.0, max_sqm)).join(held, ["sheet", "room_id"], "left_anti").select("sheet", "room_id", "area")
 
 
+def stray_columns(pillars: DataFrame, rooms: DataFrame, walls: DataFrame, slack: float = 0.02, size: float = 4.0) -> DataFrame:
+    """Columns (sheet, pillar_id, x, y, w, h) that no wall of a room from half a square metre on reaches within its half thickness: they stand in rooms.
+
+    ``rooms``: sheet, area, wall_ids; ``walls``: sheet, wall_id, ax, ay, bx, by, thick. Columns meet walls by cells; the distance from the
+    wall's line to the column's box is exact.
+    """
+    used = rooms.where("area >= 0.5").select("sheet", F.explode("wall_ids").alias("wall_id")).distinct()
+    w = walls.join(used, ["sheet", "wall_id"], "left_semi").withColumn("reach", F.col("thick") / 2 + slack)
+    w = w.withColumns({"x0": F.least("ax", "bx") - F.col("reach"), "x1": F.greatest("ax", "bx") + F.col("reach"), "y0": F.least("ay", "by") - F.col("reach"), "y1": F.greatest("ay", "by") + F.col("reach")})
+    c = pillars.withColumns({"x0": F.col("x") - F.col("w") / 2, "x1": F.col("x") + F.col("w") / 2, "y0": F.col("y") - F.col("h") / 2, "y1": F.col("y") + F.col("h") / 2})
+    j = box_join(c, w, ["sheet"], size)
+    b, e = (lambda n: F.col(f"l.{n}")), (lambda n: F.col(f"r.{n}"))
+    outside = lambda v, lo, hi: F.greatest(lo - v, v - hi, F.lit(0.0))
+    ends = [F.hypot(outside(e(f"{p}x"), b("x0"), b("x1")), outside(e(f"{p}y"), b("y0"), b("y1"))) for p in "ab"]
+    corners = [point_to_segment(b(x), b(y), e("ax"), e("ay"), e("bx"), e("by"))["d"] for x in ("x0", "x1") for y in ("y0", "y1")]
+    side = [(e("bx") - e("ax")) * (b(y) - e("ay")) - (e("by") - e("ay")) * (b(x) - e("ax")) for x in ("x0", "x1") for y in ("y0", "y1")]
+    through = (F.least(*side) <= 0) & (F.greatest(*side) >= 0) & (F.least(e("ax"), e("bx")) <= b("x1")) & (F.greatest(e("ax"), e("bx")) >= b("x0")) & (F.least(e("ay"), e("by")) <= b("y1")) & (F.greatest(e("ay"), e("by")) >= b("y0"))
+    met = j.where(through | (F.least(*ends, *corners) <= e("reach"))).select(b("sheet").alias("sheet"), b("pillar_id").alias("pillar_id")).distinct()
+    return pillars.join(met, ["sheet", "pillar_id"], "left_anti")
+
+
+def sheet_scores(expected: DataFrame, rooms: DataFrame, pillars: DataFrame, walls: DataFrame) -> DataFrame:
+    """Per sheet: printed rooms, how many are in each state, draft rooms that hold none, columns that stand in rooms."""
+    scored = room_state_scores(expected, rooms)
+    states = scored.groupBy("sheet").agg(F.count(F.lit(1)).alias("printed"), *[F.count_if(F.col("state") == x).alias(x) for x in ("right", "wrong", "unnamed", "merged", "open")])
+    n = lambda d, c: d.groupBy("sheet").agg(F.count(F.lit(1)).alias(c))
+    sheets = expected.select("sheet").union(rooms.select("sheet")).union(pillars.select("sheet")).distinct()
+    out = sheets.join(states, "sheet", "left").join(n(false_rooms(scored, rooms), "false_rooms"), "sheet", "left").join(n(stray_columns(pillars, rooms, walls), "columns_in_rooms"), "sheet", "left")
+    return out.na.fill(0)
+
+
 def names_read(expected: DataFrame, read: DataFrame, reach: float = 3.0) -> DataFrame:
     """Expected rooms whose printed name was read: the nearest unused right name within ``reach``, in printed order.
 
@@ -135,8 +169,8 @@ def hint_scores_at(placed: DataFrame, rooms: DataFrame, groups: DataFrame) -> di
     return {"unit": unit, "what": what, "groups": cov}
 
 
-def raster_iou(truth: DataFrame, draft: DataFrame, step: float = 0.05, size: float = 2.0) -> DataFrame:
-    """Truth and draft outlines (sheet, id, poly) sampled on one grid of ``step``: pairs with inter, truth_n, draft_n, iou.
+def _raster(truth: DataFrame, draft: DataFrame, step: float) -> tuple[DataFrame, DataFrame]:
+    """Truth and draft outlines (sheet, id, poly) sampled on one grid of ``step``: (sheet, gx, gy, truth_id), (sheet, gx, gy, draft_id).
 
     Outlines may overlap: a point belongs to one truth, the first by id, and to the smallest draft around it (ties: the first
     by id), and counts for these two alone.
@@ -153,7 +187,12 @@ def raster_iou(truth: DataFrame, draft: DataFrame, step: float = 0.05, size: flo
 
     corner = lambda i: F.get("poly", F.pmod(i, F.size("poly")))
     area = F.abs(F.aggregate(F.sequence(F.lit(0), F.size("poly") - 1), F.lit(0.0), lambda a, i: a + corner(i)["x"] * corner(i + 1)["y"] - corner(i + 1)["x"] * corner(i)["y"])) / 2
-    t, d = samples(truth, "truth_id", F.lit(0)), samples(draft.withColumn("_area", area), "draft_id", F.col("_area"))
+    return samples(truth, "truth_id", F.lit(0)), samples(draft.withColumn("_area", area), "draft_id", F.col("_area"))
+
+
+def raster_iou(truth: DataFrame, draft: DataFrame, step: float = 0.05) -> DataFrame:
+    """Truth and draft outlines (sheet, id, poly) sampled on one grid of ``step``: pairs with inter, truth_n, draft_n, iou."""
+    t, d = _raster(truth, draft, step)
     inter = t.join(d, ["sheet", "gx", "gy"]).groupBy("sheet", "truth_id", "draft_id").agg(F.count(F.lit(1)).alias("inter"))
     nt = t.groupBy("sheet", "truth_id").agg(F.count(F.lit(1)).alias("truth_n"))
     nd = d.groupBy("sheet", "draft_id").agg(F.count(F.lit(1)).alias("draft_n"))
@@ -161,32 +200,113 @@ def raster_iou(truth: DataFrame, draft: DataFrame, step: float = 0.05, size: flo
     return j.withColumn("iou", F.col("inter") / (F.col("truth_n") + F.col("draft_n") - F.col("inter")))
 
 
-def matched_rooms(truth: DataFrame, iou: DataFrame, least: float = 0.6) -> DataFrame:
-    """One-to-one by IoU: per sheet rooms, matched (≥ 0.6) and mean IoU."""
-    pairs = iou.select("sheet", "truth_id", "draft_id", (-F.col("iou")).alias("cost"))
-    m = greedy_match(pairs, ["sheet", "truth_id"], ["sheet", "draft_id"]).select("sheet", "truth_id", (-F.col("cost")).alias("iou"))
-    t = truth.select("sheet", F.col("id").alias("truth_id")).join(m, ["sheet", "truth_id"], "left")
-    return t.groupBy("sheet").agg(F.count(F.lit(1)).alias("rooms"), F.count_if(F.coalesce(F.col("iou") >= least, F.lit(False))).alias("matched"), (F.sum(F.coalesce("iou", F.lit(0.0))) / F.count(F.lit(1))).alias("mean_iou"))
+def room_scores(truth: DataFrame, draft: DataFrame, step: float = 0.05, least: float = 0.6) -> DataFrame:
+    """Per sheet of truth: rooms on both sides, pairs matched one to one from IoU ``least`` on, their mean area error and how many agree in kind,
+    the share of the truth's points in any draft room and of the draft's points in no true one.
+
+    Both sides: sheet, id, kind, area, poly.
+    """
+    t, d = _raster(truth, draft, step)
+    points = t.join(d, ["sheet", "gx", "gy"], "full")
+    pairs = points.groupBy("sheet", "truth_id", "draft_id").agg(F.count(F.lit(1)).alias("n"))
+    pairs = cut_lineage(pairs)  # a row for each pair that overlaps, and one a room for what overlaps nothing
+    nt = pairs.where("truth_id is not null").groupBy("sheet", "truth_id").agg(F.sum("n").alias("tn"))
+    nd = pairs.where("draft_id is not null").groupBy("sheet", "draft_id").agg(F.sum("n").alias("dn"))
+    cost = pairs.join(nt, ["sheet", "truth_id"]).join(nd, ["sheet", "draft_id"]).withColumn("iou", F.col("n") / (F.col("tn") + F.col("dn") - F.col("n"))).where(F.col("iou") >= least)
+    m = greedy_match(cost.select("sheet", "truth_id", "draft_id", (-F.col("iou")).alias("cost")), ["sheet", "truth_id"], ["sheet", "draft_id"])
+    side = lambda df, p: df.select("sheet", F.col("id").alias(f"{p}_id"), F.col("kind").alias(f"{p}_kind"), F.col("area").alias(f"{p}_area"))
+    m = m.join(side(truth, "truth"), ["sheet", "truth_id"]).join(side(draft, "draft"), ["sheet", "draft_id"])
+    m = m.groupBy("sheet").agg(F.count(F.lit(1)).alias("matched"), F.avg(F.abs(F.col("draft_area") - F.col("truth_area")) / F.col("truth_area")).alias("area_err"), F.count_if(F.col("truth_kind").eqNullSafe(F.col("draft_kind"))).alias("kind_ok"))
+    in_t, in_d = F.col("truth_id").isNotNull(), F.col("draft_id").isNotNull()
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    cover = pairs.groupBy("sheet").agg(F.coalesce(F.try_divide(total(in_t & in_d), total(in_t)), F.lit(0.0)).alias("coverage"), F.coalesce(F.try_divide(total(~in_t), total(in_d)), F.lit(0.0)).alias("spill"))
+    n = lambda df, c: df.groupBy("sheet").agg(F.count(F.lit(1)).alias(c))
+    out = n(truth, "truth_rooms").join(n(draft, "draft_rooms"), "sheet", "left").join(cover, "sheet", "left").join(m, "sheet", "left")
+    return out.na.fill(0, ["draft_rooms", "matched", "kind_ok", "coverage", "spill"])
+
+
+def _samples(lines: DataFrame, step: float) -> DataFrame:
+    """Points in the middle of equal parts, about ``step`` long, of each line; with i, n and the line's direction."""
+    length = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    n = F.greatest(F.lit(1), F.floor(length / step + 0.5)).cast("int")
+    s = lines.where(length > 0).withColumns({"n": n, "ux": (F.col("bx") - F.col("ax")) / length, "uy": (F.col("by") - F.col("ay")) / length})
+    s = s.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("f", (F.col("i") + 0.5) / F.col("n"))
+    return s.withColumns({"x": F.col("ax") + F.col("f") * (F.col("bx") - F.col("ax")), "y": F.col("ay") + F.col("f") * (F.col("by") - F.col("ay"))})
+
+
+def _nearest_line(points: DataFrame, lines: DataFrame, reach: float, cos_tol: float, *kept: str) -> DataFrame:
+    """``points`` (sheet, line, i, x, y, ux, uy) with d, the distance to the nearest line of like direction within ``reach`` (else null), and that line's ``kept``."""
+    length = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    w = lines.where(length > 0).select("sheet", "ax", "ay", "bx", "by", ((F.col("bx") - F.col("ax")) / length).alias("vx"), ((F.col("by") - F.col("ay")) / length).alias("vy"), *[F.col(c).alias(f"m_{c}") for c in kept])
+    w = explode_cells(w, F.least("ax", "bx") - reach, F.least("ay", "by") - reach, F.greatest("ax", "bx") + reach, F.greatest("ay", "by") + reach, 1.0)
+    p = points.select("sheet", "line", "i", "x", "y", "ux", "uy", cell(F.col("x"), 1.0).alias("_cx"), cell(F.col("y"), 1.0).alias("_cy"))
+    j = p.join(w, ["sheet", "_cx", "_cy"]).where(F.abs(F.col("ux") * F.col("vx") + F.col("uy") * F.col("vy")) >= cos_tol)
+    j = j.withColumn("d", point_to_segment(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))["d"]).where(F.col("d") <= reach)
+    best = j.groupBy("sheet", "line", "i").agg(F.min(F.struct("d", *[f"m_{c}" for c in kept])).alias("m"))
+    return points.join(best, ["sheet", "line", "i"], "left").select(*points.columns, F.col("m.d").alias("d"), *[F.col(f"m.m_{c}").alias(f"m_{c}") for c in kept])
+
+
+def solid_lines(walls: DataFrame, openings: DataFrame) -> DataFrame:
+    """Walls less their openings: sheet, line, ax, ay, bx, by, thickness, one row a solid stretch; overlapping openings count once."""
+    length = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    stops = walls.select("sheet", "wall_id", length.alias("p"), length.alias("q")).unionByName(openings.select("sheet", "wall_id", F.col("off").alias("p"), (F.col("off") + F.col("width")).alias("q")))
+    gaps = Ordered(stops, ["sheet", "wall_id"], [F.col("p"), F.col("q")]).add(reach=Running(F.col("q"), "max", inclusive=False)).result()
+    gaps = gaps.withColumn("m0", F.greatest(F.lit(0.0), F.coalesce("reach", F.lit(0.0)))).where(F.col("p") > F.col("m0")).select("sheet", "wall_id", "m0", F.col("p").alias("m1"))
+    j = gaps.join(walls, ["sheet", "wall_id"]).withColumn("L", length).withColumn("m1", F.least("m1", "L")).where("m1 > m0")
+    at = lambda m, c: F.col(f"a{c}") + (F.col(f"b{c}") - F.col(f"a{c}")) * F.col(m) / F.col("L")
+    return j.select("sheet", F.concat_ws("@", "wall_id", F.col("m0").cast("string")).alias("line"), at("m0", "x").alias("ax"), at("m0", "y").alias("ay"), at("m1", "x").alias("bx"), at("m1", "y").alias("by"), "thickness")
+
+
+def _closest(points: DataFrame, others: DataFrame, reach: float, ident: str, *kept: str) -> DataFrame:
+    """``points`` (sheet, ident, x, y) with d and ``kept`` of the nearest other point within ``reach``, null where there is none."""
+    near = lambda d, r: d.withColumns({"x0": F.col("x") - r, "x1": F.col("x") + r, "y0": F.col("y") - r, "y1": F.col("y") + r})
+    j = box_join(near(points.select("sheet", ident, "x", "y"), reach), near(others.select("sheet", "x", "y", *kept), 0.0), ["sheet"], 2 * reach)
+    d = F.hypot(F.col("l.x") - F.col("r.x"), F.col("l.y") - F.col("r.y"))
+    best = j.where(d <= reach).groupBy(F.col("l.sheet").alias("sheet"), F.col(f"l.{ident}").alias(ident)).agg(F.min(F.struct(d.alias("d"), *[F.col(f"r.{c}").alias(f"m_{c}") for c in kept])).alias("m"))
+    return points.join(best, ["sheet", ident], "left").select(*points.columns, "m.*")
 
 
-def wall_scores(truth: DataFrame, traced: DataFrame, tol: float = 0.15, step: float = 0.05) -> DataFrame:
-    """Per sheet: recall of truth walls and precision of traced ones by samples every 5 cm, and the mean thickness bias.
+def wall_scores(truth: DataFrame, openings: DataFrame, traced: DataFrame, guesses: DataFrame, tol: float = 0.15, deg: float = 10.0, margin: float = 0.3, reach: float = 0.3, step: float = 0.05) -> DataFrame:
+    """A tracing against the hand-traced walls, per sheet of truth.
 
-    Both tables: sheet, wall_id, ax, ay, bx, by, thickness.
+    ``truth``, ``traced``: sheet, wall_id, ax, ay, bx, by, thickness; ``openings``: sheet, opening_id, wall_id, off, width, kind;
+    ``guesses``: sheet, guess_id, x, y (middle), width, kind. Traced samples every ``step`` within the truth's box and a margin lie on
+    a true wall of like direction within ``tol`` (loose: twice that): precision; samples of solid true wall lie by a traced one: recall, with
+    the thickness error of the nearest. Ends of traced walls that mostly hit are measured to the nearest corner or
+    jamb within half a metre. An opening takes the nearest guess within ``reach``: recall, kind, width error; a guess by
+    some opening counts for precision. Measures without anything to measure are null.
     """
-    def side(a: DataFrame, b: DataFrame) -> DataFrame:
-        length = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
-        n = F.greatest(F.lit(1), F.ceil(length / step)).cast("int")
-        s = a.withColumn("_i", F.explode(F.sequence(F.lit(0), n))).withColumn("_f", F.col("_i") / n)
-        s = s.select("sheet", "wall_id", "_i", "thickness", (F.col("ax") + F.col("_f") * (F.col("bx") - F.col("ax"))).alias("x"), (F.col("ay") + F.col("_f") * (F.col("by") - F.col("ay"))).alias("y"))
-        w = explode_cells(b.select("sheet", "ax", "ay", "bx", "by", F.col("thickness").alias("bt")), F.least("ax", "bx") - tol, F.least("ay", "by") - tol, F.greatest("ax", "bx") + tol, F.greatest("ay", "by") + tol, 1.0)
-        j = s.withColumn("_cx", cell(F.col("x"), 1.0)).withColumn("_cy", cell(F.col("y"), 1.0)).join(w, ["sheet", "_cx", "_cy"])
-        d = point_to_segment(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))["d"]
-        best = j.withColumn("d", d).where(F.col("d") <= tol).groupBy("sheet", "wall_id", "_i").agg(F.min(F.struct("d", "bt")).alias("m"))
-        return s.join(best, ["sheet", "wall_id", "_i"], "left").groupBy("sheet").agg(F.count(F.lit(1)).alias("n"), F.count("m").alias("hit"), F.avg(F.col("m.bt") - F.col("thickness")).alias("bias"))
-
-    r, p = side(truth, traced), side(traced, truth)
-    return r.join(p.select("sheet", F.col("n").alias("pn"), F.col("hit").alias("phit")), "sheet", "full").select("sheet", F.try_divide(F.col("hit"), F.col("n")).alias("recall"), F.try_divide(F.col("phit"), F.col("pn")).alias("precision"), F.col("bias").alias("thickness_bias"))
+    cos_tol = math.cos(math.radians(deg))
+    box = truth.select("sheet", F.inline(F.array(*[F.struct(F.col(f"{e}x").alias("x"), F.col(f"{e}y").alias("y")) for e in "ab"]))).groupBy("sheet").agg(F.min("x").alias("bx0"), F.max("x").alias("bx1"), F.min("y").alias("by0"), F.max("y").alias("by1"))
+    region = lambda d: d.join(box, "sheet").where(F.col("x").between(F.col("bx0") - margin, F.col("bx1") + margin) & F.col("y").between(F.col("by0") - margin, F.col("by1") + margin)).drop("bx0", "bx1", "by0", "by1")
+    lines = traced.withColumnRenamed("wall_id", "line")
+    points = region(_samples(lines, step).select("sheet", "line", "i", "x", "y", "ux", "uy"))
+    on = cut_lineage(_nearest_line(points, truth, 2 * tol, cos_tol))
+    ok = lambda c: F.coalesce(c, F.lit(False))
+    hit = ok(F.col("d") <= tol)
+    pr = on.groupBy("sheet").agg(F.avg(hit.cast("int")).alias("precision"), F.avg(F.col("d").isNotNull().cast("int")).alias("precision_loose"), (F.count(F.lit(1)) * step).alias("traced_m"))
+    solid = solid_lines(truth, openings)
+    g = _nearest_line(_samples(solid, step).select("sheet", "line", "i", "x", "y", "ux", "uy", "thickness"), traced, 2 * tol, cos_tol, "thickness")
+    off = F.when(hit, F.col("m_thickness") - F.col("thickness"))
+    rc = g.groupBy("sheet").agg(F.avg(hit.cast("int")).alias("recall"), F.avg(F.col("d").isNotNull().cast("int")).alias("recall_loose"), (F.count(F.lit(1)) * step).alias("truth_m"), F.avg(F.abs(off)).alias("thickness_err"), F.avg(off).alias("thickness_bias"))
+    mostly = on.groupBy("sheet", "line").agg(F.count_if(hit).alias("h"), F.count(F.lit(1)).alias("n")).where(F.col("h") >= 0.5 * F.col("n")).select("sheet", "line")
+    ends = lines.join(mostly, ["sheet", "line"]).select("sheet", F.posexplode(F.array(*[F.struct(F.concat_ws("#", "line", F.lit(e)).alias("end"), F.col(f"{e}x").alias("x"), F.col(f"{e}y").alias("y")) for e in "ab"]))).select("sheet", "col.*")
+    length = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    along = lambda m, c: F.col(f"a{c}") + (F.col(f"b{c}") - F.col(f"a{c}")) * m / length
+    held = openings.join(truth.select("sheet", "wall_id", "ax", "ay", "bx", "by"), ["sheet", "wall_id"])
+    spot = lambda m: F.struct(along(m, "x").alias("x"), along(m, "y").alias("y"))
+    jambs = truth.select("sheet", F.inline(F.array(spot(F.lit(0.0)), spot(length)))).unionByName(held.select("sheet", F.inline(F.array(spot(F.col("off")), spot(F.col("off") + F.col("width"))))))
+    en = _closest(region(ends), jambs, 0.5, "end").groupBy("sheet").agg(F.avg("d").alias("end_err"), F.avg(F.col("d").isNotNull().cast("int")).alias("end_near"))
+    mid = held.select("sheet", "opening_id", "kind", "width", spot(F.col("off") + F.col("width") / 2).alias("c")).select("sheet", "opening_id", "kind", "width", "c.*")
+    inside_ = cut_lineage(region(guesses))
+    o = _closest(mid, inside_, reach, "opening_id", "kind", "width")
+    got = F.col("d").isNotNull()
+    op = o.groupBy("sheet").agg(F.avg(got.cast("int")).alias("opening_recall"), F.avg(F.when(got, (F.col("m_kind") == F.col("kind")).cast("int"))).alias("opening_kind"), F.avg(F.when(got, F.abs(F.col("m_width") - F.col("width")))).alias("opening_width_err"))
+    gp = _closest(inside_, mid, reach, "guess_id").groupBy("sheet").agg(F.avg(F.col("d").isNotNull().cast("int")).alias("opening_precision"))
+    out = truth.select("sheet").distinct()
+    for part in (pr, rc, en, op, gp):
+        out = out.join(part, "sheet", "left")
+    return out
 
 
 def dominant_causes(misses: DataFrame) -> DataFrame:

@@ -398,11 +398,59 @@ def room_states(spark, base):
     return ev.room_state_scores(e, r).select("sheet", "pos", "state")
 
 
-@query("AGG-12_wall_scores")
+@query(
+    "AGG-8_sheet_scores",
+    """with o as (select o_custkey as sheet, o_orderkey % 6 as n, o_orderkey // 6 % 3 as col from orders)
+    select sheet, count(*) filter (where n < 5) + count(*) filter (where n = 3) as printed, count(*) filter (where n in (0, 3)) as right, count(*) filter (where n = 1) as wrong, count(*) filter (where n = 2) as unnamed, count(*) filter (where n = 3) as merged,
+      count(*) filter (where n = 4) as open, count(*) filter (where n = 5) as false_rooms, count(*) filter (where n = 4 or col = 0) as columns_in_rooms from o group by sheet""",
+)
+def sheet_scores(spark, base):
+    """Each order as a 4 × 3 m room, 40 m from the next: named right, wrong, not at all, two names in one, a name in none, a room without a name; and a column in the room, in
+    a wall, or with its corner two centimetres and a half thickness off one."""
+    o = table(spark, base, "orders").select(F.col("o_custkey").alias("sheet"), K().alias("k"), (K() % 6).alias("n"), (F.floor(K() / 6) % 3).alias("col"), (K() * 40).cast("double").alias("x"), (K() * 40).cast("double").alias("y"))
+    X, Y = (lambda v: F.col("x") + v), (lambda v: F.col("y") + v)
+    name = F.when(F.col("n") == 1, "KITCHEN").when(F.col("n") == 4, "BALCONY").otherwise("BED")
+    seen = F.struct(F.col("k").alias("pos"), name.alias("name"), X(2.0).alias("x"), Y(1.5).alias("y"))
+    second = F.struct(F.col("k").alias("pos"), F.lit("TOILET").alias("name"), X(3.0).alias("x"), Y(1.5).alias("y"))
+    e = o.where("n < 5").select("sheet", F.posexplode(F.when(F.col("n") == 3, F.array(seen, second)).otherwise(F.array(seen)))).select("sheet", (F.col("col.pos") * 2 + F.col("pos")).alias("pos"), "col.name", "col.x", "col.y", F.lit(False).alias("core"))
+    c = lambda a, b: F.struct(X(a).alias("x"), Y(b).alias("y"))
+    corners = [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 3.0)]
+    wid = lambda i: F.concat_ws("/", F.col("k").cast("string"), F.lit(str(i)))
+    rooms = o.where("n <> 4").select("sheet", F.col("k").cast("string").alias("room_id"), F.lit("BED").alias("name"), F.lit("bed").alias("kind"), (F.col("n") != 2).alias("named"), F.lit(12.0).alias("area"), F.array(*[c(*p) for p in corners]).alias("poly"), F.array(*[wid(i) for i in range(4)]).alias("wall_ids"))
+    walls = o.where("n <> 4").select("sheet", F.inline(F.array(*[F.struct(wid(i).alias("wall_id"), X(p[0]).alias("ax"), Y(p[1]).alias("ay"), X(q[0]).alias("bx"), Y(q[1]).alias("by"), F.lit(0.2).alias("thick")) for i, (p, q) in enumerate(zip(corners, corners[1:] + corners[:1]))])))
+    off = F.when(F.col("col") == 0, 2.0).when(F.col("col") == 1, 0.05).otherwise(0.15 + 0.1 + 0.019)
+    pillars = o.select("sheet", F.col("k").alias("pillar_id"), (F.col("x") + off).alias("x"), Y(1.5).alias("y"), F.lit(0.3).alias("w"), F.lit(0.3).alias("h"))
+    return ev.sheet_scores(e, rooms, pillars, walls)
+
+
+@query(
+    "AGG-12_wall_scores",
+    """with o as (select o_custkey as sheet, o_orderkey as k, (o_orderkey * 40)::double as z, [0.0, 0.1, 0.2, 0.5][o_orderkey % 4 + 1]::double as dy, o_orderkey % 2 * 0.25::double as sx, case when o_orderkey % 3 = 0 then 0.254 else 0.127 end::double as th, case when o_orderkey % 5 = 0 then -0.03 else 0.02 end::double as dt, o_orderkey % 5 * 0.12::double as gx, o_orderkey % 7 < 4 as same from orders),
+    top as (select sheet, max(z) as zz from o group by sheet), w as (select o.*, z + dy <= zz + 0.3 as seen from o join top using (sheet)),
+    tr as (select w.*, sx + 4 * (i + 0.5) / 80 as p from w, range(80) t(i) where seen), td as (select *, sqrt(pow(greatest(p - 4, -p, 0), 2) + pow(dy, 2)) as d from tr),
+    pr as (select sheet, avg((d <= 0.15)::int) as precision, avg((d <= 0.3)::int) as precision_loose, count(*) * 0.05 as traced_m from td group by sheet),
+    so as (select w.*, case when i < 30 then 1.5 * (i + 0.5) / 30 else 2.5 + 1.5 * (i - 30 + 0.5) / 30 end as p from w, range(60) t(i)), sd as (select *, sqrt(pow(greatest(sx - p, p - 4 - sx, 0), 2) + pow(dy, 2)) as d from so),
+    rc as (select sheet, avg((d <= 0.15)::int) as recall, avg((d <= 0.3)::int) as recall_loose, count(*) * 0.05 as truth_m, avg(abs(dt)) filter (where d <= 0.15) as thickness_err, avg(dt) filter (where d <= 0.15) as thickness_bias from sd group by sheet),
+    mo as (select sheet, k from td group by sheet, k having count(*) filter (where d <= 0.15) >= 0.5 * count(*)), en as (select sheet, avg(sqrt(sx * sx + dy * dy)) as end_err, 1.0::double as end_near from w join mo using (sheet, k) group by sheet),
+    op as (select sheet, avg((gx <= 0.3)::int) as opening_recall, avg(same::int) filter (where gx <= 0.3) as opening_kind, avg(case when gx <= 0.3 then 0.1 end) as opening_width_err, avg((gx <= 0.3)::int) as opening_precision from w group by sheet)
+    select rc.sheet, round(precision, 6) as precision, round(precision_loose, 6) as precision_loose, round(traced_m, 6)::double as traced_m, round(recall, 6) as recall, round(recall_loose, 6) as recall_loose, round(truth_m, 6)::double as truth_m, round(thickness_err, 5) as thickness_err, round(thickness_bias, 5) as thickness_bias,
+      round(end_err, 6) as end_err, round(end_near, 6) as end_near, round(opening_recall, 6) as opening_recall, round(opening_kind, 6) as opening_kind, round(opening_width_err, 6)::double as opening_width_err, round(opening_precision, 6) as opening_precision from rc left join pr using (sheet) left join en using (sheet) left join op using (sheet)""",
+)
 def wall_scores(spark, base):
-    s = segments(spark, base).select((F.col("unit_id") % 1000).alias("sheet"), F.concat_ws("/", F.col("unit_id").cast("string"), "wall_id").alias("wall_id"), "ax", (F.col("ay") + F.col("unit_id") / 1000 * 30).alias("ay"), "bx", (F.col("by") + F.col("unit_id") / 1000 * 30).alias("by"), F.lit(0.127).alias("thickness"))
-    t = s.withColumn("ax", F.col("ax") + 0.1).withColumn("thickness", F.lit(0.15))
-    return ev.wall_scores(s, t, step=0.25).select("sheet", R6("recall").alias("recall"), R6("precision").alias("precision"), R6("thickness_bias").alias("thickness_bias"))
+    """Each order as a 4 m wall with an opening, 40 m from the next, traced along and across it by more or less."""
+    pick = lambda c, *v: F.element_at(F.array(*[F.lit(float(x)) for x in v]), (c + 1).cast("int"))
+    k = K()
+    o = table(spark, base, "orders").select(
+        F.col("o_custkey").alias("sheet"), k.alias("k"), (k * 40).cast("double").alias("z"), pick(k % 4, 0, 0.1, 0.2, 0.5).alias("dy"), (k % 2 * 0.25).alias("sx"), F.when(k % 3 == 0, 0.254).otherwise(0.127).alias("th"),
+        F.when(k % 5 == 0, -0.03).otherwise(0.02).alias("dt"), (k % 5 * 0.12).alias("gx"), (k % 7 < 4).alias("same"), F.when(k % 2 == 0, "door").otherwise("window").alias("kind"),
+    )
+    z = F.col("z")
+    truth = o.select("sheet", F.col("k").alias("wall_id"), z.alias("ax"), z.alias("ay"), (z + 4).alias("bx"), z.alias("by"), F.col("th").alias("thickness"))
+    openings = o.select("sheet", F.col("k").alias("opening_id"), F.col("k").alias("wall_id"), F.lit(1.5).alias("off"), F.lit(1.0).alias("width"), "kind")
+    traced = o.select("sheet", F.col("k").cast("string").alias("wall_id"), (z + 4 + F.col("sx")).alias("ax"), (z + F.col("dy")).alias("ay"), (z + F.col("sx")).alias("bx"), (z + F.col("dy")).alias("by"), (F.col("th") + F.col("dt")).alias("thickness"))
+    guesses = o.select("sheet", F.col("k").alias("guess_id"), (z + 2 + F.col("gx")).alias("x"), z.alias("y"), F.lit(1.1).alias("width"), F.when(F.col("same"), F.col("kind")).otherwise("slider").alias("kind"))
+    out = ev.wall_scores(truth, openings, traced, guesses)
+    return out.select("sheet", *[F.round(c, 5 if c.startswith("thickness") else 6).alias(c) for c in out.columns if c != "sheet"])
 
 
 @query(
