@@ -15,6 +15,7 @@ from floorledger.plans import graphs, text
 from floorledger.plans.registry import query
 from floorledger.plans.spatial import SQL_SEG, row_id, segments
 from floorledger.sources import answers, units
+from floorledger.sources import primitives as prim
 from floorledger.sources.tables import table
 
 R6 = lambda c: F.round(c, 6)
@@ -278,11 +279,40 @@ def montage(spark, base):
     return m.select("ask_id", "tile", "name", R6("a").alias("a"))
 
 
-@query("UDF-1_lcs")
+@query(
+    "UDF-1_lcs",
+    """with recursive p as (select p_partkey as k, upper(p_name) as a, p_type || p_brand as b from part), g as (select distinct a, b from p),
+    c as (select a, b, i, j from g, unnest(range(length(a), -1, -1)) t(i), unnest(range(length(b), -1, -1)) u(j)),
+    l(a, b, i, row) as (select a, b, length(a), list_transform(range(length(b) + 1), lambda x: 0) from g
+      union all select a, b, i - 1, list_reduce(range(length(b), 0, -1)::bigint[], lambda acc, j: list_prepend(case when substr(a, i, 1) = substr(b, j, 1) then row[j + 1] + 1 else greatest(row[j], acc[1]) end, acc), [0::bigint]) from l where i > 0),
+    n as (select a, b, row[1] as agreed from l where i = 0)
+    select k as p_partkey, agreed::int as agreed from p join n using (a, b)""",
+)
 def lcs(spark, base):
-    """Positions a label's two readings agree on; the tests pin the subsequence itself."""
-    p = table(spark, base, "part")
-    return p.select("p_partkey", F.size(fsql.lcs_matches(F.upper("p_name"), F.col("p_type"))).alias("agreed"))
+    """How many positions two readings of a label agree on; the tests pin the positions."""
+    fsql.register(spark)
+    p = table(spark, base, "part").select("p_partkey", F.upper("p_name").alias("a"), F.concat("p_type", "p_brand").alias("b"))
+    pairs = p.select("a", "b").distinct().withColumn("agreed", F.size(F.expr("fl_lcs_matches(a, b)")))
+    return p.join(pairs, ["a", "b"]).select("p_partkey", "agreed")
+
+
+@query(
+    "SRC-8_primitives",
+    """with o as (select o_custkey::varchar as drawing, o_orderkey as k, o_orderkey % 8 as n, o_totalprice as v from orders),
+    s as (select case when n <> 1 then drawing end as drawing, n, case n when 1 then 'not a primitive' when 2 then 'end' when 3 then 'length' when 4 then 'layer' when 5 then 'id' end as fault from o union all select drawing, n, 'id again' from o where n = 6)
+    select drawing, coalesce(fault, '') as fault, count(*) as rows from s group by all""",
+)
+def primitives(spark, base):
+    """Each order as a line of its customer's drawing in JSON, some of them broken: rows by the rule they break, good ones by none."""
+    k, n = K().cast("string"), K() % 8
+    point = lambda x, y: F.concat(F.lit('{"x":'), x.cast("string"), F.lit(',"y":'), y.cast("string"), F.lit("}"))
+    b = F.when(n == 2, F.lit('{"x":1}')).when(n == 3, point(K(), F.lit(0))).otherwise(point(K() + 5, F.lit(0)))
+    ident, layer = F.when(n == 5, F.lit("")).otherwise(k), F.when(n == 4, F.lit("")).otherwise(F.lit('"layer":"WALL",'))
+    line = F.concat(F.lit('{"drawing":"'), F.col("o_custkey").cast("string"), F.lit('","id":"'), ident, F.lit('",'), layer, F.lit('"a":'), point(K(), F.lit(0)), F.lit(',"b":'), b, F.when(n == 1, F.lit("")).otherwise(F.lit("}")))
+    o = table(spark, base, "orders").select(line.alias("value"), n.alias("n"))
+    good, aside = prim.checked_primitives(prim.parsed_primitives(o.unionByName(o.where("n = 6")), "segments"), "segments")
+    rows = good.select("drawing", F.lit("").alias("fault")).unionByName(aside.select("drawing", "fault"))
+    return rows.groupBy("drawing", "fault").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query(

@@ -1,6 +1,7 @@
 import json
 import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -8,7 +9,7 @@ from floorledger.functions import names, sizes, units
 from floorledger.functions import sql as fsql
 from floorledger.functions.site import sun_at
 from floorledger.operators import climate, drawing, labels
-from floorledger.sources import answers
+from floorledger.sources import answers, primitives
 from floorledger.sources import site as src
 from floorledger.sources import units as docs
 
@@ -169,6 +170,58 @@ def test_a_drawing_without_wall_layers(spark):
     assert counts["d"]["walls"] == 5 and counts["e"] == {"drawing": "e", "lines": 1, "walls": 0, "openings": 0, "columns": 0, "bridges": 0, "singles": 0}
 
 
+def test_primitives_from_files(spark, tmp_path):
+    """Four tables as JSON lines: broken rows aside with their rule, the rest in metres and y down; a Parquet scan takes the layer filter over."""
+    lines = {
+        "segments": ['{"drawing":"d","id":"s1","layer":"WALL","block":"B","inst":3,"a":{"x":0,"y":1000},"b":{"x":2000,"y":1000}}', '{"drawing":"d","id":"s1","layer":"WALL","a":{"x":1,"y":1},"b":{"x":5,"y":5}}', '{"drawing":"d","id":"s2","layer":"WALL","a":{"x":0}}', "junk", '{"drawing":"","id":"s3","layer":"","a":{"x":0,"y":0},"b":{"x":1,"y":1}}', '{"drawing":"d","id":"s4","layer":"DIM","a":{"x":"NaN","y":0},"b":{"x":1,"y":1}}'],
+        "arcs": ['{"drawing":"d","id":"a1","layer":"DOOR","c":{"x":0,"y":0},"r":900,"a0":0,"a1":1.57}', '{"drawing":"d","id":"a2","layer":"DOOR","c":{"x":0,"y":0},"r":0,"a0":0,"a1":1}', '{"drawing":"d","id":"a3","layer":"DOOR","c":{"x":0,"y":0},"r":1,"a0":0}'],
+        "texts": ['{"drawing":"d","id":"t1","layer":"TEXT","at":{"x":500,"y":-200},"text":"BED","height":250}', '{"drawing":"d","id":"t2","layer":"TEXT","at":{"x":5,"y":2},"text":"  ","height":250}', '{"drawing":"d","id":"t3","layer":"TEXT","at":{"x":5,"y":2},"text":"X"}'],
+        "loops": ['{"drawing":"d","id":"l1","layer":"COLUMN","pts":[{"x":0,"y":0},{"x":400,"y":0},{"x":400,"y":400}]}', '{"drawing":"d","id":"l2","layer":"COLUMN","pts":[{"x":0,"y":0},{"x":1,"y":1}]}', '{"drawing":"d","id":"l3","layer":"COLUMN","pts":[{"x":0,"y":0},{"x":1,"y":1},null]}'],
+    }
+    want = {"segments": {"id again", "end", "not a primitive", "drawing"}, "arcs": {"radius", "angle"}, "texts": {"text", "height"}, "loops": {"points", "point"}}
+    scale, made = spark.createDataFrame([("d", 0.001)], "drawing string, scale double"), {}
+    for kind, rows in lines.items():
+        path = tmp_path / kind
+        path.mkdir()
+        (path / "a.jsonl").write_text("\n".join(rows))
+        good, aside = primitives.checked_primitives(primitives.read_primitives(spark, str(path), kind), kind)
+        assert {r.fault for r in aside.collect()} == want[kind] and good.count() + aside.count() == len(rows)
+        made[kind] = primitives.in_metres(good, kind, scale).collect()
+    s, a, t, c = (made[k][0] for k in ("segments", "arcs", "texts", "loops"))
+    assert (s.seg_id, s.layer) == ("s1", "WALL") and (s.ay, s.bx) in ((-0.001, 0.005), (-1.0, 2.0)) and (a.r, t.y, t.height) == (0.9, 0.2, 0.25) and c.pts[2].y == -0.4
+    good.write.parquet(str(tmp_path / "p"))
+    plan = primitives.read_primitives(spark, str(tmp_path / "p"), "loops", "parquet").where("layer = 'COLUMN'")
+    assert "EqualTo(layer,COLUMN)" in plan._jdf.queryExecution().toString() and plan.count() == 1
+
+
+def test_common_subsequence_positions(spark):
+    """Bit rows give the positions a walk over the whole table gives, for words of any length."""
+
+    def plain(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        out, i, j = [], 0, 0
+        while i < len(a) and j < len(b):
+            if a[i] == b[j]:
+                out.append(i)
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        return out
+
+    rnd = random.Random(4)
+    word = lambda n: "".join(rnd.choice("ab1é") for _ in range(n))
+    rows = [(word(rnd.randint(0, 14)), word(rnd.randint(0, 14))) for _ in range(60)] + [(word(n), word(m)) for n, m in ((30, 60), (61, 59), (70, 125), (5, 61), (0, 3), (3, 0))] + [(None, "a"), ("a", None)]
+    fsql.register(spark)
+    got = spark.createDataFrame(rows, "a string, b string").selectExpr("a", "b", "fl_lcs_matches(a, b) AS at")
+    assert not re.search("Python|Arrow", got._jdf.queryExecution().toString())
+    assert [r["at"] for r in got.collect()] == [plain(a or "", b or "") for a, b in rows]
+
+
 def test_sql_functions(spark):
     fsql.register(spark)
     r = spark.sql("SELECT fl_feet_inches(4.394D), fl_compass(-46D), fl_slot_label('-2'), fl_polygon_area(array(named_struct('x',0D,'y',0D), named_struct('x',2D,'y',0D), named_struct('x',2D,'y',3D))), fl_lcs_matches('12-6', '126')").collect()[0]
