@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from floorledger.operators import cells, graph, matching, ordered
 from floorledger.operators import evaluate as ev
 from floorledger.operators import windows as wn
+from floorledger.session import cut_lineage
 
 
 def busy(spark, n=3000):
@@ -65,6 +66,19 @@ def test_greedy_match_equals_the_walk(spark):
     assert {(x.id1, x.id2) for x in got.collect()} == want
 
 
+def test_a_falling_chain_is_settled_at_once(spark, monkeypatch):
+    """Two thousand pairs, each cheaper than the one before it and sharing a side with it: alternate ones are taken, in a few rounds."""
+    chain = [(i // 2, (i + 1) // 2, 10_000 - i) for i in range(2000)] + [(5000, 5000, 1), (5000, 5001, 1), (5001, 5000, 2)]
+    used_r, used_n, want = set(), set(), set()
+    for r, n, c in sorted(chain, key=lambda p: (p[2], p[0], p[1])):
+        if r not in used_r and n not in used_n:
+            used_r.add(r), used_n.add(n), want.add((r, n, c))
+    cuts = []
+    monkeypatch.setattr(matching, "cut_lineage", lambda df: cuts.append(1) or cut_lineage(df))
+    got = matching.greedy_match(spark.createDataFrame(chain, "r int, n int, cost int"), ["r"], ["n"])
+    assert {tuple(x) for x in got.collect()} == want and len(want) == 1001 and len(cuts) <= 20
+
+
 def test_components_with_a_hub(spark):
     edges = [(0, i) for i in range(1, 200)] + [(1000 + i, 1001 + i) for i in range(60)]
     nodes = spark.createDataFrame([(i,) for i in list(range(200)) + list(range(1000, 1061)) + [5000]], "id bigint")
