@@ -153,8 +153,8 @@ def _bounds(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame |
 
 def _placed(df: DataFrame, bounds: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """``df`` with each row's chunk: how many bounds of its key are not after it; -1 for keys that are not cut."""
-    b = bounds.select(*[F.col(k).alias(f"_c_{k}") for k in keys], "_bounds")
-    d = df.join(F.broadcast(b), [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys], "left")
+    cuts = bounds.select(*[F.col(k).alias(f"_c_{k}") for k in keys], "_bounds")
+    d = df.join(F.broadcast(cuts), [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys], "left")
     d = d.withColumn("_o", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
     group = F.size(F.filter("_bounds", lambda g: g[0] <= F.col("_o")))
     within = F.size(F.filter(F.get("_bounds", F.col("_g") - 1), lambda x: x <= F.col("_o")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -29,15 +30,20 @@ def event_stream(spark: SparkSession, path: str, schema, max_files: int | None =
     return s.withColumn("created_at", F.col("created_at").cast("timestamp"))
 
 
-def _run(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update") -> StreamingQuery:
-    """Start ``stream`` with keyed state on disk; the session's own setting is put back."""
-    conf = stream.sparkSession.conf
-    before = conf.get(PROVIDER, None)
-    conf.set(PROVIDER, ROCKS)
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams started within keep their keyed state in RocksDB, which ``transformWithState`` needs; the session's own setting is put back."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKS)
     try:
-        return stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        yield
     finally:
-        conf.unset(PROVIDER) if before is None else conf.set(PROVIDER, before)
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+
+
+def _run(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update") -> StreamingQuery:
+    with state_on_disk(stream.sparkSession):
+        return stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class _AcceptOnce(StatefulProcessor):
@@ -127,7 +133,7 @@ class _Changed(StatefulProcessor):
         for r in sorted(rows, key=lambda r: r["saved_at"]):
             if last is None or last[0] != r["_snap"]:
                 last = (r["_snap"],)
-                yield Row(**{c: r[c] for c in r.__fields__ if c != "_snap"})
+                yield Row(**{c: r[c] for c in r.__fields__ if c not in ("_snap", "_key")})
         self.sent.update(last)
 
     def close(self) -> None:
@@ -137,11 +143,14 @@ class _Changed(StatefulProcessor):
 def debounce_stream(edits: DataFrame, key: str, ts: str, snapshot: str, quiet: str = "2 seconds", late: str = LATE) -> DataFrame:
     """The last snapshot of each burst of changes once it has been quiet, unless it equals the one sent before it.
 
-    Bursts close in order behind the watermark; what was sent last is keyed state, one snapshot a key.
+    Bursts close in order behind the watermark; what was sent last is keyed state, one snapshot a key. Start it in append mode
+    within ``state_on_disk``.
     """
     s = edits.withWatermark(ts, late).groupBy(key, F.session_window(ts, quiet).alias("w")).agg(F.max_by(snapshot, ts).alias("snap"), F.max(ts).alias("saved_at"))
     s = s.select(key, "saved_at", "snap")
-    return s.withColumn("_snap", F.col("snap").cast("string")).groupBy(key).transformWithState(_Changed(), s.schema, "Append", "None")
+    # a key of its own brings a shuffle between the two stateful steps, which cannot share a task's state store
+    keyed = s.withColumns({"_snap": F.col("snap").cast("string"), "_key": F.to_json(F.struct(key))})
+    return keyed.groupBy("_key").transformWithState(_Changed(), s.schema, "Append", "None")
 
 
 def debounced_saves(edits: DataFrame, key: str, ts: str, ident: str, snapshot: str, quiet: str) -> DataFrame:

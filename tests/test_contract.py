@@ -17,7 +17,8 @@ def test_no_unsafe_lineage_cuts_or_unchecked_broadcasts():
         assert "localCheckpoint" not in text, f
         assert ".crossJoin(" not in text, f
         for m in re.finditer(r"broadcast\((\w+)\)", text):
-            assert m.group(1) in ("offs", "defaults"), (f, m.group(0))  # one row per partition; one row per slot
+            # one row per partition; per slot; per cut key and per chunk, at most CHUNKS; query text of at most QUERY_BYTES
+            assert m.group(1) in ("offs", "defaults", "hot", "cuts", "carry", "vocabulary", "queries"), (f, m.group(0))
 
 
 def test_entry_runs(spark):

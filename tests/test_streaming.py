@@ -98,7 +98,8 @@ def test_debounce_forms_agree(spark, tmp_path):
     e = [("p", T0 + timedelta(seconds=s), v) for s, v in ((0, "a"), (1, "b"), (10, "b"), (30, "c"), (31, "d"), (4000, "z"))]
     spark.createDataFrame(e, "project string, ts timestamp, snap string").coalesce(1).write.parquet(path)
     edits = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    q = intake.debounce_stream(edits, "project", "ts", "snap").writeStream.format("memory").queryName("saves").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    with intake.state_on_disk(spark):
+        q = intake.debounce_stream(edits, "project", "ts", "snap").writeStream.format("memory").queryName("saves").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r.snap for r in spark.table("saves").orderBy("saved_at").collect()] == ["b", "d"]
     batch = intake.debounced_saves(spark.read.parquet(path).withColumn("i", F.lit(0)), "project", "ts", "i", "snap", "2 seconds")
