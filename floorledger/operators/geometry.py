@@ -77,12 +77,17 @@ def array_area(poly: Column) -> Column:
     return F.aggregate(F.transform(poly, term), F.lit(0.0), lambda s, v: s + v) / 2
 
 
+def distance(dx: Column, dy: Column) -> Column:
+    """Root of the sum of squares, as SQL has it: where distances are compared for ties, ``hypot`` may differ from it in the last bit."""
+    return F.sqrt(F.pow(dx, F.lit(2.0)) + F.pow(dy, F.lit(2.0)))
+
+
 def point_to_segment(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """struct(d, t): distance to the segment and where along it (0–1)."""
     dx, dy = bx - ax, by - ay
     len2 = dx * dx + dy * dy
     t = F.when(len2 > EPS, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide((px - ax) * dx + (py - ay) * dy, len2)))).otherwise(0.0)
-    return let(t, lambda t: F.struct(F.hypot(px - (ax + t * dx), py - (ay + t * dy)).alias("d"), t.alias("t")))
+    return let(t, lambda t: F.struct(distance(px - (ax + t * dx), py - (ay + t * dy)).alias("d"), t.alias("t")))
 
 
 def cross(ax, ay, bx, by, cx, cy) -> Column:

@@ -110,6 +110,14 @@ def test_cell_joins_equal_brute_force(spark):
         assert near[i][0] == best[1] and abs(near[i][1] - best[0]) < 1e-9
 
 
+def test_equal_distances_tie_as_in_sql(spark):
+    # both walls end sqrt(137.36) away; Java's hypot puts the second one a last bit nearer
+    walls = [(0, "a", 1.0, 7.0, 1 + 48 / 5, 7.0), (0, "b", 0.0, 5.0, 47 / 5, 5.0)]
+    p = spark.createDataFrame([(0, 1, 20.0, 0.0)], "u int, p int, x double, y double")
+    got = cells.nearest_segment(p, spark.createDataFrame(walls, "u int, wall_id string, ax double, ay double, bx double, by double"), ["u"], ["p"], 8.0)
+    assert [r.wall_id for r in got.collect()] == ["a"]
+
+
 def test_runs_bands_and_merges(spark):
     rnd = random.Random(6)
     vals, cur = [], "a"
