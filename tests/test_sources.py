@@ -122,6 +122,14 @@ def test_two_room_drawing(spark):
     assert (round(e / 2, 2), round(e / 2, 2)) in ends
 
 
+def test_equally_near_sizes_go_by_their_text_as_in_sql(spark):
+    # both sizes are the same root of a sum of squares away; Java's hypot puts the second one a last bit nearer
+    t = [("n", 0.05, 1 / 10.3 + 0.05, 3.0, "Bed 1"), ("p", 0.25, 2 / 10.3 + 0.05, 1.0, "11'-0\"x12'-0\""), ("q", 0.25, 0.05, 1.0, "14'-0\"x15'-0\"")]
+    texts = spark.createDataFrame([(1, "TEXT", *r) for r in t], "drawing int, layer string, text_id string, x double, y double, height double, text string")
+    rooms = spark.createDataFrame([(1, 0, 4.0, [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)])], "drawing int, face_id int, area double, poly array<struct<x:double,y:double>>")
+    assert [r.printed_size for r in drawing.drawing_labels(texts, rooms)["labels"].collect()] == ["11'-0\"x12'-0\""]
+
+
 def test_line_pairs_in_any_direction(spark):
     """Pairs in dual space equal all pairs looked at one by one, directions at the frames' borders and round 0° included."""
     rnd = random.Random(8)
