@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floorledger.functions.lets import let
+from floorledger.session import dealt
 
 EPS, AREA_EPS = 1e-9, 1e-6
 
@@ -20,7 +21,7 @@ def ring_edges(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, pos, ax, ay, bx, by): each point and the next, the last point closing on the first."""
     a = points.select(*keys, "pos", F.col("x").alias("ax"), F.col("y").alias("ay"))
     b = points.select(*keys, (F.col("pos") - 1).alias("pos"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    inner = a.join(b, [*keys, "pos"])
+    inner = a.join(dealt(b), [*keys, "pos"])
     ends = points.groupBy(*keys).agg(F.max(F.struct("pos", "x", "y")).alias("l"), F.min(F.struct("pos", "x", "y")).alias("f"))
     closing = ends.select(*keys, F.col("l.pos").alias("pos"), F.col("l.x").alias("ax"), F.col("l.y").alias("ay"), F.col("f.x").alias("bx"), F.col("f.y").alias("by"))
     return inner.unionByName(closing)
@@ -141,14 +142,14 @@ def with_ends(walls: DataFrame, vertices: DataFrame, how: str = "inner") -> Data
     v = vertices.select("unit_id", "vertex_id", "x", "y")
     a = v.select(F.col("unit_id"), F.col("vertex_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     b = v.select(F.col("unit_id"), F.col("vertex_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    return walls.join(a, ["unit_id", "a"], how).join(b, ["unit_id", "b"], how)
+    return walls.join(dealt(a), ["unit_id", "a"], how).join(dealt(b), ["unit_id", "b"], how)
 
 
 def missing_ends(walls: DataFrame, vertices: DataFrame) -> DataFrame:
     """Walls with an end that is no vertex of their unit."""
     v = vertices.select("unit_id", "vertex_id").distinct()
     ends = walls.select("unit_id", "wall_id", F.explode(F.array("a", "b")).alias("vertex_id"))
-    return ends.join(v, ["unit_id", "vertex_id"], "left_anti").select("unit_id", "wall_id").distinct()
+    return ends.join(dealt(v), ["unit_id", "vertex_id"], "left_anti").select("unit_id", "wall_id").distinct()
 
 
 def frames(walls: DataFrame) -> DataFrame:
@@ -275,14 +276,14 @@ def _widest(columns: Column) -> Column:
 
 def inner_ring(points: DataFrame, keys: Sequence[str], half: Column) -> DataFrame:
     """Each edge moved in by ``half`` (half its wall's thickness), neighbours intersected: rows (keys, pos, x, y)."""
-    e = ring_edges(points.select(*keys, "pos", "x", "y"), keys).join(points.select(*keys, "pos", half.alias("_h")), [*keys, "pos"])
+    e = ring_edges(points.select(*keys, "pos", "x", "y"), keys).join(dealt(points.select(*keys, "pos", half.alias("_h"))), [*keys, "pos"])
     length = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
     e = e.withColumn("_l", F.when(length > 0, length).otherwise(1.0)).withColumn("dx", (F.col("bx") - F.col("ax")) / F.col("_l")).withColumn("dy", (F.col("by") - F.col("ay")) / F.col("_l"))
     e = e.select(*keys, "pos", "dx", "dy", (F.col("ax") - F.col("dy") * F.col("_h")).alias("ox"), (F.col("ay") + F.col("dx") * F.col("_h")).alias("oy"))
     n = points.groupBy(*keys).agg(F.max("pos").alias("_last"))
-    cur = e.join(n, list(keys)).withColumn("_prev", F.when(F.col("pos") == 0, F.col("_last")).otherwise(F.col("pos") - 1))
+    cur = e.join(dealt(n), list(keys)).withColumn("_prev", F.when(F.col("pos") == 0, F.col("_last")).otherwise(F.col("pos") - 1))
     prev = e.select(*keys, F.col("pos").alias("_prev"), F.col("dx").alias("pdx"), F.col("dy").alias("pdy"), F.col("ox").alias("pox"), F.col("oy").alias("poy"))
-    j = cur.join(prev, [*keys, "_prev"]).withColumn("_den", F.col("pdx") * F.col("dy") - F.col("pdy") * F.col("dx"))
+    j = cur.join(dealt(prev), [*keys, "_prev"]).withColumn("_den", F.col("pdx") * F.col("dy") - F.col("pdy") * F.col("dx"))
     s = F.try_divide((F.col("ox") - F.col("pox")) * F.col("dy") - (F.col("oy") - F.col("poy")) * F.col("dx"), F.col("_den"))
     par = F.abs(F.col("_den")) < 1e-6
     return j.select(*keys, "pos", F.when(par, F.col("ox")).otherwise(F.col("pox") + s * F.col("pdx")).alias("x"), F.when(par, F.col("oy")).otherwise(F.col("poy") + s * F.col("pdy")).alias("y"))

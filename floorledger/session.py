@@ -45,3 +45,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise one round of an iterative job on reliable storage, so a lost executor re-reads it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """One side of a join between rows of entities: both sides are dealt by key.
+
+    The planner takes a side for small by the size of its files, before it is exploded into cells, or by its compressed shuffle
+    files, and then sends all of it through the driver.
+    """
+    return df.hint("merge")

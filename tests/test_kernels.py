@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from floorledger.operators import cells, graph, matching, ordered
+from floorledger.operators import cells, geometry, graph, matching, ordered
 from floorledger.operators import evaluate as ev
 from floorledger.operators import windows as wn
 from floorledger.session import cut_lineage
@@ -158,3 +158,16 @@ def test_greedy_query_matches_names_at_any_distance(spark, tmp_path):
             want.add((i, j, cost))
     got = registry.load()["JOIN-12_greedy_match"].run(spark, str(tmp_path))
     assert {tuple(r) for r in got.select("name_id", "room_id", "cost").collect()} == want and len(want) == 4
+
+
+def _sent_whole(df) -> bool:
+    """Whether the plan sends a side of a join through the driver; tables made from ranges are known to be small."""
+    return "Broadcast" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rings_are_dealt(spark):
+    pos = F.col("id") % 4
+    rows = spark.range(8).select(F.floor(F.col("id") / 4).alias("k"), pos.alias("pos"), F.when(pos.isin(1, 2), 4.0).otherwise(0.0).alias("x"), F.when(pos > 1, 3.0).otherwise(0.0).alias("y"))
+    ring = geometry.inner_ring(rows, ["k"], F.lit(0.5))
+    assert not _sent_whole(ring)
+    assert [(r.x, r.y) for r in ring.orderBy("k", "pos").collect()] == [(0.5, 0.5), (3.5, 0.5), (3.5, 2.5), (0.5, 2.5)] * 2
