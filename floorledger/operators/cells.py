@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floorledger.operators.geometry import inside, point_to_segment
-from floorledger.session import cut_lineage
+from floorledger.session import cut_lineage, dealt
 
 
 def cell(c: Column, size: float | Column) -> Column:
@@ -36,7 +36,7 @@ def box_join(left: DataFrame, right: DataFrame, keys: Sequence[str], size: float
     on = [F.col("l_cx") == F.col("r_cx"), F.col("l_cy") == F.col("r_cy"), *[F.col(f"l_{k}") == F.col(f"r_{k}") for k in keys]]
     meet = (F.col("l.x0") <= F.col("r.x1")) & (F.col("r.x0") <= F.col("l.x1")) & (F.col("l.y0") <= F.col("r.y1")) & (F.col("r.y0") <= F.col("l.y1"))
     first = (F.col("l_cx") == cell(F.greatest("l.x0", "r.x0"), size)) & (F.col("l_cy") == cell(F.greatest("l.y0", "r.y0"), high or size))
-    return a.join(b, on).where(meet & first).select("l", "r")
+    return a.join(dealt(b), on).where(meet & first).select("l", "r")
 
 
 def smallest_containing(points: DataFrame, faces: DataFrame, keys: Sequence[str], point_id: Sequence[str], size: float) -> DataFrame:
@@ -48,7 +48,7 @@ def smallest_containing(points: DataFrame, faces: DataFrame, keys: Sequence[str]
     f = f.select(*keys, "face_id", "area", "poly", F.array_min("_xs").alias("x0"), F.array_min("_ys").alias("y0"), F.array_max("_xs").alias("x1"), F.array_max("_ys").alias("y1"))
     f = explode_cells(f, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size)
     p = points.withColumn("_cx", cell(F.col("x"), size)).withColumn("_cy", cell(F.col("y"), size))
-    j = p.join(f, [*keys, "_cx", "_cy"]).where((F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1")))
+    j = p.join(dealt(f), [*keys, "_cx", "_cy"]).where((F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1")))
     j = j.where(inside(F.col("poly"), F.col("x"), F.col("y")))
     best = j.groupBy(*keys, *point_id).agg(F.min(F.struct("area", "face_id")).alias("_m"))
     return best.select(*keys, *point_id, F.col("_m.face_id").alias("face_id"), F.col("_m.area").alias("area"))
@@ -65,13 +65,13 @@ def nearest_segment(points: DataFrame, walls: DataFrame, keys: Sequence[str], po
     known = lambda *cs: functools.reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in cs])
     w = walls.select(*keys, "wall_id", "ax", "ay", "bx", "by").where(known("ax", "ay", "bx", "by"))
     points = points.where(known("x", "y"))
-    todo = points.select(*keys, *point_id, "x", "y").join(w.select(*keys).distinct(), list(keys), "left_semi") if keys else points.select(*point_id, "x", "y")
+    todo = points.select(*keys, *point_id, "x", "y").join(dealt(w.select(*keys).distinct()), list(keys), "left_semi") if keys else points.select(*point_id, "x", "y")
     found = None
     r = size
     while True:
         cells = explode_cells(w, F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by"), r)
         near = todo.withColumn("_cx", F.explode(F.sequence(cell(F.col("x"), r) - 1, cell(F.col("x"), r) + 1))).withColumn("_cy", F.explode(F.sequence(cell(F.col("y"), r) - 1, cell(F.col("y"), r) + 1)))
-        hit = near.join(cells, [*keys, "_cx", "_cy"]).withColumn("_s", point_to_segment(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
+        hit = near.join(dealt(cells), [*keys, "_cx", "_cy"]).withColumn("_s", point_to_segment(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
         best = hit.groupBy(*keys, *point_id).agg(F.min(F.struct(F.col("_s.d").alias("d"), F.col("wall_id"), F.col("_s.t").alias("t"))).alias("m"))
         best = best.where(F.col("m.d") <= r).select(*keys, *point_id, F.col("m.wall_id").alias("wall_id"), F.col("m.d").alias("d"), F.col("m.t").alias("t"))
         if max_distance is not None and r >= max_distance:
@@ -79,7 +79,7 @@ def nearest_segment(points: DataFrame, walls: DataFrame, keys: Sequence[str], po
             return best if found is None else found.unionByName(best)
         best = cut_lineage(best)
         found = best if found is None else found.unionByName(best)
-        todo = cut_lineage(todo.join(best, [*keys, *point_id], "left_anti"))
+        todo = cut_lineage(todo.join(dealt(best), [*keys, *point_id], "left_anti"))
         if todo.isEmpty():
             return found
         r = r * 2
@@ -94,4 +94,4 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], width:
     a, b = side(left, "l"), side(right, "r")
     on = [F.col("l_b") == F.col("r_b"), *[F.col(f"l_{k}") == F.col(f"r_{k}") for k in keys]]
     overlap = (F.col("l.u0") < F.col("r.u1") - eps) & (F.col("r.u0") < F.col("l.u1") - eps)
-    return a.join(b, on).where(overlap & (F.col("l_b") == cell(F.greatest("l.u0", "r.u0"), width))).select("l", "r")
+    return a.join(dealt(b), on).where(overlap & (F.col("l_b") == cell(F.greatest("l.u0", "r.u0"), width))).select("l", "r")

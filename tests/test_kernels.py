@@ -171,3 +171,13 @@ def test_rings_are_dealt(spark):
     ring = geometry.inner_ring(rows, ["k"], F.lit(0.5))
     assert not _sent_whole(ring)
     assert [(r.x, r.y) for r in ring.orderBy("k", "pos").collect()] == [(0.5, 0.5), (3.5, 0.5), (3.5, 2.5), (0.5, 2.5)] * 2
+
+
+def test_cells_are_dealt(spark):
+    at = lambda a, b: F.struct((F.col("id") * 4 + a).cast("double").alias("x"), F.lit(float(b)).alias("y"))
+    faces = spark.range(4).select((F.col("id") % 2).alias("u"), F.col("id").alias("face_id"), F.lit(12.0).alias("area"), F.array(at(0, 0), at(4, 0), at(4, 3), at(0, 3)).alias("poly"))
+    points = spark.range(4).select((F.col("id") % 2).alias("u"), F.col("id").alias("p"), (F.col("id") * 4 + 1.5).alias("x"), F.lit(1.0).alias("y"))
+    got = cells.smallest_containing(points, faces, ["u"], ["p"], 2.0)
+    boxes = points.select("u", "p", *[(F.col(c[0]) + s).alias(c) for c, s in (("x0", -1), ("y0", -1), ("x1", 1), ("y1", 1))])
+    assert not _sent_whole(got) and not _sent_whole(cells.box_join(boxes, boxes, ["u"], 2.0))
+    assert sorted((r.p, r.face_id) for r in got.collect()) == [(i, i) for i in range(4)]
