@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from floorledger.operators.cells import box_join
 from floorledger.operators.graph import components
 from floorledger.operators.ordered import Ordered, Previous
-from floorledger.session import cut_lineage
+from floorledger.session import cut_lineage, dealt
 
 U = ["unit_id"]
 MERGE_M, EPS = 0.01, 1e-6
@@ -28,7 +28,7 @@ V_COLS, W_COLS = ["unit_id", "vertex_id", "x", "y"], ["unit_id", "wall_id", "of_
 def framed(vertices: DataFrame, walls: DataFrame) -> DataFrame:
     """Walls with ends, length and direction; walls without both corners or without length are left out."""
     at = lambda e: vertices.select("unit_id", F.col("vertex_id").alias(e), F.col("x").alias(f"{e}x"), F.col("y").alias(f"{e}y"))
-    w = walls.join(at("a"), ["unit_id", "a"]).join(at("b"), ["unit_id", "b"]).withColumn("len", F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))
+    w = walls.join(dealt(at("a")), ["unit_id", "a"]).join(dealt(at("b")), ["unit_id", "b"]).withColumn("len", F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))
     w = w.where(F.col("len") > EPS)
     return w.withColumns({"ux": (F.col("bx") - F.col("ax")) / F.col("len"), "uy": (F.col("by") - F.col("ay")) / F.col("len")})
 
@@ -42,10 +42,10 @@ def _rewired(walls: DataFrame, to: DataFrame) -> DataFrame:
     """Walls with corners renamed by ``to`` (unit_id, vertex_id, to); a wall whose ends become one goes, of walls between the same corners the first stays."""
     w = walls
     for e in "ab":
-        w = w.join(to.select("unit_id", F.col("vertex_id").alias(e), F.col("to").alias("_to")), ["unit_id", e], "left").withColumn(e, F.coalesce("_to", e)).drop("_to")
+        w = w.join(dealt(to.select("unit_id", F.col("vertex_id").alias(e), F.col("to").alias("_to"))), ["unit_id", e], "left").withColumn(e, F.coalesce("_to", e)).drop("_to")
     changed = w.where("a <> b").withColumns({"_lo": F.least("a", "b"), "_hi": F.greatest("a", "b")})
     one = changed.groupBy("unit_id", "_lo", "_hi").agg(F.min("wall_id").alias("wall_id"))
-    return changed.join(one, ["unit_id", "_lo", "_hi", "wall_id"], "left_semi").select(*W_COLS)
+    return changed.join(dealt(one), ["unit_id", "_lo", "_hi", "wall_id"], "left_semi").select(*W_COLS)
 
 
 def _close(points: DataFrame, size: float) -> DataFrame:
@@ -64,11 +64,11 @@ def _survivors(pairs: DataFrame) -> DataFrame:
 def merged_corners(vertices: DataFrame, walls: DataFrame, size: float = 1.0) -> tuple[DataFrame, DataFrame, int]:
     """Corners within MERGE_M become the one of smallest id; pairs that a wall joins stay two. Also how many went."""
     joined = walls.select("unit_id", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
-    e = cut_lineage(_close(vertices, size).join(joined, ["unit_id", "src", "dst"], "left_anti"))
+    e = cut_lineage(_close(vertices, size).join(dealt(joined), ["unit_id", "src", "dst"], "left_anti"))
     if e.isEmpty():
         return vertices, walls, 0
     to = _survivors(e)
-    return cut_lineage(vertices.join(to, ["unit_id", "vertex_id"], "left_anti")), cut_lineage(_rewired(walls, to)), to.count()
+    return cut_lineage(vertices.join(dealt(to), ["unit_id", "vertex_id"], "left_anti")), cut_lineage(_rewired(walls, to)), to.count()
 
 
 def _endings(vertices: DataFrame, walls: DataFrame, size: float) -> DataFrame:
@@ -85,17 +85,17 @@ def _endings(vertices: DataFrame, walls: DataFrame, size: float) -> DataFrame:
     p = vertices.withColumns({"x0": F.col("x"), "x1": F.col("x"), "y0": F.col("y"), "y1": F.col("y")})
     j = box_join(p, _box(w, F.col("thick") / 2 + MERGE_M), U, size).where((F.col("l.vertex_id") != F.col("r.a")) & (F.col("l.vertex_id") != F.col("r.b")))
     j = j.select("l.unit_id", "l.vertex_id", "l.x", "l.y", F.col("r.wall_id").alias("wall_id"), *[F.col(f"r.{c}").alias(c) for c in ("a", "b", "ax", "ay", "ux", "uy", "len", "thick", "height")])
-    j = j.join(own, ["unit_id", "vertex_id"])
+    j = j.join(dealt(own), ["unit_id", "vertex_id"])
     s = (F.col("x") - F.col("ax")) * F.col("ux") + (F.col("y") - F.col("ay")) * F.col("uy")
     d = F.abs((F.col("y") - F.col("ay")) * F.col("ux") - (F.col("x") - F.col("ax")) * F.col("uy"))
     first = F.col("s") < F.col("len") / 2
     j = j.withColumns({"s": s, "d": d}).withColumns({"end": F.when(first, F.col("a")).otherwise(F.col("b")), "to_end": F.when(first, F.col("s")).otherwise(F.col("len") - F.col("s"))})
     step = F.array_contains("fars", F.col("a")) | F.array_contains("fars", F.col("b"))
-    j = j.join(degree, ["unit_id", "end"]).withColumns({"step": step, "cap": F.greatest(F.lit(MERGE_M), F.col("thick") / 2)}).withColumn("free", ~F.col("step") & (F.col("end_degree") == 1))
+    j = j.join(dealt(degree), ["unit_id", "end"]).withColumns({"step": step, "cap": F.greatest(F.lit(MERGE_M), F.col("thick") / 2)}).withColumn("free", ~F.col("step") & (F.col("end_degree") == 1))
     j = j.where((F.col("d") <= F.when(F.col("step"), MERGE_M).otherwise(F.col("thick") / 2 + MERGE_M)) & ~(F.col("step") & (F.col("to_end") <= F.col("cap"))))
     j = j.where((F.col("to_end") >= -MERGE_M) | (F.col("free") & (F.col("to_end") >= -F.col("thick") / 2)))
     best = j.groupBy("unit_id", "vertex_id").agg(F.min(F.struct("d", "wall_id")).alias("m")).select("unit_id", "vertex_id", "m.wall_id")
-    j = j.join(best, ["unit_id", "vertex_id", "wall_id"])
+    j = j.join(dealt(best), ["unit_id", "vertex_id", "wall_id"])
     along = F.exists("dirs", lambda q: F.abs(q["px"] * F.col("uy") - q["py"] * F.col("ux")) < SIN10)
     square = F.forall("dirs", lambda q: F.abs(q["px"] * F.col("ux") + q["py"] * F.col("uy")) < 0.01)
     out = F.when(F.col("end") == F.col("b"), 1).otherwise(-1)
@@ -121,8 +121,8 @@ def _at_once(todo: DataFrame) -> DataFrame:
     reads = F.array_except(F.array_union("fars", F.array("a", "b")), writes)
     uses = todo.select("unit_id", "vertex_id", F.inline(F.concat(F.transform(writes, lambda c: F.struct(c.alias("c"), F.lit(True).alias("w"))), F.transform(reads, lambda c: F.struct(c.alias("c"), F.lit(False).alias("w"))))))
     first = uses.groupBy("unit_id", "c").agg(F.min("vertex_id").alias("any"), F.min(F.when(F.col("w"), F.col("vertex_id"))).alias("writer"))
-    late = uses.join(first, ["unit_id", "c"]).where((F.col("w") & (F.col("vertex_id") != F.col("any"))) | (~F.col("w") & (F.col("writer") < F.col("vertex_id"))))
-    return todo.join(late.select("unit_id", "vertex_id").distinct(), ["unit_id", "vertex_id"], "left_anti")
+    late = uses.join(dealt(first), ["unit_id", "c"]).where((F.col("w") & (F.col("vertex_id") != F.col("any"))) | (~F.col("w") & (F.col("writer") < F.col("vertex_id"))))
+    return todo.join(dealt(late.select("unit_id", "vertex_id").distinct()), ["unit_id", "vertex_id"], "left_anti")
 
 
 def split_walls(vertices: DataFrame, walls: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -130,25 +130,25 @@ def split_walls(vertices: DataFrame, walls: DataFrame, cuts: DataFrame) -> DataF
     w = framed(vertices, walls)
     inner = cuts.groupBy("unit_id", "wall_id", "v").agg(F.min("s").alias("s"))
     points = w.select("unit_id", "wall_id", F.inline(F.array(F.struct(F.lit(-1.0).alias("s"), F.col("a").alias("v")), F.struct((F.col("len") + 1).alias("s"), F.col("b").alias("v")))))
-    points = points.join(inner.select("unit_id", "wall_id").distinct(), ["unit_id", "wall_id"], "left_semi").unionByName(inner.select("unit_id", "wall_id", "s", "v"))
+    points = points.join(dealt(inner.select("unit_id", "wall_id").distinct()), ["unit_id", "wall_id"], "left_semi").unionByName(inner.select("unit_id", "wall_id", "s", "v"))
     pieces = Ordered(points, ["unit_id", "wall_id"], [F.col("s"), F.col("v")]).add(was=Previous(F.col("v"))).result().where("was is not null and was <> v")
-    pieces = pieces.join(walls.select("unit_id", "wall_id", "of_wall", "thick", "height"), ["unit_id", "wall_id"])
+    pieces = pieces.join(dealt(walls.select("unit_id", "wall_id", "of_wall", "thick", "height")), ["unit_id", "wall_id"])
     pieces = pieces.select("unit_id", F.concat_ws("~", "wall_id", "v").alias("wall_id"), "of_wall", F.col("was").alias("a"), F.col("v").alias("b"), "thick", "height")
-    return walls.join(inner.select("unit_id", "wall_id").distinct(), ["unit_id", "wall_id"], "left_anti").select(*W_COLS).unionByName(pieces)
+    return walls.join(dealt(inner.select("unit_id", "wall_id").distinct()), ["unit_id", "wall_id"], "left_anti").select(*W_COLS).unionByName(pieces)
 
 
 def _ended(vertices: DataFrame, walls: DataFrame, now: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vertices and walls after the endings ``now``."""
     new = now.where("do = 'piece'").withColumn("j", F.concat_ws("@", "vertex_id", "wall_id"))
     moved = now.where("do = 'onto'").select("unit_id", "vertex_id", "qx", "qy").unionByName(now.where("do in ('meet', 'piece-meet')").select("unit_id", F.col("end").alias("vertex_id"), "qx", "qy"))
-    v = vertices.join(moved, ["unit_id", "vertex_id"], "left").select("unit_id", "vertex_id", F.coalesce("qx", "x").alias("x"), F.coalesce("qy", "y").alias("y"))
+    v = vertices.join(dealt(moved), ["unit_id", "vertex_id"], "left").select("unit_id", "vertex_id", F.coalesce("qx", "x").alias("x"), F.coalesce("qy", "y").alias("y"))
     v = cut_lineage(v.unionByName(new.select("unit_id", F.col("j").alias("vertex_id"), F.col("qx").alias("x"), F.col("qy").alias("y"))))
     cuts = now.where("do = 'onto'").select("unit_id", "wall_id", "s", F.col("vertex_id").alias("v")).unionByName(new.select("unit_id", "wall_id", "s", F.col("j").alias("v")))
     w = split_walls(vertices, walls, cuts)
     joints = now.where("do like 'piece%'").select("unit_id", F.concat_ws("+", "wall_id", "vertex_id").alias("wall_id"), F.concat_ws("+", "wall_id", "vertex_id").alias("of_wall"), F.when(F.col("do") == "piece", F.concat_ws("@", "vertex_id", "wall_id")).otherwise(F.col("end")).alias("a"), F.col("vertex_id").alias("b"), "thick", "height")
     to = cut_lineage(now.where("do in ('end', 'meet')").select("unit_id", "vertex_id", F.col("end").alias("to")))
     w = cut_lineage(_rewired(w.unionByName(joints), to))
-    return cut_lineage(v.join(to, ["unit_id", "vertex_id"], "left_anti")), w
+    return cut_lineage(v.join(dealt(to), ["unit_id", "vertex_id"], "left_anti")), w
 
 
 def crossings(vertices: DataFrame, walls: DataFrame, size: float = 4.0) -> DataFrame:
@@ -185,8 +185,8 @@ def join_overlaps(vertices: DataFrame, walls: DataFrame, size: float = 4.0) -> t
             continue
         spots = x.select("unit_id", F.col("v").alias("vertex_id"), "x", "y")  # where three walls cross there is one corner
         to = _survivors(cut_lineage(_close(spots, 1.0)))
-        x = x.join(to.select("unit_id", F.col("vertex_id").alias("v"), "to"), ["unit_id", "v"], "left").withColumn("v", F.coalesce("to", "v"))
-        spots = spots.join(to, ["unit_id", "vertex_id"], "left_anti")
+        x = x.join(dealt(to.select("unit_id", F.col("vertex_id").alias("v"), "to")), ["unit_id", "v"], "left").withColumn("v", F.coalesce("to", "v"))
+        spots = spots.join(dealt(to), ["unit_id", "vertex_id"], "left_anti")
         cuts = x.select("unit_id", F.inline(F.array(*[F.struct(F.col(f"w{i}").alias("wall_id"), F.col(f"s{i}").alias("s"), F.col("v").alias("v")) for i in (1, 2)])))
         w = cut_lineage(split_walls(v, w, cuts))
         v = cut_lineage(v.unionByName(spots))

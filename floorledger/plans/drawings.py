@@ -14,6 +14,7 @@ from floorledger.operators import noding, review, touch
 from floorledger.plans import graphs, text
 from floorledger.plans.registry import query
 from floorledger.plans.spatial import SQL_SEG, row_id, segments
+from floorledger.session import dealt
 from floorledger.sources import answers, units
 from floorledger.sources import primitives as prim
 from floorledger.sources.tables import table
@@ -116,7 +117,7 @@ def import_walls(spark, base):
     mm = lambda c: F.floor(F.col(c) * 1000 + 0.5).cast("bigint")
     text_ = F.concat_ws(" ", "kind", mm("off").cast("string"), mm("width").cast("string"), "hinge", "swing")
     o = made["openings"].groupBy("drawing", "wall_id").agg(F.array_join(F.array_sort(F.collect_list(text_)), ";").alias("openings"))
-    w = made["walls"].join(o, ["drawing", "wall_id"], "left")
+    w = made["walls"].join(dealt(o), ["drawing", "wall_id"], "left")
     return w.select("drawing", *[mm(c).alias(c) for c in ("ax", "ay", "bx", "by", "thick")], F.coalesce("openings", F.lit("")).alias("openings"))
 
 
@@ -170,7 +171,7 @@ def words(spark, base):
     k = F.col("p_partkey")
     p = text.labels(spark, base)
     sized = text.size_labels(spark, base).select("p_partkey", F.col("raw").alias("size"))
-    j = p.join(sized, "p_partkey")
+    j = p.join(dealt(sized), "p_partkey")
     col, row = k % 5, F.floor(k % 100 / 5)
     x, y = (col * 400).cast("double"), (row * 60).cast("double")
     line = lambda t, dy: F.transform(F.split(t, r"\s+"), lambda w, i: F.struct(w.alias("text"), (x + i * 62).alias("x"), (y + dy).alias("y")))
@@ -412,8 +413,8 @@ def join_overlaps(spark, base):
     """Every wall after all meetings are shared corners, in millimetres, the lower end first, with how many walls meet at either end."""
     v, w = noding.join_overlaps(*meetings(spark, base))
     deg = w.select("unit_id", F.explode(F.array("a", "b")).alias("c")).groupBy("unit_id", "c").agg(F.count(F.lit(1)).alias("n"))
-    end = lambda e: v.select("unit_id", F.col("vertex_id").alias(e), F.floor(F.col("x") * 1000 + 0.5).cast("bigint").alias(f"{e}x"), F.floor(F.col("y") * 1000 + 0.5).cast("bigint").alias(f"{e}y")).join(deg.select("unit_id", F.col("c").alias(e), F.col("n").alias(f"d{e}")), ["unit_id", e])
-    j = w.join(end("a"), ["unit_id", "a"]).join(end("b"), ["unit_id", "b"])
+    end = lambda e: v.select("unit_id", F.col("vertex_id").alias(e), F.floor(F.col("x") * 1000 + 0.5).cast("bigint").alias(f"{e}x"), F.floor(F.col("y") * 1000 + 0.5).cast("bigint").alias(f"{e}y")).join(dealt(deg.select("unit_id", F.col("c").alias(e), F.col("n").alias(f"d{e}"))), ["unit_id", e])
+    j = w.join(dealt(end("a")), ["unit_id", "a"]).join(dealt(end("b")), ["unit_id", "b"])
     p, q = [F.struct(F.col(f"{e}x").alias("x"), F.col(f"{e}y").alias("y"), F.col(f"d{e}").alias("n")) for e in "ab"]
     lo, hi = F.least(p, q), F.greatest(p, q)
     return j.select("unit_id", lo["x"].alias("ax"), lo["y"].alias("ay"), hi["x"].alias("bx"), hi["y"].alias("by"), F.floor(F.col("thick") * 1000 + 0.5).cast("bigint").alias("thick"), lo["n"].alias("da"), hi["n"].alias("db"))
