@@ -15,7 +15,7 @@ from floorledger.operators import geometry as geo
 from floorledger.operators.cells import smallest_containing
 from floorledger.operators.graph import components, cycles, pendant, ring_next
 from floorledger.operators.ordered import rank_in_group
-from floorledger.session import cut_lineage
+from floorledger.session import cut_lineage, dealt
 
 U = ["unit_id"]
 AREA_EPS = 1e-6
@@ -33,7 +33,7 @@ def usable_walls(walls: DataFrame, vertices: DataFrame) -> DataFrame:
     w = geo.with_ends(walls, first).where(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) > 1e-9)
     key = w.withColumn("_lo", F.least("a", "b")).withColumn("_hi", F.greatest("a", "b"))
     keep = key.groupBy("unit_id", "_lo", "_hi").agg(F.min(F.struct("pos", "wall_id")).alias("_k")).select("unit_id", F.col("_k.wall_id").alias("wall_id"), F.col("_k.pos").alias("pos"))
-    return w.join(keep, ["unit_id", "wall_id", "pos"], "left_semi")
+    return w.join(dealt(keep), ["unit_id", "wall_id", "pos"], "left_semi")
 
 
 def half_edges(walls: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def traced_half_edges(walls: DataFrame) -> DataFrame:
     """Half-edges with the ring they trace (next = clockwise of the twin at its end): cycle, pos, n."""
     h = cut_lineage(half_edges(walls))
     linked = cut_lineage(ring_next(h.select("unit_id", "h", "twin", "src", "dst", "angle"), U).select("unit_id", "h", "next"))
-    return h.join(cycles(linked, U), ["unit_id", "h"])
+    return h.join(dealt(cycles(linked, U)), ["unit_id", "h"])
 
 
 def faces(walls: DataFrame) -> DataFrame:
@@ -62,12 +62,12 @@ def faces(walls: DataFrame) -> DataFrame:
     Dead-end branches are out of the rings; an area up to 1e-6 (the outside, slivers) is no face.
     """
     t = cut_lineage(traced_half_edges(walls))
-    solid = t.join(pendant(t).select("unit_id", "h"), ["unit_id", "h"], "left_anti")
+    solid = t.join(dealt(pendant(t).select("unit_id", "h")), ["unit_id", "h"], "left_anti")
     size = solid.groupBy("unit_id", "cycle").agg(
         (F.sum(F.col("sx") * F.col("dy") - F.col("dx") * F.col("sy")) / 2).alias("area"),
         F.count(F.lit(1)).alias("size"), F.min(F.struct("src", "pos")).alias("_s"),
     ).where((F.col("size") >= 3) & (F.col("area") > AREA_EPS))
-    s = solid.drop("n").join(size, ["unit_id", "cycle"]).withColumn("_at", F.pmod(F.col("pos") - F.col("_s.pos"), F.lit(1 << 62)))
+    s = solid.drop("n").join(dealt(size), ["unit_id", "cycle"]).withColumn("_at", F.pmod(F.col("pos") - F.col("_s.pos"), F.lit(1 << 62)))
     s = s.withColumn("_at", F.when(F.col("pos") >= F.col("_s.pos"), F.col("pos") - F.col("_s.pos")).otherwise(F.col("pos") - F.col("_s.pos") + F.lit(1 << 40)))
     s = rank_in_group(s, ["unit_id", "cycle"], [F.col("_at")], "_r")
     return s.select("unit_id", "cycle", (F.col("_r") - 1).alias("pos"), F.col("size").alias("n"), F.col("src").alias("vertex_id"), F.col("sx").alias("x"), F.col("sy").alias("y"), "wall_id", "area")
@@ -93,15 +93,15 @@ def rooms(face_rows: DataFrame, labels: DataFrame, size: float = 4.0) -> DataFra
         *k, "area", F.array_join(F.transform("r", lambda p: p["v"]), ",").alias("loop"), F.transform("r", lambda p: p["w"]).alias("wall_ids"),
         F.transform("r", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("poly"),
     )
-    f = cut_lineage(f.join(geo.area_and_centroid(pts, k).drop("area"), k))
+    f = cut_lineage(f.join(dealt(geo.area_and_centroid(pts, k).drop("area")), k))
     named = labels.where(flat_type_of(F.col("name"), F.col("kind")).isNull())
     at = smallest_containing(named.select("unit_id", "label_id", "x", "y"), f.select("unit_id", F.col("cycle").alias("face_id"), "area", "poly"), U, ["label_id"], size)
-    own = named.join(at.select("unit_id", "label_id", F.col("face_id").alias("cycle")), ["unit_id", "label_id"])
+    own = named.join(dealt(at.select("unit_id", "label_id", F.col("face_id").alias("cycle"))), ["unit_id", "label_id"])
     cols = [c for c in labels.columns if c not in ("unit_id", "x", "y")]
     first = own.groupBy(*k).agg(F.min(F.struct("pos", *[c for c in cols if c != "pos"])).alias("lb"))
-    out = f.join(first, k, "left").withColumn("named", F.col("lb").isNotNull())
+    out = f.join(dealt(first), k, "left").withColumn("named", F.col("lb").isNotNull())
     spaces = rank_in_group(out.where(~F.col("named")).select(*k, "loop"), U, [F.col("loop")], "_n").select(*k, F.col("_n").alias("space"))
-    out = out.join(spaces, k, "left")
+    out = out.join(dealt(spaces), k, "left")
     extra = [F.col(f"lb.{c}").alias(c) for c in cols if c not in ("pos", "label_id", "name", "kind")]
     return out.select(
         "unit_id", F.coalesce(F.col("lb.label_id").cast("string"), F.concat(F.lit("space-"), loop_hash(F.col("loop")))).alias("room_id"),
@@ -136,7 +136,7 @@ def sides(rooms_: DataFrame) -> DataFrame:
 def neighbours_through(rooms_: DataFrame, walls: DataFrame, openings: DataFrame, kinds: tuple[str, ...] = ("door", "passage", "slider")) -> DataFrame:
     """(unit_id, room_id, opens_to): rooms that share a wall with an opening of these kinds."""
     w = openings.where(F.col("kind").isin(*kinds)).select("unit_id", "wall_id").distinct()
-    p = sides(rooms_).join(w, ["unit_id", "wall_id"])
+    p = sides(rooms_).join(dealt(w), ["unit_id", "wall_id"])
     return p.select("unit_id", F.col("r1").alias("room_id"), F.col("r2").alias("opens_to")).unionByName(p.select("unit_id", F.col("r2").alias("room_id"), F.col("r1").alias("opens_to"))).distinct()
 
 
@@ -148,12 +148,12 @@ def derive_flats(rooms_: DataFrame, walls: DataFrame, openings: DataFrame, label
     that is none and opens into the rooms of one pinned flat only joins that flat.
     """
     pin = labels.where(F.col("flat").isNotNull()).select("unit_id", F.col("label_id").cast("string").alias("room_id"), F.col("flat").alias("pin"))
-    r = cut_lineage(rooms_.select("unit_id", "room_id", "name", "kind", "area", "cx", "cy", "loop", "wall_ids", "poly").join(pin, ["unit_id", "room_id"], "left"))
+    r = cut_lineage(rooms_.select("unit_id", "room_id", "name", "kind", "area", "cx", "cy", "loop", "wall_ids", "poly").join(dealt(pin), ["unit_id", "room_id"], "left"))
     free = r.where(F.col("pin").isNull() & ~is_core(F.col("kind"), F.col("name")))
     ow = cut_lineage(open_walls(walls, openings))
-    joined = sides(free).join(ow, ["unit_id", "wall_id"])
+    joined = sides(free).join(dealt(ow), ["unit_id", "wall_id"])
     grp = components(free.select("unit_id", F.col("room_id").alias("id")), joined.select("unit_id", F.col("r1").alias("src"), F.col("r2").alias("dst")), U)
-    g = cut_lineage(free.join(grp.select("unit_id", F.col("id").alias("room_id"), F.col("component").alias("grp")), ["unit_id", "room_id"]))
+    g = cut_lineage(free.join(dealt(grp.select("unit_id", F.col("id").alias("room_id"), F.col("component").alias("grp"))), ["unit_id", "room_id"]))
 
     typed = labels.withColumn("type_name", flat_type_of(F.col("name"), F.col("kind"))).where(F.col("type_name").isNotNull())
     text = F.concat_ws(" ", "name", "printed_size") if "printed_size" in labels.columns else F.col("name")
@@ -162,35 +162,35 @@ def derive_flats(rooms_: DataFrame, walls: DataFrame, openings: DataFrame, label
     typed = typed.withColumn("sqft", sqft)
     at = smallest_containing(typed.select("unit_id", "label_id", "x", "y"), r.select("unit_id", F.col("room_id").alias("face_id"), "area", "poly"), U, ["label_id"], size)
     named = (
-        typed.join(at.select("unit_id", "label_id", F.col("face_id").alias("room_id")), ["unit_id", "label_id"])
-        .join(g.select("unit_id", "room_id", "grp"), ["unit_id", "room_id"])
+        typed.join(dealt(at.select("unit_id", "label_id", F.col("face_id").alias("room_id"))), ["unit_id", "label_id"])
+        .join(dealt(g.select("unit_id", "room_id", "grp")), ["unit_id", "room_id"])
         .groupBy("unit_id", "grp").agg(F.min(F.struct("pos", "type_name", "sqft")).alias("t"))
         .select("unit_id", "grp", F.col("t.type_name").alias("type_name"), F.col("t.sqft").alias("sqft"))
     )
     stat = g.groupBy("unit_id", "grp").agg(
         F.count(F.lit(1)).alias("n"), F.bool_or(F.col("kind") == "bed").alias("bed"),
         (F.sum(F.col("cx") * F.col("area")) / F.sum("area")).alias("gx"), (F.sum(F.col("cy") * F.col("area")) / F.sum("area")).alias("gy"),
-    ).join(named, ["unit_id", "grp"], "left")
+    ).join(dealt(named), ["unit_id", "grp"], "left")
     stat = cut_lineage(stat.withColumn("is_flat", F.col("type_name").isNotNull() | ((F.col("n") > 1) & F.col("bed"))))
     unnamed = stat.where(F.col("is_flat") & F.col("type_name").isNull())
     numbered = rank_in_group(unnamed.select("unit_id", "grp", "gx", "gy"), U, [F.col("gx"), F.col("gy"), F.col("grp")], "_n")
-    flat_of = stat.where("is_flat").join(numbered.select("unit_id", "grp", "_n"), ["unit_id", "grp"], "left").select(
+    flat_of = stat.where("is_flat").join(dealt(numbered.select("unit_id", "grp", "_n")), ["unit_id", "grp"], "left").select(
         "unit_id", "grp", F.coalesce("type_name", F.concat(F.lit("Flat "), F.col("_n").cast("string"))).alias("flat"), "sqft"
     )
-    own = g.join(flat_of, ["unit_id", "grp"]).select("unit_id", "room_id", "flat", "sqft")
+    own = g.join(dealt(flat_of), ["unit_id", "grp"]).select("unit_id", "room_id", "flat", "sqft")
     pins = r.where(F.length("pin") > 0).select("unit_id", "room_id", F.col("pin").alias("flat"))
     pin_sqft = typed.groupBy("unit_id", F.col("type_name").alias("flat")).agg(F.min_by("sqft", "pos").alias("sqft"))
-    pinned = pins.join(pin_sqft, ["unit_id", "flat"], "left").select("unit_id", "room_id", "flat", "sqft")
-    both = room_walls(r).join(ow, ["unit_id", "wall_id"])
+    pinned = pins.join(dealt(pin_sqft), ["unit_id", "flat"], "left").select("unit_id", "room_id", "flat", "sqft")
+    both = room_walls(r).join(dealt(ow), ["unit_id", "wall_id"])
     lead = (
-        both.join(g.select("unit_id", "room_id", "grp"), ["unit_id", "room_id"]).select("unit_id", "wall_id", "grp")
-        .join(both.join(pins, ["unit_id", "room_id"]).select("unit_id", "wall_id", "flat"), ["unit_id", "wall_id"])
+        both.join(dealt(g.select("unit_id", "room_id", "grp")), ["unit_id", "room_id"]).select("unit_id", "wall_id", "grp")
+        .join(dealt(both.join(dealt(pins), ["unit_id", "room_id"]).select("unit_id", "wall_id", "flat")), ["unit_id", "wall_id"])
         .groupBy("unit_id", "grp").agg(F.min("flat").alias("flat"), F.countDistinct("flat").alias("k")).where("k = 1")
-        .join(stat.where(~F.col("is_flat")).select("unit_id", "grp"), ["unit_id", "grp"])
+        .join(dealt(stat.where(~F.col("is_flat")).select("unit_id", "grp")), ["unit_id", "grp"])
     )
-    led = g.join(lead.select("unit_id", "grp", "flat"), ["unit_id", "grp"]).select("unit_id", "room_id", "flat", F.lit(None).cast("double").alias("sqft"))
+    led = g.join(dealt(lead.select("unit_id", "grp", "flat")), ["unit_id", "grp"]).select("unit_id", "room_id", "flat", F.lit(None).cast("double").alias("sqft"))
     m = own.unionByName(pinned).unionByName(led)
-    return m.join(r.select("unit_id", "room_id", "area", "cx", "cy", "loop"), ["unit_id", "room_id"])
+    return m.join(dealt(r.select("unit_id", "room_id", "area", "cx", "cy", "loop")), ["unit_id", "room_id"])
 
 
 def flat_table(members: DataFrame) -> DataFrame:

@@ -184,7 +184,7 @@ def wall_pieces(walls: DataFrame, openings: DataFrame, metres: float = 4.0) -> D
     from floorledger.session import cut_lineage
 
     w = walls.select("wall_id", "len", "height").where((F.col("len") > EPS) & (F.col("height") > EPS))
-    holes = openings.join(w, "wall_id").select(
+    holes = openings.join(dealt(w), "wall_id").select(
         "wall_id", F.greatest(F.lit(0.0), "off").alias("u0"), F.least(F.col("len"), F.col("off") + F.col("width")).alias("u1"),
         F.greatest(F.lit(0.0), "sill").alias("v0"), F.least("height", "head").alias("v1"),
     ).where((F.col("u1") - F.col("u0") > EPS) & (F.col("v1") - F.col("v0") > EPS)).distinct()
@@ -195,7 +195,7 @@ def wall_pieces(walls: DataFrame, openings: DataFrame, metres: float = 4.0) -> D
     over = interval_join(slabs, holes, ["wall_id"], metres, EPS).groupBy(F.col("l.wall_id").alias("wall_id"), F.col("l.u0").alias("u0")).agg(
         F.array_sort(F.collect_set(F.struct(F.col("r.v0").alias("v0"), F.col("r.v1").alias("v1")))).alias("hs")
     )
-    d = slabs.join(over, ["wall_id", "u0"], "left").join(w.select("wall_id", "height"), "wall_id")
+    d = slabs.join(dealt(over), ["wall_id", "u0"], "left").join(dealt(w.select("wall_id", "height")), "wall_id")
     none = F.array().cast("array<struct<v0:double,v1:double>>")
     fold = F.aggregate(
         F.concat(F.coalesce("hs", none), F.array(F.struct(F.col("height").alias("v0"), F.col("height").alias("v1")))),
@@ -236,19 +236,19 @@ def main_rectangle(points: DataFrame, keys: Sequence[str], axis: float = 0.0) ->
         return cuts.where(F.col(lo).isNotNull())
 
     rows, columns = strips("y", "row", "y0", "y1"), strips("x", "col", "x0", "x1")
-    cross = rows.join(ring_edges(p, k), k).where((F.least("ay", "by") <= F.col("y0")) & (F.greatest("ay", "by") >= F.col("y1")))
+    cross = rows.join(dealt(ring_edges(p, k)), k).where((F.least("ay", "by") <= F.col("y0")) & (F.greatest("ay", "by") >= F.col("y1")))
     at = lambda y: F.col("ax") + (y - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))
     cross = cut_lineage(cross.select(*k, "row", "y0", "y1", "pos", at((F.col("y0") + F.col("y1")) / 2).alias("mid"), F.least(at(F.col("y0")), at(F.col("y1"))).alias("lo"), F.greatest(at(F.col("y0")), at(F.col("y1"))).alias("hi")))
     sides = Ordered(cross, [*k, "row"], [F.col("mid"), F.col("pos")]).add(nth=Rank(), left=Previous(F.col("hi"))).result()
     inside_ = sides.where(F.col("nth") % 2 == 0).select(*k, "row", "y0", "y1", "left", F.col("lo").alias("right"))
-    cells = cut_lineage(inside_.join(columns, k).where((F.col("x0") >= F.col("left") - 1e-7) & (F.col("x1") <= F.col("right") + 1e-7)).select(*k, "row", "y0", "y1", "col", "x0", "x1"))
+    cells = cut_lineage(inside_.join(dealt(columns), k).where((F.col("x0") >= F.col("left") - 1e-7) & (F.col("x1") <= F.col("right") + 1e-7)).select(*k, "row", "y0", "y1", "col", "x0", "x1"))
     tall = Ordered(cells, [*k, "col"], [F.col("row")]).add(_was=Previous(F.col("row")))
     first = F.col("_was").isNull() | (F.col("_was") != F.col("row") - 1)
     tall = tall.add(base=Known(F.when(first, F.col("y0")))).result().select(*k, "row", F.struct("col", "x0", "x1", (F.col("y1") - F.col("base")).alias("h")).alias("c"))
     swept = tall.groupBy(*k, "row").agg(_widest(F.array_sort(F.collect_list("c"))).alias("m"))
     top = swept.groupBy(*k).agg(F.max("m").alias("m"))
     none = F.lit(0.0)
-    return p.select(*k).distinct().join(top, k, "left").select(*k, F.coalesce("m.w", none).alias("w"), F.coalesce("m.h", none).alias("h"))
+    return p.select(*k).distinct().join(dealt(top), k, "left").select(*k, F.coalesce("m.w", none).alias("w"), F.coalesce("m.h", none).alias("h"))
 
 
 def _widest(columns: Column) -> Column:
@@ -300,7 +300,7 @@ def printed_size_check(rooms: DataFrame, main: DataFrame, box: DataFrame, keys:
     """rooms (keys, name, a, b) → off, by (main / outline), the drawn and printed pairs."""
     m = main.select(*keys, F.col("w").alias("mw"), F.col("h").alias("mh"))
     o = box.select(*keys, F.col("w").alias("ow"), F.col("h").alias("oh"))
-    j = rooms.join(m, list(keys)).join(o, list(keys))
+    j = rooms.join(dealt(m), list(keys)).join(dealt(o), list(keys))
     j = j.withColumn("m", fits_printed(F.col("mw"), F.col("mh"), F.col("a"), F.col("b"), tol)).withColumn("o", fits_printed(F.col("ow"), F.col("oh"), F.col("a"), F.col("b"), tol))
     by = F.when(F.col("m.ok"), "main").when(F.col("o.ok"), "outline")
     return j.select(*rooms.columns, F.col("mw"), F.col("mh"), F.col("m.p0").alias("p0"), F.col("m.p1").alias("p1"), by.alias("by"), by.isNull().alias("off"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floorledger.session import cut_lineage
+from floorledger.session import cut_lineage, dealt
 
 
 def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -24,15 +24,15 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) ->
     while True:  # every round but the last changes the edges, and they only fall
         both = e.unionByName(e.select(*k, F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy(*k, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.where(F.col("v") > F.col("u")).join(m, [*k, "u"]).select(*k, F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
+        large = both.where(F.col("v") > F.col("u")).join(dealt(m), [*k, "u"]).select(*k, F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
         m2 = large.groupBy(*k, "u").agg(F.min("v").alias("m"))
-        j = large.join(m2, [*k, "u"])
+        j = large.join(dealt(m2), [*k, "u"])
         small = j.select(*k, F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m2.select(*k, "u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
         e = cut_lineage(small)
         now = _signature(e)
         if now == seen:
             lab = e.groupBy(*k, F.col("u").alias("id")).agg(F.min("v").alias("component"))
-            return nodes.select(*k, "id").distinct().join(lab, [*k, "id"], "left").withColumn("component", F.coalesce("component", "id"))
+            return nodes.select(*k, "id").distinct().join(dealt(lab), [*k, "id"], "left").withColumn("component", F.coalesce("component", "id"))
         seen = now
 
 
@@ -53,9 +53,9 @@ def ring_next(half_edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     order = [F.col("angle"), F.col("h")]
     p = previous(half_edges, [*keys, "src"], order, F.col("h"), name="before")
     last = half_edges.groupBy(*keys, "src").agg(F.max(F.struct("angle", "h")).alias("_l"))
-    p = p.join(last, [*keys, "src"]).withColumn("before", F.coalesce("before", "_l.h"))
+    p = p.join(dealt(last), [*keys, "src"]).withColumn("before", F.coalesce("before", "_l.h"))
     succ = p.select(*keys, F.col("twin").alias("h"), F.col("before").alias("next"))
-    return half_edges.join(succ, [*keys, "h"])
+    return half_edges.join(dealt(succ), [*keys, "h"])
 
 
 def cycles(links: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -69,14 +69,14 @@ def cycles(links: DataFrame, keys: Sequence[str]) -> DataFrame:
     step = 1
     for _ in range(64):
         n = s.select(*k, F.col("h").alias("next"), F.col("next").alias("nn"), F.col("m").alias("nm"), F.col("o").alias("no"))
-        j = s.join(n, [*k, "next"])
+        j = s.join(dealt(n), [*k, "next"])
         better = F.col("nm") < F.col("m")
         s = cut_lineage(j.select(*k, "h", F.col("nn").alias("next"), F.least("m", "nm").alias("m"), F.when(better, F.col("no") + step).otherwise(F.col("o")).alias("o"), better.alias("_c")))
         moved = s.where("_c").limit(1).count()
         s = s.drop("_c")
         if not moved:
             n = s.groupBy(*k, "m").agg(F.count(F.lit(1)).alias("n"))
-            return s.join(n, [*k, "m"]).select(*k, "h", F.col("m").alias("cycle"), F.pmod(F.col("n") - F.col("o"), F.col("n")).alias("pos"), "n")
+            return s.join(dealt(n), [*k, "m"]).select(*k, "h", F.col("m").alias("cycle"), F.pmod(F.col("n") - F.col("o"), F.col("n")).alias("pos"), "n")
         step *= 2
     raise RuntimeError("ring longer than 2^64")
 
@@ -87,7 +87,7 @@ def roots(parents: DataFrame, keys: Sequence[str]) -> DataFrame:
     s = cut_lineage(parents.select(*k, "id", F.coalesce("parent", "id").alias("p"), F.col("parent").isNotNull().cast("bigint").alias("d")))
     for _ in range(64):
         n = s.select(*k, F.col("id").alias("p"), F.col("p").alias("pp"), F.col("d").alias("pd"))
-        j = s.join(n, [*k, "p"])
+        j = s.join(dealt(n), [*k, "p"])
         s = cut_lineage(j.select(*k, "id", F.col("pp").alias("p"), (F.col("d") + F.col("pd")).alias("d"), (F.col("pp") != F.col("p")).alias("_c")))
         moved = s.where("_c").limit(1).count()
         s = s.drop("_c")
@@ -100,7 +100,7 @@ def degrees(walls: DataFrame, vertices: DataFrame) -> DataFrame:
     """(unit_id, vertex_id, degree), unused corners with 0."""
     ends = walls.select("unit_id", F.explode(F.array("a", "b")).alias("vertex_id"))
     d = ends.groupBy("unit_id", "vertex_id").agg(F.count(F.lit(1)).alias("degree"))
-    return vertices.select("unit_id", "vertex_id").join(d, ["unit_id", "vertex_id"], "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("bigint")))
+    return vertices.select("unit_id", "vertex_id").join(dealt(d), ["unit_id", "vertex_id"], "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("bigint")))
 
 
 def chains(walls: DataFrame) -> DataFrame:
@@ -131,11 +131,11 @@ def pendant(t: DataFrame) -> DataFrame:
     from floorledger.operators.ordered import running
 
     tw = t.select("unit_id", F.col("h").alias("twin"), F.col("cycle").alias("tc"), F.col("pos").alias("tpos"))
-    j = t.join(tw, ["unit_id", "twin"]).withColumn("solid", (F.col("cycle") != F.col("tc")).cast("bigint"))
+    j = t.join(dealt(tw), ["unit_id", "twin"]).withColumn("solid", (F.col("cycle") != F.col("tc")).cast("bigint"))
     j = running(j, ["unit_id", "cycle"], [F.col("pos")], F.col("solid"), "sum", "acc")
     total = j.groupBy("unit_id", "cycle").agg(F.sum("solid").alias("solid_all"))
-    j = j.join(total, ["unit_id", "cycle"])
+    j = j.join(dealt(total), ["unit_id", "cycle"])
     acc = j.select("unit_id", F.col("h").alias("twin"), F.col("acc").alias("tacc"))
-    j = j.join(acc, ["unit_id", "twin"]).where("solid = 0")
+    j = j.join(dealt(acc), ["unit_id", "twin"]).where("solid = 0")
     between = F.abs(F.col("acc") - F.col("tacc"))
     return j.where((between == 0) | (between == F.col("solid_all")))

@@ -12,6 +12,7 @@ from floorledger.functions.rooms import is_outdoor
 from floorledger.operators import geometry as geo
 from floorledger.operators.cells import box_join, interval_join, smallest_containing
 from floorledger.operators.graph import components, degrees
+from floorledger.session import dealt
 
 TOUCH_M = 1e-6
 MIN_LABELLED_SQM = 0.5
@@ -32,10 +33,10 @@ def s(c: str) -> Column:
 def dangling(walls: DataFrame, vertices: DataFrame, joined_ends: DataFrame | None = None) -> DataFrame:
     """Corners no wall uses (error) and loose ends (warning), except of walls that stand alone and ends that touch."""
     v = geo.missing_ends(walls, vertices)
-    d = degrees(walls.join(v, ["unit_id", "wall_id"], "left_anti"), vertices).where("degree <= 1")
+    d = degrees(walls.join(dealt(v), ["unit_id", "wall_id"], "left_anti"), vertices).where("degree <= 1")
     meant = walls.where(F.coalesce("stands_alone", F.lit(False))).select("unit_id", F.explode(F.array("a", "b")).alias("vertex_id")).distinct()
     ends = meant if joined_ends is None else meant.unionByName(joined_ends.select("unit_id", "vertex_id")).distinct()
-    loose = d.where("degree = 1").join(ends, ["unit_id", "vertex_id"], "left_anti")
+    loose = d.where("degree = 1").join(dealt(ends), ["unit_id", "vertex_id"], "left_anti")
     unused = d.where("degree = 0")
     return _issue(unused, "error", "dangling-vertex", ["vertex_id"], F.concat(F.lit("vertex "), s("vertex_id"), F.lit(" is not used by any wall"))).unionByName(
         _issue(loose, "warning", "dangling-vertex", ["vertex_id"], F.concat(F.lit("vertex "), s("vertex_id"), F.lit(" ends a dangling wall")))
@@ -51,14 +52,14 @@ def bad_walls(walls: DataFrame, vertices: DataFrame) -> DataFrame:
     zero = _issue(e.where(flat), "error", "zero-length-wall", ["wall_id"], F.concat(F.lit("wall "), s("wall_id"), F.lit(" has zero length")))
     good = e.where(~flat).withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b"))
     first = good.groupBy("unit_id", "lo", "hi").agg(F.min(F.struct("pos", "wall_id")).alias("f"))
-    dup = good.join(first, ["unit_id", "lo", "hi"]).where(F.struct("pos", "wall_id") > F.col("f")).withColumn("first_id", F.col("f.wall_id"))
+    dup = good.join(dealt(first), ["unit_id", "lo", "hi"]).where(F.struct("pos", "wall_id") > F.col("f")).withColumn("first_id", F.col("f.wall_id"))
     double = _issue(dup, "error", "duplicate-wall", ["wall_id", "first_id"], F.concat(F.lit("wall "), s("wall_id"), F.lit(" duplicates wall "), s("first_id")))
     return missing.unionByName(zero).unionByName(double)
 
 
 def bad_openings(openings: DataFrame, wall_lengths: DataFrame) -> DataFrame:
     """Openings past their wall's ends or without width, and pairs that overlap on one wall (touching is fine)."""
-    o = openings.join(wall_lengths, ["unit_id", "wall_id"]).withColumn("u0", F.col("off")).withColumn("u1", F.col("off") + F.col("width"))
+    o = openings.join(dealt(wall_lengths), ["unit_id", "wall_id"]).withColumn("u0", F.col("off")).withColumn("u1", F.col("off") + F.col("width"))
     out = o.where((F.col("width") <= 0) | (F.col("u0") < -TOUCH_M) | (F.col("u1") > F.col("len") + TOUCH_M))
     f3 = lambda c: F.format_string("%.3f", F.col(c))
     msg = F.concat(F.lit("opening "), s("opening_id"), F.lit(" spans "), f3("u0"), F.lit("–"), f3("u1"), F.lit(" m on a "), f3("len"), F.lit(" m wall"))
@@ -100,10 +101,10 @@ def label_issues(rooms: DataFrame, labels: DataFrame, size: float = 4.0) -> Data
     """Labels that name no room (outside every face, or sharing one), and faces of half a square metre or more without a label."""
     own = rooms.where("named").select("unit_id", F.col("room_id").alias("label_id"))
     lb = labels.withColumn("label_id", F.col("label_id").cast("string"))
-    stray = lb.join(own, ["unit_id", "label_id"], "left_anti")
+    stray = lb.join(dealt(own), ["unit_id", "label_id"], "left_anti")
     at = smallest_containing(stray.select("unit_id", "label_id", "x", "y"), rooms.select("unit_id", F.col("room_id").alias("face_id"), "area", "poly"), ["unit_id"], ["label_id"], size)
-    at = at.join(rooms.select("unit_id", F.col("room_id").alias("face_id"), F.col("name").alias("other")), ["unit_id", "face_id"])
-    j = stray.join(at.select("unit_id", "label_id", "other"), ["unit_id", "label_id"], "left").where(F.col("other").isNull() | flat_type_of(F.col("name"), F.col("kind")).isNull())
+    at = at.join(dealt(rooms.select("unit_id", F.col("room_id").alias("face_id"), F.col("name").alias("other"))), ["unit_id", "face_id"])
+    j = stray.join(dealt(at.select("unit_id", "label_id", "other")), ["unit_id", "label_id"], "left").where(F.col("other").isNull() | flat_type_of(F.col("name"), F.col("kind")).isNull())
     quoted = F.concat(F.lit('label "'), F.col("name"), F.lit('" '))
     msg = F.when(F.col("other").isNotNull(), F.concat(quoted, F.lit('shares a face with label "'), F.col("other"), F.lit('"'))).otherwise(F.concat(quoted, F.lit("is not inside any enclosed face")))
     out = _issue(j, "error", "label-outside-any-room", ["label_id"], msg)
@@ -123,7 +124,7 @@ def islands(rooms: DataFrame, walls: DataFrame, size: float = 4.0) -> DataFrame:
     ends = walls.select("unit_id", F.col("a").cast("string").alias("src"), F.col("b").cast("string").alias("dst"))
     nodes = ends.select("unit_id", F.col("src").alias("id")).unionByName(ends.select("unit_id", F.col("dst").alias("id"))).distinct()
     comp = components(nodes, ends, ["unit_id"])
-    r = rooms.withColumn("id", F.substring_index("loop", ",", 1)).join(comp, ["unit_id", "id"])
+    r = rooms.withColumn("id", F.substring_index("loop", ",", 1)).join(dealt(comp), ["unit_id", "id"])
     rep = r.groupBy("unit_id", "component").agg(F.min(F.struct("loop", "name", F.get("poly", F.lit(0)).alias("p"))).alias("m")).select("unit_id", "component", F.col("m.name").alias("name"), F.col("m.p.x").alias("x"), F.col("m.p.y").alias("y"))
     faces = r.select("unit_id", F.col("component").alias("other"), "room_id", "area", "poly", F.col("name").alias("outer_name"))
     # the smallest face of another group around the representative corner
@@ -132,10 +133,10 @@ def islands(rooms: DataFrame, walls: DataFrame, size: float = 4.0) -> DataFrame:
     f = faces.withColumn("_xs", F.transform("poly", lambda p: p["x"])).withColumn("_ys", F.transform("poly", lambda p: p["y"]))
     f = explode_cells(f, F.array_min("_xs"), F.array_min("_ys"), F.array_max("_xs"), F.array_max("_ys"), size).drop("_xs", "_ys")
     p = rep.withColumn("_cx", cell(F.col("x"), size)).withColumn("_cy", cell(F.col("y"), size))
-    hit = p.join(f, ["unit_id", "_cx", "_cy"]).where((F.col("component") != F.col("other")) & geo.inside(F.col("poly"), F.col("x"), F.col("y")))
+    hit = p.join(dealt(f), ["unit_id", "_cx", "_cy"]).where((F.col("component") != F.col("other")) & geo.inside(F.col("poly"), F.col("x"), F.col("y")))
     best = hit.groupBy("unit_id", "component", "name").agg(F.min(F.struct("area", "room_id", "outer_name")).alias("o"))
-    own = walls.select("unit_id", F.col("a").cast("string").alias("id"), "wall_id").join(comp, ["unit_id", "id"]).select("unit_id", "component", "wall_id")
-    isle = best.join(own, ["unit_id", "component"]).groupBy("unit_id", "component", "name", "o").agg(F.array_sort(F.collect_set(F.col("wall_id").cast("string"))).alias("ws"))
+    own = walls.select("unit_id", F.col("a").cast("string").alias("id"), "wall_id").join(dealt(comp), ["unit_id", "id"]).select("unit_id", "component", "wall_id")
+    isle = best.join(dealt(own), ["unit_id", "component"]).groupBy("unit_id", "component", "name", "o").agg(F.array_sort(F.collect_set(F.col("wall_id").cast("string"))).alias("ws"))
     return isle.select(
         "unit_id", F.lit("warning").alias("level"), F.lit("island-in-room").alias("code"), F.concat(F.array("o.room_id"), "ws").alias("ids"),
         F.concat(F.lit('walls around "'), F.col("name"), F.lit('" stand inside "'), F.col("o.outer_name"), F.lit('" joined to nothing: join them to it with a flush line (height 0)')).alias("message"),
@@ -148,9 +149,9 @@ def unit_issues(units: DataFrame, walls: DataFrame, openings: DataFrame, rooms:
     n = rooms.groupBy("unit_id").agg(F.count(F.lit(1)).alias("rooms"))
     per_wall = rooms.select("unit_id", (F.col("kind").isin("other") | is_outdoor(F.col("kind"))).alias("open"), F.explode(F.array_distinct("wall_ids")).alias("wall_id"))
     seen = per_wall.groupBy("unit_id", "wall_id").agg(F.count(F.lit(1)).alias("k"), F.bool_or("open").alias("open"))
-    outer = walls.select("unit_id", "wall_id").join(seen, ["unit_id", "wall_id"], "left").where((F.coalesce("k", F.lit(0)) < 2) | F.col("open"))
-    entry = outer.join(openings.where(F.col("kind") == "door").select("unit_id", "wall_id"), ["unit_id", "wall_id"], "left_semi").select("unit_id").distinct().withColumn("entry", F.lit(True))
-    u = units.select("unit_id", "has_picture").join(w, "unit_id", "left").join(n, "unit_id", "left").join(entry, "unit_id", "left")
+    outer = walls.select("unit_id", "wall_id").join(dealt(seen), ["unit_id", "wall_id"], "left").where((F.coalesce("k", F.lit(0)) < 2) | F.col("open"))
+    entry = outer.join(dealt(openings.where(F.col("kind") == "door").select("unit_id", "wall_id")), ["unit_id", "wall_id"], "left_semi").select("unit_id").distinct().withColumn("entry", F.lit(True))
+    u = units.select("unit_id", "has_picture").join(dealt(w), "unit_id", "left").join(dealt(n), "unit_id", "left").join(dealt(entry), "unit_id", "left")
     u = u.withColumn("walls", F.coalesce("walls", F.lit(0))).withColumn("rooms", F.coalesce("rooms", F.lit(0)))
     rows = F.array(
         F.when(~F.col("has_picture"), F.struct(F.when(F.col("walls") > 0, "warning").otherwise("error").alias("level"), F.lit("scale-not-set").alias("code"), F.when(F.col("walls") > 0, "No plan picture is lined up under this drawing").otherwise("Scale is not set").alias("message"))),
@@ -190,13 +191,13 @@ def numbered_marks(marks: DataFrame) -> DataFrame:
 
     rank = F.when(F.col("severity") == "red", 0).when(F.col("severity") == "amber", 1).otherwise(2)
     n = rank_in_group(marks.where("has_spot"), ["unit_id"], [rank, F.col("key")], "n").select("unit_id", "key", "n")
-    return marks.join(n, ["unit_id", "key"], "left")
+    return marks.join(dealt(n), ["unit_id", "key"], "left")
 
 
 def new_issues(before: DataFrame, after: DataFrame, allowed: tuple[str, ...] = ("unlabelled-room", "no-entry-door")) -> DataFrame:
     """Issues after a change that were not there before (by key), but what a newly closed room brings along."""
     key = lambda d: d.withColumn("key", issue_key(F.col("code"), F.col("ids")))
-    return key(after).join(key(before).select("unit_id", "key").distinct(), ["unit_id", "key"], "left_anti").where(~F.col("code").isin(*allowed))
+    return key(after).join(dealt(key(before).select("unit_id", "key").distinct()), ["unit_id", "key"], "left_anti").where(~F.col("code").isin(*allowed))
 
 
 def twin_rows(review: DataFrame, issues: DataFrame, near: float = 0.1) -> DataFrame:
@@ -207,19 +208,19 @@ def twin_rows(review: DataFrame, issues: DataFrame, near: float = 0.1) -> DataFr
     p = box_join(box(review, near), box(issues, 0.0), ["unit_id"], max(near * 4, 1.0))
     p = p.where(F.hypot(F.col("l.x") - F.col("r.x"), F.col("l.y") - F.col("r.y")) <= near)
     t = p.groupBy(F.col("l.unit_id").alias("unit_id"), F.col("l.row_id").alias("row_id")).agg(F.min("r.n").alias("twin_n"))
-    return review.join(t, ["unit_id", "row_id"], "left")
+    return review.join(dealt(t), ["unit_id", "row_id"], "left")
 
 
 def repair(openings: DataFrame, walls: DataFrame, vertices: DataFrame, labels: DataFrame, rooms: DataFrame) -> dict[str, DataFrame]:
     """Repair batch: duplicate walls, bad openings, stray labels and unused corners out; widths clamped into their walls."""
     bad = bad_walls(walls, vertices).select("unit_id", F.get("ids", F.lit(0)).alias("wall_id")).distinct()
     key = lambda d: d.withColumn("_w", F.col("wall_id").cast("string"))
-    kept = key(walls).join(bad.select("unit_id", F.col("wall_id").alias("_w")), ["unit_id", "_w"], "left_anti").drop("_w")
+    kept = key(walls).join(dealt(bad.select("unit_id", F.col("wall_id").alias("_w"))), ["unit_id", "_w"], "left_anti").drop("_w")
     length = geo.frames(geo.with_ends(kept, vertices)).select("unit_id", "wall_id", "len")
-    o = openings.join(length, ["unit_id", "wall_id"]).withColumn("width", F.least("width", "len")).withColumn("off", F.greatest(F.lit(0.0), F.least(F.col("off"), F.col("len") - F.col("width")))).where(F.col("width") > 0)
+    o = openings.join(dealt(length), ["unit_id", "wall_id"]).withColumn("width", F.least("width", "len")).withColumn("off", F.greatest(F.lit(0.0), F.least(F.col("off"), F.col("len") - F.col("width")))).where(F.col("width") > 0)
     clash = overlapping_openings(o).select("unit_id", F.get("ids", F.lit(2)).alias("_o")).distinct()
-    o = o.withColumn("_o", F.col("opening_id").cast("string")).join(clash, ["unit_id", "_o"], "left_anti").drop("_o", "len")
+    o = o.withColumn("_o", F.col("opening_id").cast("string")).join(dealt(clash), ["unit_id", "_o"], "left_anti").drop("_o", "len")
     stray = label_issues(rooms, labels).where(F.col("code") == "label-outside-any-room").select("unit_id", F.get("ids", F.lit(0)).alias("_l"))
-    lb = labels.withColumn("_l", F.col("label_id").cast("string")).join(stray, ["unit_id", "_l"], "left_anti").drop("_l")
+    lb = labels.withColumn("_l", F.col("label_id").cast("string")).join(dealt(stray), ["unit_id", "_l"], "left_anti").drop("_l")
     used = kept.select("unit_id", F.explode(F.array("a", "b")).alias("vertex_id")).distinct()
-    return {"walls": kept, "openings": o, "labels": lb, "vertices": vertices.join(used, ["unit_id", "vertex_id"], "left_semi")}
+    return {"walls": kept, "openings": o, "labels": lb, "vertices": vertices.join(dealt(used), ["unit_id", "vertex_id"], "left_semi")}

@@ -8,7 +8,7 @@ from floorledger.operators import faces as fc
 from floorledger.operators import geometry as geo
 from floorledger.operators import graph, quality, review
 from floorledger.plans.registry import query
-from floorledger.session import cut_lineage
+from floorledger.session import cut_lineage, dealt
 from floorledger.sources.tables import table
 
 SQL_GRID = """vx as (select p_partkey // 400 as unit, p_partkey as v, cast(p_partkey % 40 as double) as x, cast((p_partkey % 400) // 40 as double) as y from part),
@@ -31,7 +31,7 @@ def grid(spark, base):
     right = p.where((k % 40 < 39) & (7 * k % 13 != 0)).select(unit, (2 * k).alias("wall_id"), k.alias("a"), (k + 1).alias("b"))
     down = p.where((k % 400 < 360) & (5 * k % 7 != 0)).select(unit, (2 * k + 1).alias("wall_id"), k.alias("a"), (k + 40).alias("b"))
     ids = p.select(k.alias("b"))
-    w = right.unionByName(down).join(ids, "b", "left_semi")
+    w = right.unionByName(down).join(dealt(ids), "b", "left_semi")
     w = w.select("unit_id", "wall_id", F.col("wall_id").alias("pos"), "a", "b", F.lit(0.127).alias("thickness"), F.when(F.col("wall_id") % 9 == 0, 0.9).otherwise(3.048).alias("height"), (F.col("wall_id") % 17 == 0).alias("stands_alone"))
     return v, w
 
@@ -216,7 +216,7 @@ def marks(spark, base):
     r = rooms_of(spark, base)
     i = quality.validate(units, v, w, o, lb, r)
     area = r.select("unit_id", F.col("room_id").alias("_r"), "area")
-    m = i.join(area, (i.unit_id == area.unit_id) & (F.get("ids", F.lit(0)) == F.col("_r")), "left").select(i["*"], "area")
+    m = i.join(dealt(area), (i.unit_id == area.unit_id) & (F.get("ids", F.lit(0)) == F.col("_r")), "left").select(i["*"], "area")
     m = m.select("unit_id", "code", quality.issue_key(F.col("code"), F.col("ids")).alias("key"), quality.severity(F.col("code"), F.col("area")).alias("severity"), (F.size("ids") > 0).alias("has_spot"))
     return quality.numbered_marks(m)
 

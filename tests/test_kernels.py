@@ -211,3 +211,21 @@ def test_cuts_are_columns_and_leave_no_shuffle_files(spark):
     assert not left() - was
     assert got.schema.names == rows.schema.names and sorted(r.n for r in got.collect()) == [142] + [143] * 6 and got.where("m.id >= 993").count() == 7
     assert cut_lineage(got.where("n < 0")).isEmpty()
+
+
+def test_rows_of_plans_and_drawings_are_dealt(spark):
+    from floorledger.operators import drawing, noding, quality
+
+    d = lambda *cs: [F.lit(float(v)).alias(n) for n, v in cs]
+    ids = spark.range(3).select(F.col("id").alias("unit_id"), F.col("id").alias("wall_id"))
+    bad = quality.bad_openings(ids.select("*", F.lit("o").alias("opening_id"), *d(("off", 1), ("width", 5))), ids.select("*", *d(("len", 4))))
+    assert not _sent_whole(bad) and bad.count() == 3
+    v = spark.range(6).select(F.floor(F.col("id") / 2).alias("unit_id"), F.col("id").alias("vertex_id"), F.col("id").cast("double").alias("x"), *d(("y", 0)))
+    w = ids.select("*", (F.col("unit_id") * 2).alias("a"), (F.col("unit_id") * 2 + 1).alias("b"), *d(("thick", 0.1), ("height", 3)))
+    framed = noding.framed(v, w)
+    assert not _sent_whole(framed) and [r.len for r in framed.collect()] == [1.0] * 3
+    main = drawing.main_thicknesses(ids.select(F.col("unit_id").alias("drawing"), *d(("thick", 0.127), ("length", 2))))
+    assert not _sent_whole(main) and main.count() == 3
+    from floorledger.operators.graph import degrees
+
+    assert not _sent_whole(degrees(w, v))
