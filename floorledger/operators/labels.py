@@ -12,6 +12,7 @@ from floorledger.functions import names, sizes
 from floorledger.operators.cells import box_join
 from floorledger.operators.graph import components, roots
 from floorledger.operators.matching import greedy_match
+from floorledger.session import dealt
 
 S = ["sheet"]
 # What printed text must be read as, equal to what users' sheets are read as today.
@@ -44,9 +45,9 @@ def chunk_words(words: DataFrame, size: float = 64.0) -> DataFrame:
     left = j.where(ok).groupBy(F.col("r.sheet").alias("sheet"), F.col("r.word_id").alias("id")).agg(F.min(F.struct(F.abs(gap).alias("g"), F.col("l.word_id").alias("p"))).alias("m"))
     # a word is followed by one word only: its nearest right neighbour among those that chose it
     taken = left.groupBy("sheet", F.col("m.p").alias("parent")).agg(F.min(F.struct(F.col("m.g").alias("g"), F.col("id").alias("id"))).alias("b")).select("sheet", F.col("b.id").alias("id"), "parent")
-    tree = ws.select("sheet", F.col("word_id").alias("id")).join(taken, ["sheet", "id"], "left")
+    tree = ws.select("sheet", F.col("word_id").alias("id")).join(dealt(taken), ["sheet", "id"], "left")
     r = roots(tree, S)
-    w = ws.join(r.select("sheet", F.col("id").alias("word_id"), "root", "depth"), ["sheet", "word_id"])
+    w = ws.join(dealt(r.select("sheet", F.col("id").alias("word_id"), "root", "depth")), ["sheet", "word_id"])
     g = w.groupBy("sheet", F.col("root").alias("chunk_id")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "text"))), lambda s: s["text"]), " ").alias("text"),
         F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("_r"), F.max(F.col("y") + F.col("h")).alias("_b"), F.min("conf").alias("conf"),
@@ -90,10 +91,10 @@ def group_chunks(chunks: DataFrame, size: float = 64.0) -> DataFrame:
     ok = ok & ~(junk & (P("w") > 2 * C("w"))) & ~(junk & ~names.classify_room(F.concat(P("text"), F.lit(" "), C("text")))["kind"].eqNullSafe(C("rk")))
     cand = j.where(ok).select(C("sheet").alias("sheet"), C("chunk_id").alias("id"), P("chunk_id").alias("p"), gap.alias("g"), C("kind").alias("kind"), C("y").alias("y"))
     closed = cand.where(F.col("kind") == "dims").groupBy("sheet", "p").agg(F.min(F.struct("y", "id")).alias("d"))
-    cand = cand.join(closed, ["sheet", "p"], "left").where(F.col("d").isNull() | (F.col("d.id") == F.col("id")) | (F.col("y") <= F.col("d.y")))
+    cand = cand.join(dealt(closed), ["sheet", "p"], "left").where(F.col("d").isNull() | (F.col("d.id") == F.col("id")) | (F.col("y") <= F.col("d.y")))
     parent = cand.groupBy("sheet", "id").agg(F.min(F.struct("g", "p")).alias("m")).select("sheet", "id", F.col("m.p").alias("parent"))
-    r = roots(c.select("sheet", F.col("chunk_id").alias("id")).join(parent, ["sheet", "id"], "left"), S)
-    b = c.join(r.select("sheet", F.col("id").alias("chunk_id"), "root"), ["sheet", "chunk_id"])
+    r = roots(c.select("sheet", F.col("chunk_id").alias("id")).join(dealt(parent), ["sheet", "id"], "left"), S)
+    b = c.join(dealt(r.select("sheet", F.col("id").alias("chunk_id"), "root")), ["sheet", "chunk_id"])
     lines = F.array_sort(F.collect_list(F.struct("y", "chunk_id", "text", "kind", "conf")))
     g = b.groupBy("sheet", F.col("root").alias("item_id")).agg(lines.alias("ls"), F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("_r"), F.max(F.col("y") + F.col("h")).alias("_b"), F.min("conf").alias("conf"))
     joined = lambda f: F.array_join(F.transform(F.filter("ls", f), lambda s: s["text"]), " ")
@@ -118,7 +119,7 @@ def _columns(rows: DataFrame, reach: float, close: float, least: int, size: floa
     e = top.select("sheet", F.col("id").alias("src"), F.col("m.p").alias("dst"))
     comp = components(rows.select("sheet", F.col("row_id").alias("id")), e, S).select("sheet", F.col("id").alias("row_id"), F.col("component").alias("col"))
     big = comp.groupBy("sheet", "col").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("sheet", "col")
-    return rows.join(comp, ["sheet", "row_id"]).join(big, ["sheet", "col"], "left_semi")
+    return rows.join(dealt(comp), ["sheet", "row_id"]).join(dealt(big), ["sheet", "col"], "left_semi")
 
 
 def table_rows(items: DataFrame, size: float = 64.0) -> DataFrame:
@@ -129,13 +130,13 @@ def table_rows(items: DataFrame, size: float = 64.0) -> DataFrame:
     both = items.where(F.col("text").rlike(r"^.*?[A-Za-z].*?\s\d.*['\"]")).withColumn("name", one).withColumn("d", sizes.strict_size(F.regexp_extract("text", r"^(.*?)\s(\d.*)$", 2))).where(F.col("d").isNotNull() & names.classify_room(F.col("name")).isNotNull())
     whole = both.select("sheet", F.col("item_id").alias("row_id"), "name", F.lit(None).cast("int").alias("num"), F.col("d.a").alias("a"), F.col("d.b").alias("b"), "x", "y", "w", "h", (F.col("x") + F.col("w")).alias("right"))
     n = items.where((F.col("kind") != "area") & ~F.col("text").contains("\n")).withColumn("name", bare).withColumn("num", num).where(names.classify_room(F.col("name")).isNotNull())
-    n = n.join(whole.select("sheet", F.col("row_id").alias("item_id")), ["sheet", "item_id"], "left_anti")
+    n = n.join(dealt(whole.select("sheet", F.col("row_id").alias("item_id"))), ["sheet", "item_id"], "left_anti")
     s = items.where(F.col("text").rlike(r"\d") & (F.col("kind") != "area") & ((F.col("kind") != "room") | F.col("text").rlike(LOOKS_LIKE_DIMS)))
     j = box_join(_grown(n, _zero(), 20 * F.col("h"), _zero(), _zero()), _grown(s, _zero(), _zero(), _zero(), _zero()), S, size)
     L, R = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
     ok = (L("item_id") != R("item_id")) & (F.abs((L("y") + L("h") / 2) - (R("y") + R("h") / 2)) < 0.7 * F.greatest(L("h"), R("h"))) & (R("x") >= L("x") + L("w") - 0.5 * L("h")) & (R("x") - (L("x") + L("w")) < 20 * L("h"))
     best = j.where(ok).groupBy(L("sheet").alias("sheet"), L("item_id").alias("item_id")).agg(F.min(F.struct(R("x").alias("rx"), R("text").alias("t"), R("w").alias("rw"))).alias("m"))
-    p = n.join(best, ["sheet", "item_id"], "left").where(F.col("m").isNotNull() | F.col("num").isNotNull()).withColumn("d", sizes.strict_size(F.col("m.t")))
+    p = n.join(dealt(best), ["sheet", "item_id"], "left").where(F.col("m").isNotNull() | F.col("num").isNotNull()).withColumn("d", sizes.strict_size(F.col("m.t")))
     pair = p.select("sheet", F.col("item_id").alias("row_id"), "name", "num", F.col("d.a").alias("a"), F.col("d.b").alias("b"), "x", "y", "w", "h", F.coalesce(F.col("m.rx") + F.col("m.rw"), F.col("x") + F.col("w")).alias("right"))
     return whole.unionByName(pair)
 
@@ -163,16 +164,16 @@ def apply_tables(items: DataFrame, rows: DataFrame, tables: DataFrame) -> DataFr
     """Each table row's size to the plan label of its name (or its bare number), nearest pairs first, one to one."""
     key = lambda c: names.name_key(F.substring_index(c, "\n", 1))
     t = tables.where("what = 'sizes'").select("sheet", "table_id", *[F.col(c).alias(f"t{c}") for c in "xywh"])
-    r = rows.join(t, ["sheet", "table_id"]).withColumn("_k", F.when(F.col("num").isNotNull(), F.concat(F.lit("#"), F.col("num").cast("string"))).otherwise(key("name")))
+    r = rows.join(dealt(t), ["sheet", "table_id"]).withColumn("_k", F.when(F.col("num").isNotNull(), F.concat(F.lit("#"), F.col("num").cast("string"))).otherwise(key("name")))
     bare = F.regexp_extract(F.trim("text"), r"^(\d{1,2})\.?$", 1).try_cast("int")
-    it = items.join(in_tables(items, tables), ["sheet", "item_id"], "left_anti")
+    it = items.join(dealt(in_tables(items, tables)), ["sheet", "item_id"], "left_anti")
     it = it.withColumn("_k", F.when((F.col("kind") == "other") & bare.isNotNull(), F.concat(F.lit("#"), bare.cast("string"))).when((F.col("kind") == "room") & F.col("a").isNull(), key("text"))).where(F.col("_k").isNotNull())
     it = it.select("sheet", "item_id", "_k", (F.col("x") + F.col("w") / 2).alias("cx"), (F.col("y") + F.col("h") / 2).alias("cy"))
-    j = r.join(it, ["sheet", "_k"])
+    j = r.join(dealt(it), ["sheet", "_k"])
     z = F.lit(0.0)
     d = F.hypot(F.greatest(F.col("tx") - F.col("cx"), z, F.col("cx") - F.col("tx") - F.col("tw")), F.greatest(F.col("ty") - F.col("cy"), z, F.col("cy") - F.col("ty") - F.col("th")))
     m = greedy_match(j.select("sheet", "row_id", "item_id", d.alias("cost")), ["sheet", "row_id"], ["sheet", "item_id"]).drop("cost")
-    return m.join(rows.select("sheet", "row_id", "name", "num", "a", "b"), ["sheet", "row_id"])
+    return m.join(dealt(rows.select("sheet", "row_id", "name", "num", "a", "b")), ["sheet", "row_id"])
 
 
 def name_pieces(items: DataFrame, size: float = 64.0) -> DataFrame:
@@ -188,7 +189,7 @@ def name_pieces(items: DataFrame, size: float = 64.0) -> DataFrame:
     apart = F.greatest(L("x"), R("x")) - F.least(L("x") + L("w"), R("x") + R("w")) < 2 * tall
     e = j.where((L("item_id") < R("item_id")) & level & apart).select(L("sheet").alias("sheet"), L("item_id").alias("src"), R("item_id").alias("dst"))
     c = components(items.select("sheet", F.col("item_id").alias("id")), e, S)
-    g = items.join(c.select("sheet", F.col("id").alias("item_id"), "component"), ["sheet", "item_id"]).groupBy("sheet", F.col("component").alias("chain")).agg(
+    g = items.join(dealt(c.select("sheet", F.col("id").alias("item_id"), "component")), ["sheet", "item_id"]).groupBy("sheet", F.col("component").alias("chain")).agg(
         F.count(F.lit(1)).alias("pieces"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "item_id", "text"))), lambda s: s["text"]), " ").alias("text")
     )
     return g.withColumn("room_kind", names.classify_room(F.col("text"))["kind"])
