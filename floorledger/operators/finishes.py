@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floorledger.functions.rooms import is_level_kind
+from floorledger.session import dealt, spread
 
 
 def slot_for(rooms: DataFrame, slots: DataFrame) -> DataFrame:
@@ -52,11 +53,12 @@ def slots_offered(rooms: DataFrame, catalog_kinds: DataFrame) -> DataFrame:
 
     ``catalog_kinds``: slot_id, kind, level (true = the kinds a level offers). A level is told by its rooms.
     """
+    rooms = spread(rooms.select("unit_id", "room_id", "kind"), "unit_id")
     level = rooms.groupBy("unit_id").agg(F.bool_or(is_level_kind(F.col("kind"))).alias("is_level"))
-    k = catalog_kinds.withColumnRenamed("kind", "_k")
+    k = catalog_kinds.distinct().withColumnRenamed("kind", "_k")  # a row per slot and kind
     return (
-        rooms.join(level, "unit_id")
-        .join(k, (F.col("kind") == F.col("_k")) & (F.col("level") == F.col("is_level")))
+        rooms.join(dealt(level), "unit_id")
+        .join(F.broadcast(k), (F.col("kind") == F.col("_k")) & (F.col("level") == F.col("is_level")))
         .groupBy("unit_id", "slot_id")
         .agg(F.countDistinct("room_id").alias("rooms"))
     )

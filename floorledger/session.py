@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Deletes a statement's shuffle files when it ends.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of a task, where ``spread`` deals them.
+TASK_ROWS = 250_000
 
 
 def build_session(app: str = "floorledger", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -71,3 +73,12 @@ def dealt(df: DataFrame) -> DataFrame:
     files, and then sends all of it through the driver.
     """
     return df.hint("merge")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by key in parts of about TASK_ROWS, so that a task's memory stays as it is when the table grows.
+
+    The planner makes a task of so many compressed bytes, which narrow rows of a few numbers fill by the million. One count of the rows.
+    """
+    parts = -(-df.count() // TASK_ROWS)
+    return df.repartition(max(parts, df.sparkSession.sparkContext.defaultParallelism), *keys)

@@ -229,3 +229,16 @@ def test_rows_of_plans_and_drawings_are_dealt(spark):
     from floorledger.operators.graph import degrees
 
     assert not _sent_whole(degrees(w, v))
+
+
+def test_slots_are_counted_in_parts_of_a_size(spark, monkeypatch):
+    """Twice the rooms are twice the tasks, whatever the planner makes of narrow rows."""
+    from floorledger import session
+    from floorledger.operators import finishes
+
+    monkeypatch.setattr(session, "TASK_ROWS", 50, raising=False)
+    rooms = lambda n: spark.range(n).select(F.floor(F.col("id") / 4).alias("unit_id"), (F.col("id") % 2).alias("room_id"), F.when(F.col("id") % 4 < 3, "bath").otherwise("bed").alias("kind"))
+    kinds = spark.createDataFrame([(1, "bath", False), (1, "bed", False), (2, "bath", False), (3, "bath", True)], "slot_id int, kind string, level boolean")
+    got = finishes.slots_offered(rooms(2000), kinds)
+    assert got.rdd.getNumPartitions() == 40 and finishes.slots_offered(rooms(4000), kinds).rdd.getNumPartitions() == 80
+    assert {tuple(r) for r in got.collect()} == {(u, s, 2) for u in range(500) for s in (1, 2)}
