@@ -242,15 +242,29 @@ def paired(spark, base):
 def greedy(spark, base):
     """Names (suppliers) to rooms (customers) of one nation, nearest balances first: no SQL, brute force in the tests.
 
-    The reach only orders the work: a greedy walk takes all pairs within it before any other, and what is left over goes on with
-    four times the reach, until no nation has a name and a room left.
+    Balances are whole ten-thousandths, the unit of a cost, and are matched on the line. A nation with a finer one goes by reach, as there
+    unequal distances have equal costs.
     """
-    from floorledger.operators.cells import interval_join
-    from floorledger.session import cut_lineage
+    from floorledger.session import cut_lineage, dealt
 
     s = table(spark, base, "supplier").select(F.col("s_nationkey").alias("n"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("v"))
     c = table(spark, base, "customer").select(F.col("c_nationkey").alias("n"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"))
     s, c = (t.where("n is not null and id is not null").where(F.abs("v") < float("inf")) for t in (s, c))
+    ticks = F.round(F.col("v") * 10000)
+    fine = cut_lineage(s.unionByName(c).where((ticks / 10000 != F.col("v")) | (F.abs(ticks) > 2.0**50)).select("n").distinct())
+    a, b = (t.join(dealt(fine), "n", "left_anti").select("n", "id", ticks.cast("long").alias("v")) for t in (s, c))
+    out = matching.match_on_line(a, b, "n").select(F.col("left_id").alias("name_id"), F.col("right_id").alias("room_id"), (F.col("cost") / 10000).alias("cost"))
+    if fine.isEmpty():
+        return out
+    return out.unionByName(_greedy_by_reach(*(t.join(dealt(fine), "n", "left_semi") for t in (s, c))))
+
+
+def _greedy_by_reach(s, c):
+    """The reach only orders the work: a greedy walk takes all pairs within it before any other, and what is left over goes on with
+    four times the reach, until no nation has a name and a room left."""
+    from floorledger.operators.cells import interval_join
+    from floorledger.session import cut_lineage
+
     taken, reach = None, 60.0
     while True:
         a = s.withColumn("u0", F.col("v") - reach - 0.001).withColumn("u1", F.col("v") + reach + 0.001)

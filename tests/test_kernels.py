@@ -242,3 +242,22 @@ def test_slots_are_counted_in_parts_of_a_size(spark, monkeypatch):
     got = finishes.slots_offered(rooms(2000), kinds)
     assert got.rdd.getNumPartitions() == 40 and finishes.slots_offered(rooms(4000), kinds).rdd.getNumPartitions() == 80
     assert {tuple(r) for r in got.collect()} == {(u, s, 2) for u in range(500) for s in (1, 2)}
+
+
+def test_greedy_query_makes_no_pairs_of_copies(spark, tmp_path, monkeypatch):
+    """Copies, ties on both sides and rows of equal distances, as a plain walk takes them, without pairs of all within a reach."""
+    from floorledger.plans import registry
+
+    rnd = random.Random(3)
+    names = [(i, i % 3, float(rnd.choice([0, 2, 4, 5, 7.25, 9, 30]))) for i in range(60)]
+    rooms = [(i, i % 3, float(rnd.choice([0, 1, 3, 4, 6, 8, 12.5, 40]))) for i in range(75)]
+    spark.createDataFrame(names, "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame(rooms, "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    want, used = set(), set()
+    for cost, i, j in sorted((abs(u - v), i, j) for i, n, u in names for j, m, v in rooms if n == m):
+        if not {("s", i), ("c", j)} & used:
+            used |= {("s", i), ("c", j)}
+            want.add((i, j, cost))
+    monkeypatch.setattr(cells, "interval_join", lambda *a: pytest.fail("pairs within a reach"))
+    got = registry.load()["JOIN-12_greedy_match"].run(spark, str(tmp_path))
+    assert {tuple(r) for r in got.select("name_id", "room_id", "cost").collect()} == want and len(want) == 60
