@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from floorledger.operators import geometry as geo
 from floorledger.operators.cells import box_join, smallest_containing
 from floorledger.operators.matching import greedy_match
 from floorledger.operators.ordered import rank_in_group
+from floorledger.session import dealt
 
 SIZE_TOL_M = 2 * 0.0254
 NEAR_M = 1.0
@@ -93,7 +96,7 @@ def open_review(rows: DataFrame, now: DataFrame, sizes: DataFrame, states: DataF
     ``sizes``: unit_id, entity_id, off; ``states``: unit_id, room, state. A room row follows its name's state, an unnamed
     space stays while it is one, a size row while it differs, any other while its entity is unchanged.
     """
-    e = rows.join(now, ["unit_id", "entity_id"], "left").join(sizes, ["unit_id", "entity_id"], "left").join(states, ["unit_id", "room"], "left")
+    e = _beside(_beside(rows, ["unit_id", "room"], states), ["unit_id", "entity_id"], now, sizes)
     same = F.col("sig").isNull() | F.col("sig").eqNullSafe(F.col("sig_now"))
     keep = (
         F.when(F.col("room").isNotNull(), F.coalesce(F.col("state") != "done", F.lit(False)))
@@ -105,6 +108,15 @@ def open_review(rows: DataFrame, now: DataFrame, sizes: DataFrame, states: DataF
     return e.where(keep).select(rows.columns)
 
 
+def _beside(rows: DataFrame, on: list[str], *facts: DataFrame) -> DataFrame:
+    """Left joins whose rows without a key stay where they are: a null meets nothing, and dealt by key all of them would be one task's."""
+    keyless = functools.reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
+    found = rows.where(~keyless)
+    for f in facts:
+        found = found.join(dealt(f), on, "left")
+    return found.unionByName(rows.where(keyless), allowMissingColumns=True)
+
+
 def names_beside(names: DataFrame, rooms: DataFrame, max_m: float = NEAR_M) -> DataFrame:
     """Printed names (unit_id, name_id, x, y, min_sqm) given one-to-one to unnamed rooms (unit_id, room_id, area, poly): nearest first.
 

@@ -261,3 +261,27 @@ def test_greedy_query_makes_no_pairs_of_copies(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(cells, "interval_join", lambda *a: pytest.fail("pairs within a reach"))
     got = registry.load()["JOIN-12_greedy_match"].run(spark, str(tmp_path))
     assert {tuple(r) for r in got.select("name_id", "room_id", "cost").collect()} == want and len(want) == 60
+
+
+def test_review_rows_without_a_room_are_not_one_task(spark):
+    from floorledger.operators import review
+
+    n = F.col("id")
+    rows = spark.range(4000).select(F.lit(0).alias("unit_id"), n.alias("row_id"), F.lit("unclosed").alias("kind"), F.when(n % 3 > 0, n).alias("entity_id"), F.lit("s").alias("sig"), F.when(n % 50 == 0, n.cast("string")).alias("room"))
+    now = spark.range(4000).select(F.lit(0).alias("unit_id"), n.alias("entity_id"), F.when(n % 2 == 0, "s").otherwise("t").alias("sig_now"), F.lit(False).alias("stands_alone"), F.lit(False).alias("unnamed"))
+    sizes = now.select("unit_id", "entity_id", F.lit(True).alias("off"))
+    states = spark.range(4000).select(F.lit(0).alias("unit_id"), n.cast("string").alias("room"), F.when(n % 100 == 0, "done").otherwise("open").alias("state"))
+    names = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    was = [spark.conf.get(c) for c in names]
+    for c, v in zip(names, ("false", "-1")):
+        spark.conf.set(c, v)
+    try:
+        got = review.open_review(rows, now, sizes, states)
+        sizes_of_tasks = [r["n"] for r in got.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        ids = {r.row_id for r in got.collect()}
+    finally:
+        for c, v in zip(names, was):
+            spark.conf.set(c, v)
+    # a room row by its state, any other while its entity is unchanged; one without an entity has no signature now
+    assert ids == {i for i in range(4000) if (i % 100 != 0 if i % 50 == 0 else i % 3 > 0 and i % 2 == 0)}
+    assert max(sizes_of_tasks) < 0.4 * sum(sizes_of_tasks)
