@@ -13,6 +13,7 @@ from floorledger.operators import cells, quality
 from floorledger.operators import geometry as geo
 from floorledger.operators import spatial as sp
 from floorledger.plans.registry import query
+from floorledger.session import spread
 from floorledger.sources.tables import table
 
 SQL_POLY = """pg as (select p_partkey as id, p_partkey % 40 as x0, p_partkey // 40 as y0, 1 + p_size % 5 as w, 1 + p_size % 3 as h, p_type = 'PROMO' as cut, p_size, p_retailprice from part),
@@ -42,7 +43,8 @@ def polygons(spark, base):
 
 
 def ring_rows(p):
-    return p.select("id", F.posexplode("poly")).select("id", "pos", "col.x", "col.y")
+    """Corners of outlines dealt by id: a small file is one task's, and its corners and their sums with it."""
+    return spread(p.select("id", "poly"), "id").select("id", F.posexplode("poly")).select("id", "pos", "col.x", "col.y")
 
 
 def segments(spark, base):

@@ -285,3 +285,16 @@ def test_review_rows_without_a_room_are_not_one_task(spark):
     # a room row by its state, any other while its entity is unchanged; one without an entity has no signature now
     assert ids == {i for i in range(4000) if (i % 100 != 0 if i % 50 == 0 else i % 3 > 0 and i % 2 == 0)}
     assert max(sizes_of_tasks) < 0.4 * sum(sizes_of_tasks)
+
+
+def test_corners_of_outlines_are_dealt_in_parts_of_a_size(spark, monkeypatch):
+    """However few tasks the outlines come in."""
+    from floorledger import session
+    from floorledger.plans import spatial
+
+    monkeypatch.setattr(session, "TASK_ROWS", 50, raising=False)
+    at = lambda a, b: F.struct((F.col("id") + a).alias("x"), F.lit(b).alias("y"))
+    p = spark.range(1000).coalesce(1).select("id", F.array(at(0, 0), at(2, 0), at(2, 1)).alias("poly"))
+    rows = spatial.ring_rows(p)
+    assert rows.rdd.getNumPartitions() == 20
+    assert sorted((r.id, r.pos, r.x, r.y) for r in rows.collect()) == sorted((i, k, i + x, y) for i in range(1000) for k, (x, y) in enumerate([(0, 0), (2, 0), (2, 1)]))
