@@ -22,19 +22,52 @@ def explode_cells(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column,
     return d.withColumn("_cy", F.explode(F.sequence(cell(y0, high or size), cell(y1, high or size))))
 
 
+#: Right rows a key may have to be met by key alone: a left row looks at no more. Keys with more go by cells.
+FEW = 32
+
+
+def _crowded(right: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """The keys with more than FEW rows, or none. One count per key."""
+    many = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FEW).select(*keys)
+    many = cut_lineage(many)
+    return None if many.isEmpty() else many
+
+
 def box_join(left: DataFrame, right: DataFrame, keys: Sequence[str], size: float, high: float | None = None) -> DataFrame:
     """Pairs whose boxes overlap or touch, each once, as structs ``l`` and ``r``; both sides carry x0, y0, x1, y1.
 
-    A pair meets in every cell both cover; it is kept in the one cell that holds the corner of the common box, so no
-    distinct is needed. A crowded unit is spread over its cells; a crowded cell is left to the planner's skew join.
+    Rows of a key with few right rows meet by the key: most units are small, and their rows are dealt once, not once a cell.
+    For the other keys a pair meets in every cell both cover; it is kept in the one cell that holds the corner of the common
+    box, so no distinct is needed. A crowded unit is spread over its cells; a crowded cell is left to the planner's skew join.
     """
-    def side(df, name):
-        c = explode_cells(df, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size, high)
-        return c.select(*[F.col(k).alias(f"{name}_{k}") for k in keys], F.col("_cx").alias(f"{name}_cx"), F.col("_cy").alias(f"{name}_cy"), F.struct(*df.columns).alias(name))
+    keys = list(keys)
+    many = _crowded(right, keys) if keys else None
+    if keys and many is None:
+        return _met(left, right, keys)
+    if not keys:
+        return _met_in_cells(left, right, keys, size, high)
+    few = _met(left, right.join(many, keys, "left_anti"), keys)
+    return few.unionByName(_met_in_cells(left.join(many, keys, "left_semi"), right.join(many, keys, "left_semi"), keys, size, high))
 
-    a, b = side(left, "l"), side(right, "r")
-    on = [F.col("l_cx") == F.col("r_cx"), F.col("l_cy") == F.col("r_cy"), *[F.col(f"l_{k}") == F.col(f"r_{k}") for k in keys]]
-    meet = (F.col("l.x0") <= F.col("r.x1")) & (F.col("r.x0") <= F.col("l.x1")) & (F.col("l.y0") <= F.col("r.y1")) & (F.col("r.y0") <= F.col("l.y1"))
+
+def _side(df: DataFrame, keys: Sequence[str], name: str, *more: str) -> DataFrame:
+    return df.select(*[F.col(k).alias(f"{name}_{k}") for k in keys], *[F.col(f"_{c}").alias(f"{name}_{c}") for c in more], F.struct(*[c for c in df.columns if c not in [f"_{m}" for m in more]]).alias(name))
+
+
+def _meet(keys: Sequence[str]) -> tuple[list[Column], Column]:
+    on = [F.col(f"l_{k}") == F.col(f"r_{k}") for k in keys]
+    return on, (F.col("l.x0") <= F.col("r.x1")) & (F.col("r.x0") <= F.col("l.x1")) & (F.col("l.y0") <= F.col("r.y1")) & (F.col("r.y0") <= F.col("l.y1"))
+
+
+def _met(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    on, meet = _meet(keys)
+    return _side(left, keys, "l").join(dealt(_side(right, keys, "r")), on).where(meet).select("l", "r")
+
+
+def _met_in_cells(left: DataFrame, right: DataFrame, keys: Sequence[str], size: float, high: float | None) -> DataFrame:
+    a, b = (_side(explode_cells(d, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size, high), keys, n, "cx", "cy") for d, n in ((left, "l"), (right, "r")))
+    on, meet = _meet(keys)
+    on = [F.col("l_cx") == F.col("r_cx"), F.col("l_cy") == F.col("r_cy"), *on]
     first = (F.col("l_cx") == cell(F.greatest("l.x0", "r.x0"), size)) & (F.col("l_cy") == cell(F.greatest("l.y0", "r.y0"), high or size))
     return a.join(dealt(b), on).where(meet & first).select("l", "r")
 

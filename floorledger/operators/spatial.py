@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from floorledger.operators import geometry as geo
 from floorledger.operators.cells import box_join
+from floorledger.session import dealt
 
 
 def _box_of(df: DataFrame, poly: str = "poly") -> DataFrame:
@@ -77,25 +78,77 @@ def overlapping_quads(pieces: DataFrame, ident: str, keys: Sequence[str], size:
     return j.select(*[F.col(f"l.{k}").alias(k) for k in keys], F.col(f"l.{ident}").alias("id1"), F.col(f"r.{ident}").alias("id2"))
 
 
+#: Sides of an outline that is read as its box; SAT's and the outline's tolerances (1e-9) are far below ``CLEAR`` there.
+SIDE, CLEAR = (1e-2, 1e9), 1e-6
+
+
+def _boxed(df: DataFrame, poly: str = "poly") -> DataFrame:
+    """Box x0, y0, x1, y1 of each outline, and ``poly`` only where it is more than that box: most pieces and rooms stand square."""
+    p = lambda i, c: F.get(poly, F.lit(i))[c]
+    turn = lambda a, b: (p(0, a) == p(1, a)) & (p(1, b) == p(2, b)) & (p(2, a) == p(3, a)) & (p(3, b) == p(0, b))
+    side = lambda c: F.abs(p(2, c) - p(0, c)).between(*SIDE)
+    square = F.coalesce((F.size(poly) == 4) & (turn("x", "y") | turn("y", "x")) & side("x") & side("y"), F.lit(False))
+    low, high = (lambda c: F.array_min(F.transform(poly, lambda q: q[c]))), (lambda c: F.array_max(F.transform(poly, lambda q: q[c])))
+    box = {f"{c}0": F.when(square, F.least(p(0, c), p(2, c))).otherwise(low(c)) for c in "xy"} | {f"{c}1": F.when(square, F.greatest(p(0, c), p(2, c))).otherwise(high(c)) for c in "xy"}
+    return df.withColumns(box | {"_shape": F.when(~square, F.col(poly))}).drop(poly)
+
+
+def _shape_of(at: str = "") -> Column:
+    """The outline again, its box's corners where it is its box."""
+    c = lambda a, b: F.struct(F.col(f"{at}{a}").alias("x"), F.col(f"{at}{b}").alias("y"))
+    return F.coalesce(f"{at}_shape", F.array(c("x0", "y0"), c("x1", "y0"), c("x1", "y1"), c("x0", "y1")))
+
+
+def _boxes_overlap() -> Column:
+    """``quads_overlap`` of l and r; two boxes that are clearly apart or over each other need no separating axes."""
+    deep = F.least(F.least("l.x1", "r.x1") - F.greatest("l.x0", "r.x0"), F.least("l.y1", "r.y1") - F.greatest("l.y0", "r.y0"))
+    plain = F.col("l._shape").isNull() & F.col("r._shape").isNull()
+    return F.when(plain & (deep <= 0), F.lit(False)).when(plain & (deep > CLEAR), F.lit(True)).otherwise(geo.quads_overlap(_shape_of("l."), _shape_of("r.")))
+
+
+def _leaving(b: DataFrame, rooms: DataFrame) -> DataFrame:
+    """Pieces (boxed) with a corner outside their room's outline."""
+    frame = _boxed(rooms.select("room_id", "room"), "room")
+    frame = frame.select("room_id", *[F.col(c).alias(f"r{c}") for c in ("x0", "y0", "x1", "y1", "_shape")])
+    within = (F.col("x0") >= F.col("rx0")) & (F.col("y0") >= F.col("ry0")) & (F.col("x1") <= F.col("rx1")) & (F.col("y1") <= F.col("ry1"))
+    beyond = (F.col("x0") < F.col("rx0") - CLEAR) | (F.col("y0") < F.col("ry0") - CLEAR) | (F.col("x1") > F.col("rx1") + CLEAR) | (F.col("y1") > F.col("ry1") + CLEAR)
+    corner_out = F.exists(_shape_of(), lambda p: ~geo.inside(_shape_of("r"), p["x"], p["y"]) & ~on_outline(_shape_of("r"), p["x"], p["y"]))
+    leaves = F.when(F.col("r_shape").isNull() & within, F.lit(False)).when(F.col("r_shape").isNull() & beyond, F.lit(True)).otherwise(corner_out)
+    return b.join(dealt(frame), "room_id").where(leaves).select("room_id", "piece_id").withColumn("_rank", F.lit(1))
+
+
+def _heights_meet() -> Column:
+    return (F.col("l.lo") < F.col("r.hi") - 1e-9) & (F.col("r.lo") < F.col("l.hi") - 1e-9)
+
+
+def _stands_on() -> Column:
+    """The centre of l lies in or on the bigger r."""
+    inbox = F.col("l.px").between(F.col("r.x0"), F.col("r.x1")) & F.col("l.py").between(F.col("r.y0"), F.col("r.y1"))
+    on = F.when(F.col("r._shape").isNull(), F.lit(True)).otherwise(geo.inside(_shape_of("r."), F.col("l.px"), F.col("l.py")) | on_outline(_shape_of("r."), F.col("l.px"), F.col("l.py")))
+    return (F.col("l.foot") < F.col("r.foot")) & inbox & on
+
+
+def _why() -> Column:
+    return F.when(F.col("_rank") == 1, "outside the room").when(F.col("_rank") == 2, "over a window or door").when(F.col("_rank") == 3, "overlaps another piece")
+
+
 def refused(pieces: DataFrame, rooms: DataFrame, blocked: DataFrame | None, size: float = 4.0) -> DataFrame:
     """Why a placed piece is refused: outside its room, over an opening, overlapping another; null = fine.
 
     ``pieces``: room_id, piece_id, poly, y0, y1 (its height range); ``blocked``: room_id, poly, y0, y1 in front of openings.
     """
-    r = pieces.join(rooms, "room_id")
-    out = r.where(F.exists("poly", lambda p: ~geo.inside(F.col("room"), p["x"], p["y"]) & ~on_outline(F.col("room"), p["x"], p["y"]))).select("room_id", "piece_id").withColumn("_rank", F.lit(1))
-    b = _box_of(pieces.select("room_id", "piece_id", "poly", F.col("y0").alias("lo"), F.col("y1").alias("hi")))
-    heights = (F.col("l.lo") < F.col("r.hi") - 1e-9) & (F.col("r.lo") < F.col("l.hi") - 1e-9)
-    pair = box_join(b, b, ["room_id"], size).where((F.col("l.piece_id") < F.col("r.piece_id")) & heights & geo.quads_overlap(F.col("l.poly"), F.col("r.poly")))
+    b = _boxed(pieces.select("room_id", "piece_id", "poly", F.col("y0").alias("lo"), F.col("y1").alias("hi")))
+    out = _leaving(b, rooms)
+    heights = _heights_meet()
+    pair = box_join(b, b, ["room_id"], size).where((F.col("l.piece_id") < F.col("r.piece_id")) & heights & _boxes_overlap())
     clash = pair.select(F.col("l.room_id").alias("room_id"), F.explode(F.array("l.piece_id", "r.piece_id")).alias("piece_id")).distinct().withColumn("_rank", F.lit(3))
     reasons = out.unionByName(clash)
     if blocked is not None:
-        z = _box_of(blocked.select("room_id", "poly", F.col("y0").alias("lo"), F.col("y1").alias("hi")))
-        over = box_join(b, z, ["room_id"], size).where(heights & geo.quads_overlap(F.col("l.poly"), F.col("r.poly")))
+        z = _boxed(blocked.select("room_id", "poly", F.col("y0").alias("lo"), F.col("y1").alias("hi")))
+        over = box_join(b, z, ["room_id"], size).where(heights & _boxes_overlap())
         reasons = reasons.unionByName(over.select(F.col("l.room_id").alias("room_id"), F.col("l.piece_id").alias("piece_id")).distinct().withColumn("_rank", F.lit(2)))
     first = reasons.groupBy("room_id", "piece_id").agg(F.min("_rank").alias("_rank"))
-    words = F.when(F.col("_rank") == 1, "outside the room").when(F.col("_rank") == 2, "over a window or door").when(F.col("_rank") == 3, "overlaps another piece")
-    return pieces.select("room_id", "piece_id").join(first, ["room_id", "piece_id"], "left").select("room_id", "piece_id", words.alias("why"))
+    return pieces.select("room_id", "piece_id").join(first, ["room_id", "piece_id"], "left").select("room_id", "piece_id", _why().alias("why"))
 
 
 def on_outline(poly: Column, x: Column, y: Column, tol: float = 1e-9) -> Column:
@@ -107,14 +160,29 @@ def support(pieces: DataFrame, size: float = 4.0) -> DataFrame:
 
     ``pieces``: room_id, piece_id, x, y, w, d, h, poly.
     """
-    b = _box_of(pieces.select("room_id", "piece_id", "poly", F.col("x").alias("px"), F.col("y").alias("py"), (F.col("w") * F.col("d")).alias("foot"), "h"))
+    b = _boxed(pieces.select("room_id", "piece_id", "poly", F.col("x").alias("px"), F.col("y").alias("py"), (F.col("w") * F.col("d")).alias("foot"), "h"))
     centre = b.select("room_id", "piece_id", "px", "py", "foot", F.col("px").alias("x0"), F.col("py").alias("y0"), F.col("px").alias("x1"), F.col("py").alias("y1"))
-    on = geo.inside(F.col("r.poly"), F.col("l.px"), F.col("l.py")) | on_outline(F.col("r.poly"), F.col("l.px"), F.col("l.py"))
-    j = box_join(centre, b, ["room_id"], size).where((F.col("l.piece_id") != F.col("r.piece_id")) & (F.col("l.foot") < F.col("r.foot")) & on)
+    j = box_join(centre, b, ["room_id"], size).where((F.col("l.piece_id") != F.col("r.piece_id")) & _stands_on())
     top = j.groupBy(F.col("l.room_id").alias("room_id"), F.col("l.piece_id").alias("piece_id")).agg(F.max("r.h").alias("bottom"))
     return pieces.select("room_id", "piece_id").join(top, ["room_id", "piece_id"], "left").withColumn("bottom", F.coalesce("bottom", F.lit(0.0)))
 
 
+def placed(pieces: DataFrame, rooms: DataFrame, size: float = 4.0) -> DataFrame:
+    """``refused`` (without openings) and ``support`` of each piece over one join of the pieces: room_id, piece_id, why, bottom, copies.
+
+    ``pieces``: room_id, piece_id, x, y (within poly), w, d, h, poly, y0, y1. One row an id; ``copies`` says how many rows had it.
+    """
+    b = _boxed(pieces.select("room_id", "piece_id", "poly", F.col("y0").alias("lo"), F.col("y1").alias("hi"), F.col("x").alias("px"), F.col("y").alias("py"), (F.col("w") * F.col("d")).alias("foot"), "h"))
+    j = box_join(b, b, ["room_id"], size).where(F.col("l.piece_id") != F.col("r.piece_id"))
+    rank, bottom = F.when(_heights_meet() & _boxes_overlap(), F.lit(3)), F.when(_stands_on(), F.col("r.h"))
+    hits = j.select(F.col("l.room_id").alias("room_id"), F.col("l.piece_id").alias("piece_id"), rank.alias("_rank"), bottom.alias("bottom")).where("_rank is not null or bottom is not null")
+    none = {"bottom": F.lit(None).cast(pieces.schema["h"].dataType)}
+    hits = hits.unionByName(_leaving(b, rooms).withColumns(none)).withColumn("copies", F.lit(0))
+    hits = hits.unionByName(pieces.select("room_id", "piece_id").withColumns({"_rank": F.lit(None).cast("int")} | none | {"copies": F.lit(1)}))
+    got = hits.groupBy("room_id", "piece_id").agg(F.min("_rank").alias("_rank"), F.max("bottom").alias("bottom"), F.sum("copies").alias("copies"))
+    return got.select("room_id", "piece_id", _why().alias("why"), F.coalesce("bottom", F.lit(0.0)).alias("bottom"), "copies")
+
+
 def walls_in_box(walls: DataFrame, boxes: DataFrame) -> DataFrame:
     """Walls (with ends) that touch their unit's box (unit_id, x0, y0, x1, y1)."""
     j = walls.join(boxes, "unit_id")

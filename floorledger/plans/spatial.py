@@ -433,6 +433,6 @@ def pieces_clash(spark, base):
     ).withColumn("poly", plan.footprint(F.col("x"), F.col("y"), F.lit(0.0), F.col("w"), F.col("d"))).withColumn("y0", F.lit(0.0)).withColumn("y1", F.lit(10.0))
     c = lambda a, b: F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"))
     rooms = f.select("room_id").distinct().withColumn("room", F.array(c(0.0, 0.0), c(5.0, 0.0), c(5.0, 5.0), c(0.0, 5.0)))
-    why = sp.refused(f, rooms, None, size=2.0)
-    bottom = sp.support(f, size=2.0)
-    return why.join(bottom, ["room_id", "piece_id"]).select("room_id", "piece_id", "why", R6("bottom").alias("bottom"))
+    # an id of n rows meets itself n times n in the SQL's join
+    p = sp.placed(f, rooms, size=2.0).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies") * F.col("copies"))))
+    return p.select("room_id", "piece_id", "why", R6("bottom").alias("bottom"))

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from floorledger.operators import cells, geometry, graph, matching, ordered
 from floorledger.operators import evaluate as ev
+from floorledger.operators import spatial as sp
 from floorledger.operators import windows as wn
 from floorledger.session import cut_lineage
 
@@ -298,3 +300,43 @@ def test_corners_of_outlines_are_dealt_in_parts_of_a_size(spark, monkeypatch):
     rows = spatial.ring_rows(p)
     assert rows.rdd.getNumPartitions() == 20
     assert sorted((r.id, r.pos, r.x, r.y) for r in rows.collect()) == sorted((i, k, i + x, y) for i in range(1000) for k, (x, y) in enumerate([(0, 0), (2, 0), (2, 1)]))
+
+
+def test_box_join_deals_small_units_once(spark, monkeypatch):
+    """Rows of small units are not exploded into cells, those of crowded ones are; the pairs are the same."""
+    rnd = random.Random(5)
+    rows = [(u, i, *[round(rnd.random() * 9, 1) for _ in range(4)]) for i, u in enumerate([0] * 40 + [k for k in range(1, 9) for _ in range(4)])]
+    df = spark.createDataFrame([(u, i, min(a, b), min(c, d), max(a, b), max(c, d)) for u, i, a, b, c, d in rows], "u int, i int, x0 double, y0 double, x1 double, y1 double")
+    meet = lambda p, q: p[0] == q[0] and p[2] <= q[4] and q[2] <= p[4] and p[3] <= q[5] and q[3] <= p[5]
+    got = df.collect()
+    want = sorted((p[1], q[1]) for p in got for q in got if meet(p, q))
+    for few, cells_too in ((3, True), (6, True), (100, False)):
+        monkeypatch.setattr(cells, "FEW", few)
+        j = cells.box_join(df, df, ["u"], 2.0)
+        assert sorted((r[0], r[1]) for r in j.select("l.i", "r.i").collect()) == want
+        assert ("Generate" in j._jdf.queryExecution().optimizedPlan().toString()) == cells_too
+
+
+def test_square_pieces_need_no_polygon_tests(spark):
+    """Square pieces and rooms are read as their boxes, turned ones by their outlines: one result by both ways."""
+    rnd = random.Random(6)
+    at = lambda x, y, t, w, d: [(x + a * w / 2 * math.cos(t) - b * d / 2 * math.sin(t), y + a * w / 2 * math.sin(t) + b * d / 2 * math.cos(t)) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
+    rows = []
+    for i in range(300):
+        x, y, w, d = rnd.randint(0, 10) / 2, rnd.randint(0, 10) / 2, rnd.choice([0.5, 1.0, 2.0]), rnd.choice([0.5, 1.0])
+        rows.append((i % 12, i, x, y, w, d, rnd.randint(1, 9) / 2, at(x, y, 0.0 if i % 3 else rnd.choice([0.4, math.pi / 2]), w, d), 0.0, 1.0 if i % 5 else 0.5))
+    pieces = spark.createDataFrame(rows, "room_id int, piece_id int, x double, y double, w double, d double, h double, poly array<struct<x:double,y:double>>, y0 double, y1 double")
+    square, slanted = [(0.0, 0.0), (5.0, 0.0), (5.0, 5.0), (0.0, 5.0)], [(0.0, 0.0), (5.0, 0.5), (4.5, 5.0), (0.0, 5.0)]
+    rooms = spark.createDataFrame([(r, square if r % 2 else slanted) for r in range(12)], "room_id int, room array<struct<x:double,y:double>>")
+    got = {r["piece_id"]: (r["why"], r["bottom"]) for r in sp.placed(pieces, rooms).collect()}
+    why = {r["piece_id"]: r["why"] for r in sp.refused(pieces, rooms, None).collect()}
+    bottom = {r["piece_id"]: r["bottom"] for r in sp.support(pieces).collect()}
+    assert got == {i: (why[i], bottom[i]) for i in why} and len(got) == 300
+    a, b = (pieces.select("room_id", F.col("piece_id").alias(f"{n}i"), F.col("poly").alias(f"{n}p"), F.col("y0").alias(f"{n}0"), F.col("y1").alias(f"{n}1"), *[F.col(c).alias(f"{n}{c}") for c in "xywdh"]) for n in "ab")
+    j = a.join(b, "room_id").where("ai <> bi")
+    clash = {r[0] for r in j.where(geometry.quads_overlap(F.col("ap"), F.col("bp"))).select("ai").collect()}
+    out = {r[0] for r in pieces.join(rooms, "room_id").where(F.exists("poly", lambda p: ~geometry.inside(F.col("room"), p["x"], p["y"]) & ~sp.on_outline(F.col("room"), p["x"], p["y"]))).select("piece_id").collect()}
+    assert why == {i: "outside the room" if i in out else "overlaps another piece" if i in clash else None for i in why}
+    on = geometry.inside(F.col("bp"), F.col("ax"), F.col("ay")) | sp.on_outline(F.col("bp"), F.col("ax"), F.col("ay"))
+    stands = dict(map(tuple, j.where((F.col("aw") * F.col("ad") < F.col("bw") * F.col("bd")) & on).groupBy("ai").agg(F.max("bh")).collect()))
+    assert bottom == {i: stands.get(i, 0.0) for i in bottom} and out and clash and stands
