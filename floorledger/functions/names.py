@@ -111,11 +111,14 @@ def snap_words(raw: Column) -> Column:
     def snap(tok: Column) -> Column:
         def read(w: Column) -> Column:
             limit = F.floor(F.length(w) / 3).cast("int")
-            dist = F.transform(_words(LEXICON), lambda lx: F.struct(F.levenshtein(w, lx).alias("d"), lx.alias("l")))
-            best = F.array_min(F.transform(dist, lambda h: h["d"]))
-            at = F.filter(dist, lambda h: h["d"] == best)
-            one = F.when((best <= limit) & (F.size(at) == 1), F.get(at, F.lit(0))["l"])
-            return F.when((F.length(w) < 4) | w.isin(*LEXICON), tok).otherwise(F.coalesce(one, tok))
+            # words whose length alone is too far off are no candidates; of the rest each distance is taken once
+            near = F.filter(_words(LEXICON), lambda lx: F.abs(F.length(lx) - F.length(w)) <= limit)
+            dist = F.transform(near, lambda lx: F.struct(F.levenshtein(w, lx).alias("d"), lx.alias("l")))
+
+            def closest(ds: Column) -> Column:
+                return let(F.array_min(F.transform(ds, lambda h: h["d"])), lambda best: let(F.filter(ds, lambda h: h["d"] == best), lambda at: F.when((best <= limit) & (F.size(at) == 1), F.get(at, F.lit(0))["l"])))
+
+            return F.when((F.length(w) < 4) | w.isin(*LEXICON), tok).otherwise(F.coalesce(let(dist, closest), tok))
 
         return let(_letters(tok), read)
 

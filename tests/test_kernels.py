@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from floorledger.functions import names
 from floorledger.operators import cells, geometry, graph, matching, ordered
 from floorledger.operators import evaluate as ev
 from floorledger.operators import spatial as sp
@@ -340,3 +341,10 @@ def test_square_pieces_need_no_polygon_tests(spark):
     on = geometry.inside(F.col("bp"), F.col("ax"), F.col("ay")) | sp.on_outline(F.col("bp"), F.col("ax"), F.col("ay"))
     stands = dict(map(tuple, j.where((F.col("aw") * F.col("ad") < F.col("bw") * F.col("bd")) & on).groupBy("ai").agg(F.max("bh")).collect()))
     assert bottom == {i: stands.get(i, 0.0) for i in bottom} and out and clash and stands
+
+
+def test_snap_words_takes_each_distance_once(spark):
+    """The distances to the lexicon stand once in the expression, not once more for each word they are compared with."""
+    df = spark.createDataFrame([("KITCHFN 12",), ("BALC0NY",), ("TOILEX VERANDX",), ("XYZWQ",), (None,)], "raw string").select(names.snap_words(F.col("raw")).alias("n"))
+    assert df._jdf.queryExecution().analyzed().toString().count("levenshtein(") == 1
+    assert [r[0] for r in df.collect()] == ["KITCHEN 12", "BALCONY", "TOILEX VERANDX", "XYZWQ", None]
