@@ -383,3 +383,35 @@ def test_raster_by_rows_of_crossings(spark):
     pairs = ev._pairs(df(T), df(D), step)
     assert {(r.sheet, r.truth_id, r.draft_id): r.n for r in pairs.collect()} == n
     assert ev._runs(df(T).withColumn("o", F.lit(0)), step).count() < 0.2 * sum(n.values())
+
+
+def test_wall_samples_go_as_parts_of_lines(spark):
+    """Sample points are numbers of a part's row, not rows; scores equal those of points looked at one by one."""
+    rng = random.Random(5)
+    traced = [(i % 2, f"t{i}", *(rng.uniform(0, 6) for _ in range(4)), rng.choice([0.1, 0.2])) for i in range(8)] + [(0, "long", 0.0, 0.0, 31.0, 0.0, 0.1), (1, "none", 50.0, 50.0, 51.0, 50.0, 0.1)]
+    truth = [(s, f"{w}x{k}", ax + 0.05 * k, ay, bx, by + 0.11 * k, 0.15 + 0.01 * k) for s, w, ax, ay, bx, by, _ in traced[:9] for k in range(3 if w in ("t0", "long") else 1)]
+    cols = "sheet int, line string, ax double, ay double, bx double, by double, thickness double"
+    limits = F.struct(F.lit(0.5).alias("x0"), F.lit(29.0).alias("x1"), F.lit(-1.0).alias("y0"), F.lit(5.5).alias("y1"))
+    parts = ev._parts(spark.createDataFrame(traced, cols), 0.05, limits)
+    assert parts.where("line = 'long'").count() == 5 and parts.where("line = 'none'").count() == 0
+    got = {(r.sheet, r.line): r for r in ev._line_scores(parts, spark.createDataFrame(truth, cols).drop("line"), 0.15, 0.3, math.cos(math.radians(10))).collect()}
+
+    def dist(x, y, ax, ay, bx, by):
+        dx, dy = bx - ax, by - ay
+        t = max(0.0, min(1.0, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy)))
+        return math.sqrt((x - ax - t * dx) ** 2 + (y - ay - t * dy) ** 2)
+
+    seen = 0
+    for s, w, ax, ay, bx, by, th in traced:
+        size = math.hypot(bx - ax, by - ay)
+        n = max(1, math.floor(size / 0.05 + 0.5))
+        like = [o for o in truth if o[0] == s and abs((bx - ax) * (o[4] - o[2]) + (by - ay) * (o[5] - o[3])) >= math.cos(math.radians(10)) * size * math.hypot(o[4] - o[2], o[5] - o[3])]
+        pts = [(ax + (i + 0.5) / n * (bx - ax), ay + (i + 0.5) / n * (by - ay)) for i in range(n)]
+        near = [min(((dist(x, y, *o[2:6]), o[6]) for o in like), default=(9, 0)) for x, y in pts if 0.5 <= x <= 29 and -1 <= y <= 5.5]
+        hits = [t - th for d, t in near if d <= 0.15]
+        if near:
+            seen += 1
+            r = got.pop((s, w))
+            assert (r.n, r.h, r.loose, r.k) == (len(near), len(hits), sum(d <= 0.3 for d, _ in near), len(hits))
+            assert math.isclose(r.off, sum(hits), abs_tol=1e-9) and math.isclose(r.abs, sum(map(abs, hits)), abs_tol=1e-9)
+    assert seen > 5 and not got
