@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from floorledger.operators.cells import box_join
+from floorledger.operators.cells import box_join, box_self_join
 from floorledger.operators.graph import components
 from floorledger.operators.ordered import Ordered, Previous
 from floorledger.session import cut_lineage, dealt
@@ -51,7 +51,7 @@ def _rewired(walls: DataFrame, to: DataFrame) -> DataFrame:
 def _close(points: DataFrame, size: float) -> DataFrame:
     """Pairs (unit_id, src, dst) of points within MERGE_M."""
     b = points.withColumns({"x0": F.col("x") - MERGE_M / 2, "x1": F.col("x") + MERGE_M / 2, "y0": F.col("y") - MERGE_M / 2, "y1": F.col("y") + MERGE_M / 2})
-    j = box_join(b, b, U, size).where((F.col("l.vertex_id") < F.col("r.vertex_id")) & (F.hypot(F.col("l.x") - F.col("r.x"), F.col("l.y") - F.col("r.y")) <= MERGE_M))
+    j = box_self_join(b, U, size).where((F.col("l.vertex_id") < F.col("r.vertex_id")) & (F.hypot(F.col("l.x") - F.col("r.x"), F.col("l.y") - F.col("r.y")) <= MERGE_M))
     return j.select(F.col("l.unit_id").alias("unit_id"), F.col("l.vertex_id").alias("src"), F.col("r.vertex_id").alias("dst"))
 
 
@@ -154,7 +154,7 @@ def _ended(vertices: DataFrame, walls: DataFrame, now: DataFrame) -> tuple[DataF
 def crossings(vertices: DataFrame, walls: DataFrame, size: float = 4.0) -> DataFrame:
     """Crossing points of walls that share no corner, more than MERGE_M from all four ends: unit_id, v, x, y and both walls with s."""
     b = _box(framed(vertices, walls), 0.0)
-    j = box_join(b, b, U, size)
+    j = box_self_join(b, U, size)
     P, Q = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
     j = j.where((P("wall_id") < Q("wall_id")) & ~P("a").isin(Q("a"), Q("b")) & ~P("b").isin(Q("a"), Q("b")))
     den = P("ux") * Q("uy") - P("uy") * Q("ux")

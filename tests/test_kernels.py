@@ -415,3 +415,45 @@ def test_wall_samples_go_as_parts_of_lines(spark):
             assert (r.n, r.h, r.loose, r.k) == (len(near), len(hits), sum(d <= 0.3 for d, _ in near), len(hits))
             assert math.isclose(r.off, sum(hits), abs_tol=1e-9) and math.isclose(r.abs, sum(map(abs, hits)), abs_tol=1e-9)
     assert seen > 5 and not got
+
+
+def test_a_table_meets_itself_dealt_once(spark, monkeypatch):
+    rnd = random.Random(6)
+    rows = [(u, i, *[round(rnd.random() * 9, 1) for _ in range(4)]) for i, u in enumerate([0] * 40 + [k for k in range(1, 9) for _ in range(4)] + [None] * 5)]
+    df = spark.createDataFrame([(u, i, min(a, b), min(c, d), max(a, b), max(c, d)) for u, i, a, b, c, d in rows], "u int, i int, x0 double, y0 double, x1 double, y1 double")
+    pairs = lambda j: sorted((r[0], r[1]) for r in j.select("l.i", "r.i").collect())
+    want = pairs(cells.box_join(df, df, ["u"], 2.0))
+    for few in (3, 6, 100):
+        monkeypatch.setattr(cells, "FEW", few)
+        j = cells.box_self_join(df, ["u"], 2.0)
+        assert pairs(j) == want and len(want) > 40
+    assert j._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_lines_along_a_frame_are_in_no_other(spark):
+    from floorledger.operators import drawing
+
+    lines = spark.range(60).select(F.lit(1).alias("drawing"), F.col("id").alias("seg_id"), F.lit(0.0).alias("ax"), F.lit(0.0).alias("ay"), F.cos(F.radians(F.col("id") * 3)).alias("bx"), F.sin(F.radians(F.col("id") * 3)).alias("by"))
+    f = drawing.in_frames(drawing.folded(lines), ["drawing"], 0.6).collect()
+    assert len(f) == 60 and all(r.home and r.frame == r.seg_id for r in f)
+
+
+def test_lean_keeps_the_cuts_that_the_result_reads(spark):
+    from pathlib import Path
+
+    from floorledger.session import ensure_checkpoint_dir, lean
+
+    spark.range(1).count()
+    root = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    here = lambda: {p.name for p in root.glob("cut-*")}
+    outer = cut_lineage(spark.range(5))
+    was = here()
+
+    def make():
+        a = cut_lineage(spark.range(100))
+        b = cut_lineage(a.where("id < 50"))
+        return {"n": cut_lineage(b.groupBy().count()), "b": b.where("id > 40")}
+
+    got = lean(make)
+    assert len(here() - was) == 2 and not was - here()
+    assert got["n"].first()[0] == 50 and got["b"].count() == 9 and outer.count() == 5
