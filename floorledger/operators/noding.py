@@ -64,32 +64,40 @@ def _survivors(pairs: DataFrame) -> DataFrame:
 def merged_corners(vertices: DataFrame, walls: DataFrame, size: float = 1.0) -> tuple[DataFrame, DataFrame, int]:
     """Corners within MERGE_M become the one of smallest id; pairs that a wall joins stay two. Also how many went."""
     joined = walls.select("unit_id", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
-    e = cut_lineage(_close(vertices, size).join(dealt(joined), ["unit_id", "src", "dst"], "left_anti"))
+    e = cut_lineage(_close(vertices, size))
+    if not e.isEmpty():  # walls are dealt only for pairs
+        e = cut_lineage(e.join(dealt(joined), ["unit_id", "src", "dst"], "left_anti"))
     if e.isEmpty():
         return vertices, walls, 0
     to = _survivors(e)
     return cut_lineage(vertices.join(dealt(to), ["unit_id", "vertex_id"], "left_anti")), cut_lineage(_rewired(walls, to)), to.count()
 
 
-def _endings(vertices: DataFrame, walls: DataFrame, size: float) -> DataFrame:
-    """For each corner that has ended in another wall's body: that wall (the nearest) and what is to be done.
+def _endings(vertices: DataFrame, w: DataFrame, size: float) -> DataFrame | None:
+    """For each corner that has ended in another wall's body: that wall (the nearest) and what is to be done; none where no corner
+    is near another's body. ``w``: walls as ``framed``.
 
     do: ``onto`` (the wall is cut where the corner comes onto it), ``end`` (the corner becomes the wall's end corner), ``meet``
     (the wall's free end comes to the corner's projection and is the corner), ``piece`` / ``piece-end`` / ``piece-meet`` (a
     short piece joins the corner to a new cut, to the end corner, to the moved free end).
     """
-    w = cut_lineage(framed(vertices, walls))
-    ends = w.select("unit_id", F.explode(F.array(*[F.struct(F.col(p).alias("v"), F.col(q).alias("far"), (F.col("ux") * s).alias("px"), (F.col("uy") * s).alias("py"), "thick", "height") for p, q, s in (("a", "b", 1), ("b", "a", -1))])).alias("e")).select("unit_id", "e.*")
-    own = ends.groupBy("unit_id", F.col("v").alias("vertex_id")).agg(F.collect_list(F.struct("px", "py")).alias("dirs"), F.collect_set("far").alias("fars"), F.max("thick").alias("own_thick"), F.max("height").alias("own_height"), F.count(F.lit(1)).alias("degree"))
-    degree = own.select("unit_id", F.col("vertex_id").alias("end"), F.col("degree").alias("end_degree"))
     p = vertices.withColumns({"x0": F.col("x"), "x1": F.col("x"), "y0": F.col("y"), "y1": F.col("y")})
     j = box_join(p, _box(w, F.col("thick") / 2 + MERGE_M), U, size).where((F.col("l.vertex_id") != F.col("r.a")) & (F.col("l.vertex_id") != F.col("r.b")))
     j = j.select("l.unit_id", "l.vertex_id", "l.x", "l.y", F.col("r.wall_id").alias("wall_id"), *[F.col(f"r.{c}").alias(c) for c in ("a", "b", "ax", "ay", "ux", "uy", "len", "thick", "height")])
-    j = j.join(dealt(own), ["unit_id", "vertex_id"])
     s = (F.col("x") - F.col("ax")) * F.col("ux") + (F.col("y") - F.col("ay")) * F.col("uy")
     d = F.abs((F.col("y") - F.col("ay")) * F.col("ux") - (F.col("x") - F.col("ax")) * F.col("uy"))
     first = F.col("s") < F.col("len") / 2
     j = j.withColumns({"s": s, "d": d}).withColumns({"end": F.when(first, F.col("a")).otherwise(F.col("b")), "to_end": F.when(first, F.col("s")).otherwise(F.col("len") - F.col("s"))})
+    # what the tests below let through at most; the corners' own walls are looked up for these alone
+    j = cut_lineage(j.where((F.col("d") <= F.greatest(F.lit(0.0), F.col("thick") / 2) + MERGE_M) & (F.col("to_end") >= -F.greatest(F.lit(MERGE_M), F.col("thick") / 2))))
+    if j.isEmpty():
+        return None
+    asked = j.select("unit_id", F.explode(F.array("vertex_id", "end")).alias("v")).distinct()
+    ends = w.select("unit_id", F.explode(F.array(*[F.struct(F.col(p).alias("v"), F.col(q).alias("far"), (F.col("ux") * s).alias("px"), (F.col("uy") * s).alias("py"), "thick", "height") for p, q, s in (("a", "b", 1), ("b", "a", -1))])).alias("e")).select("unit_id", "e.*")
+    ends = ends.join(dealt(asked), ["unit_id", "v"], "left_semi")
+    own = ends.groupBy("unit_id", F.col("v").alias("vertex_id")).agg(F.collect_list(F.struct("px", "py")).alias("dirs"), F.collect_set("far").alias("fars"), F.max("thick").alias("own_thick"), F.max("height").alias("own_height"), F.count(F.lit(1)).alias("degree"))
+    degree = own.select("unit_id", F.col("vertex_id").alias("end"), F.col("degree").alias("end_degree"))
+    j = j.join(dealt(own), ["unit_id", "vertex_id"])
     step = F.array_contains("fars", F.col("a")) | F.array_contains("fars", F.col("b"))
     j = j.join(dealt(degree), ["unit_id", "end"]).withColumns({"step": step, "cap": F.greatest(F.lit(MERGE_M), F.col("thick") / 2)}).withColumn("free", ~F.col("step") & (F.col("end_degree") == 1))
     j = j.where((F.col("d") <= F.when(F.col("step"), MERGE_M).otherwise(F.col("thick") / 2 + MERGE_M)) & ~(F.col("step") & (F.col("to_end") <= F.col("cap"))))
@@ -125,9 +133,8 @@ def _at_once(todo: DataFrame) -> DataFrame:
     return todo.join(dealt(late.select("unit_id", "vertex_id").distinct()), ["unit_id", "vertex_id"], "left_anti")
 
 
-def split_walls(vertices: DataFrame, walls: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Walls cut at ``cuts`` (unit_id, wall_id, s along the wall, v the corner there), each once, its pieces between neighbouring points."""
-    w = framed(vertices, walls)
+def split_walls(w: DataFrame, walls: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Walls cut at ``cuts`` (unit_id, wall_id, s along the wall, v the corner there), each once, its pieces between neighbouring points. ``w``: walls as ``framed``."""
     inner = cuts.groupBy("unit_id", "wall_id", "v").agg(F.min("s").alias("s"))
     points = w.select("unit_id", "wall_id", F.inline(F.array(F.struct(F.lit(-1.0).alias("s"), F.col("a").alias("v")), F.struct((F.col("len") + 1).alias("s"), F.col("b").alias("v")))))
     points = points.join(dealt(inner.select("unit_id", "wall_id").distinct()), ["unit_id", "wall_id"], "left_semi").unionByName(inner.select("unit_id", "wall_id", "s", "v"))
@@ -137,14 +144,14 @@ def split_walls(vertices: DataFrame, walls: DataFrame, cuts: DataFrame) -> DataF
     return walls.join(dealt(inner.select("unit_id", "wall_id").distinct()), ["unit_id", "wall_id"], "left_anti").select(*W_COLS).unionByName(pieces)
 
 
-def _ended(vertices: DataFrame, walls: DataFrame, now: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _ended(vertices: DataFrame, walls: DataFrame, framed_: DataFrame, now: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vertices and walls after the endings ``now``."""
     new = now.where("do = 'piece'").withColumn("j", F.concat_ws("@", "vertex_id", "wall_id"))
     moved = now.where("do = 'onto'").select("unit_id", "vertex_id", "qx", "qy").unionByName(now.where("do in ('meet', 'piece-meet')").select("unit_id", F.col("end").alias("vertex_id"), "qx", "qy"))
     v = vertices.join(dealt(moved), ["unit_id", "vertex_id"], "left").select("unit_id", "vertex_id", F.coalesce("qx", "x").alias("x"), F.coalesce("qy", "y").alias("y"))
     v = cut_lineage(v.unionByName(new.select("unit_id", F.col("j").alias("vertex_id"), F.col("qx").alias("x"), F.col("qy").alias("y"))))
     cuts = now.where("do = 'onto'").select("unit_id", "wall_id", "s", F.col("vertex_id").alias("v")).unionByName(new.select("unit_id", "wall_id", "s", F.col("j").alias("v")))
-    w = split_walls(vertices, walls, cuts)
+    w = split_walls(framed_, walls, cuts)
     joints = now.where("do like 'piece%'").select("unit_id", F.concat_ws("+", "wall_id", "vertex_id").alias("wall_id"), F.concat_ws("+", "wall_id", "vertex_id").alias("of_wall"), F.when(F.col("do") == "piece", F.concat_ws("@", "vertex_id", "wall_id")).otherwise(F.col("end")).alias("a"), F.col("vertex_id").alias("b"), "thick", "height")
     to = cut_lineage(now.where("do in ('end', 'meet')").select("unit_id", "vertex_id", F.col("end").alias("to")))
     w = cut_lineage(_rewired(w.unionByName(joints), to))
@@ -153,7 +160,11 @@ def _ended(vertices: DataFrame, walls: DataFrame, now: DataFrame) -> tuple[DataF
 
 def crossings(vertices: DataFrame, walls: DataFrame, size: float = 4.0) -> DataFrame:
     """Crossing points of walls that share no corner, more than MERGE_M from all four ends: unit_id, v, x, y and both walls with s."""
-    b = _box(framed(vertices, walls), 0.0)
+    return _crossings(framed(vertices, walls), size)
+
+
+def _crossings(w: DataFrame, size: float) -> DataFrame:
+    b = _box(w, 0.0)
     j = box_self_join(b, U, size)
     P, Q = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
     j = j.where((P("wall_id") < Q("wall_id")) & ~P("a").isin(Q("a"), Q("b")) & ~P("b").isin(Q("a"), Q("b")))
@@ -174,11 +185,13 @@ def join_overlaps(vertices: DataFrame, walls: DataFrame, size: float = 4.0) -> t
     w = cut_lineage(walls.select("unit_id", F.col("wall_id").cast("string").alias("wall_id"), F.col("wall_id").cast("string").alias("of_wall"), F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "thick", "height"))
     while True:
         v, w, gone = merged_corners(v, w)
-        now = cut_lineage(_at_once(cut_lineage(_endings(v, w, size))))
-        if not now.isEmpty():
-            v, w = _ended(v, w, now)
+        f = cut_lineage(framed(v, w))
+        todo = _endings(v, f, size)
+        now = None if todo is None else cut_lineage(_at_once(cut_lineage(todo)))
+        if now is not None and not now.isEmpty():
+            v, w = _ended(v, w, f, now)
             continue
-        x = cut_lineage(crossings(v, w, size))
+        x = cut_lineage(_crossings(f, size))
         if x.isEmpty():
             if not gone:
                 return v, w
@@ -188,5 +201,5 @@ def join_overlaps(vertices: DataFrame, walls: DataFrame, size: float = 4.0) -> t
         x = x.join(dealt(to.select("unit_id", F.col("vertex_id").alias("v"), "to")), ["unit_id", "v"], "left").withColumn("v", F.coalesce("to", "v"))
         spots = spots.join(dealt(to), ["unit_id", "vertex_id"], "left_anti")
         cuts = x.select("unit_id", F.inline(F.array(*[F.struct(F.col(f"w{i}").alias("wall_id"), F.col(f"s{i}").alias("s"), F.col("v").alias("v")) for i in (1, 2)])))
-        w = cut_lineage(split_walls(v, w, cuts))
+        w = cut_lineage(split_walls(f, w, cuts))
         v = cut_lineage(v.unionByName(spots))

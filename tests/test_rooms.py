@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from plans import Plan
 from pyspark.sql import functions as F
 
@@ -299,3 +300,15 @@ def test_repair(spark):
     assert {x.opening_id: round(x.off, 3) for x in r["openings"].collect()} == {"o1": 2.0, "o2": 0.5}
     assert [x.label_id for x in r["labels"].collect()] == ["in"]
     assert "stray" not in {x.vertex_id for x in r["vertices"].collect()}
+
+
+def test_corners_away_from_bodies_are_asked_nothing(spark, monkeypatch):
+    """Where no corner is near another wall's body no corner's own walls are gathered; a wall is framed once a round."""
+    walls = [("A", "h", 0, 0, 4, 0), ("A", "v", 8, 0, 8, 3)]
+    v = spark.createDataFrame([(u, f"{i}{e}", float(x), float(y)) for u, i, ax, ay, bx, by in walls for e, x, y in (("a", ax, ay), ("b", bx, by))], "unit_id string, vertex_id string, x double, y double")
+    w = spark.createDataFrame([(u, i, f"{i}a", f"{i}b", 0.2, 3.0) for u, i, *_ in walls], "unit_id string, wall_id string, a string, b string, thick double, height double")
+    framed, seen = noding.framed, []
+    monkeypatch.setattr(noding, "framed", lambda *a: seen.append(1) or framed(*a))
+    monkeypatch.setattr(noding, "_at_once", lambda todo: pytest.fail("endings were looked for"))
+    got_v, got_w = noding.join_overlaps(v, w)
+    assert got_v.count() == 4 and got_w.count() == 2 and len(seen) == 1
