@@ -6,6 +6,7 @@ import random
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from floorledger.llm import anchors, bpe, line_dedup, mixing, ngram_join, quality, substrings, suffix_array, token_counts
 from tests.llm import corpus
@@ -189,6 +190,18 @@ def test_line_dedup_of_many_near_copies(spark):
     assert got == corpus.near_lines(rows)
 
 
+def test_line_dedup_meets_a_pair_once(spark):
+    """Of two sets the longer one asks for the shorter one's first words alone; lines of one set in other words' order are led by their first."""
+    words = [f"w{i}" for i in range(40)]
+    rows = [(0, " ".join(words)), (1, " ".join(words[:34])), (2, " ".join(words[3:])), (3, " ".join(words[::-1])), (4, " ".join(words[20:] + [f"x{i}" for i in range(20)])), (5, " \t \n" + words[0])]
+    got = {r.doc_id: r.removed for r in line_dedup.decisions(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {0: "", 1: "0", 2: "0", 3: "0", 4: "", 5: ""}
+    bits = [F.lit(0).cast("bigint").alias(b) for b in ("b0", "b1")]
+    sets = spark.range(3).select("id", F.lit(20).alias("n"), *bits, F.lit(True).alias("asks"), F.posexplode(F.sequence(F.lit(1), F.lit(6))).alias("i", "k"))
+    pairs = line_dedup._meetings(sets, 75).collect()
+    assert sorted((r.x, r.y, r.c) for r in pairs) == [(1, 0, 3), (2, 0, 3), (2, 1, 3)]
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(ROWS)
